@@ -24,8 +24,20 @@ from sieve.operators import sampling as SA
 # multiple-choice prompt.
 CHOICES = ("A", "B", "C", "D")
 ANSWER_CUE = "Answer:"
-MC_HEADER = "The following are multiple choice questions (with answers) about{subject}.\n\n"
+MC_HEADER = "The following are multiple choice questions (with answers) about "
 COT_CUE = "The answer is:"
+GSM_PREFIX = "Answer the following questions.\n\n"
+GSM_PREFIX_ONE = "Answer the following question.\n\n"
+BBH_CUE = "A:"
+CODE_INSTRUCTION = "Complete the following python function.\n\n\n"
+CODE_ANSWER = "Here is the completed function:\n\n\n"
+CODE_ANSWER_WITH_INSTRUCTIONS = "Here is the function:\n\n```python\n"
+# English reading-comprehension templates (intro, passage,
+# question and answer cues); languages without a template are skipped.
+QA_TEMPLATES = {
+    "en": ("Answer the following question based on the information in the given passage.",
+           "Passage:", "Question:", "Answer:"),
+}
 
 REGISTRY: dict[str, Callable[..., DataFrame]] = {}
 
@@ -60,8 +72,9 @@ def mc_prompt(question, options: list, answer=None, include_answer: bool = False
 
 
 def mc_header(subject) -> Column:
-    return F.concat(F.lit("The following are multiple choice questions (with answers) about"),
-                    subject_words(subject), F.lit(".\n\n"))
+    """Header naming the subject; the subject words carry a leading space, so
+    the header has two spaces after "about" (as in the reference)."""
+    return F.concat(F.lit(MC_HEADER), subject_words(subject), F.lit(".\n\n"))
 
 
 def few_shot_prefix(shots, k: int | Column | None = None, sep: str = "\n\n") -> Column:
@@ -102,25 +115,31 @@ def chat_wrap(prompt) -> Column:
 # few-shot helpers
 # --------------------------------------------------------------------------
 
-def attach_shots(rows: DataFrame, shots: DataFrame, group: str, k: int, seed: int, id_col: str,
-                 text_col: str, self_col: str, case_insensitive: bool = False) -> DataFrame:
-    """Give every row up to k demonstrations of its group, leaving out the
-    row's own text (leave-one-out).
+def attach_shots(rows: DataFrame, shots: DataFrame, group: str, k: int | None, order_col: str,
+                 key_col: str, demo_col: str, case_insensitive: bool = False) -> DataFrame:
+    """Give every row the first k demonstrations of its group (in ``order_col``
+    order), minus those whose key equals the row's own (leave-one-out without
+    refilling, as the reference does); k None = all shots of the group.
 
-    At most k + 1 shots per group are kept (``row_number`` in a seeded order),
-    gathered into one small array per group and joined to the rows on the
-    group key; the self shot is removed with ``filter`` and the first k kept.
-    Work is linear in the number of rows.
+    The shots of a group are gathered into one small array (bounded by k) and
+    joined to the rows on the group key, so the work is linear in the rows;
+    no pairing of all rows of a group is formed. Adds ``shots array<string>``
+    and ``shot_keys``.
     """
-    w = Window.partitionBy(group).orderBy(*SA.shuffle_order(seed, id_col))
-    bounded = shots.withColumn("_sr", F.row_number().over(w)).filter(F.col("_sr") <= k + 1)
-    per_group = bounded.groupBy(group).agg(
-        F.array_sort(F.collect_list(F.struct("_sr", F.col(self_col).alias("key"), F.col(text_col).alias("demo"))))
-        .alias("_shots"))
+    cand = shots
+    if k is not None:
+        w = Window.partitionBy(group).orderBy(order_col)
+        cand = shots.withColumn("_sr", F.row_number().over(w)).filter(F.col("_sr") <= k).drop("_sr")
+    per_group = cand.groupBy(group).agg(
+        F.array_sort(F.collect_list(F.struct(F.col(order_col).alias("o"), F.col(key_col).alias("key"),
+                                             F.col(demo_col).alias("demo")))).alias("_shots"))
     norm = (lambda c: F.lower(c)) if case_insensitive else (lambda c: c)
-    joined = rows.join(per_group, group, "left")
-    kept = F.filter("_shots", lambda s: norm(s["key"]) != norm(F.col(self_col)))
-    return joined.withColumn("shots", F.transform(F.slice(kept, 1, k), lambda s: s["demo"])).drop("_shots")
+    own = F.col(key_col)
+    kept = F.filter(F.coalesce(F.col("_shots"), F.array().cast(per_group.schema["_shots"].dataType)),
+                    lambda s: norm(s["key"]) != norm(own))
+    return (rows.join(per_group, group, "left")
+            .withColumn("shots", F.transform(kept, lambda s: s["demo"]))
+            .drop("_shots"))
 
 
 def shot_budget(base_len, shot_lens, budget: int) -> Column:
