@@ -42,20 +42,35 @@ class TooLargeToBroadcast(ValueError):
 # small-side collection with a size check
 # --------------------------------------------------------------------------
 
+class TargetMatrix:
+    """A collected, size-checked target set: ``ids`` (sorted) and ``blocks`` of
+    rows that each fit the broadcast limit. Build it once and pass it to several
+    scoring calls to avoid collecting the targets again."""
+
+    def __init__(self, ids: np.ndarray, mat: np.ndarray, max_bytes: int, normalised: bool):
+        self.ids, self.mat, self.normalised = ids, mat, normalised
+        self.d = mat.shape[1] if mat.ndim == 2 else 0
+        per_block = max(1, max_bytes // max(1, self.d * 8))
+        self.blocks = [(ids[i:i + per_block], mat[i:i + per_block]) for i in range(0, max(len(ids), 1), per_block)]
+
+
 def collect_matrix(targets: DataFrame, id_col: str = "target_id", vec_col: str = "vec",
-                   max_bytes: int = DEFAULT_MAX_BROADCAST_BYTES):
+                   max_bytes: int = DEFAULT_MAX_BROADCAST_BYTES, max_driver_bytes: int | None = None):
     """Collect ``(ids, matrix)`` of a target set after checking its size.
 
     The size is computed on the cluster first (count and width), so an
     oversized side is refused before anything is pulled to the driver.
+    ``max_driver_bytes`` (default 4 x ``max_bytes``) bounds the whole set; each
+    broadcast block is bounded by ``max_bytes``.
     """
     stats = targets.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec_col)).alias("d"),
                         F.min(F.size(vec_col)).alias("d_min")).first()
     n, d = int(stats["n"]), int(stats["d"] or 0)
     if n and stats["d_min"] != d:
         raise ValueError("target vectors have different lengths")
-    if n * d * 8 > max_bytes:
-        raise TooLargeToBroadcast(f"{n} x {d} doubles exceed {max_bytes} bytes")
+    limit = max_driver_bytes if max_driver_bytes is not None else 4 * max_bytes
+    if n * d * 8 > limit:
+        raise TooLargeToBroadcast(f"{n} x {d} doubles exceed {limit} bytes")
     tbl = targets.select(F.col(id_col).cast("long").alias("id"),
                          V.as_double(F.col(vec_col)).alias("v")).orderBy("id").toArrow()
     ids = tbl.column("id").to_numpy()
@@ -64,17 +79,10 @@ def collect_matrix(targets: DataFrame, id_col: str = "target_id", vec_col: str =
     return ids, mat
 
 
-def target_blocks(targets: DataFrame, id_col: str, vec_col: str, max_bytes: int):
-    """Yield broadcastable ``(ids, matrix)`` blocks covering the whole target set."""
-    stats = targets.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec_col)).alias("d")).first()
-    n, d = int(stats["n"]), int(stats["d"] or 0)
-    per_block = max(1, max_bytes // max(1, d * 8))
-    if n <= per_block:
-        yield collect_matrix(targets, id_col, vec_col, max_bytes)
-        return
-    ranked = targets.withColumn("_blk", F.floor((F.dense_rank().over(Window.orderBy(id_col)) - 1) / per_block))
-    for b in range(int(np.ceil(n / per_block))):
-        yield collect_matrix(ranked.filter(F.col("_blk") == b), id_col, vec_col, max_bytes)
+def target_matrix(targets: DataFrame, id_col: str = "target_id", vec_col: str = "vec", normalise: bool = True,
+                  max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> TargetMatrix:
+    ids, mat = collect_matrix(targets, id_col, vec_col, max_broadcast_bytes)
+    return TargetMatrix(ids, _unit_rows(mat) if normalise and len(mat) else mat, max_broadcast_bytes, normalise)
 
 
 # --------------------------------------------------------------------------
@@ -153,17 +161,16 @@ def _scan(pool: DataFrame, ids_bc, mat_bc, *, mode: str, k: int, largest: bool,
     return slim.mapInArrow(fn, out_schema)
 
 
-def _prepare_targets(targets: DataFrame, normalise: bool, id_col: str, vec_col: str, max_bytes: int):
-    for ids, mat in target_blocks(targets, id_col, vec_col, max_bytes):
-        yield ids, (_unit_rows(mat) if normalise else mat)
-
-
-def cosine_scores(pool: DataFrame, targets: DataFrame, *, mode: str = "pairs", k: int = 0,
+def cosine_scores(pool: DataFrame, targets, *, mode: str = "pairs", k: int = 0,
                   largest: bool = True, normalise: bool = True, pool_id: str = "pool_id",
                   src: str = "src", target_id: str = "target_id", vec: str = "vec",
                   max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> DataFrame:
     """Score every pool row against every target (Arrow + NumPy path).
 
+    ``targets`` is a DataFrame (``target_id``, ``vec``) or a prepared
+    :class:`TargetMatrix`. Each broadcast block holds at most
+    ``max_broadcast_bytes`` of target vectors; a larger (but driver-sized)
+    target set is scored block by block, one pool scan per block.
     ``mode='topk'`` returns only per-batch top-k candidates; feed the result to
     :func:`topk_per_target` for the exact global per-target top-k.
     """
@@ -171,15 +178,14 @@ def cosine_scores(pool: DataFrame, targets: DataFrame, *, mode: str = "pairs", k
         raise ValueError(mode)
     if mode == "topk" and k <= 0:
         return pool.sparkSession.createDataFrame([], SCORE_SCHEMA)
-    sc = pool.sparkSession.sparkContext
-    d = int(targets.select(F.max(F.size(vec))).first()[0] or 0)
-    parts = []
-    blocks = list(_prepare_targets(targets, normalise, target_id, vec, max_broadcast_bytes))
-    if mode == "mean" and len(blocks) > 1:
+    tm = targets if isinstance(targets, TargetMatrix) else target_matrix(
+        targets, target_id, vec, normalise, max_broadcast_bytes)
+    if mode == "mean" and len(tm.blocks) > 1:
         raise TooLargeToBroadcast("mean over a target set that needs several blocks: use pairs + mean_scores")
-    for ids, mat in blocks:
-        parts.append(_scan(pool, sc.broadcast(ids), sc.broadcast(mat), mode=mode, k=k, largest=largest,
-                           normalise=normalise, vec_col=vec, src_col=src, id_col=pool_id, d=d))
+    sc = pool.sparkSession.sparkContext
+    parts = [_scan(pool, sc.broadcast(ids), sc.broadcast(mat), mode=mode, k=k, largest=largest,
+                   normalise=normalise, vec_col=vec, src_col=src, id_col=pool_id, d=tm.d)
+             for ids, mat in tm.blocks]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
