@@ -32,6 +32,7 @@ from sieve.functions import vectors as V
 
 SCORE_SCHEMA = "target_id bigint, src int, pool_id bigint, score double"
 DEFAULT_MAX_BROADCAST_BYTES = 256 * 1024 * 1024
+DEFAULT_MAX_DRIVER_BYTES = 2 * 1024 * 1024 * 1024
 
 
 class TooLargeToBroadcast(ValueError):
@@ -60,15 +61,15 @@ def collect_matrix(targets: DataFrame, id_col: str = "target_id", vec_col: str =
 
     The size is computed on the cluster first (count and width), so an
     oversized side is refused before anything is pulled to the driver.
-    ``max_driver_bytes`` (default 4 x ``max_bytes``) bounds the whole set; each
-    broadcast block is bounded by ``max_bytes``.
+    ``max_driver_bytes`` bounds the whole set; each broadcast block is bounded
+    by ``max_bytes``.
     """
     stats = targets.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec_col)).alias("d"),
                         F.min(F.size(vec_col)).alias("d_min")).first()
     n, d = int(stats["n"]), int(stats["d"] or 0)
     if n and stats["d_min"] != d:
         raise ValueError("target vectors have different lengths")
-    limit = max_driver_bytes if max_driver_bytes is not None else 4 * max_bytes
+    limit = max_driver_bytes if max_driver_bytes is not None else max(DEFAULT_MAX_DRIVER_BYTES, max_bytes)
     if n * d * 8 > limit:
         raise TooLargeToBroadcast(f"{n} x {d} doubles exceed {limit} bytes")
     tbl = targets.select(F.col(id_col).cast("long").alias("id"),
@@ -180,6 +181,9 @@ def cosine_scores(pool: DataFrame, targets, *, mode: str = "pairs", k: int = 0,
         return pool.sparkSession.createDataFrame([], SCORE_SCHEMA)
     tm = targets if isinstance(targets, TargetMatrix) else target_matrix(
         targets, target_id, vec, normalise, max_broadcast_bytes)
+    if len(tm.ids) == 0:
+        schema = SCORE_SCHEMA if mode != "mean" else "src int, pool_id bigint, score double, n_targets bigint"
+        return pool.sparkSession.createDataFrame([], schema)
     if mode == "mean" and len(tm.blocks) > 1:
         raise TooLargeToBroadcast("mean over a target set that needs several blocks: use pairs + mean_scores")
     sc = pool.sparkSession.sparkContext
