@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 REGISTRY: dict[str, tuple[Callable, str | None]] = {}
 
-MODULES = ("q_select", "q_vectors", "q_chat", "q_targets", "q_scoring", "q_io", "q_stream")
+MODULES = ("q_select", "q_vectors", "q_chat", "q_targets", "q_builders", "q_scoring", "q_io", "q_stream")
 
 
 def register(name: str, sql: str | None = None):

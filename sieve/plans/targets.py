@@ -41,14 +41,39 @@ QA_TEMPLATES = {
 
 REGISTRY: dict[str, Callable[..., DataFrame]] = {}
 
+# The reference's target-set names and the catalog queries that build them
+# from the given tables (``*_test`` variants differ only in the input file).
+BUILDERS = {
+    "mmlu": "tgt_mmlu", "mmlu_shots": "tgt_mmlu_shots", "mmlu_cot": "tgt_mmlu_cot",
+    "mmlu_shots_shots": "tgt_mmlu_shots_shots", "gsm8k": "tgt_gsm8k", "gsm8k_shots": "tgt_gsm8k_shots",
+    "gsm8k_shots_shots": "tgt_gsm8k_shots_shots", "bbh": "tgt_bbh", "bbh_shots": "tgt_bbh_shots",
+    "bbh_shots_shots": "tgt_bbh_shots_shots", "tydiqa": "tgt_tydiqa", "tydiqa_shots": "tgt_tydiqa_shots",
+    "tydiqa_shots_shots": "tgt_tydiqa_shots_shots", "codex": "tgt_codex", "codex_test": "tgt_codex",
+    "alpacafarm": "tgt_alpacafarm", "alpacafarm_test": "tgt_alpacafarm", "arena_hard": "tgt_alpacafarm",
+    "wildchat": "tgt_alpacafarm", "squad": "tgt_squad", "squad_test": "tgt_squad", "squad_shots": "tgt_squad_shots",
+    "mbpp_pro": "tgt_mbpp", "mbpp_val": "tgt_mbpp", "limo": "tgt_limo", "debug_subset": "tgt_debug_subset",
+    "toxigen": "tgt_toxigen",
+}
+
 
 def register_target(name: str):
+    """Add a target set: ``fn(spark, sf_dir) -> DataFrame(target_id, prompt, label)``."""
     def deco(fn):
         REGISTRY[name] = fn
         return fn
     return deco
 
 
+def build_target_set(spark, name: str, sf_dir: str) -> DataFrame:
+    """A target set by name: user-registered sets first, then the built-in ones."""
+    if name in REGISTRY:
+        return REGISTRY[name](spark, sf_dir)
+    if name not in BUILDERS:
+        raise ValueError(f"unknown target set {name!r}")
+    from sieve.plans import catalog
+    return catalog.queries()[BUILDERS[name]](spark, sf_dir)
+
+
 # --------------------------------------------------------------------------
 # templates
 # --------------------------------------------------------------------------
