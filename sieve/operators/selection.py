@@ -31,6 +31,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sieve.operators.sampling import global_topk
 from sieve.operators.similarity import rank_order, topk_per_target
 
 METHODS = ("min", "max", "mean_min", "mean_max", "normalized_mean_min", "normalized_mean_max")
@@ -146,9 +147,9 @@ def _take_sorted(means: DataFrame, k: int, largest: bool) -> DataFrame:
     if largest:
         # sorted ascending, last K kept: ties at the cut keep the later row;
         # output stays ascending (best last)
-        top = means.orderBy(F.col("score").desc(), F.col("src").desc(), F.col("pool_id").desc()).limit(k)
+        top = global_topk(means, [F.col("score").desc(), F.col("src").desc(), F.col("pool_id").desc()], k)
     else:
-        top = means.orderBy(F.col("score").asc(), F.col("src").asc(), F.col("pool_id").asc()).limit(k)
+        top = global_topk(means, [F.col("score").asc(), F.col("src").asc(), F.col("pool_id").asc()], k)
     # at most K rows: the selection size, not the data size
     w = Window.orderBy(F.col("score").asc(), F.col("src").asc(), F.col("pool_id").asc())
     return top.withColumn("sel_rank", F.row_number().over(w).cast("long"))
@@ -189,19 +190,24 @@ def fold_domain(col):
     return F.when(col.contains("science"), F.lit("science")).otherwise(col)
 
 
-def quota_candidates(ranked: DataFrame, quotas: DataFrame, factor: int = 1) -> DataFrame:
+def quota_candidates(scored: DataFrame, quotas: DataFrame, factor: int = 1) -> DataFrame:
     """Bound the lists before the sequential pass: each (target, domain) list is
-    cut at ``factor * ceil(quota_d)`` rows (unknown domains have quota 0 and
-    are always skipped, so they are dropped). ``_cut`` marks the last kept row
-    of a (target, domain) list that had more rows; the pass reports whether it
-    ever needed to look past such a row."""
-    q = quotas.select(F.col("domain"), F.col("quota"))
-    with_q = ranked.join(F.broadcast(q), "domain", "left").fillna({"quota": 0.0})
-    w = Window.partitionBy("target_id", "domain").orderBy("rank")
+    cut at ``factor * ceil(quota_d)`` rows in ascending score order. Domains
+    with quota 0 (or no weight) are always skipped, so they are dropped. The
+    cut is a ``row_number`` limit, so Spark keeps only the bounded rows of each
+    partition before the shuffle; no full per-target sort is needed. ``_cut``
+    marks the last kept row of a list that had more rows."""
+    q = quotas.select("domain", "quota").filter(F.col("quota") > 0)
+    qmax = q.agg(F.max("quota")).first()[0] or 0.0       # one row per weighted domain
+    limit = int(math.ceil(qmax)) * factor
+    with_q = scored.join(F.broadcast(q), "domain")        # quotas: one row per domain
+    w = Window.partitionBy("target_id", "domain").orderBy(*rank_order(False))
     bound = F.ceil(F.col("quota")) * F.lit(factor)
+    counts = with_q.groupBy("target_id", "domain").agg(F.count(F.lit(1)).alias("_dn"))
     return (with_q.withColumn("_drank", F.row_number().over(w))
-            .withColumn("_dn", F.count(F.lit(1)).over(Window.partitionBy("target_id", "domain")))
+            .filter(F.col("_drank") <= limit)
             .filter(F.col("_drank") <= bound)
+            .join(counts, ["target_id", "domain"])
             .withColumn("_cut", (F.col("_drank") == bound) & (F.col("_dn") > bound))
             .drop("_drank", "_dn"))
 
@@ -216,8 +222,10 @@ def _greedy_quota(pdf, k: int, quota: dict):
     import pandas as pd
 
     lists = {}
-    for t, g in pdf.sort_values(["target_id", "rank"]).groupby("target_id", sort=True):
-        lists[t] = list(zip(g["src"], g["pool_id"], g["score"], g["domain"], g["allowed"], g["rank"], g["_cut"]))
+    ordered = pdf.sort_values(["target_id", "score", "src", "pool_id"], kind="mergesort")
+    for t, g in ordered.groupby("target_id", sort=True):
+        g = g.reset_index(drop=True)
+        lists[t] = list(zip(g["src"], g["pool_id"], g["score"], g["domain"], g["allowed"], g.index + 1, g["_cut"]))
     pos = {t: 0 for t in lists}
     counts: dict = {}
     seen = set()
@@ -265,8 +273,8 @@ def select_round_robin_quota(scores: DataFrame, domains: DataFrame, weights: Dat
     """Round robin (ascending) with per-domain quotas.
 
     The quota state makes the turn order data dependent, so the final pass is
-    sequential. Spark does the heavy work (ranking the full lists, cutting
-    every (target, domain) list at ceil(quota)), which leaves about
+    sequential. Spark does the heavy work (cutting every (target, domain) list
+    at ceil(quota) with a partial group limit), which leaves about
     ``targets x (K + domains)`` candidate rows; the pass over those runs as one
     grouped-map task, and is repeated with deeper lists in the rare case it
     reports that a cut could have mattered. Infinite scores are removed before
@@ -278,17 +286,15 @@ def select_round_robin_quota(scores: DataFrame, domains: DataFrame, weights: Dat
     qmap = {r["domain"]: float(r["quota"]) for r in quotas.collect()}  # one row per domain weight
     dom = domains.select("src", "pool_id", fold_domain(F.col("domain")).alias("domain"))
     scored = drop_invalid_ids(scores).filter(_finite(F.col("score"))).join(dom, ["src", "pool_id"])
-    w = Window.partitionBy("target_id").orderBy(*rank_order(False))
-    ranked = scored.withColumn("rank", F.row_number().over(w))
     factor = 1
     while True:
-        cand = quota_candidates(ranked, quotas, factor)
+        cand = quota_candidates(scored, quotas, factor)
         if allow is not None:
             allowed = allow.select("src", "pool_id").distinct().withColumn("allowed", F.lit(True))
             cand = cand.join(allowed, ["src", "pool_id"], "left").fillna({"allowed": False})
         else:
             cand = cand.withColumn("allowed", F.lit(True))
-        cand = cand.select("target_id", "src", "pool_id", "score", "domain", "allowed", "rank", "_cut")
+        cand = cand.select("target_id", "src", "pool_id", "score", "domain", "allowed", "_cut")
         out = (cand.withColumn("_one", F.lit(1)).groupBy("_one")
                .applyInPandas(lambda pdf: _greedy_quota(pdf, k, qmap), QUOTA_SCHEMA)).checkpoint()
         flags = out.select("exact").distinct().collect()

@@ -206,14 +206,13 @@ def tgt_gsm8k(spark, sf):
     """Word problems with the eight worked examples as a prefix."""
     test = num_items(spark, sf, "test").filter(F.col("answer").try_cast("double").isNotNull())
     ex = num_items(spark, sf, "dev").orderBy("target_id").limit(8)   # the n-shot demonstrations
-    demos = ex.select(F.lit(1).alias("_one"), F.struct("target_id", TG.gsm_demo("question", "cot_answer").alias("d")).alias("s"))
-    prefix = demos.groupBy("_one").agg(
+    demos = ex.select(F.struct("target_id", TG.gsm_demo("question", "cot_answer").alias("d")).alias("s"))
+    # the prefix is one string built from eight rows: it becomes a literal
+    prefix = demos.agg(
         F.concat(F.lit(TG.GSM_PREFIX), F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda x: x["d"]), "\n\n"),
-                 F.lit("\n\n")).alias("prefix"))
-    # one prefix row for every test row: a broadcast of one row
-    rows = test.withColumn("_one", F.lit(1)).join(F.broadcast(prefix), "_one")
-    content = F.concat("prefix", F.lit("Question: "), T.strip("question"))
-    p = rows.select("target_id", T.suffix_cue(TG.chat_wrap(content), "Answer:").alias("prompt"),
+                 F.lit("\n\n")).alias("prefix")).first()["prefix"]
+    content = F.concat(F.lit(prefix), F.lit("Question: "), T.strip("question"))
+    p = test.select("target_id", T.suffix_cue(TG.chat_wrap(content), "Answer:").alias("prompt"),
                     F.col("answer").alias("label"))
     return _out(TG.finish(p, 50, SEED))
 
@@ -240,10 +239,14 @@ SELECT ex.target_id, {chat_sql(f"'Answer the following questions.' || {NL} || {N
 def tgt_gsm8k_shots_shots(spark, sf):
     """Each worked example with the other seven as shots (case-insensitive
     leave-one-out)."""
-    ex = num_items(spark, sf, "dev").orderBy("target_id").limit(8).withColumn("grp", F.lit(1))
-    demos = ex.select("grp", "target_id", "question", TG.gsm_demo("question", "cot_answer").alias("demo"))
-    s = TG.attach_shots(ex, demos, "grp", None, order_col="target_id", key_col="question", demo_col="demo",
-                        case_insensitive=True)
+    ex = num_items(spark, sf, "dev").orderBy("target_id").limit(8)
+    # the eight worked examples are one small literal array; each row drops its own
+    shots = (ex.select(F.struct("target_id", F.col("question").alias("key"),
+                                TG.gsm_demo("question", "cot_answer").alias("demo")).alias("s"))
+             .agg(F.array_sort(F.collect_list("s")).alias("a")).first()["a"])
+    arr = F.array(*[F.struct(F.lit(r["key"]).alias("key"), F.lit(r["demo"]).alias("demo")) for r in shots])
+    s = ex.withColumn("shots", F.transform(F.filter(arr, lambda x: F.lower(x["key"]) != F.lower(F.col("question"))),
+                                           lambda x: x["demo"]))
     content = F.concat(F.lit(TG.GSM_PREFIX), F.array_join("shots", "\n\n"), F.lit("\n\nQuestion: "), T.strip("question"))
     return _out(s.select("target_id", T.suffix_cue(TG.chat_wrap(content), "Answer:").alias("prompt"),
                          F.col("cot_answer").alias("label")))
