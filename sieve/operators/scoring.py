@@ -61,30 +61,49 @@ def multiset_overlap(left: DataFrame, right: DataFrame, keys: list[str], right_k
             .groupBy(*keys, *right_keys).agg(F.sum(F.least("lc", "rc")).alias("common")))
 
 
+def _token_side(df: DataFrame, keys: list[str], text: str):
+    """Per key: token counts of the normalised text, and its token count, hash
+    and length (a plain projection, no shuffle)."""
+    # normalise in its own projection so the generator below reuses the value
+    normed = df.select(*keys, T.norm_answer(text).alias("_n"))
+    n = F.col("_n")
+    toks = F.when(n == "", F.array().cast("array<string>")).otherwise(F.split(n, " "))
+    counts = (normed.select(*keys, F.explode(toks).alias("tok"))
+              .groupBy(*keys, "tok").agg(F.count(F.lit(1)).alias("cnt")))
+    stats = normed.select(*keys, F.size(toks).alias("n_tok"), F.xxhash64(n).alias("_h"), F.length(n).alias("_len"))
+    return counts, stats
+
+
 def squad_scores(references: DataFrame, predictions: DataFrame, id_col: str = "id",
                  answers: str = "answers", prediction: str = "prediction_text",
                  order_col: str | None = None) -> DataFrame:
     """Per-reference EM / F1 / precision / recall (each the max over the gold
     answers); references without a prediction score 0. Duplicate prediction
-    ids keep the last one (by ``order_col``)."""
+    ids keep the last one (by ``order_col``).
+
+    Exact match compares the normalised strings through their 64-bit hash and
+    length, together with equal token multisets."""
     if order_col:
         predictions = predictions.groupBy(id_col).agg(
             F.max_by(prediction, order_col).alias(prediction))
     preds = predictions.select(id_col, prediction)
     gold = references.select(id_col, F.posexplode(answers).alias("ans_idx", "gold"))
-    common = multiset_overlap(preds, gold, [id_col], ["ans_idx"], prediction, "gold")
-    n_pred = preds.select(id_col, F.size(T.answer_tokens(prediction)).alias("n_pred"),
-                          T.norm_answer(prediction).alias("np"))
-    per_answer = (gold.join(n_pred, id_col)
+    p_counts, p_stats = _token_side(preds, [id_col], prediction)
+    g_counts, g_stats = _token_side(gold, [id_col, "ans_idx"], "gold")
+    common = (p_counts.withColumnRenamed("cnt", "lc").join(g_counts.withColumnRenamed("cnt", "rc"), [id_col, "tok"])
+              .groupBy(id_col, "ans_idx").agg(F.sum(F.least("lc", "rc")).alias("common")))
+    per_answer = (g_stats.select(id_col, "ans_idx", F.col("n_tok").alias("n_gold"), F.col("_h").alias("hg"),
+                                 F.col("_len").alias("lg"))
+                  .join(p_stats.select(id_col, F.col("n_tok").alias("n_pred"), F.col("_h").alias("hp"),
+                                       F.col("_len").alias("lp")), id_col)
                   .join(common, [id_col, "ans_idx"], "left")
-                  .select(id_col,
-                          (T.norm_answer("gold") == F.col("np")).cast("double").alias("em"),
-                          F.coalesce("common", F.lit(0)).alias("common"), "n_pred",
-                          F.size(T.answer_tokens("gold")).alias("n_gold")))
+                  .withColumn("common", F.coalesce("common", F.lit(0))))
+    em = ((F.col("hg") == F.col("hp")) & (F.col("lg") == F.col("lp")) & (F.col("n_gold") == F.col("n_pred")) &
+          ((F.col("common") == F.col("n_pred")) | (F.col("n_pred") == 0))).cast("double")
     p = F.try_divide(F.col("common").cast("double"), F.col("n_pred"))
     r = F.try_divide(F.col("common").cast("double"), F.col("n_gold"))
     scored = per_answer.select(
-        id_col, "em",
+        id_col, em.alias("em"),
         F.when(F.col("common") == 0, 0.0).otherwise(p).alias("precision"),
         F.when(F.col("common") == 0, 0.0).otherwise(r).alias("recall"),
         F.when(F.col("common") == 0, 0.0).otherwise(2 * p * r / (p + r)).alias("f1"))

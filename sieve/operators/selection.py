@@ -155,6 +155,12 @@ def _take_sorted(means: DataFrame, k: int, largest: bool) -> DataFrame:
     return top.withColumn("sel_rank", F.row_number().over(w).cast("long"))
 
 
+def select_from_means(means: DataFrame, k: int, largest: bool) -> DataFrame:
+    """Mean-mode selection from a ``src, pool_id, score`` table of means (for
+    example :func:`sieve.operators.similarity.mean_scores_fused`)."""
+    return _take_sorted(means, k, largest)
+
+
 def select_mean(scores: DataFrame, k: int, largest: bool = False, normalised: bool = False) -> DataFrame:
     base = minmax_normalised(scores) if normalised else scores
     return _take_sorted(mean_scores(base), k, largest)

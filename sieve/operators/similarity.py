@@ -126,13 +126,18 @@ def _local_topk(S: np.ndarray, src: np.ndarray, pid: np.ndarray, k: int, largest
     return np.concatenate(rows_out), np.concatenate(cols_out)
 
 
+MEAN_SCHEMA = "src int, pool_id bigint, score double, n_targets bigint"
+BOUNDS_SCHEMA = "target_id bigint, lo double, hi double"
+
+
 def _scan(pool: DataFrame, ids_bc, mat_bc, *, mode: str, k: int, largest: bool, normalise: bool,
-          vec_col: str, src_col: str, id_col: str, d: int) -> DataFrame:
-    out_schema = SCORE_SCHEMA if mode != "mean" else "src int, pool_id bigint, score double, n_targets bigint"
+          vec_col: str, src_col: str, id_col: str, d: int, bounds_bc=None) -> DataFrame:
+    out_schema = {"mean": MEAN_SCHEMA, "normmean": MEAN_SCHEMA, "bounds": BOUNDS_SCHEMA}.get(mode, SCORE_SCHEMA)
 
     def fn(batches):
         tids = ids_bc.value
         T = mat_bc.value
+        lo_hi = bounds_bc.value if bounds_bc is not None else None
         for b in batches:
             if b.num_rows == 0:
                 continue
@@ -142,6 +147,20 @@ def _scan(pool: DataFrame, ids_bc, mat_bc, *, mode: str, k: int, largest: bool,
             S = X @ T.T  # rows x targets
             src = b.column("src").to_numpy(zero_copy_only=False).astype(np.int32)
             pid = b.column("pool_id").to_numpy(zero_copy_only=False).astype(np.int64)
+            if mode == "bounds":
+                yield pa.RecordBatch.from_arrays([pa.array(tids), pa.array(S.min(axis=0)), pa.array(S.max(axis=0))],
+                                                 names=["target_id", "lo", "hi"])
+                continue
+            if mode == "normmean":
+                lo, hi = lo_hi
+                span = hi - lo
+                safe = np.where(span == 0, 1.0, span)
+                N = np.where(span == 0, 0.0, (S - lo) / safe)      # constant target -> 0
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(src), pa.array(pid), pa.array(N.mean(axis=1)),
+                     pa.array(np.full(len(pid), S.shape[1], dtype=np.int64))],
+                    names=["src", "pool_id", "score", "n_targets"])
+                continue
             if mode == "mean":
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(src), pa.array(pid), pa.array(S.mean(axis=1) if S.shape[1] else np.full(len(pid), np.nan)),
@@ -175,7 +194,7 @@ def cosine_scores(pool: DataFrame, targets, *, mode: str = "pairs", k: int = 0,
     ``mode='topk'`` returns only per-batch top-k candidates; feed the result to
     :func:`topk_per_target` for the exact global per-target top-k.
     """
-    if mode not in ("pairs", "topk", "mean"):
+    if mode not in ("pairs", "topk", "mean", "bounds"):
         raise ValueError(mode)
     if mode == "topk" and k <= 0:
         return pool.sparkSession.createDataFrame([], SCORE_SCHEMA)
@@ -196,6 +215,42 @@ def cosine_scores(pool: DataFrame, targets, *, mode: str = "pairs", k: int = 0,
     return out
 
 
+def mean_scores_fused(pool: DataFrame, targets, normalised: bool = False, pool_id: str = "pool_id",
+                      src: str = "src", target_id: str = "target_id", vec: str = "vec",
+                      max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> DataFrame:
+    """Mean cosine score of every pool row over the target set without the
+    pool x target table: one Arrow scan per target block emits per-row sums.
+
+    ``normalised`` first finds each target's min and max score in a scan that
+    emits one row per (batch, target), then scales the scores to [0, 1] inside
+    the second scan (a constant target scales to 0)."""
+    tm = targets if isinstance(targets, TargetMatrix) else target_matrix(
+        targets, target_id, vec, True, max_broadcast_bytes)
+    if len(tm.ids) == 0:
+        return pool.sparkSession.createDataFrame([], "src int, pool_id bigint, score double")
+    sc = pool.sparkSession.sparkContext
+    kw = dict(k=0, largest=True, normalise=True, vec_col=vec, src_col=src, id_col=pool_id, d=tm.d)
+    parts = []
+    for ids, mat in tm.blocks:
+        ids_bc, mat_bc = sc.broadcast(ids), sc.broadcast(mat)
+        if not normalised:
+            parts.append(_scan(pool, ids_bc, mat_bc, mode="mean", **kw))
+            continue
+        b = (_scan(pool, ids_bc, mat_bc, mode="bounds", **kw).groupBy("target_id")
+             .agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).collect())   # one row per target
+        by_id = {r["target_id"]: (r["lo"], r["hi"]) for r in b}
+        lo = np.array([by_id[i][0] for i in ids])
+        hi = np.array([by_id[i][1] for i in ids])
+        parts.append(_scan(pool, ids_bc, mat_bc, mode="normmean", bounds_bc=sc.broadcast((lo, hi)), **kw))
+    if len(parts) == 1:
+        return parts[0].select("src", "pool_id", "score")
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return (out.groupBy("src", "pool_id")
+            .agg((F.sum(F.col("score") * F.col("n_targets")) / F.sum("n_targets")).alias("score")))
+
+
 def cosine_scores_sql(pool: DataFrame, targets: DataFrame, *, pool_id: str = "pool_id", src: str = "src",
                       target_id: str = "target_id", vec: str = "vec",
                       max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> DataFrame:

@@ -3,8 +3,9 @@
 Fit: an exact seeded sample of ``fit`` rows (hash order; only the narrow
 ``(hash, id)`` pairs go through the global top-``fit``, the vectors are then
 semi-joined), two distributed passes (mean, then the centred Gram matrix per
-partition as one NumPy product per Arrow batch, summed with a map-side partial
-aggregate), and the eigendecomposition of the D x D covariance on the driver.
+partition as one NumPy product per Arrow batch, emitted in row blocks and
+summed in parallel per block over groups of partitions), and the
+eigendecomposition of the D x D covariance on the driver.
 Its size depends on D only, not on the number of rows.
 
 Apply: ``(x - mean) @ V_r.T / sqrt(lambda_r)`` per Arrow batch with the model
@@ -60,6 +61,11 @@ def covariance(vectors: DataFrame, vec: str = "vec"):
     d = len(mean)
     mean_bc = sc.broadcast(mean)
 
+    # rows of the Gram matrix travel in blocks of about a million values, so
+    # the reduction runs in parallel over blocks instead of on one task
+    rows_per_block = max(1, (1 << 20) // d)
+    n_blocks = (d + rows_per_block - 1) // rows_per_block
+
     def gram(batches):
         mu = mean_bc.value
         acc = np.zeros((d, d))
@@ -67,11 +73,18 @@ def covariance(vectors: DataFrame, vec: str = "vec"):
             if b.num_rows:
                 X = _matrix(b, "v") - mu
                 acc += X.T @ X
-        yield pa.RecordBatch.from_arrays([pa.array([acc.ravel()], type=pa.list_(pa.float64()))], names=["g"])
-
-    partial = vd.mapInArrow(gram, "g array<double>")
-    total = partial.agg(vector_to_array(Summarizer.sum(array_to_vector("g"))).alias("g")).first()["g"]
-    g = np.asarray(total, dtype=np.float64).reshape(d, d)
+        blocks = [acc[i * rows_per_block:(i + 1) * rows_per_block].ravel() for i in range(n_blocks)]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.arange(n_blocks, dtype=np.int32)), pa.array(blocks, type=pa.list_(pa.float64()))],
+            names=["block", "g"])
+
+    partial = vd.mapInArrow(gram, "block int, g array<double>")
+    # two-level sum: groups of 32 input partitions, then per block
+    level1 = (partial.groupBy("block", F.floor(F.spark_partition_id() / 32).alias("grp"))
+              .agg(Summarizer.sum(array_to_vector("g")).alias("g")))
+    total = (level1.groupBy("block").agg(vector_to_array(Summarizer.sum(F.col("g"))).alias("g"))
+             .orderBy("block").collect())      # d x d values in n_blocks rows: bounded by D, not by rows
+    g = np.concatenate([np.asarray(r["g"], dtype=np.float64) for r in total]).reshape(d, d)
     cov = g / (n - 1) if n > 1 else np.zeros((d, d))
     return mean, cov, n
 

@@ -155,22 +155,26 @@ def _mean_out(df):
 
 @register("select_mean_min", _mean_sql(MEAN_SQL, False, K_SELECT))
 def select_mean_min(spark, sf):
-    return _mean_out(S.select(scores(spark, sf), "mean_min", K_SELECT))
+    means = SIM.mean_scores_fused(FX.pool_vectors(spark, sf), FX.target_vectors(spark, sf), normalised=False)
+    return _mean_out(S.select_from_means(means, K_SELECT, largest=False))
 
 
 @register("select_mean_max", _mean_sql(MEAN_SQL, True, K_SELECT))
 def select_mean_max(spark, sf):
-    return _mean_out(S.select(scores(spark, sf), "mean_max", K_SELECT))
+    means = SIM.mean_scores_fused(FX.pool_vectors(spark, sf), FX.target_vectors(spark, sf), normalised=False)
+    return _mean_out(S.select_from_means(means, K_SELECT, largest=True))
 
 
 @register("select_norm_mean_min", _mean_sql(NORM_SQL, False, K_SELECT))
 def select_norm_mean_min(spark, sf):
-    return _mean_out(S.select(scores(spark, sf), "normalized_mean_min", K_SELECT))
+    means = SIM.mean_scores_fused(FX.pool_vectors(spark, sf), FX.target_vectors(spark, sf), normalised=True)
+    return _mean_out(S.select_from_means(means, K_SELECT, largest=False))
 
 
 @register("select_norm_mean_max", _mean_sql(NORM_SQL, True, K_SELECT))
 def select_norm_mean_max(spark, sf):
-    return _mean_out(S.select(scores(spark, sf), "normalized_mean_max", K_SELECT))
+    means = SIM.mean_scores_fused(FX.pool_vectors(spark, sf), FX.target_vectors(spark, sf), normalised=True)
+    return _mean_out(S.select_from_means(means, K_SELECT, largest=True))
 
 
 @register("agg_mean_score", MEAN_SQL + " SELECT pool_id, round(score, 6) + 0.0 AS mean_score FROM m")
@@ -181,6 +185,8 @@ def agg_mean_score(spark, sf):
 
 @register("agg_minmax_norm", NORM_SQL + " SELECT target_id, pool_id, round(score, 6) + 0.0 AS score FROM n")
 def agg_minmax_norm(spark, sf):
+    """Per-target min-max scaled scores (the long form; the selection queries
+    use the fused scan that never materialises it)."""
     return S.minmax_normalised(scores(spark, sf)).select("target_id", "pool_id", r6("score").alias("score"))
 
 

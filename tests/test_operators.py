@@ -209,3 +209,18 @@ def test_argmax_choice_first_best(spark):
     r = df.select(SC.argmax_choice("s").alias("c")).first()["c"]
     assert r["choice"] == "B"
     assert r["prob"] == pytest.approx(math.exp(3) / (math.exp(1) + 2 * math.exp(3) + 1))
+
+
+@pytest.mark.parametrize("normalised", [False, True])
+def test_fused_means_match_long_form(spark, normalised):
+    from sieve.operators import selection as S
+    pool = FX.pool_vectors(spark, SF)
+    targets = FX.target_vectors(spark, SF)
+    long = SIM.cosine_scores(pool, targets)
+    ref = S.mean_scores(S.minmax_normalised(long) if normalised else long)
+    for limit in (SIM.DEFAULT_MAX_BROADCAST_BYTES, 64 * 8 * 9):     # one block, several blocks
+        fused = SIM.mean_scores_fused(pool, targets, normalised=normalised, max_broadcast_bytes=limit)
+        a = {r["pool_id"]: r["score"] for r in fused.collect()}
+        b = {r["pool_id"]: r["score"] for r in ref.collect()}
+        assert a.keys() == b.keys()
+        assert max(abs(a[i] - b[i]) for i in a) < 1e-12
