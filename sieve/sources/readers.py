@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sieve.functions.text import strip
+
 MESSAGE = T.StructType([T.StructField("role", T.StringType()), T.StructField("content", T.StringType())])
 POOL_SCHEMA = T.StructType([
     T.StructField("id", T.StringType()), T.StructField("dataset", T.StringType()),
@@ -118,7 +120,7 @@ def drop_first_lines(text, n: int = 2):
 
 def read_cot_prompts(spark: SparkSession, path: str) -> DataFrame:
     """One prompt file per task, first two lines dropped."""
-    df = spark.read.option("wholetext", True).text(path)
+    df = spark.read.text(path, wholetext=True)
     task = F.regexp_extract(F.col("_metadata.file_name"), r"^([^.]+)", 1)
     return df.select(task.alias("task"), drop_first_lines(F.col("value")).alias("task_prompt"))
 
@@ -126,10 +128,11 @@ def read_cot_prompts(spark: SparkSession, path: str) -> DataFrame:
 def read_lines_by_file(spark: SparkSession, path: str) -> DataFrame:
     """One prompt per line; ``label`` and ``group`` from the file name
     ``<label>_<group>.txt``; escaped backslashes and newlines restored."""
-    df = with_row_position(spark.read.text(path))
-    name = F.regexp_extract(F.col("_metadata.file_name"), r"^([^.]+)", 1)
+    raw = spark.read.text(path)
+    df = with_row_position(raw.select("value", F.col("_metadata.file_name").alias("_file")))
+    name = F.regexp_extract(F.col("_file"), r"^([^.]+)", 1)
     parts = F.split(name, "_")
-    text = F.replace(F.replace(F.btrim(F.col("value")), F.lit("\\\\"), F.lit("\\")), F.lit("\\n"), F.lit("\n"))
+    text = F.replace(F.replace(strip(F.col("value")), F.lit("\\\\"), F.lit("\\")), F.lit("\\n"), F.lit("\n"))
     return df.select(F.get(parts, 0).alias("label"),
                      F.array_join(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), "_").alias("group"),
                      text.alias("text"), "row_pos")
@@ -169,7 +172,7 @@ def read_influence_json(spark: SparkSession, path: str, src: int = 0) -> DataFra
     (position = target) or a ``{target: {idx: score}}`` object. One document is
     one task (JSON documents cannot be split); use Parquet or JSON lines for
     large score sets."""
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     as_list = F.from_json("value", INFLUENCE_LIST)
     as_map = F.from_json("value", T.MapType(T.StringType(), T.MapType(T.StringType(), T.DoubleType())))
     parsed = raw.select(F.when(F.btrim("value").startswith("["), as_list).alias("l"),
@@ -187,7 +190,7 @@ def read_allow_ids(spark: SparkSession, path: str) -> DataFrame:
 
 def read_domain_weights(spark: SparkSession, path: str) -> DataFrame:
     """``{domain: weight}`` JSON object -> ``domain, weight``."""
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     m = raw.select(F.explode(F.from_json("value", T.MapType(T.StringType(), T.DoubleType()))).alias("domain", "weight"))
     return m
 
