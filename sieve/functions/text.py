@@ -16,6 +16,15 @@ ARTICLES = ("a", "an", "the")
 NUMBER_PATTERN = r"[-+]?\d*\.\d+|\d+"
 
 
+# character class of the punctuation above (every character escaped)
+PUNCTUATION_CLASS = "[" + "".join("\\" + ch for ch in PUNCTUATION) + "]"
+
+
+def drop_punctuation(c) -> Column:
+    """Remove ASCII punctuation (a regex class is faster than ``translate``)."""
+    return F.regexp_replace(col(c), PUNCTUATION_CLASS, "")
+
+
 def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -62,7 +71,7 @@ def norm_answer(c) -> Column:
     whitespace. Articles are removed by filtering whitespace tokens, which equals
     the usual word-boundary rule except next to non-ASCII punctuation."""
     lowered = F.lower(col(c))
-    no_punct = F.translate(lowered, PUNCTUATION, "")
+    no_punct = drop_punctuation(lowered)
     tokens = F.filter(F.split(F.btrim(no_punct, F.lit(WHITESPACE)), r"[ \t\n\r\x0b\x0c]+"),
                       lambda t: (t != "") & ~t.isin(*ARTICLES))
     return F.array_join(tokens, " ")

@@ -26,7 +26,7 @@ def em_normalise(c, ignore_case: bool = True, ignore_punctuation: bool = True) -
     if ignore_case:
         c = F.lower(c)
     if ignore_punctuation:
-        c = F.translate(c, HF_PUNCT, "")
+        c = T.drop_punctuation(c)
     return c
 
 
