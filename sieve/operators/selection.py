@@ -69,12 +69,15 @@ def first_picks(ranked: DataFrame) -> DataFrame:
 def order_first_picks(firsts: DataFrame, k: int) -> DataFrame:
     """Number first picks in (round, target) order and keep the first k.
 
-    The per-round counts are a table with one row per round (at most the
-    list depth), so the running sum over it is small; rows inside a round are
-    numbered per round (at most one row per target)."""
+    Every round that appears holds at least one first pick, so the first k
+    picks lie in the k smallest rounds: only those rounds are counted (a table
+    of at most k rows, so the running sum over it and its broadcast are bounded
+    by the selection size). Rows inside a round are numbered per round (at most
+    one row per target)."""
     per_round = firsts.groupBy("round").agg(F.count(F.lit(1)).alias("n_round"))
+    first_rounds = global_topk(per_round, [F.col("round").asc()], k)
     running = Window.orderBy("round").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    offsets = per_round.select("round", (F.sum("n_round").over(running) - F.col("n_round")).alias("before"))
+    offsets = first_rounds.select("round", (F.sum("n_round").over(running) - F.col("n_round")).alias("before"))
     inside = Window.partitionBy("round").orderBy("target_id")
     return (firsts.join(F.broadcast(offsets), "round")
             .withColumn("sel_rank", F.col("before") + F.row_number().over(inside))
