@@ -31,10 +31,17 @@ def l2_norm(v: Column) -> Column:
     return F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
 
 
+def per_element(v: Column, value: Column) -> Column:
+    """``value`` repeated once per element of ``v``. Pairing it with ``zip_with``
+    evaluates ``value`` once per row; referencing a row-level expression inside
+    a ``transform`` lambda would evaluate it again for every element."""
+    return F.array_repeat(value, F.size(v))
+
+
 def l2_normalise(v: Column) -> Column:
     """``x / max(||x||, 1e-12)``; a zero vector stays zero."""
     norm = F.greatest(l2_norm(v), F.lit(EPS))
-    return F.transform(v, lambda x: x.cast("double") / norm)
+    return F.zip_with(v, per_element(v, norm), lambda x, n: x.cast("double") / n)
 
 
 def rotate(v: Column, k: Column | int) -> Column:
@@ -50,7 +57,7 @@ def add(a: Column, b: Column) -> Column:
 
 def scale(v: Column, s: Column | float) -> Column:
     s = F.lit(s) if isinstance(s, (int, float)) else s
-    return F.transform(v, lambda x: x.cast("double") * s)
+    return F.zip_with(v, per_element(v, s), lambda x, f: x.cast("double") * f)
 
 
 def segment(v: Column, index: Column, parts: int) -> Column:

@@ -194,11 +194,11 @@ def rollup_map(df: DataFrame, prompt: str, completion: str, score: str, order: l
 
 
 def softmax(v) -> Column:
+    from sieve.functions.vectors import per_element
     v = T.col(v)
-    m = F.array_max(v)
-    e = F.transform(v, lambda x: F.exp(x - m))
+    e = F.zip_with(v, per_element(v, F.array_max(v)), lambda x, m: F.exp(x - m))
     s = F.aggregate(e, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(e, lambda x: x / s)
+    return F.zip_with(e, per_element(e, s), lambda x, t: x / t)
 
 
 def argmax_choice(scores, choices=("A", "B", "C", "D")) -> Column:

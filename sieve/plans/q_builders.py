@@ -247,7 +247,7 @@ def _dispatch_sql() -> str:
 @register("dispatch", _dispatch_sql())
 def dispatch(spark, sf):
     """Every selection method through the name dispatch."""
-    scores = QS.scores(spark, sf).cache()
+    scores = QS.scores(spark, sf)
     out = None
     for m in ("max", "min", "mean_min", "mean_max", "normalized_mean_min", "normalized_mean_max"):
         sel = S.select(scores, m, QS.K_SELECT).select(F.lit(m).alias("method"),
@@ -260,19 +260,25 @@ def dispatch(spark, sf):
 STOP_SEQ = ["of", "the"]
 
 
+SEP = "\u0001"
+
+
 def cut_at_stop_ids(tokens, stop, pad: str = "<pad>"):
     """Token form of the stop cut: from the first occurrence of the stop
-    sequence on, every token becomes ``pad``."""
-    toks = T.col(tokens)
-    n = len(stop)
-    stop_arr = F.array(*[F.lit(x) for x in stop])
+    sequence on, every token becomes ``pad``.
 
-    def matches_at(i):
-        return F.aggregate(F.sequence(F.lit(0), F.lit(n - 1)), F.lit(True),
-                           lambda acc, j: acc & (F.try_element_at(toks, i + j) == F.element_at(stop_arr, j + 1)))
-
-    first = F.array_min(F.filter(F.sequence(F.lit(1), F.greatest(F.size(toks) - n + 1, F.lit(1))), matches_at))
-    return F.transform(toks, lambda t, i: F.when(first.isNotNull() & (i + 1 >= first), F.lit(pad)).otherwise(t))
+    The tokens are joined with a control character (assumed absent from
+    tokens) and the stop sequence is found with one ``instr``; the number of
+    separators before the match is the index of its first token. Linear in the
+    length of the array."""
+    toks = T.col(tokens)
+    joined = F.concat(F.lit(SEP), F.array_join(F.transform(toks, lambda t: t.cast("string")), SEP), F.lit(SEP))
+    pos = F.instr(joined, SEP + SEP.join(str(x) for x in stop) + SEP)
+    before = F.substring(joined, F.lit(1), pos - 1)
+    first = F.when(pos > 0, F.length(before) - F.length(F.replace(before, F.lit(SEP), F.lit(""))))
+    # tokens before the match, then pads (no row-level expression inside a lambda)
+    kept = F.slice(toks, F.lit(1), F.coalesce(first, F.size(toks)))
+    return F.concat(kept, F.array_repeat(F.lit(pad), F.size(toks) - F.size(kept)))
 
 
 @register("cut_at_stop_ids", f"""
