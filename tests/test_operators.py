@@ -224,3 +224,25 @@ def test_fused_means_match_long_form(spark, normalised):
         b = {r["pool_id"]: r["score"] for r in ref.collect()}
         assert a.keys() == b.keys()
         assert max(abs(a[i] - b[i]) for i in a) < 1e-12
+
+
+def test_task_registry_scores_generations(spark):
+    from pyspark.sql import functions as F
+
+    from sieve.operators import scoring as SC
+    from sieve.plans import tasks as TK
+    sf = "/root/testdata/sf0.001"
+    p = TK.prompts(spark, "mbpp", sf)
+    assert p.columns == ["task_id", "prompt", "reference"] and p.count() > 0
+    ids = [r.task_id for r in p.select("task_id").orderBy("task_id").limit(2).collect()]
+    gens = spark.createDataFrame(
+        [(ids[0], 0, "  return 1\nassert f() == 1", True), (ids[0], 1, "  return 2\nprint(1)", False),
+         (ids[1], 0, "  return 3", True), (ids[1], 1, "  pass", True)],
+        "task_id long, completion_id int, generation string, passed boolean")
+    got = TK.run_task(spark, "mbpp", sf, gens).collect()
+    assert [(r.k, round(r.pass_at_k, 6)) for r in got] == [(1, 0.75)]
+    exp = SC.pass_at_k(gens, ks=(1, 10, 100)).collect()
+    assert [(r.k, r.pass_at_k) for r in got] == [(r.k, r.pass_at_k) for r in exp]
+    cleaned = TK.TASKS["mbpp"].postprocess(F.col("generation"), F.lit(""))
+    assert [r[0] for r in gens.orderBy("task_id", "completion_id").select(cleaned).collect()][:2] == \
+        ["  return 1", "  return 2"]
