@@ -113,7 +113,9 @@ def select_round_robin(scores: DataFrame, k: int, largest: bool = True, allow: D
     depth = k
     longest = None
     while True:
-        firsts = attempt(depth)
+        # at most targets x depth rows: written once to the checkpoint folder,
+        # so the count and the numbering below do not score the pool again
+        firsts = attempt(depth).checkpoint()
         if firsts.count() >= k:
             break
         if longest is None:
