@@ -61,17 +61,22 @@ def multiset_overlap(left: DataFrame, right: DataFrame, keys: list[str], right_k
             .groupBy(*keys, *right_keys).agg(F.sum(F.least("lc", "rc")).alias("common")))
 
 
-def _token_side(df: DataFrame, keys: list[str], text: str):
-    """Per key: token counts of the normalised text, and its token count, hash
-    and length (a plain projection, no shuffle)."""
+def _token_side(df: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """Per (key, token): the token's count in the normalised text, with the
+    text's token count, 64-bit hash and length riding along as per-key
+    constants. An empty text keeps one row with a null token and count 0, so
+    every key appears; each text is read and normalised once."""
     # normalise in its own projection so the generator below reuses the value
     normed = df.select(*keys, T.norm_answer(text).alias("_n"))
     n = F.col("_n")
     toks = F.when(n == "", F.array().cast("array<string>")).otherwise(F.split(n, " "))
-    counts = (normed.select(*keys, F.explode(toks).alias("tok"))
-              .groupBy(*keys, "tok").agg(F.count(F.lit(1)).alias("cnt")))
-    stats = normed.select(*keys, F.size(toks).alias("n_tok"), F.xxhash64(n).alias("_h"), F.length(n).alias("_len"))
-    return counts, stats
+    # the stats get their own projection below the generator: columns selected
+    # next to a generator are evaluated above it, once per emitted token
+    per_text = normed.select(*keys, toks.alias("_toks"), F.size(toks).alias("n_tok"), F.xxhash64(n).alias("_h"),
+                             F.length(n).alias("_len"))
+    return (per_text.select(*keys, "n_tok", "_h", "_len", F.explode_outer("_toks").alias("tok"))
+            .groupBy(*keys, "tok").agg(F.count("tok").alias("cnt"), F.first("n_tok").alias("n_tok"),
+                                       F.first("_h").alias("_h"), F.first("_len").alias("_len")))
 
 
 def squad_scores(references: DataFrame, predictions: DataFrame, id_col: str = "id",
@@ -81,23 +86,28 @@ def squad_scores(references: DataFrame, predictions: DataFrame, id_col: str = "i
     answers); references without a prediction score 0. Duplicate prediction
     ids keep the last one (by ``order_col``).
 
-    Exact match compares the normalised strings through their 64-bit hash and
-    length, together with equal token multisets."""
+    One join of the two token tables on (id, token) gives, per (id, answer),
+    the shared token count and both texts' stats. Pairs with no shared token
+    do not appear and score 0 everywhere, which is their exact score unless
+    both texts are empty; the null tokens of empty texts meet through the
+    null-safe join key, so that case appears too. Exact match compares the
+    normalised strings through their 64-bit hash and length, together with
+    equal token multisets."""
     if order_col:
         predictions = predictions.groupBy(id_col).agg(
             F.max_by(prediction, order_col).alias(prediction))
     preds = predictions.select(id_col, prediction)
     gold = references.select(id_col, F.posexplode(answers).alias("ans_idx", "gold"))
-    p_counts, p_stats = _token_side(preds, [id_col], prediction)
-    g_counts, g_stats = _token_side(gold, [id_col, "ans_idx"], "gold")
-    common = (p_counts.withColumnRenamed("cnt", "lc").join(g_counts.withColumnRenamed("cnt", "rc"), [id_col, "tok"])
-              .groupBy(id_col, "ans_idx").agg(F.sum(F.least("lc", "rc")).alias("common")))
-    per_answer = (g_stats.select(id_col, "ans_idx", F.col("n_tok").alias("n_gold"), F.col("_h").alias("hg"),
-                                 F.col("_len").alias("lg"))
-                  .join(p_stats.select(id_col, F.col("n_tok").alias("n_pred"), F.col("_h").alias("hp"),
-                                       F.col("_len").alias("lp")), id_col)
-                  .join(common, [id_col, "ans_idx"], "left")
-                  .withColumn("common", F.coalesce("common", F.lit(0))))
+    pc = _token_side(preds, [id_col], prediction).select(
+        F.col(id_col).alias("_pid"), F.col("tok").alias("_ptok"), F.col("cnt").alias("lc"),
+        F.col("n_tok").alias("n_pred"), F.col("_h").alias("hp"), F.col("_len").alias("lp"))
+    gc = _token_side(gold, [id_col, "ans_idx"], "gold").select(
+        id_col, "ans_idx", "tok", F.col("cnt").alias("rc"), F.col("n_tok").alias("n_gold"),
+        F.col("_h").alias("hg"), F.col("_len").alias("lg"))
+    joined = gc.join(pc, (gc[id_col] == pc["_pid"]) & gc["tok"].eqNullSafe(pc["_ptok"]))
+    per_answer = joined.groupBy(id_col, "ans_idx").agg(
+        F.sum(F.least("lc", "rc")).alias("common"),
+        *[F.first(c).alias(c) for c in ("n_pred", "hp", "lp", "n_gold", "hg", "lg")])
     em = ((F.col("hg") == F.col("hp")) & (F.col("lg") == F.col("lp")) & (F.col("n_gold") == F.col("n_pred")) &
           ((F.col("common") == F.col("n_pred")) | (F.col("n_pred") == 0))).cast("double")
     p = F.try_divide(F.col("common").cast("double"), F.col("n_pred"))
