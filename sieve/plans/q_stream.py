@@ -29,3 +29,22 @@ def stream_topk_per_target(spark, sf):
     q.awaitTermination()
     top = ST.topk_from_candidates(spark, f"{base}/out", K_TOPK)
     return top.select("target_id", F.col("rank").cast("long").alias("rank"), "pool_id", r6("score").alias("score"))
+
+
+@register("stream_topk_state", f"""
+WITH {SQL_VECTORS},
+r AS (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY score DESC, pool_id) AS rank FROM scores)
+SELECT target_id, rank, pool_id, round(score, 6) + 0.0 AS score FROM r WHERE rank <= {K_TOPK}""")
+def stream_topk_state(spark, sf):
+    """The pool streamed file by file; the running exact top-k per target is
+    kept in the state store (bounded: k rows per target) and republished after
+    every micro-batch."""
+    base = scratch(spark, "stream-state")
+    pool = FX.pool_vectors(spark, sf).select("src", "pool_id", "vec", "label")
+    pool.repartition(4, "label").drop("label").write.parquet(f"{base}/in")
+    tm = SIM.target_matrix(FX.target_vectors(spark, sf))
+    q = ST.start_running_topk(spark, f"{base}/in", tm, f"{base}/out", f"{base}/chk", K_TOPK, trigger_once=True,
+                              max_files_per_trigger=1)
+    q.awaitTermination()
+    top = ST.current_topk(spark, f"{base}/out")
+    return top.select("target_id", F.col("rank").cast("long").alias("rank"), "pool_id", r6("score").alias("score"))

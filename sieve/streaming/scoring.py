@@ -13,8 +13,11 @@ shared checkpoint directory, so a restarted query resumes where it stopped.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from sieve.operators import similarity as SIM
 
@@ -50,3 +53,96 @@ def topk_from_candidates(spark: SparkSession, out: str, k: int, largest: bool =
     """Exact per-target top-k over everything the stream has scored so far."""
     cand = spark.read.parquet(out).select("target_id", "src", "pool_id", "score")
     return SIM.topk_per_target(cand, k, largest=largest)
+
+
+# --------------------------------------------------------------------------
+# stateful variant: the running top-k per target lives in the state store
+# --------------------------------------------------------------------------
+
+TOPK_STATE_SCHEMA = "src array<int>, pool_id array<bigint>, score array<double>"
+TOPK_OUT_SCHEMA = "target_id bigint, rank int, src int, pool_id bigint, score double"
+
+
+def _best_k(frame: pd.DataFrame, k: int, largest: bool) -> pd.DataFrame:
+    """First k rows by score (ties by src, pool_id), one row per pool row."""
+    frame = frame.drop_duplicates(["src", "pool_id"])
+    key = -frame["score"].to_numpy() if largest else frame["score"].to_numpy()
+    order = np.lexsort((frame["pool_id"].to_numpy(), frame["src"].to_numpy(), key))
+    return frame.iloc[order[:k]]
+
+
+def running_topk(cand: DataFrame, k: int, largest: bool = True) -> DataFrame:
+    """Exact per-target top-k over everything seen so far, kept as state.
+
+    The state of a target is its current k best rows, so it stays bounded
+    however long the stream runs. Each micro-batch's candidates of a target
+    arrive in chunks and are folded into the running k one chunk at a time, so
+    a hot target never holds more than a chunk plus k rows. Emits the new top-k
+    of every target the batch touched (update mode)."""
+    def merge(key, chunks, state):
+        best = pd.DataFrame({"src": pd.Series(dtype="int32"), "pool_id": pd.Series(dtype="int64"),
+                             "score": pd.Series(dtype="float64")})
+        if state.exists:
+            s_src, s_pid, s_score = state.get
+            best = pd.DataFrame({"src": np.asarray(s_src, dtype=np.int32), "pool_id": np.asarray(s_pid, dtype=np.int64),
+                                 "score": np.asarray(s_score, dtype=np.float64)})
+        for chunk in chunks:
+            best = _best_k(pd.concat([best, chunk[["src", "pool_id", "score"]]], ignore_index=True), k, largest)
+        state.update((best["src"].tolist(), best["pool_id"].tolist(), best["score"].tolist()))
+        yield pd.DataFrame({"target_id": np.full(len(best), key[0], dtype=np.int64),
+                            "rank": np.arange(1, len(best) + 1, dtype=np.int32),
+                            "src": best["src"].to_numpy(), "pool_id": best["pool_id"].to_numpy(),
+                            "score": best["score"].to_numpy()})
+
+    return (cand.select("target_id", "src", "pool_id", "score").groupBy("target_id")
+            .applyInPandasWithState(merge, TOPK_OUT_SCHEMA, TOPK_STATE_SCHEMA, "update", GroupStateTimeout.NoTimeout))
+
+
+def _versions(spark: SparkSession, out: str) -> list[int]:
+    """Batch ids of the complete versions of the current top-k table."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(out)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return []
+    return sorted(int(st.getPath().getName()[2:]) for st in fs.listStatus(path)
+                  if st.getPath().getName().startswith("v=")
+                  and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")))
+
+
+def start_running_topk(spark: SparkSession, source: str, targets: SIM.TargetMatrix, out: str, checkpoint: str,
+                       k: int, largest: bool = True, trigger_once: bool = False, **reader_opts):
+    """Stream ``source`` files through the scorer and the stateful top-k.
+
+    After every micro-batch the updated targets replace their rows in the
+    current table (at most targets x k rows), written as a new version folder
+    ``v=<batch id>``; a replayed batch rewrites the same folder, so the sink is
+    idempotent. Readers take the newest complete version."""
+    top = running_topk(score_stream(pool_stream(spark, source, **reader_opts), targets, k, largest), k, largest)
+
+    def publish(batch: DataFrame, batch_id: int):
+        session = batch.sparkSession
+        # the base is the newest version before this batch, so a replayed batch
+        # rebuilds the same table
+        earlier = [v for v in _versions(session, out) if v < batch_id]
+        updates = batch.persist()           # at most targets x k rows
+        cur = updates
+        if earlier:
+            old = session.read.parquet(f"{out}/v={earlier[-1]}")
+            cur = old.join(updates.select("target_id").distinct(), "target_id", "left_anti").unionByName(updates)
+        cur.write.mode("overwrite").parquet(f"{out}/v={batch_id}")
+        updates.unpersist()
+
+    writer = (top.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint)
+              .outputMode("update"))
+    if trigger_once:
+        writer = writer.trigger(availableNow=True)
+    return writer.start()
+
+
+def current_topk(spark: SparkSession, out: str) -> DataFrame:
+    """The current exact per-target top-k published by :func:`start_running_topk`."""
+    done = _versions(spark, out)
+    if not done:
+        return spark.createDataFrame([], TOPK_OUT_SCHEMA)
+    return spark.read.parquet(f"{out}/v={done[-1]}")
