@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieve.llm import licenses, mixing, permutation, quality, simhash, toxicity
+from sieve.llm import licenses, mixing, permutation, quality, quotes, simhash, tokens, toxicity
 from sieve.llm.common import crc_mod, read
 
 
+TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
+
+
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = crc_mod(F.col("doc_id"), 5) == 0
     scored = quality.classify(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "labels"), "quality", ~held, 0.3)
@@ -21,10 +24,18 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "score", "predicted", "lang_threshold", "flagged")
 
 
+def op3_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.reply_ordered(read(spark, sf_dir, "conversations"))
+
+
 def op4_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return permutation.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
+def op5_trie_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_counts(read(spark, sf_dir, "documents"), tokens.load_vocabulary(TOKENIZER))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"), shingle=3, most=3)
 
@@ -38,5 +49,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_toxicity, op4_permutation_index, op6_simhash, op7_licenses, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_toxicity, op3_quotes, op4_permutation_index, op5_trie_tokens, op6_simhash, op7_licenses, op10_mixing)}
 ORACLE_SQL: dict[str, str] = {}
