@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieve.llm import licenses, mixing, permutation, quality, quotes, secrets, simhash, tokens, toxicity
+from sieve.llm import decontaminate, licenses, mixing, permutation, quality, quotes, secrets, simhash, tokens, toxicity
 from sieve.llm.common import crc_mod, read
 
 
@@ -45,6 +45,10 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(read(spark, sf_dir, "documents"))
 
@@ -53,5 +57,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_toxicity, op3_quotes, op4_permutation_index, op5_trie_tokens, op6_simhash, op7_licenses, op9_secrets, op10_mixing)}
+QUERIES = {f.__name__: f for f in (
+    op1_quality, op2_toxicity, op3_quotes, op4_permutation_index, op5_trie_tokens,
+    op6_simhash, op7_licenses, op8_decontaminate, op9_secrets, op10_mixing)}
 ORACLE_SQL = {"op9_secrets": secrets.ORACLE_SQL}

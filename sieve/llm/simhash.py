@@ -18,7 +18,6 @@ from itertools import repeat
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
@@ -152,23 +151,40 @@ def components(edges: DataFrame) -> DataFrame:
         before = state
 
 
+def _grouped(docs: DataFrame, shingle: int, most: int, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Rows (k, h: hash of the text, fp), and (fp, root: one fingerprint of its
+    component) of all distinct fingerprints."""
+    ensure_checkpoint_dir(docs.sparkSession)
+    rows = docs.select(F.col(key).alias("k"), F.xxhash64(F.col(text)).alias("h"), fingerprints(docs, shingle, text).alias("fp")).checkpoint()
+    distinct = rows.select("fp").distinct()
+    roots = components(linked(distinct, most)).withColumnRenamed("node", "fp")
+    return rows, distinct.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")).checkpoint()
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3, most: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Every row's ``key`` with ``fingerprint`` (16 hex digits) and
     ``component_id``, the smallest key of all rows reachable over links of at
     most ``most`` differing bits.
 
-    Null and empty texts have fingerprint zero and link like any other; rows
-    with a null key are labelled but never name a component unless it has no
-    other key; repeated rows come out as often as they went in; an empty table
-    gives an empty table; columns besides key and text are not read.
+    Null and empty texts have fingerprint zero and link like any other; null
+    keys name no component, unless it has no other key and its id is null;
+    repeated rows come out as often as they went in; an empty table gives an
+    empty table; columns besides key and text are not read.
     """
-    spark = docs.sparkSession
-    ensure_checkpoint_dir(spark)
-    rows = docs.select(F.col(key), fingerprints(docs, shingle, text).alias("fp")).checkpoint()
-    groups = rows.groupBy("fp").agg(F.min(key).alias("least")).persist(StorageLevel.DISK_ONLY)
-    roots = components(linked(groups.select("fp"), most))
-    placed = (groups.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
-              .select("fp", "least", F.coalesce("root", "fp").alias("root")))
-    named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    label = placed.join(named, "root").select("fp", "component_id")
-    return rows.join(label, "fp").select(F.col(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    rows, roots = _grouped(docs, shingle, most, key, text)
+    least = rows.groupBy("fp").agg(F.min("k").alias("least")).join(roots, "fp")
+    named = least.groupBy("root").agg(F.min("least").alias("component_id"))
+    label = least.join(named, "root").select("fp", "component_id")
+    return rows.join(label, "fp").select(F.col("k").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, shingle: int = 3, most: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each component, all columns as they are: that of the smallest
+    key (null last), of equal keys the smallest hash of the text, of repeated
+    rows any one."""
+    rows, roots = _grouped(docs, shingle, most, key, text)
+    first = F.min(F.struct(F.col("k").isNull().alias("none"), "k", "h"))
+    chosen = (rows.groupBy("fp").agg(first.alias("first")).join(roots, "fp").groupBy("root").agg(F.min("first").alias("first"))
+              .select(F.coalesce(F.col("first.k").cast("string"), F.lit("")).alias("__k"), F.col("first.none").alias("__n"), F.col("first.h").alias("__h")).distinct())
+    named = docs.withColumns({"__k": F.coalesce(F.col(key).cast("string"), F.lit("")), "__n": F.col(key).isNull(), "__h": F.xxhash64(F.col(text))})
+    return named.join(chosen, ["__k", "__n", "__h"], "left_semi").dropDuplicates(["__k", "__n", "__h"]).select(*docs.columns)
