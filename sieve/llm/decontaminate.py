@@ -36,17 +36,39 @@ def words(text: Column) -> Column:
 
 
 def shingles(own: Column, k: int) -> Column:
-    """Hashes of all runs of k words, in order; none if there are fewer words."""
+    """Hashes of all runs of k words, in order; none if there are fewer words.
+    ``own`` must be a plain column: an expression would run once a word."""
     at = F.when(F.size(own) >= k, F.sequence(F.lit(0), F.size(own) - k)).otherwise(F.array().cast("array<int>"))
     return F.transform(at, lambda p: F.xxhash64(*[F.get(own, p + j) for j in range(k)]))
 
 
-def fingerprint(hashes: Column) -> Column:
-    """64-bit SimHash: a bit is 1 if it is set in over half of the hashes."""
-    def bit(b: Column) -> Column:
-        ones = F.aggregate(hashes, F.lit(0).cast("long"), lambda a, h: a + F.call_function("shiftrightunsigned", h, b).bitwiseAND(F.lit(1).cast("long")))
-        return F.when(2 * ones > F.size(hashes), F.call_function("shiftleft", F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long"))
-    return F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(63)), bit), F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
+def fingerprint(hashes: Column, most: int) -> Column:
+    """64-bit SimHash of up to ``most`` hashes: a bit is 1 if it is set in over
+    half of them. Bits are counted in lanes of a long, wide enough for ``most``:
+    the sums of (h >>> i) & 0..010..01 hold the counts of every lane's bit i, and
+    adding the rest up to a lane's top bit marks those over half."""
+    lane = 8
+    while most >= 1 << (lane - 1):
+        lane *= 2
+    if lane > 32:
+        raise ValueError("too many hashes for one fingerprint")
+
+    def long(value: int) -> Column:
+        return F.lit(value - (1 << 64) if value >> 63 else value).cast("long")
+
+    def add(i: int):
+        return lambda counts, h: counts + F.shiftrightunsigned(h, i).bitwiseAND(long(ones))
+
+    ones = sum(1 << j for j in range(0, 64, lane))
+    half, top = F.floor(F.size(hashes) / 2), 64 - lane          # the top lane is compared by itself, so that no sum leaves a long
+    rest = ((1 << (lane - 1)) - 1 - half) * long(ones & ((1 << top) - 1))
+    out = F.lit(0).cast("long")
+    for i in range(lane):
+        counts = F.aggregate(hashes, F.lit(0).cast("long"), add(i))
+        marked = (counts.bitwiseAND(long((1 << top) - 1)) + rest).bitwiseAND(long(ones << (lane - 1) & ((1 << top) - 1)))
+        out = out.bitwiseOR(F.shiftrightunsigned(marked, lane - 1 - i))
+        out = out.bitwiseOR(F.when(F.shiftrightunsigned(counts, top) > half, long(1 << (top + i))).otherwise(long(0)))
+    return out
 
 
 def _blocks(fp: Column) -> Column:
@@ -55,19 +77,13 @@ def _blocks(fp: Column) -> Column:
         b.alias("block"), F.call_function("shiftrightunsigned", fp, b * BLOCK_BITS).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1).cast("long")).cast("int").alias("value")))
 
 
-def _numbered(hashes: Column) -> Column:
-    """The multiset as a set: each hash joined with how many equal ones precede
-    it in sorted order."""
-    ordered = F.array_sort(hashes)
+def _numbered(ordered: Column) -> Column:
+    """The sorted multiset as a set: each hash joined with how many equal ones
+    precede it. Two of them have as many members in common, and together, as the
+    multisets have by smaller and by larger count."""
     return F.transform(ordered, lambda h, i: F.xxhash64(h, i - F.array_position(ordered, h)))
 
 
-def similarity(a: Column, b: Column) -> Column:
-    """Weighted Jaccard similarity of two arrays of shingle hashes."""
-    x, y = _numbered(a), _numbered(b)
-    return F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))
-
-
 def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
@@ -105,8 +121,11 @@ def find_leaks(docs: DataFrame, items: DataFrame, least: float = SIMILARITY, key
 
 
 def _find(docs: DataFrame, benchmark: DataFrame, k: int, least: float, key: str, text: str) -> DataFrame:
-    listed = (benchmark.select("item_id", shingles(F.col("w"), k).alias("hashes")).withColumn("m", F.size("hashes"))
-              .withColumn("item", F.struct("item_id", F.xxhash64("hashes").alias("of"))).withColumn("fp", fingerprint(F.col("hashes"))).checkpoint())
+    spark = docs.sparkSession
+    most = benchmark.agg(F.max(F.size("w"))).first()[0] or 1
+    listed = (benchmark.select("item_id", shingles(F.col("w"), k).alias("hashes")).withColumn("ordered", F.array_sort("hashes"))
+              .select(F.struct("item_id", F.xxhash64("hashes").alias("of")).alias("item"), F.size("hashes").alias("m"), "hashes", _numbered(F.col("ordered")).alias("set"))
+              .withColumn("fp", fingerprint(F.col("hashes"), most)).checkpoint())
     marks = listed.select("item", "m", F.explode(F.array_distinct("hashes")).alias("shingle")).checkpoint()
     keyed = _key(docs, key, text)
     # Places of item shingles in documents.
@@ -121,19 +140,21 @@ def _find(docs: DataFrame, benchmark: DataFrame, k: int, least: float, key: str,
     # Windows of one length at one place are one window, whatever item led there.
     places = (hits.where(F.size("starts") > 0).select("k", "h", "m", F.explode("starts").alias("start")).distinct()
               .groupBy("k", "h").agg(F.collect_list(F.struct("m", "start")).alias("places")).checkpoint())
-    texts = keyed.join(_small(places.select(F.col("k").alias("pk"), F.col("h").alias("ph"), "places"), places.count()),
-                       F.col("k").eqNullSafe(F.col("pk")) & (F.col("h") == F.col("ph"))).select("k", "h", "t", "places").dropDuplicates(["k", "h"])
-    cut = texts.select("k", "h", "places", shingles(words(F.col("t")), k).alias("all"))
+    # Few bytes but much arithmetic: the number of partitions is stated, or they would be joined into one.
+    texts = (keyed.join(_small(places.select(F.col("k").alias("pk"), F.col("h").alias("ph"), "places"), places.count()),
+                        F.col("k").eqNullSafe(F.col("pk")) & (F.col("h") == F.col("ph"))).select("k", "h", "t", "places")
+             .repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "k", "h").dropDuplicates(["k", "h"]))
+    cut = texts.select("k", "h", "places", words(F.col("t")).alias("w")).select("k", "h", "places", shingles(F.col("w"), k).alias("all"))
     window = F.transform("places", lambda p: F.struct(
         p["m"].alias("m"), F.greatest(F.least(p["start"], F.size("all") - p["m"]), F.lit(0)).alias("start")))
     windows = (cut.select("k", "h", "all", F.explode(F.array_distinct(window)).alias("p"))
                .select("k", "h", "p.m", "p.start", F.slice("all", F.col("p.start") + 1, F.col("p.m")).alias("part"))
-               .withColumn("fp", fingerprint(F.col("part"))))
+               .withColumn("fp", fingerprint(F.col("part"), most)).checkpoint())
     # The items' blocks under all near values, and the windows' blocks.
     flips = [0, *(sum(1 << b for b in bits) for n in range(1, NEAR + 1) for bits in combinations(range(BLOCK_BITS), n))]
-    index = (listed.select("item", "m", "hashes", F.col("fp").alias("item_fp"), F.explode(_blocks(F.col("fp"))).alias("b"))
-             .select("item", "m", "hashes", "item_fp", "b.block", "b.value", F.explode(F.array(*map(F.lit, flips))).alias("flip"))
-             .withColumn("value", F.col("value").bitwiseXOR(F.col("flip"))).drop("flip", "hashes"))
+    index = (listed.select("item", "m", F.col("fp").alias("item_fp"), F.explode(_blocks(F.col("fp"))).alias("b"))
+             .select("item", "m", "item_fp", "b.block", "b.value", F.explode(F.array(*map(F.lit, flips))).alias("flip"))
+             .withColumn("value", F.col("value").bitwiseXOR(F.col("flip"))).drop("flip"))
     asked = windows.select("k", "h", "m", "start", "fp", F.explode(_blocks(F.col("fp"))).alias("b")).select("k", "h", "m", "start", "fp", "b.block", "b.value")
     n_index = len(flips) * BLOCKS * listed.count()
     hamming = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))
@@ -143,8 +164,10 @@ def _find(docs: DataFrame, benchmark: DataFrame, k: int, least: float, key: str,
     pairs = near.groupBy("k", "h", "m", "start").agg(F.collect_list(F.struct("item", "hamming")).alias("items"))
     x, y = windows.select("k", "h", "m", "start", "part").alias("x"), pairs.alias("y")
     same = F.col("x.k").eqNullSafe(F.col("y.k")) & (F.col("x.h") == F.col("y.h")) & (F.col("x.m") == F.col("y.m")) & (F.col("x.start") == F.col("y.start"))
-    checked = x.join(y, same).select("x.k", "x.h", "x.m", "x.start", "x.part", F.explode("y.items").alias("i")).select("k", "h", "m", "start", "part", "i.item", "i.hamming")
-    checked = checked.join(_small(listed.select("item", "hashes"), listed.count()), "item").withColumn("similarity", similarity(F.col("part"), F.col("hashes")))
+    checked = (x.join(y, same).select("x.k", "x.h", "x.m", "x.start", "x.part", F.array_sort("x.part").alias("ordered"), "y.items")
+               .select("k", "h", "m", "start", "part", _numbered(F.col("ordered")).alias("own"), F.explode("items").alias("i")))
+    checked = (checked.select("k", "h", "start", "part", "own", "i.item", "i.hamming").join(_small(listed.select("item", "set"), listed.count()), "item")
+               .withColumn("similarity", F.size(F.array_intersect("own", "set")) / F.size(F.array_union("own", "set"))))
     return (checked.where(F.col("similarity") >= least)
             .select("k", "h", F.col("item.item_id").alias("item_id"), F.col("start").alias("start_word"), (F.size("part") + k - 1).alias("n_words"), F.col("hamming").cast("int").alias("hamming"), "similarity"))
 
