@@ -84,7 +84,8 @@ def squad_scores(references: DataFrame, predictions: DataFrame, id_col: str = "i
                  order_col: str | None = None) -> DataFrame:
     """Per-reference EM / F1 / precision / recall (each the max over the gold
     answers); references without a prediction score 0. Duplicate prediction
-    ids keep the last one (by ``order_col``).
+    ids keep the last one by ``order_col``; without it they are an error.
+    Predictions of other ids are dropped before any text is read.
 
     One join of the two token tables on (id, token) gives, per (id, answer),
     the shared token count and both texts' stats. Pairs with no shared token
@@ -93,10 +94,13 @@ def squad_scores(references: DataFrame, predictions: DataFrame, id_col: str = "i
     null-safe join key, so that case appears too. Exact match compares the
     normalised strings through their 64-bit hash and length, together with
     equal token multisets."""
+    predictions = predictions.join(references.select(id_col).distinct(), id_col, "left_semi")
     if order_col:
-        predictions = predictions.groupBy(id_col).agg(
-            F.max_by(prediction, order_col).alias(prediction))
-    preds = predictions.select(id_col, prediction)
+        preds = predictions.groupBy(id_col).agg(F.max_by(prediction, order_col).alias(prediction))
+    else:
+        twice = F.raise_error(F.concat(F.lit("several predictions for "), F.col(id_col).cast("string"))).cast("string")
+        preds = predictions.groupBy(id_col).agg(F.first(prediction).alias(prediction), F.count(F.lit(1)).alias("_n"))
+        preds = preds.select(id_col, F.when(F.col("_n") > 1, twice).otherwise(F.col(prediction)).alias(prediction))
     gold = references.select(id_col, F.posexplode(answers).alias("ans_idx", "gold"))
     pc = _token_side(preds, [id_col], prediction).select(
         F.col(id_col).alias("_pid"), F.col("tok").alias("_ptok"), F.col("cnt").alias("lc"),
@@ -179,12 +183,12 @@ def accuracy_rollup(rows: DataFrame, correct: str = "correct", subject: str = "s
     g = rows.groupingSets([[subject], [subcategory], [category], []], subject, subcategory, category)
     agg = g.agg(F.count(F.lit(1)).alias("n"), F.avg(F.col(correct).cast("double")).alias("accuracy"),
                 F.grouping_id().alias("_gid"))
-    level = (F.when(F.col(subject).isNotNull() & (F.col("_gid") == 3), F.lit("subject"))
-             .when(F.col("_gid") == 5, F.lit("subcategory"))
-             .when(F.col("_gid") == 6, F.lit("category"))
-             .otherwise(F.lit("overall")))
-    name = F.coalesce(F.col(subject), F.col(subcategory), F.col(category), F.lit("all"))
-    return agg.select(level.alias("level"), name.alias("name"), "n", "accuracy")
+    # the level follows from the grouping id alone; rows without a subject (subcategory, category) count
+    # in the other levels and get no row of that one
+    gid = F.col("_gid")
+    level = F.when(gid == 3, "subject").when(gid == 5, "subcategory").when(gid == 6, "category").otherwise("overall")
+    name = F.when(gid == 3, F.col(subject)).when(gid == 5, F.col(subcategory)).when(gid == 6, F.col(category)).otherwise("all")
+    return agg.select(level.alias("level"), name.alias("name"), "n", "accuracy").where(F.col("name").isNotNull())
 
 
 # --------------------------------------------------------------------------

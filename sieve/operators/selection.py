@@ -51,7 +51,7 @@ def _restrict(df: DataFrame, allow: DataFrame | None) -> DataFrame:
 
 def drop_invalid_ids(scores: DataFrame) -> DataFrame:
     """Malformed entries carry pool index -1; drop them (``-1`` and ``"-1"``)."""
-    return scores.filter(F.col("pool_id").cast("string") != F.lit("-1"))
+    return scores.filter(F.col("pool_id") != -1)
 
 
 # --------------------------------------------------------------------------
@@ -86,7 +86,7 @@ def order_first_picks(firsts: DataFrame, k: int) -> DataFrame:
 
 
 def select_round_robin(scores: DataFrame, k: int, largest: bool = True, allow: DataFrame | None = None,
-                       salt_buckets: int = 16, max_depth: int | None = None) -> DataFrame:
+                       salt_buckets: int = 16) -> DataFrame:
     """Round-robin selection (``max``: best first; ``min``: smallest first).
 
     ``max`` cuts every list at K before the turns start, as the reference does,
@@ -120,7 +120,7 @@ def select_round_robin(scores: DataFrame, k: int, largest: bool = True, allow: D
             break
         if longest is None:
             longest = scores.groupBy("target_id").count().agg(F.max("count")).first()[0] or 0
-        if depth >= longest or (max_depth and depth >= max_depth):
+        if depth >= longest:
             break
         depth = min(depth * 4, longest)
     return order_first_picks(firsts, k)
@@ -309,15 +309,13 @@ def select_round_robin_quota(scores: DataFrame, domains: DataFrame, weights: Dat
         out = (cand.withColumn("_one", F.lit(1)).groupBy("_one")
                .applyInPandas(lambda pdf: _greedy_quota(pdf, k, qmap), QUOTA_SCHEMA)).checkpoint()
         flags = out.select("exact").distinct().collect()
-        if all(r["exact"] for r in flags) or factor > 1 << 20:
+        if all(r["exact"] for r in flags):
             return out.drop("exact")
+        if factor > 1 << 20:
+            raise RuntimeError("quota lists are still too short to be exact")
         factor *= 4
 
 
-def quota_bound(k: int, n_domains: int) -> int:
-    return k + n_domains if k > 0 else 0
-
-
 __all__ = [
     "METHODS", "select", "select_round_robin", "select_mean", "mean_scores", "minmax_normalised",
     "first_picks", "order_first_picks", "drop_invalid_ids", "domain_quotas", "fold_domain",

@@ -109,15 +109,14 @@ def _batch_matrix(batch: pa.RecordBatch, vec_col: str, d: int) -> np.ndarray:
 def _local_topk(S: np.ndarray, src: np.ndarray, pid: np.ndarray, k: int, largest: bool):
     """Best k rows per column of S, ties by (src, pool_id); returns (row, col)."""
     n, nt = S.shape
-    key = -S if largest else S
+    valid = ~np.isnan(S)               # NaN scores take no part in any ranking
+    key = np.where(valid, -S if largest else S, np.inf)
     if n <= k:
-        rows = np.repeat(np.arange(n), nt)
-        cols = np.tile(np.arange(nt), n)
-        return rows, cols
+        return np.nonzero(valid)
     thr = np.partition(key, k - 1, axis=0)[k - 1]
     rows_out, cols_out = [], []
     for j in range(nt):
-        cand = np.nonzero(key[:, j] <= thr[j])[0]
+        cand = np.nonzero((key[:, j] <= thr[j]) & valid[:, j])[0]
         if len(cand) > k:
             order = np.lexsort((pid[cand], src[cand], key[cand, j]))
             cand = cand[order[:k]]
@@ -204,7 +203,8 @@ def cosine_scores(pool: DataFrame, targets, *, mode: str = "pairs", k: int = 0,
         schema = SCORE_SCHEMA if mode != "mean" else "src int, pool_id bigint, score double, n_targets bigint"
         return pool.sparkSession.createDataFrame([], schema)
     if mode == "mean" and len(tm.blocks) > 1:
-        raise TooLargeToBroadcast("mean over a target set that needs several blocks: use pairs + mean_scores")
+        n = len(tm.ids)
+        return mean_scores_fused(pool, tm, pool_id=pool_id, src=src, vec=vec).withColumn("n_targets", F.lit(n).cast("long"))
     sc = pool.sparkSession.sparkContext
     parts = [_scan(pool, sc.broadcast(ids), sc.broadcast(mat), mode=mode, k=k, largest=largest,
                    normalise=normalise, vec_col=vec, src_col=src, id_col=pool_id, d=tm.d)
@@ -262,7 +262,9 @@ def cosine_scores_sql(pool: DataFrame, targets: DataFrame, *, pool_id: str = "po
     t = targets.select(F.col(target_id).cast("long").alias("target_id"), V.l2_normalise(F.col(vec)).alias("tv"))
     stats = targets.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec)).alias("d")).first()
     small = int(stats["n"]) * int(stats["d"] or 0) * 8 <= max_broadcast_bytes
-    joined = p.crossJoin(F.broadcast(t) if small else t)
+    if not small:   # target blocks one after the other instead of a product of two large sides
+        return cosine_scores(pool, targets, mode="pairs", pool_id=pool_id, src=src, target_id=target_id, vec=vec, max_broadcast_bytes=max_broadcast_bytes)
+    joined = p.crossJoin(F.broadcast(t))
     return joined.select("target_id", "src", "pool_id", V.dot(F.col("pv"), F.col("tv")).alias("score"))
 
 

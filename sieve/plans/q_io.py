@@ -70,15 +70,17 @@ def src_file_target(spark, sf):
 
 
 @register("src_csv_by_subject", f"""WITH {q_targets.mc_items_sql('test')}
-SELECT subject, q AS question, answer FROM m""")
+SELECT subject, q || chr(10) || '"' || a || '"' AS question, answer FROM m""")
 def src_csv_by_subject(spark, sf):
-    """Multiple-choice items written as header-less CSV per subject and read
-    back with the subject taken from the path."""
+    """Multiple-choice items, their questions with a line break and quotes in
+    them, written as header-less CSV per subject and read back with the subject
+    taken from the path."""
     path = scratch(spark, "mmlu")
     items = q_targets.mc_items(spark, sf, "test")
-    items.select("q", "a", "b", "c", "d", "answer", "subject").write.partitionBy("subject").csv(path, header=False)
-    back = RD.read_csv_by_subject(spark, path)
-    return back.select("subject", F.coalesce("question", F.lit("")).alias("question"), "answer")
+    question = F.concat("q", F.lit('\n"'), "a", F.lit('"'))
+    (items.select(question.alias("question"), "a", "b", "c", "d", "answer", "subject").write.partitionBy("subject")
+     .csv(path, header=False, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False))
+    return RD.read_csv_by_subject(spark, path).select("subject", "question", "answer")
 
 
 @register("src_nested_qa", f"""

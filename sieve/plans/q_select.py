@@ -277,13 +277,10 @@ SELECT target_id, pool_id AS best_id, origin AS best_origin, round(score, 6) + 0
 def leak_check(spark, sf):
     """Sanity mode: the targets are appended to the pool (origin 1); every
     target should retrieve itself first."""
-    pool = FX.pool_vectors(spark, sf).select(F.lit(0).alias("src"), "pool_id", "vec")
+    # src 0 holds the targets, so the scan's own tie-break (src, pool_id) puts a target's own copy first
+    pool = FX.pool_vectors(spark, sf).select(F.lit(1).alias("src"), "pool_id", "vec")
     targets = FX.target_vectors(spark, sf)
-    both = pool.unionByName(targets.select(F.lit(1).alias("src"), F.col("target_id").alias("pool_id"), "vec"))
-    cand = SIM.cosine_scores(both, targets, mode="topk", k=3)
-    # ties: a target's own copy (origin 1) first
-    from pyspark.sql import Window
-    w = Window.partitionBy("target_id").orderBy(F.col("score").desc(), F.col("src").desc(), F.col("pool_id"))
-    best = cand.withColumn("rk", F.row_number().over(w)).filter("rk = 1")
-    return best.select("target_id", F.col("pool_id").alias("best_id"), F.col("src").alias("best_origin"),
+    both = pool.unionByName(targets.select(F.lit(0).alias("src"), F.col("target_id").alias("pool_id"), "vec"))
+    best = SIM.topk_per_target(SIM.cosine_scores(both, targets, mode="topk", k=1), 1)
+    return best.select("target_id", F.col("pool_id").alias("best_id"), (1 - F.col("src")).alias("best_origin"),
                        r6("score").alias("score"))

@@ -108,14 +108,14 @@ def sample_round_robin(spark, sf):
 
 @register("tgt_mmlu_shots", f"""WITH {mc_items_sql('dev')},
 p AS (SELECT target_id, subject, {chat_sql(HEADER_SQL + ' || ' + mc_body_sql())} || 'The answer is:' AS prompt, answer AS label FROM m),
-{_round_robin_sql('p', 'subject', 40)}
-SELECT target_id, prompt, label FROM sh WHERE shuffle_rank <= 40""")
+{_round_robin_sql('p', 'subject', 285)}
+SELECT target_id, prompt, label FROM sh WHERE shuffle_rank <= 285""")
 def tgt_mmlu_shots(spark, sf):
-    """Dev items as targets: one random item per subject per pass, then 40."""
+    """Dev items as targets: one random item per subject per pass, then 285."""
     m = mc_items(spark, sf, "dev")
     prompt = T.suffix_cue(TG.chat_wrap(F.concat(TG.mc_header("subject"), mc_body())), TG.COT_CUE)
     p = m.select("target_id", "subject", prompt.alias("prompt"), F.col("answer").alias("label"))
-    return _out(SA.sample_round_robin(p, "subject", 40, SEED, "target_id"))
+    return _out(SA.sample_round_robin(p, "subject", 285, SEED, "target_id"))
 
 
 SHOTS_SQL = f"""
@@ -145,14 +145,14 @@ def few_shot_loo(spark, sf):
 @register("tgt_mmlu_shots_shots", f"""WITH {mc_items_sql('dev')}, {SHOTS_SQL},
 p AS (SELECT m.target_id, m.subject, {chat_sql(HEADER_SQL + " || coalesce(js.shots, '') || " + mc_body_sql())} || 'The answer is:' AS prompt,
              m.answer AS label FROM m LEFT JOIN js USING (target_id)),
-{_round_robin_sql('p', 'subject', 40)}
-SELECT target_id, prompt, label FROM sh WHERE shuffle_rank <= 40""")
+{_round_robin_sql('p', 'subject', 285)}
+SELECT target_id, prompt, label FROM sh WHERE shuffle_rank <= 285""")
 def tgt_mmlu_shots_shots(spark, sf):
     s = mc_with_shots(spark, sf)
     content = F.concat(TG.mc_header("subject"), TG.few_shot_prefix("shots", sep=""), mc_body())
     p = s.select("target_id", "subject", T.suffix_cue(TG.chat_wrap(content), TG.COT_CUE).alias("prompt"),
                  F.col("answer").alias("label"))
-    return _out(SA.sample_round_robin(p, "subject", 40, SEED, "target_id"))
+    return _out(SA.sample_round_robin(p, "subject", 285, SEED, "target_id"))
 
 
 BUDGET = 128
@@ -201,9 +201,9 @@ pre AS (SELECT 'Answer the following questions.' || {NL} || {NL} ||
                || {NL} || {NL} AS prefix FROM ex),
 p AS (SELECT target_id, {chat_sql(f"pre.prefix || 'Question: ' || trim(question, {WS})")} || 'Answer:' AS prompt, answer AS label
       FROM g, pre WHERE TRY_CAST(answer AS DOUBLE) IS NOT NULL)
-SELECT target_id, prompt, label FROM p ORDER BY {key_sql('target_id')}, target_id LIMIT 50""")
+SELECT target_id, prompt, label FROM p""")
 def tgt_gsm8k(spark, sf):
-    """Word problems with the eight worked examples as a prefix."""
+    """Word problems with the eight worked examples as a prefix, all of them."""
     test = num_items(spark, sf, "test").filter(F.col("answer").try_cast("double").isNotNull())
     ex = num_items(spark, sf, "dev").orderBy("target_id").limit(8)   # the n-shot demonstrations
     demos = ex.select(F.struct("target_id", TG.gsm_demo("question", "cot_answer").alias("d")).alias("s"))
@@ -214,7 +214,7 @@ def tgt_gsm8k(spark, sf):
     content = F.concat(F.lit(prefix), F.lit("Question: "), T.strip("question"))
     p = test.select("target_id", T.suffix_cue(TG.chat_wrap(content), "Answer:").alias("prompt"),
                     F.col("answer").alias("label"))
-    return _out(TG.finish(p, 50, SEED))
+    return _out(p)
 
 
 @register("tgt_gsm8k_shots", f"""WITH {num_items_sql('dev', 'e')},
@@ -391,15 +391,21 @@ def pairs(spark, sf):
                     first("assistant").alias("output"))
 
 
-@register("tgt_alpacafarm", f"""WITH {PAIRS_SQL}
+def _instruction_pairs(name: str, n: int):
+    """Instruction -> reference output, stripped, chat format; a draw of n."""
+    @register(name, f"""WITH {PAIRS_SQL}
 SELECT conv_id AS target_id, {chat_sql(f"trim(instruction, {WS})")} AS prompt, trim(output, {WS}) AS label
-FROM pr WHERE instruction IS NOT NULL AND output IS NOT NULL ORDER BY {key_sql('conv_id')}, conv_id LIMIT 50""")
-def tgt_alpacafarm(spark, sf):
-    """Instruction -> reference output, stripped, chat format (the same recipe
-    serves arena_hard and wildchat: prompt -> label / response)."""
-    p = pairs(spark, sf).filter(F.col("instruction").isNotNull() & F.col("output").isNotNull())
-    return _out(TG.finish(p.select("target_id", TG.chat_wrap(T.strip("instruction")).alias("prompt"),
-                                   T.strip("output").alias("label")), 50, SEED))
+FROM pr WHERE instruction IS NOT NULL AND output IS NOT NULL ORDER BY {key_sql('conv_id')}, conv_id LIMIT {n}""")
+    def build(spark, sf):
+        p = pairs(spark, sf).filter(F.col("instruction").isNotNull() & F.col("output").isNotNull())
+        return _out(TG.finish(p.select("target_id", TG.chat_wrap(T.strip("instruction")).alias("prompt"),
+                                       T.strip("output").alias("label")), n, SEED))
+    return build
+
+
+tgt_alpacafarm = _instruction_pairs("tgt_alpacafarm", 50)
+tgt_arena_hard = _instruction_pairs("tgt_arena_hard", 500)
+tgt_wildchat = _instruction_pairs("tgt_wildchat", 100)
 
 
 @register("tgt_squad", f"""

@@ -49,8 +49,8 @@ BUILDERS = {
     "gsm8k_shots_shots": "tgt_gsm8k_shots_shots", "bbh": "tgt_bbh", "bbh_shots": "tgt_bbh_shots",
     "bbh_shots_shots": "tgt_bbh_shots_shots", "tydiqa": "tgt_tydiqa", "tydiqa_shots": "tgt_tydiqa_shots",
     "tydiqa_shots_shots": "tgt_tydiqa_shots_shots", "codex": "tgt_codex", "codex_test": "tgt_codex",
-    "alpacafarm": "tgt_alpacafarm", "alpacafarm_test": "tgt_alpacafarm", "arena_hard": "tgt_alpacafarm",
-    "wildchat": "tgt_alpacafarm", "squad": "tgt_squad", "squad_test": "tgt_squad", "squad_shots": "tgt_squad_shots",
+    "alpacafarm": "tgt_alpacafarm", "alpacafarm_test": "tgt_alpacafarm", "arena_hard": "tgt_arena_hard",
+    "wildchat": "tgt_wildchat", "squad": "tgt_squad", "squad_test": "tgt_squad", "squad_shots": "tgt_squad_shots",
     "mbpp_pro": "tgt_mbpp", "mbpp_val": "tgt_mbpp", "limo": "tgt_limo", "debug_subset": "tgt_debug_subset",
     "toxigen": "tgt_toxigen",
 }

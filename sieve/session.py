@@ -63,15 +63,17 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, creating a local one only when the
-    session has none (local tests). On a cluster ``spark.checkpoint.dir`` names
-    a shared folder and is used as is."""
+    """Return the shared checkpoint folder. On a cluster ``spark.checkpoint.dir``
+    names it and is used as is; a folder of our own is made only for a local
+    master that has none, where driver and executors are one process."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         configured = tempfile.mkdtemp(prefix="sieve-ckpt-", dir=os.environ.get("SIEVE_SCRATCH", "/tmp"))
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

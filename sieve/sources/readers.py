@@ -12,10 +12,13 @@ running count over the (small) table of splits ordered by (path, start).
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sieve.session import ensure_checkpoint_dir
 from sieve.functions.text import strip
 
 MESSAGE = T.StructType([T.StructField("role", T.StringType()), T.StructField("content", T.StringType())])
@@ -27,6 +30,9 @@ POOL_SCHEMA = T.StructType([
 ])
 
 
+SPLITS_BROADCAST = 200_000   # file splits whose offsets are broadcast; more are joined by shuffle
+
+
 def with_row_position(df: DataFrame, name: str = "row_pos") -> DataFrame:
     """Add the 0-based position of each row in (sorted file path, line) order.
     Must be applied directly to a file scan (before any shuffle)."""
@@ -34,10 +40,14 @@ def with_row_position(df: DataFrame, name: str = "row_pos") -> DataFrame:
                        F.col("_metadata.file_block_start").alias("_fb"),
                        F.monotonically_increasing_id().alias("_mid"))
     splits = tagged.groupBy("_fp", "_fb").agg(F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    # one row per file split: small, ordered on one task
+    # one row per file split, ordered on one task; kept in the checkpoint folder, so counting it is free
+    ensure_checkpoint_dir(df.sparkSession)
     w = Window.orderBy("_fp", "_fb").rowsBetween(Window.unboundedPreceding, -1)
     offsets = splits.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)))
-    return (tagged.join(F.broadcast(offsets.select("_fp", "_fb", "_first", "_off")), ["_fp", "_fb"])
+    offsets = offsets.select("_fp", "_fb", "_first", "_off").checkpoint()
+    if offsets.count() <= SPLITS_BROADCAST:
+        offsets = F.broadcast(offsets)
+    return (tagged.join(offsets, ["_fp", "_fb"])
             .withColumn(name, F.col("_off") + F.col("_mid") - F.col("_first"))
             .drop("_fp", "_fb", "_mid", "_first", "_off"))
 
@@ -86,7 +96,8 @@ def read_csv_by_subject(spark: SparkSession, path: str, columns=("question", "A"
     """Header-less multiple-choice CSVs, one per subject (``<subject>_<split>.csv``
     or a ``subject=<name>`` directory); the subject comes from the path."""
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    df = spark.read.option("recursiveFileLookup", True).schema(schema).csv(path, header=False)
+    df = spark.read.option("recursiveFileLookup", True).schema(schema).csv(
+        path, header=False, multiLine=True, quote='"', escape='"')
     fp = F.col("_metadata.file_path")
     subject = F.coalesce(F.nullif(F.regexp_extract(fp, rf"([^/]+)_{split}\.csv$", 1), F.lit("")),
                          F.regexp_extract(fp, r"subject=([^/]+)", 1))
@@ -138,13 +149,13 @@ def read_lines_by_file(spark: SparkSession, path: str) -> DataFrame:
                      text.alias("text"), "row_pos")
 
 
-def read_file_target(spark: SparkSession, path: str, limit: int = 1_000_000) -> DataFrame:
-    """A pool-format JSON-lines file used as a target set, in file order, at
-    most ``limit`` rows (the reference's cap)."""
+def read_file_target(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
+    """A pool-format JSON-lines file used as a target set, in file order; with
+    ``limit`` only its first rows."""
     df = read_jsonl_dir(spark, path, POOL_SCHEMA)
     if "messages" not in df.columns:
         raise ValueError("file target sets need pool rows with messages")
-    return df.filter(F.col("row_pos") < limit)
+    return df if limit is None else df.filter(F.col("row_pos") < limit)
 
 
 INFLUENCE_LIST = T.ArrayType(T.MapType(T.StringType(), T.DoubleType()))
@@ -195,12 +206,22 @@ def read_domain_weights(spark: SparkSession, path: str) -> DataFrame:
     return m
 
 
-def cached_embeddings(spark: SparkSession, path: str, compute) -> DataFrame:
-    """Pool vectors from ``path`` if stored there, else ``compute()`` them,
-    store them as Parquet and read them back (one pool serves many target
-    sets)."""
-    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(jvm_path):
+def cached_embeddings(spark: SparkSession, path: str, compute, params: dict | None = None) -> DataFrame:
+    """Pool vectors from ``path`` if stored there in full, else ``compute()``
+    them, store them as Parquet and read them back (one pool serves many target
+    sets). A folder without Spark's ``_SUCCESS`` mark is a broken write and is
+    written anew. ``params`` (pooling, layers, seed, model ...) are stored next
+    to the data; stored data with other parameters are refused."""
+    jvm = spark.sparkContext._jvm
+    folder, note = jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS"), f"{path.rstrip('/')}.params"
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    wanted = json.dumps(params or {}, sort_keys=True)
+    if fs.exists(folder):
+        held = jvm.org.apache.hadoop.fs.Path(note, "_SUCCESS")
+        stored = spark.read.text(note, wholetext=True).first()["value"].strip() if fs.exists(held) else "{}"
+        if stored != wanted:
+            raise ValueError(f"{path} holds vectors made with {stored}, not {wanted}")
+    else:
         compute().write.mode("overwrite").parquet(path)
+        spark.createDataFrame([(wanted,)], "value string").coalesce(1).write.mode("overwrite").text(note)
     return spark.read.parquet(path)

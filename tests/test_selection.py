@@ -1,9 +1,8 @@
-"""Selection against literal queue simulations written from the semantics,
+"""Selection against the order of turns written down from its definition,
 plus the edge rows listed in FIXTURES.md."""
 
 import math
 import random
-from collections import deque
 
 import pytest
 
@@ -14,99 +13,20 @@ SCHEMA = "target_id bigint, src int, pool_id bigint, score double"
 
 # --------------------------------------------------------------------------- simulations
 
-def sim_rr_max(rows, k, allow=None):
-    by_t = {}
-    for t, src, pid, s in rows:
-        if pid == -1:
-            continue
-        by_t.setdefault(t, []).append(((src, pid), s))
-    lists = {t: deque(sorted(v, key=lambda x: (-x[1], x[0]))[:k]) for t, v in sorted(by_t.items())}
-    seen, out = set(), []
-    while len(out) < k:
-        all_empty = True
-        for t in sorted(lists):
-            if not lists[t]:
-                continue
-            all_empty = False
-            inst, score = lists[t].popleft()
-            if allow is not None and inst not in allow:
-                continue
-            if inst not in seen:
-                seen.add(inst)
-                out.append((inst, score))
-            if len(out) >= k:
-                break
-        if all_empty:
-            break
-    return out
-
-
-def sim_rr_min(rows, k, allow=None):
-    by_t = {}
-    for t, src, pid, s in rows:
-        if pid == -1:
-            continue
-        by_t.setdefault(t, []).append(((src, pid), s))
-    lists = {t: deque(sorted(v, key=lambda x: (x[1], x[0]))) for t, v in sorted(by_t.items())}
-    seen, out = set(), []
-    while len(out) < k and any(lists.values()):
-        for t in sorted(lists):
-            if not lists[t]:
-                continue
-            inst, score = lists[t].popleft()
-            if math.isinf(score):
-                continue
-            if allow is not None and inst not in allow:
-                continue
-            if inst not in seen:
-                seen.add(inst)
-                out.append((inst, score))
-            if len(out) >= k:
-                break
-    return out
-
-
-def sim_quota(rows, k, domain_of, weights, allow=None):
-    total = sum(weights.values())
-    cap = {d: w / total * k for d, w in weights.items()}
-
-    def fold(d):
-        return "science" if "science" in d else d
-
-    def quota(d):
-        return cap.get(d, 0)
-
-    by_t = {}
-    for t, src, pid, s in rows:
-        by_t.setdefault(t, []).append(((src, pid), s))
-    lists = {t: deque(sorted(v, key=lambda x: (x[1], x[0]))) for t, v in sorted(by_t.items())}
-    sizes, seen, out = {}, set(), []
-    while len(out) < k and any(lists.values()):
-        for t in sorted(lists):
-            if not lists[t]:
-                continue
-            inst, score = lists[t].popleft()
-            dom = fold(domain_of[inst])
-            exhausted = False
-            while sizes.get(dom, 0) >= quota(dom):
-                if not lists[t]:
-                    exhausted = True
-                    break
-                inst, score = lists[t].popleft()
-                dom = fold(domain_of[inst])
-            if exhausted:
-                continue
-            sizes[dom] = sizes.get(dom, 0) + 1
-            if allow is not None and inst not in allow:
-                continue
-            if inst in seen:
-                sizes[dom] -= 1
-                continue
-            seen.add(inst)
-            out.append((inst, score))
-            if len(out) >= k:
-                break
-    return out
+def by_steps(rows, k, largest, allow=None):
+    """Round robin by definition: the element ranked r in target t's list is
+    turn (r, t); an instance is picked at its first turn that counts, and the
+    picks are the first k by turn."""
+    ranked = {}
+    for t in {r[0] for r in rows}:
+        own = [(-s if largest else s, src, pid) for u, src, pid, s in rows if u == t and pid != -1]
+        ranked[t] = sorted(own)[:k] if largest else sorted(own)
+    turns = [((r, t), (src, pid), -s if largest else s) for t, own in ranked.items() for r, (s, src, pid) in enumerate(own)]
+    turns = [x for x in turns if (allow is None or x[1] in allow) and (largest or not math.isinf(x[2]))]
+    first = {}
+    for turn, inst, score in sorted(turns):
+        first.setdefault(inst, (turn, score))
+    return [(inst, score) for inst, (_, score) in sorted(first.items(), key=lambda x: x[1][0])[:k]]
 
 
 def picks(df):
@@ -133,7 +53,7 @@ def test_round_robin_max_matches_queue(spark, seed):
     rows = random_rows(rng, n_t=rng.randint(1, 5), n_p=rng.randint(3, 25), ties=seed % 2 == 0, n_src=1 + seed % 2)
     k = rng.randint(1, 30)
     got = picks(S.select_round_robin(spark.createDataFrame(rows, SCHEMA), k, largest=True, salt_buckets=3))
-    assert got == sim_rr_max(rows, k)
+    assert got == by_steps(rows, k, True)
 
 
 @pytest.mark.parametrize("seed", range(6))
@@ -145,7 +65,7 @@ def test_round_robin_min_matches_queue(spark, seed):
     df = spark.createDataFrame(rows, SCHEMA)
     allow_df = spark.createDataFrame(sorted(allow), "src int, pool_id bigint") if allow else None
     got = picks(S.select_round_robin(df, k, largest=False, allow=allow_df))
-    assert got == sim_rr_min(rows, k, allow)
+    assert got == by_steps(rows, k, False, allow)
 
 
 def test_allow_list_after_ranking_can_return_fewer(spark):
@@ -153,21 +73,21 @@ def test_allow_list_after_ranking_can_return_fewer(spark):
     allow = {(0, 5), (0, 6)}
     df = spark.createDataFrame(rows, SCHEMA)
     got = picks(S.select_round_robin(df, 3, allow=spark.createDataFrame(sorted(allow), "src int, pool_id bigint")))
-    assert got == sim_rr_max(rows, 3, allow) == []
+    assert got == by_steps(rows, 3, True, allow) == []
 
 
 def test_k_zero_and_k_larger_than_pool(spark):
     rows = [(0, 0, 0, 0.5), (0, 0, 1, 0.7), (1, 0, 1, 0.9)]
     df = spark.createDataFrame(rows, SCHEMA)
     assert S.select_round_robin(df, 0).count() == 0
-    assert picks(S.select_round_robin(df, 10)) == sim_rr_max(rows, 10)
+    assert picks(S.select_round_robin(df, 10)) == by_steps(rows, 10, True)
     assert S.select(df, "mean_max", 0).count() == 0
 
 
 def test_row_first_for_several_targets_and_ties_at_cut(spark):
     rows = [(t, 0, 7, 0.99) for t in range(3)] + [(t, 0, p, 0.5) for t in range(3) for p in range(5)]
     df = spark.createDataFrame(rows, SCHEMA)
-    assert picks(S.select_round_robin(df, 4)) == sim_rr_max(rows, 4)
+    assert picks(S.select_round_robin(df, 4)) == by_steps(rows, 4, True)
 
 
 def test_invalid_index_dropped(spark):
@@ -183,7 +103,7 @@ def test_partition_count_does_not_change_result(spark):
     df = spark.createDataFrame(rows, SCHEMA)
     a = picks(S.select_round_robin(df.repartition(1), 15))
     b = picks(S.select_round_robin(df.repartition(7), 15))
-    assert a == b == sim_rr_max(rows, 15)
+    assert a == b == by_steps(rows, 15, True)
 
 
 # --------------------------------------------------------------------------- mean modes
@@ -215,19 +135,31 @@ def test_unknown_methods_rejected(spark):
 
 # --------------------------------------------------------------------------- quotas
 
-@pytest.mark.parametrize("seed", range(5))
-def test_quota_matches_queue(spark, seed):
-    rng = random.Random(200 + seed)
-    n_t, n_p = rng.randint(1, 4), rng.randint(8, 30)
-    rows = random_rows(rng, n_t, n_p, ties=seed % 2 == 0)
-    domains = ["math", "code", "bio_science", "chem_science", "chat"]
-    domain_of = {(0, p): rng.choice(domains) for p in range(n_p)}
-    weights = {"math": 1.0, "code": 2.0, "science": 1.5, "other": 0.5}   # "chat" missing -> quota 0
-    k = rng.randint(2, 12)
-    allow = {(0, p) for p in range(n_p) if rng.random() < 0.7} if seed % 2 else None
+def quota_picks(spark, rows, domain_of, weights, k, allow=None):
     df = spark.createDataFrame(rows, SCHEMA)
-    dom = spark.createDataFrame([(s, p, d) for (s, p), d in domain_of.items()], "src int, pool_id bigint, domain string")
+    dom = spark.createDataFrame([(0, p, d) for p, d in domain_of.items()], "src int, pool_id bigint, domain string")
     w = spark.createDataFrame(list(weights.items()), "domain string, weight double")
-    allow_df = spark.createDataFrame(sorted(allow), "src int, pool_id bigint") if allow is not None else None
-    got = picks(S.select_round_robin_quota(df, dom, w, k, allow=allow_df))
-    assert got == sim_quota(rows, k, domain_of, weights, allow)
+    allow_df = spark.createDataFrame([(0, p) for p in allow], "src int, pool_id bigint") if allow else None
+    return [inst[1] for inst, _ in picks(S.select_round_robin_quota(df, dom, w, k, allow=allow_df))]
+
+
+def test_quota_turns_written_out(spark):
+    rows = [(0, 0, 0, .1), (0, 0, 1, .2), (0, 0, 2, .3), (0, 0, 3, .4), (1, 0, 1, .1), (1, 0, 4, .2), (1, 0, 5, .3)]
+    domain_of = {0: "a", 1: "a", 2: "a", 3: "b", 4: "b", 5: "b"}
+    # two of each: target 0 takes 0, target 1 takes 1, and with "a" full 3 and 4 are next
+    assert quota_picks(spark, rows, domain_of, {"a": 1.0, "b": 1.0}, 4) == [0, 1, 3, 4]
+    # a domain without a weight has no quota
+    assert quota_picks(spark, rows, domain_of, {"a": 1.0}, 4) == [0, 1, 2]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_quota_of_one_target_is_a_prefix_per_domain(spark, seed):
+    rng = random.Random(200 + seed)
+    rows = random_rows(rng, 1, 30)
+    domain_of = {p: rng.choice(["math", "code", "bio_science", "chem_science", "chat"]) for p in range(30)}
+    got = quota_picks(spark, rows, domain_of, {"math": 1.0, "code": 2.0, "science": 1.5, "other": 0.5}, 10)
+    quota = {"math": 2, "code": 4, "science": 3}     # of 10, by weight
+    order = [r[2] for r in sorted(rows, key=lambda r: (r[3], r[2]))]
+    fold = {p: "science" if "science" in d else d for p, d in domain_of.items()}
+    expected = {p for d, n in quota.items() for p in [x for x in order if fold[x] == d][:n]}
+    assert got == [p for p in order if p in expected]
