@@ -28,7 +28,6 @@ UNKNOWN_GAP = 10.0         # an unknown character scores so much less than the l
 @dataclass(frozen=True)
 class Vocabulary:
     scores: dict[str, float]
-    longest: int
     unknown: float
     byte_fallback: bool
 
@@ -46,7 +45,7 @@ def load_vocabulary(path: str, scores: str = "zipf") -> Vocabulary:
     ids = [i for i in range(len(model)) if not special[i] and SPACE not in model.id_to_piece(i)[1:]]
     norm = math.log(sum(1 / r for r in range(1, len(ids) + 1)))
     value = {model.id_to_piece(i): model.get_score(i) if scores == "file" else -math.log(r) - norm for r, i in enumerate(ids, 1)}
-    return Vocabulary(value, max(map(len, value), default=0), min(value.values(), default=0.0) - UNKNOWN_GAP,
+    return Vocabulary(value, min(value.values(), default=0.0) - UNKNOWN_GAP,
                       any(model.is_byte(i) for i in range(len(model))))
 
 
@@ -55,6 +54,12 @@ class Trie:
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
+        # Lengths, longest first, of the pieces that end in two given characters: only these are looked up.
+        ends: dict[str, set[int]] = {}
+        for piece in vocabulary.scores:
+            if len(piece) > 1:
+                ends.setdefault(piece[-2:], set()).add(len(piece))
+        self.lengths = {end: sorted(own, reverse=True) for end, own in ends.items()}
         self.clear()
 
     def clear(self) -> None:
@@ -76,12 +81,17 @@ class Trie:
 
     def _forward(self, path: list, word: str, end: int) -> list:
         v = self.vocabulary
+        scores = v.scores
         best, tokens, unknown = -math.inf, 0, False
-        for start in range(max(0, end - v.longest), end):
-            piece = v.scores.get(word[start:end])
-            if piece is not None and path[start][1] + piece > best:
-                best, tokens = path[start][1] + piece, path[start][2] + 1
-        if word[end - 1] not in v.scores and path[end - 1][1] + v.unknown > best:
+        for n in self.lengths.get(word[end - 2:end], ()) if end > 1 else ():
+            if n <= end and (piece := scores.get(word[end - n:end])) is not None:
+                before = path[end - n]
+                if before[1] + piece > best:
+                    best, tokens = before[1] + piece, before[2] + 1
+        piece = scores.get(word[end - 1])
+        if piece is not None and path[end - 1][1] + piece > best:
+            best, tokens = path[end - 1][1] + piece, path[end - 1][2] + 1
+        if piece is None and path[end - 1][1] + v.unknown > best:
             before = path[end - 1]
             best, unknown = before[1] + v.unknown, True
             tokens = before[2] + (len(word[end - 1].encode()) if v.byte_fallback else int(not before[3]))
