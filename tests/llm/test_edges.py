@@ -13,7 +13,7 @@ WORDS = " ".join(f"word{i}" for i in range(40))
 ROWS = [
     (1, "plain words here and there", "en", "a", 26), (2, "", "en", "a", 0), (3, None, "de", None, None), (4, WORDS, None, "b", None),
     (5, WORDS + " token=abcdef123456", "en", "b", 9), (5, WORDS + " token=abcdef123456", "en", "b", 9), (None, "no id under the MIT license", "en", "a", 1),
-    (None, None, None, None, None), (6, "x y " * 60_000, "fr", "a", 240_000), (7, "é🙂 ß z", "fr", "c", 7), (8, "\t \n", "en", "c", 3),
+    (None, None, None, None, None), (6, "x y " * 3_000, "fr", "a", 240_000), (7, "é🙂 ß z", "fr", "c", 7), (8, "\t \n", "en", "c", 3),
 ]
 
 
@@ -65,7 +65,7 @@ def test_licenses_tokens(docs, none):
     got = {(r["doc_id"], r["n_words"]): r for r in licenses.scan_licenses(docs).collect()}
     assert got[None, 6]["base_labels"] == "mit" and got[None, 6]["first_word"] == 2 and got[None, 6]["score"] == 1
     assert got[None, 0]["labels"] == "" and got[None, 0]["first_word"] is None
-    assert got[6, 120_000]["n_base"] == 0
+    assert got[6, 6_000]["n_base"] == 0
     assert licenses.scan_licenses(none).count() == 0
     vocabulary = tokens.load_vocabulary(Q.TOKENIZER)
     counted = tokens.token_counts(docs, vocabulary).collect()
