@@ -67,6 +67,8 @@ def main():
 
     timed("roundrobin_max", lambda: run(S.select_round_robin(
         SIM.cosine_scores(pool, targets, mode="topk", k=K), K, largest=True)))
+    timed("roundrobin_max_k20000", lambda: run(S.select_round_robin_from_pool(pool, targets, 20_000)))
+    timed("roundrobin_min", lambda: run(S.select_round_robin_from_pool(pool, targets, K, largest=False)))
     timed("mean_max", lambda: run(S.select_from_means(SIM.mean_scores_fused(pool, targets), K, largest=True)))
     timed("norm_mean_max", lambda: run(S.select_from_means(
         SIM.mean_scores_fused(pool, targets, normalised=True), K, largest=True)))

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sieve.operators.sampling import global_topk
-from sieve.operators.similarity import rank_order, topk_per_target
+from sieve.operators.similarity import TargetMatrix, cosine_scores, mean_scores_fused, rank_order, target_matrix, topk_per_target
 
 METHODS = ("min", "max", "mean_min", "mean_max", "normalized_mean_min", "normalized_mean_max")
 
@@ -85,23 +85,15 @@ def order_first_picks(firsts: DataFrame, k: int) -> DataFrame:
             .drop("before"))
 
 
-def select_round_robin(scores: DataFrame, k: int, largest: bool = True, allow: DataFrame | None = None,
-                       salt_buckets: int = 16) -> DataFrame:
-    """Round-robin selection (``max``: best first; ``min``: smallest first).
+def _no_picks(spark) -> DataFrame:
+    return spark.createDataFrame([], "src int, pool_id bigint, round int, target_id bigint, score double, sel_rank bigint")
 
-    ``max`` cuts every list at K before the turns start, as the reference does,
-    so rows removed by the allow-list are not replaced and fewer than K can come
-    back. ``min`` has no pre-cut: the list depth needed is found by doubling
-    (exactly: once K first picks sit within depth R, no deeper element can
-    precede them), with infinite scores and disallowed rows using up turns.
-    """
-    if k <= 0:
-        return scores.sparkSession.createDataFrame(
-            [], "src int, pool_id bigint, round int, target_id bigint, score double, sel_rank bigint")
-    scores = drop_invalid_ids(scores)
 
+def _round_robin(scores_at, longest, k: int, largest: bool, allow: DataFrame | None, salt_buckets: int | None) -> DataFrame:
+    """``scores_at(depth)`` holds at least every target's best ``depth`` rows;
+    ``longest()`` is no less than the length of the longest list."""
     def attempt(depth: int) -> DataFrame:
-        ranked = topk_per_target(scores, depth, largest=largest, salt_buckets=salt_buckets)
+        ranked = topk_per_target(scores_at(depth), depth, largest=largest, salt_buckets=salt_buckets)
         if not largest:
             ranked = ranked.filter(_finite(F.col("score")))
         ranked = _restrict(ranked, allow)
@@ -110,22 +102,52 @@ def select_round_robin(scores: DataFrame, k: int, largest: bool = True, allow: D
     if largest:
         return order_first_picks(attempt(k), k)
 
-    depth = k
-    longest = None
+    depth, most = k, None
     while True:
         # at most targets x depth rows: written once to the checkpoint folder,
         # so the count and the numbering below do not score the pool again
         firsts = attempt(depth).checkpoint()
         if firsts.count() >= k:
             break
-        if longest is None:
-            longest = scores.groupBy("target_id").count().agg(F.max("count")).first()[0] or 0
-        if depth >= longest:
+        if most is None:
+            most = longest()
+        if depth >= most:
             break
-        depth = min(depth * 4, longest)
+        depth = min(depth * 4, most)
     return order_first_picks(firsts, k)
 
 
+def select_round_robin(scores: DataFrame, k: int, largest: bool = True, allow: DataFrame | None = None,
+                       salt_buckets: int | None = None) -> DataFrame:
+    """Round-robin selection (``max``: best first; ``min``: smallest first).
+
+    ``max`` cuts every list at K before the turns start, as the reference does,
+    so rows removed by the allow-list are not replaced and fewer than K can come
+    back. ``min`` has no pre-cut: the list depth needed is found by widening
+    (exactly: once K first picks sit within depth R, no deeper element can
+    precede them), with infinite scores and disallowed rows using up turns.
+    """
+    if k <= 0:
+        return _no_picks(scores.sparkSession)
+    scores = drop_invalid_ids(scores)
+    return _round_robin(lambda depth: scores, lambda: scores.groupBy("target_id").count().agg(F.max("count")).first()[0] or 0,
+                        k, largest, allow, salt_buckets)
+
+
+def select_round_robin_from_pool(pool: DataFrame, targets, k: int, largest: bool = True, allow: DataFrame | None = None,
+                                 **columns) -> DataFrame:
+    """:func:`select_round_robin` over a pool (``pool_id, vec``, maybe ``src``) and
+    its targets. Each depth tried is one top-k scan at that depth, so the
+    pool x target table is never built, in ``min`` mode and with an allow-list
+    neither."""
+    if k <= 0:
+        return _no_picks(pool.sparkSession)
+    pool = pool.filter(F.col(columns.get("pool_id", "pool_id")) != -1)
+    tm = targets if isinstance(targets, TargetMatrix) else target_matrix(targets)
+    return _round_robin(lambda depth: cosine_scores(pool, tm, mode="topk", k=depth, largest=largest, **columns), pool.count,
+                        k, largest, allow, None)
+
+
 # --------------------------------------------------------------------------
 # mean modes
 # --------------------------------------------------------------------------
@@ -185,6 +207,19 @@ def select(scores: DataFrame, method: str, k: int, allow: DataFrame | None = Non
     return select_round_robin(scores, k, largest=largest, allow=allow)
 
 
+def select_from_pool(pool: DataFrame, targets, method: str, k: int, allow: DataFrame | None = None, **columns) -> DataFrame:
+    """:func:`select` without a score table: the mean modes read the pool in one
+    scan (normalised: two) that emits a mean per row, the others as
+    :func:`select_round_robin_from_pool`."""
+    if method not in METHODS:
+        raise ValueError(f"unsupported selection method {method!r}")
+    largest = not method.endswith("min")
+    if "mean" not in method:
+        return select_round_robin_from_pool(pool, targets, k, largest, allow, **columns)
+    pool = pool.filter(F.col(columns.get("pool_id", "pool_id")) != -1)
+    return select_from_means(mean_scores_fused(pool, targets, normalised="normalized" in method, **columns), k, largest)
+
+
 # --------------------------------------------------------------------------
 # quotas
 # --------------------------------------------------------------------------
@@ -317,7 +352,7 @@ def select_round_robin_quota(scores: DataFrame, domains: DataFrame, weights: Dat
 
 
 __all__ = [
-    "METHODS", "select", "select_round_robin", "select_mean", "mean_scores", "minmax_normalised",
+    "METHODS", "select", "select_from_pool", "select_round_robin", "select_round_robin_from_pool", "select_mean", "mean_scores", "minmax_normalised",
     "first_picks", "order_first_picks", "drop_invalid_ids", "domain_quotas", "fold_domain",
     "select_round_robin_quota", "quota_candidates",
 ]

@@ -9,9 +9,10 @@ matrix product, so nothing leaves the JVM row by row.
 Output modes of the Arrow scan:
 
 * ``pairs`` – every (target, pool row) score, long form;
-* ``topk``  – only the best ``k`` rows per target *per batch* (ties broken by
-  ``(src, pool_id)``), so the later per-target window sees
-  ``batches x targets x k`` rows instead of ``pool x targets``;
+* ``topk``  – a running best ``k`` per target over the whole partition (ties
+  broken by ``(src, pool_id)``). Candidates are held in a buffer of bounded size;
+  when it fills with rows that are all still needed it is emitted, and later rows
+  must beat the k-th score reached so far;
 * ``mean``  – the mean score of each pool row over all targets (the mean of
   dot products equals the dot product with the mean target, but we average the
   individual scores to stay close to the reference's arithmetic).
@@ -33,6 +34,10 @@ from sieve.functions import vectors as V
 SCORE_SCHEMA = "target_id bigint, src int, pool_id bigint, score double"
 DEFAULT_MAX_BROADCAST_BYTES = 256 * 1024 * 1024
 DEFAULT_MAX_DRIVER_BYTES = 2 * 1024 * 1024 * 1024
+TILE_BYTES = 32 * 1024 * 1024       # of one rows x targets block of scores inside a task
+TOPK_BUFFER_ROWS = 1 << 22          # candidates that a task holds, 32 bytes each
+EMIT_ROWS = 1 << 18                 # rows of one emitted record batch
+GROUP_PARTITIONS = 32               # partitions whose survivors are ranked in one task
 
 
 class TooLargeToBroadcast(ValueError):
@@ -106,23 +111,71 @@ def _batch_matrix(batch: pa.RecordBatch, vec_col: str, d: int) -> np.ndarray:
     return np.asarray(flat, dtype=np.float64).reshape(batch.num_rows, d)
 
 
-def _local_topk(S: np.ndarray, src: np.ndarray, pid: np.ndarray, k: int, largest: bool):
-    """Best k rows per column of S, ties by (src, pool_id); returns (row, col)."""
-    n, nt = S.shape
-    valid = ~np.isnan(S)               # NaN scores take no part in any ranking
-    key = np.where(valid, -S if largest else S, np.inf)
-    if n <= k:
-        return np.nonzero(valid)
-    thr = np.partition(key, k - 1, axis=0)[k - 1]
-    rows_out, cols_out = [], []
-    for j in range(nt):
-        cand = np.nonzero((key[:, j] <= thr[j]) & valid[:, j])[0]
-        if len(cand) > k:
-            order = np.lexsort((pid[cand], src[cand], key[cand, j]))
-            cand = cand[order[:k]]
-        rows_out.append(cand)
-        cols_out.append(np.full(len(cand), j))
-    return np.concatenate(rows_out), np.concatenate(cols_out)
+class _RunningTopk:
+    """Best k rows per target of one partition, ties by (src, pool_id).
+
+    ``key`` is the score, negated where the largest are wanted. ``cut`` holds
+    for each target a key that k rows seen so far reach, so a larger key can't
+    be among the best k; a row that equals it must also come no later than
+    ``cut_src, cut_pid``, which are known after the buffer has been reduced.
+    NaN scores take no part."""
+
+    def __init__(self, n_targets: int, k: int, largest: bool, most: int):
+        self.k, self.largest, self.most = k, largest, most
+        self.cut = np.full(n_targets, np.inf)
+        self.cut_src = np.full(n_targets, np.iinfo(np.int32).max, np.int32)
+        self.cut_pid = np.full(n_targets, np.iinfo(np.int64).max, np.int64)
+        self.parts: list[tuple] = []
+        self.held, self.reduce_at = 0, min(most, EMIT_ROWS)
+
+    def add(self, S: np.ndarray, src: np.ndarray, pid: np.ndarray) -> list[tuple]:
+        """Takes a block of scores (rows x targets); returns what must leave the buffer."""
+        key = np.negative(S) if self.largest else S
+        if len(S) > self.k:
+            ranked = np.where(np.isnan(key), np.inf, key)
+            reached = np.partition(ranked, self.k - 1, axis=0)[self.k - 1]
+            lower = reached < self.cut
+            self.cut = np.where(lower, reached, self.cut)
+            self.cut_src[lower], self.cut_pid[lower] = np.iinfo(np.int32).max, np.iinfo(np.int64).max
+        row, col = np.nonzero(key <= self.cut)          # false for NaN
+        key, src, pid = key[row, col], src[row], pid[row]
+        tie = key == self.cut[col]
+        late = tie & ((src > self.cut_src[col]) | ((src == self.cut_src[col]) & (pid > self.cut_pid[col])))
+        keep = ~late
+        out: list[tuple] = []
+        col, src, pid, key = col[keep], src[keep], pid[keep], key[keep]
+        for i in range(0, len(key), EMIT_ROWS):         # a block adds at most EMIT_ROWS between two checks
+            part = tuple(x[i:i + EMIT_ROWS] for x in (col, src, pid, key))
+            self.parts.append(part)
+            self.held += len(part[3])
+            if self.held >= self.reduce_at:
+                self._reduce()
+                if self.held > self.most // 2:
+                    out += self.drain()
+                self.reduce_at = min(self.most, max(EMIT_ROWS, 2 * self.held))
+        return out
+
+    def _reduce(self) -> None:
+        col, src, pid, key = (np.concatenate(x) for x in zip(*self.parts))
+        order = np.lexsort((pid, src, key, col))
+        col, src, pid, key = col[order], src[order], pid[order], key[order]
+        first = np.searchsorted(col, np.arange(len(self.cut)))
+        place = np.arange(len(col)) - first[col]
+        last = np.flatnonzero(place == self.k - 1)
+        better = last[key[last] <= self.cut[col[last]]]
+        self.cut[col[better]], self.cut_src[col[better]], self.cut_pid[col[better]] = key[better], src[better], pid[better]
+        keep = place < self.k
+        self.parts = [(col[keep], src[keep], pid[keep], key[keep])]
+        self.held = int(keep.sum())
+
+    def drain(self) -> list[tuple]:
+        out, self.parts, self.held = self.parts, [], 0
+        return out
+
+    def end(self) -> list[tuple]:
+        if self.parts:
+            self._reduce()
+        return self.drain()
 
 
 MEAN_SCHEMA = "src int, pool_id bigint, score double, n_targets bigint"
@@ -133,47 +186,57 @@ def _scan(pool: DataFrame, ids_bc, mat_bc, *, mode: str, k: int, largest: bool,
           vec_col: str, src_col: str, id_col: str, d: int, bounds_bc=None) -> DataFrame:
     out_schema = {"mean": MEAN_SCHEMA, "normmean": MEAN_SCHEMA, "bounds": BOUNDS_SCHEMA}.get(mode, SCORE_SCHEMA)
 
+    tile, buffer = TILE_BYTES, TOPK_BUFFER_ROWS
+
     def fn(batches):
         tids = ids_bc.value
         T = mat_bc.value
         lo_hi = bounds_bc.value if bounds_bc is not None else None
-        for b in batches:
-            if b.num_rows == 0:
-                continue
-            X = _batch_matrix(b, "vec", d)
-            if normalise:
-                X = _unit_rows(X)
-            S = X @ T.T  # rows x targets
-            src = b.column("src").to_numpy(zero_copy_only=False).astype(np.int32)
-            pid = b.column("pool_id").to_numpy(zero_copy_only=False).astype(np.int64)
-            if mode == "bounds":
-                yield pa.RecordBatch.from_arrays([pa.array(tids), pa.array(S.min(axis=0)), pa.array(S.max(axis=0))],
-                                                 names=["target_id", "lo", "hi"])
-                continue
-            if mode == "normmean":
-                lo, hi = lo_hi
-                span = hi - lo
-                safe = np.where(span == 0, 1.0, span)
-                N = np.where(span == 0, 0.0, (S - lo) / safe)      # constant target -> 0
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(src), pa.array(pid), pa.array(N.mean(axis=1)),
-                     pa.array(np.full(len(pid), S.shape[1], dtype=np.int64))],
-                    names=["src", "pool_id", "score", "n_targets"])
-                continue
-            if mode == "mean":
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(src), pa.array(pid), pa.array(S.mean(axis=1) if S.shape[1] else np.full(len(pid), np.nan)),
-                     pa.array(np.full(len(pid), S.shape[1], dtype=np.int64))],
-                    names=["src", "pool_id", "score", "n_targets"])
-                continue
-            if mode == "topk":
-                r, c = _local_topk(S, src, pid, k, largest)
-            else:
-                r = np.repeat(np.arange(S.shape[0]), S.shape[1])
-                c = np.tile(np.arange(S.shape[1]), S.shape[0])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(tids[c]), pa.array(src[r]), pa.array(pid[r]), pa.array(S[r, c])],
-                names=["target_id", "src", "pool_id", "score"])
+        step = max(1, tile // max(8, 8 * len(tids)))      # rows whose scores fit a tile
+        best = _RunningTopk(len(tids), k, largest, buffer) if mode == "topk" else None
+        bounds = None
+
+        def emit(parts):
+            for col, src, pid, key in parts:
+                for i in range(0, len(key), EMIT_ROWS):
+                    at = slice(i, i + EMIT_ROWS)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(tids[col[at]]), pa.array(src[at]), pa.array(pid[at]), pa.array(-key[at] if largest else key[at])],
+                        names=["target_id", "src", "pool_id", "score"])
+
+        def means(src, pid, m):
+            return pa.RecordBatch.from_arrays([pa.array(src), pa.array(pid), pa.array(m), pa.array(np.full(len(pid), len(tids), dtype=np.int64))],
+                                              names=["src", "pool_id", "score", "n_targets"])
+
+        for whole in batches:
+            for start in range(0, whole.num_rows, step):
+                b = whole.slice(start, step)
+                X = _batch_matrix(b, "vec", d)
+                if normalise:
+                    X = _unit_rows(X)
+                S = X @ T.T  # rows x targets
+                src = b.column("src").to_numpy(zero_copy_only=False).astype(np.int32)
+                pid = b.column("pool_id").to_numpy(zero_copy_only=False).astype(np.int64)
+                if mode == "topk":
+                    yield from emit(best.add(S, src, pid))
+                elif mode == "bounds":
+                    lo, hi = S.min(axis=0), S.max(axis=0)
+                    bounds = (lo, hi) if bounds is None else (np.minimum(bounds[0], lo), np.maximum(bounds[1], hi))
+                elif mode == "normmean":
+                    lo, hi = lo_hi
+                    span = hi - lo
+                    safe = np.where(span == 0, 1.0, span)
+                    yield means(src, pid, np.where(span == 0, 0.0, (S - lo) / safe).mean(axis=1))      # constant target -> 0
+                elif mode == "mean":
+                    yield means(src, pid, S.mean(axis=1) if S.shape[1] else np.full(len(pid), np.nan))
+                else:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.tile(tids, len(S))), pa.array(np.repeat(src, S.shape[1])), pa.array(np.repeat(pid, S.shape[1])), pa.array(S.ravel())],
+                        names=["target_id", "src", "pool_id", "score"])
+        if best is not None:
+            yield from emit(best.end())
+        if bounds is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(tids), pa.array(bounds[0]), pa.array(bounds[1])], names=["target_id", "lo", "hi"])
 
     src_expr = F.col(src_col).cast("int") if src_col in pool.columns else F.lit(0).cast("int")
     slim = pool.select(src_expr.alias("src"), F.col(id_col).cast("long").alias("pool_id"), F.col(vec_col).alias("vec"))
@@ -190,7 +253,7 @@ def cosine_scores(pool: DataFrame, targets, *, mode: str = "pairs", k: int = 0,
     :class:`TargetMatrix`. Each broadcast block holds at most
     ``max_broadcast_bytes`` of target vectors; a larger (but driver-sized)
     target set is scored block by block, one pool scan per block.
-    ``mode='topk'`` returns only per-batch top-k candidates; feed the result to
+    ``mode='topk'`` returns each partition's top-k candidates; feed the result to
     :func:`topk_per_target` for the exact global per-target top-k.
     """
     if mode not in ("pairs", "topk", "mean", "bounds"):
@@ -277,20 +340,23 @@ def rank_order(largest: bool):
     return [s.desc() if largest else s.asc(), F.col("src").asc(), F.col("pool_id").asc()]
 
 
-def topk_per_target(scores: DataFrame, k: int, largest: bool = True, salt_buckets: int = 16) -> DataFrame:
+def topk_per_target(scores: DataFrame, k: int, largest: bool = True, salt_buckets: int | None = None) -> DataFrame:
     """Exact top-k per target with a 1-based ``rank`` (ties: earlier (src, pool_id) first).
 
-    Two window stages: first per (target, salt) so one hot target spreads over
-    ``salt_buckets`` tasks, then per target over at most ``salt_buckets * k``
-    survivors. Both filters are ``row_number() <= k`` so Spark inserts a
-    partial group limit before each shuffle.
+    Two window stages: first per (target, group), so one hot target spreads over
+    many tasks, then per target over at most ``groups * k`` survivors. A group is
+    32 neighbouring partitions, so the groups grow with the pool;
+    ``salt_buckets`` sets a fixed number of hashed groups instead. Both filters
+    are ``row_number() <= k`` so Spark inserts a partial group limit before each
+    shuffle.
     """
     if k <= 0:
         return scores.withColumn("rank", F.lit(0)).limit(0)
     order = rank_order(largest)
     cur = scores
-    if salt_buckets and salt_buckets > 1:
-        salt = F.pmod(F.xxhash64("src", "pool_id"), F.lit(salt_buckets))
+    if salt_buckets is None or salt_buckets > 1:
+        salt = (F.floor(F.spark_partition_id() / GROUP_PARTITIONS) if salt_buckets is None
+                else F.pmod(F.xxhash64("src", "pool_id"), F.lit(salt_buckets)))
         w1 = Window.partitionBy("target_id", "_salt").orderBy(*order)
         cur = (cur.withColumn("_salt", salt).withColumn("_rn", F.row_number().over(w1))
                .filter(F.col("_rn") <= k).drop("_rn", "_salt"))

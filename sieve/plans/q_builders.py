@@ -247,12 +247,12 @@ def _dispatch_sql() -> str:
 @register("dispatch", _dispatch_sql())
 def dispatch(spark, sf):
     """Every selection method through the name dispatch."""
-    scores = QS.scores(spark, sf)
+    pool, targets = FX.pool_vectors(spark, sf), SIM.target_matrix(FX.target_vectors(spark, sf))
     out = None
     for m in ("max", "min", "mean_min", "mean_max", "normalized_mean_min", "normalized_mean_max"):
-        sel = S.select(scores, m, QS.K_SELECT).select(F.lit(m).alias("method"),
-                                                      F.col("sel_rank").cast("long").alias("sel_rank"), "pool_id",
-                                                      r6("score").alias("score"))
+        sel = S.select_from_pool(pool, targets, m, QS.K_SELECT).select(F.lit(m).alias("method"),
+                                                                    F.col("sel_rank").cast("long").alias("sel_rank"), "pool_id",
+                                                                    r6("score").alias("score"))
         out = sel if out is None else out.unionByName(sel)
     return out
 

@@ -87,7 +87,7 @@ def select_roundrobin_max(spark, sf):
 
 @register("select_roundrobin_min", _rr_sql("ASC", K_SELECT, cut=False) + f"SELECT {RR_COLS} FROM o WHERE sel_rank <= {K_SELECT}")
 def select_roundrobin_min(spark, sf):
-    return _rr_out(S.select_round_robin(scores(spark, sf), K_SELECT, largest=False))
+    return _rr_out(S.select_round_robin_from_pool(FX.pool_vectors(spark, sf), FX.target_vectors(spark, sf), K_SELECT, largest=False))
 
 
 ALLOW_SQL = "AND pool_id IN (SELECT doc_id FROM labels WHERE quality = 1)"
@@ -96,13 +96,13 @@ ALLOW_SQL = "AND pool_id IN (SELECT doc_id FROM labels WHERE quality = 1)"
 @register("select_allow_list", _rr_sql("DESC", K_SELECT, allow=ALLOW_SQL) + f"SELECT {RR_COLS} FROM o WHERE sel_rank <= {K_SELECT}")
 def select_allow_list(spark, sf):
     allow = FX.pool_allow_list(spark, sf)
-    return _rr_out(S.select_round_robin(scores(spark, sf), K_SELECT, largest=True, allow=allow))
+    return _rr_out(S.select_round_robin_from_pool(FX.pool_vectors(spark, sf), FX.target_vectors(spark, sf), K_SELECT, largest=True, allow=allow))
 
 
 @register("select_allow_list_min", _rr_sql("ASC", K_SELECT, allow=ALLOW_SQL, cut=False) + f"SELECT {RR_COLS} FROM o WHERE sel_rank <= {K_SELECT}")
 def select_allow_list_min(spark, sf):
     allow = FX.pool_allow_list(spark, sf)
-    return _rr_out(S.select_round_robin(scores(spark, sf), K_SELECT, largest=False, allow=allow))
+    return _rr_out(S.select_round_robin_from_pool(FX.pool_vectors(spark, sf), FX.target_vectors(spark, sf), K_SELECT, largest=False, allow=allow))
 
 
 @register("join_selected_back", _rr_sql("DESC", K_SELECT) + f"""
