@@ -145,10 +145,12 @@ def _find(docs: DataFrame, benchmark: DataFrame, k: int, least: float, key: str,
                         F.col("k").eqNullSafe(F.col("pk")) & (F.col("h") == F.col("ph"))).select("k", "h", "t", "places")
              .repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "k", "h").dropDuplicates(["k", "h"]))
     cut = texts.select("k", "h", "places", words(F.col("t")).alias("w")).select("k", "h", "places", shingles(F.col("w"), k).alias("all"))
-    window = F.transform("places", lambda p: F.struct(
-        p["m"].alias("m"), F.greatest(F.least(p["start"], F.size("all") - p["m"]), F.lit(0)).alias("start")))
+    # Length and start in one long: longs are made distinct by hash, structs by comparing each with all.
+    window = F.transform("places", lambda p: F.shiftleft(p["m"].cast("long"), 32).bitwiseOR(
+        F.greatest(F.least(p["start"], F.size("all") - p["m"]), F.lit(0)).cast("long")))
     windows = (cut.select("k", "h", "all", F.explode(F.array_distinct(window)).alias("p"))
-               .select("k", "h", "p.m", "p.start", F.slice("all", F.col("p.start") + 1, F.col("p.m")).alias("part"))
+               .select("k", "h", "all", F.shiftright("p", 32).cast("int").alias("m"), F.col("p").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("start"))
+               .select("k", "h", "m", "start", F.slice("all", F.col("start") + 1, F.col("m")).alias("part"))
                .withColumn("fp", fingerprint(F.col("part"), most)).checkpoint())
     # The items' blocks under all near values, and the windows' blocks.
     flips = [0, *(sum(1 << b for b in bits) for n in range(1, NEAR + 1) for bits in combinations(range(BLOCK_BITS), n))]
