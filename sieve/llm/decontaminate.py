@@ -27,6 +27,7 @@ WORDS = 5
 SIMILARITY = 0.8
 RADIUS = 23                    # 3.5 deviations and more above the distance expected at a similarity of 0.8
 BLOCKS, BLOCK_BITS, NEAR = 8, 8, 2
+RUN_WORDS = 1024               # starts of windows that share one stretch of shingles, or the longest item's words if they are more
 BROADCAST_ROWS = 500_000       # of item shingles, index rows or document keys; beyond they are joined by shuffle
 _SPLIT = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -137,20 +138,28 @@ def _find(docs: DataFrame, benchmark: DataFrame, k: int, least: float, key: str,
     run = lambda i: F.when(F.get("at", i + F.col("need") - 1) - F.get("at", i) < F.col("m"),                         # noqa: E731
                            F.sequence(F.greatest(F.get("at", i + F.col("need") - 1) - F.col("m") + 1, F.lit(0)), F.get("at", i))).otherwise(F.array().cast("array<int>"))
     hits = hits.withColumn("starts", F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), F.size("at") - F.col("need")), run))))
-    # Windows of one length at one place are one window, whatever item led there.
+    # Windows of one length at one place are one window, whatever item led there. A text's windows go in runs of
+    # starts, each with its own stretch of shingles, so that no window's row carries the whole text.
+    run_words = max(RUN_WORDS, most)
     places = (hits.where(F.size("starts") > 0).select("k", "h", "m", F.explode("starts").alias("start")).distinct()
-              .groupBy("k", "h").agg(F.collect_list(F.struct("m", "start")).alias("places")).checkpoint())
+              .groupBy("k", "h", F.floor(F.col("start") / run_words).cast("int").alias("run")).agg(F.collect_list(F.struct("m", "start")).alias("places"))
+              .groupBy("k", "h").agg(F.collect_list(F.struct("run", "places")).alias("runs")).checkpoint())
     # Few bytes but much arithmetic: the number of partitions is stated, or they would be joined into one.
-    texts = (keyed.join(_small(places.select(F.col("k").alias("pk"), F.col("h").alias("ph"), "places"), places.count()),
-                        F.col("k").eqNullSafe(F.col("pk")) & (F.col("h") == F.col("ph"))).select("k", "h", "t", "places")
+    texts = (keyed.join(_small(places.select(F.col("k").alias("pk"), F.col("h").alias("ph"), "runs"), places.count()),
+                        F.col("k").eqNullSafe(F.col("pk")) & (F.col("h") == F.col("ph"))).select("k", "h", "t", "runs")
              .repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "k", "h").dropDuplicates(["k", "h"]))
-    cut = texts.select("k", "h", "places", words(F.col("t")).alias("w")).select("k", "h", "places", shingles(F.col("w"), k).alias("all"))
+    cut = texts.select("k", "h", "runs", words(F.col("t")).alias("w")).select("k", "h", "runs", shingles(F.col("w"), k).alias("all"))
+    # A window that would end behind the text begins earlier, by less than the longest item.
+    low = lambda r: F.greatest(r["run"] * run_words - most, F.lit(0))                                                # noqa: E731
+    cut = cut.select("k", "h", F.size("all").alias("n"), F.explode(F.transform("runs", lambda r: F.struct(
+        low(r).alias("low"), r["places"].alias("places"), F.slice("all", low(r) + 1, F.lit(run_words + 2 * most)).alias("own")))).alias("r"))
+    cut = cut.select("k", "h", "n", "r.low", "r.places", "r.own")
     # Length and start in one long: longs are made distinct by hash, structs by comparing each with all.
     window = F.transform("places", lambda p: F.shiftleft(p["m"].cast("long"), 32).bitwiseOR(
-        F.greatest(F.least(p["start"], F.size("all") - p["m"]), F.lit(0)).cast("long")))
-    windows = (cut.select("k", "h", "all", F.explode(F.array_distinct(window)).alias("p"))
-               .select("k", "h", "all", F.shiftright("p", 32).cast("int").alias("m"), F.col("p").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("start"))
-               .select("k", "h", "m", "start", F.slice("all", F.col("start") + 1, F.col("m")).alias("part"))
+        F.greatest(F.least(p["start"], F.col("n") - p["m"]), F.lit(0)).cast("long")))
+    windows = (cut.select("k", "h", "low", "own", F.explode(F.array_distinct(window)).alias("p"))
+               .select("k", "h", "low", "own", F.shiftright("p", 32).cast("int").alias("m"), F.col("p").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("start"))
+               .select("k", "h", "m", "start", F.slice("own", F.col("start") - F.col("low") + 1, F.col("m")).alias("part"))
                .withColumn("fp", fingerprint(F.col("part"), most)).checkpoint())
     # The items' blocks under all near values, and the windows' blocks.
     flips = [0, *(sum(1 << b for b in bits) for n in range(1, NEAR + 1) for bits in combinations(range(BLOCK_BITS), n))]

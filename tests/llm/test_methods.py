@@ -176,3 +176,20 @@ def test_pipeline_rows_follow_from_its_stages(spark):
     assert 0 < len(out) < 200 and list(out.columns) == ["doc_id", "size", "source_size", "target", "taken"] and out.doc_id.is_unique
     leaked = {r["doc_id"] for r in Q.op8_decontaminate(spark, small).collect()}
     assert not leaked & set(out.doc_id)
+
+
+def test_windows_across_runs_of_a_long_text(spark, monkeypatch):
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(30)]
+    def filler(n):
+        return [f"f{rng.randrange(10**6)}" for _ in range(n)]
+    items = spark.createDataFrame([(0, " ".join(words)), (1, "x y"), (2, " ".join(words[5:19]))], "item_id long, text string")
+    texts = {1: filler(57) + words + filler(90), 2: filler(64) + words, 3: filler(63) + words[:-2], 4: words[3:], 5: ["x", "y"] * 300, 6: filler(200), 7: words * 9}
+    docs = spark.createDataFrame([(k, " ".join(v)) for k, v in texts.items()], "doc_id long, text string")
+    def rows():
+        return sorted(tuple(r) for r in decontaminate.leaks(docs, items).collect())
+    whole = rows()
+    assert {(r[0], r[1], r[2]) for r in whole} >= {(1, 0, 57), (1, 2, 62), (2, 0, 64), (5, 1, 0), (7, 0, 0)} and 6 not in {r[0] for r in whole}
+    assert {(r[0], r[1]) for r in whole} >= {(3, 0), (4, 0), (7, 2)}
+    monkeypatch.setattr(decontaminate, "RUN_WORDS", 1)
+    assert rows() == whole
