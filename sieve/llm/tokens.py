@@ -50,52 +50,73 @@ def load_vocabulary(path: str, scores: str = "zipf") -> Vocabulary:
 
 
 class Trie:
-    """Nodes are [children, forward score, tokens, unknown at the end]."""
+    """Nodes are numbers from 0, the root; ``child`` maps node and character to
+    node, and each node has its forward score, tokens and whether it ends in an
+    unknown character. Plain numbers in a few long lists, rather than objects
+    for each node, keep a large trie small and cheap to build."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
-        # Lengths, longest first, of the pieces that end in two given characters: only these are looked up.
+        # Lengths, longest first, of the pieces that end in three given characters: of longer pieces only these are looked up.
         ends: dict[str, set[int]] = {}
         for piece in vocabulary.scores:
-            if len(piece) > 1:
-                ends.setdefault(piece[-2:], set()).add(len(piece))
-        self.lengths = {end: sorted(own, reverse=True) for end, own in ends.items()}
+            if len(piece) > 2:
+                ends.setdefault(piece[-3:], set()).add(len(piece))
+        self.lengths = {end: tuple(sorted(own, reverse=True)) for end, own in ends.items()}
         self.clear()
 
     def clear(self) -> None:
-        self.root, self.nodes = [{}, 0.0, 0, False], 1
+        self.child: dict[int, int] = {}
+        self.score, self.tokens, self.unknown = [0.0], [0], bytearray(1)
+
+    @property
+    def nodes(self) -> int:
+        return len(self.score)
 
     def count(self, word: str) -> int:
         """Tokens of the pre-token: inserts it, computing what is new. Of equal
         scores the longest last piece wins. An unknown character costs its
         UTF-8 bytes with byte fallback; without it a run of them costs one."""
-        node, path = self.root, [self.root]
-        for end, char in enumerate(word, 1):
-            after = node[0].get(char)
+        child, node, path = self.child, 0, [0]
+        for char in word:
+            after = child.get(node << 21 | ord(char))
             if after is None:
-                after = node[0][char] = self._forward(path, word, end)
-                self.nodes += 1
+                return self._insert(word, path)
             path.append(after)
             node = after
-        return node[2]
-
-    def _forward(self, path: list, word: str, end: int) -> list:
-        v = self.vocabulary
-        scores = v.scores
-        best, tokens, unknown = -math.inf, 0, False
-        for n in self.lengths.get(word[end - 2:end], ()) if end > 1 else ():
-            if n <= end and (piece := scores.get(word[end - n:end])) is not None:
-                before = path[end - n]
-                if before[1] + piece > best:
-                    best, tokens = before[1] + piece, before[2] + 1
-        piece = scores.get(word[end - 1])
-        if piece is not None and path[end - 1][1] + piece > best:
-            best, tokens = path[end - 1][1] + piece, path[end - 1][2] + 1
-        if piece is None and path[end - 1][1] + v.unknown > best:
-            before = path[end - 1]
-            best, unknown = before[1] + v.unknown, True
-            tokens = before[2] + (len(word[end - 1].encode()) if v.byte_fallback else int(not before[3]))
-        return [{}, best, tokens, unknown]
+        return self.tokens[node]
+
+    def _insert(self, word: str, path: list[int]) -> int:
+        """Adds the nodes beyond ``path``, those of the known prefix, with the
+        forward step of each: over the pieces that end there."""
+        lengths, piece_score, child = self.lengths.get, self.vocabulary.scores.get, self.child
+        fallback, least, none = self.vocabulary.byte_fallback, self.vocabulary.unknown, -math.inf
+        all_scores, all_tokens, all_unknown = self.score, self.tokens, self.unknown
+        score, tokens = [all_scores[i] for i in path], [all_tokens[i] for i in path]
+        node, after, start = path[-1], len(all_scores), len(path)
+        for end in range(start, len(word) + 1):
+            best, count, strange, i = none, 0, 0, end - 1
+            if i > 1:
+                for n in lengths(word[end - 3:end], ()):
+                    if n <= end and (piece := piece_score(word[end - n:end])) is not None and (piece := piece + score[end - n]) > best:
+                        best, count = piece, tokens[end - n] + 1
+            if i and (piece := piece_score(word[end - 2:end])) is not None and (piece := piece + score[end - 2]) > best:
+                best, count = piece, tokens[end - 2] + 1
+            char = word[i]
+            if (piece := piece_score(char)) is not None:
+                if (piece := piece + score[i]) > best:
+                    best, count = piece, tokens[i] + 1
+            elif least + score[i] > best:
+                best, strange = least + score[i], 1
+                count = tokens[i] + (len(char.encode()) if fallback else 1 - all_unknown[node])
+            child[node << 21 | ord(char)] = node = after
+            after += 1
+            score.append(best)
+            tokens.append(count)
+            all_unknown.append(strange)
+        all_scores += score[start:]
+        all_tokens += tokens[start:]
+        return tokens[-1]
 
 
 def count_tokens(docs: DataFrame, vocabulary: Vocabulary, text: str = "text") -> Column:
