@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from sieve.llm.common import pieces
 
 SPACE = "▁"
-NODES_MOST = 400_000       # of a task's trie; beyond it starts anew, which loses only time
+NODES_MOST = 1_000_000     # of a task's trie, some 200 bytes each; beyond it starts anew, which loses only time
 UNKNOWN_GAP = 10.0         # an unknown character scores so much less than the least piece
 
 
