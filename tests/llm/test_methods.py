@@ -6,11 +6,13 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline as P
-from sieve.llm import decontaminate, licenses, mixing, secrets, simhash, tokens
+from sieve.llm import decontaminate, licenses, mixing, permutation, secrets, simhash, tokens
 from sieve.llm import queries as Q
 
 SF = "/root/testdata/sf0.01"
@@ -81,6 +83,29 @@ def test_search_recall(spark):
     assert hits >= 0.9 * 20 * (ids % 20 == 0).sum()
 
 
+def test_search_recall_on_unequal_lengths(spark):
+    """Files of about 1,900 vectors, well over KEEP_LEAST, where all are in one band."""
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(20_000, 64))
+    v *= (np.exp(rng.normal(size=len(v))) / np.linalg.norm(v, axis=1))[:, None]
+    rows = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(v)), "embedding": list(v)}))
+    got = permutation.search(rows, F.col("vec_id") % 500 == 0, k=20).toPandas()
+    hits = 0
+    for q in range(0, len(v), 500):
+        s = v @ v[q]
+        s[q] = -np.inf
+        own = got[got.query_id == q]
+        assert sorted(own["rank"]) == list(range(1, 21))
+        hits += len(set(np.argsort(-s)[:20]) & set(own.vec_id))
+    assert hits >= 0.95 * 20 * 40, hits / 800
+
+
+def test_bands_of_length():
+    least = permutation.BAND_LEAST
+    assert permutation._starts([(0, 9)]) == [0]
+    assert permutation._starts([(0, 1), (3, least - 1), (4, 1), (9, least), (12, 1)]) == [0, 4, 9, 12]
+
+
 def test_token_counts_against_a_unigram_model(spark, docs):
     from tokenizers import Tokenizer, models
     vocabulary = tokens.load_vocabulary(Q.TOKENIZER)
