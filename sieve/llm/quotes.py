@@ -2,8 +2,10 @@
 
 A message's lines carry nested quote levels as leading ">" marks. Runs of lines
 of one level make a passage. Passages, and all messages' own text line by line
-and paragraph by paragraph, are normalised and hashed, and a quoted passage is
-joined by its hash to the earliest message that said it. A message replies to
+and paragraph by paragraph, are normalised and hashed. A quoted passage is hashed
+whole, by paragraph and by line too, and joined to the messages that said any of
+these; of them the one that holds most of its lines is its source, ties to the
+earliest. A message replies to
 the source of its shallowest linked passage; without one it begins a thread. A
 conversation in reply order is its rows by (thread, turn): thread after thread,
 every message behind the one it replies to, and none with quotes.
@@ -32,13 +34,14 @@ def _parsed(text: Column) -> Column:
 
 
 def _runs(lines: Column) -> Column:
-    """Array of (level, said): neighbouring lines of one level joined by spaces."""
+    """Array of (level, said, lines): neighbouring lines of one level joined by spaces, and by themselves."""
     at = F.sequence(F.lit(0), F.size(lines) - 1)
     starts = F.filter(at, lambda i: (i == 0) | (F.get(lines, i)["level"] != F.get(lines, i - 1)["level"]))
     ends = F.concat(F.slice(starts, 2, F.size(starts)), F.array(F.size(lines)))
-    return F.transform(F.arrays_zip(starts.alias("a"), ends.alias("b")), lambda r: F.struct(
+    said = F.transform(F.arrays_zip(starts.alias("a"), ends.alias("b")), lambda r: F.struct(
         F.get(lines, r["a"])["level"].alias("level"),
-        F.array_join(F.transform(F.slice(lines, r["a"] + 1, r["b"] - r["a"]), lambda x: x["said"]), " ").alias("said")))
+        F.transform(F.slice(lines, r["a"] + 1, r["b"] - r["a"]), lambda x: x["said"]).alias("lines")))
+    return F.transform(said, lambda r: F.struct(r["level"].alias("level"), F.array_join(r["lines"], " ").alias("said"), r["lines"].alias("lines")))
 
 
 def normalised(said: Column) -> Column:
@@ -46,15 +49,56 @@ def normalised(said: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(said), r"[^\p{L}\p{N}]+", " "))
 
 
+def _worded(lines: Column) -> Column:
+    """The lines' normalised forms, those without words left out."""
+    return F.filter(F.transform(lines, normalised), lambda x: x != "")
+
+
+def _sources_of(quoted: DataFrame, said: DataFrame) -> DataFrame:
+    """``c, t, at, run, source_turn`` of the passages that have a source.
+
+    A passage of one line goes to the earliest message that said it, so one row
+    a line meets these. Longer ones meet all earlier messages that said one of
+    their pieces, as lines are counted by message.
+    """
+    key = ["c", "t", "at", "run"]
+    runs = quoted.select(*key, "lines", _worded(F.col("lines")).alias("worded")).dropDuplicates(key)
+    one = runs.where(F.size("worded") == 1).select(*key, F.col("worded")[0].alias("norm"))
+    many = runs.where(F.size("worded") > 1).withColumn("n", F.size("worded"))
+    # A piece: its paragraph (-1: the whole passage), how many lines it has, and whether it is one line of a paragraph.
+    whole = many.select(*key, F.lit(-1).alias("par"), F.col("n").alias("held"), F.lit(False).alias("line"), F.array_join("worded", " ").alias("norm"))
+    pars = (many.select(*key, "n", F.posexplode(F.split(F.array_join("lines", "\n"), r"\n\s*\n")).alias("par", "text"))
+            .select(*key, "n", "par", _worded(F.split("text", "\n")).alias("worded")))
+    par = (pars.where((F.size("worded") > 1) & (F.size("worded") < F.col("n")))
+           .select(*key, "par", F.size("worded").alias("held"), F.lit(False).alias("line"), F.array_join("worded", " ").alias("norm")))
+    line = pars.select(*key, "par", F.lit(1).alias("held"), F.lit(True).alias("line"), F.explode("worded").alias("norm"))
+
+    def met(pieces: DataFrame, by: DataFrame) -> DataFrame:
+        q, s = pieces.withColumn("hash", F.xxhash64("norm")).alias("q"), by.alias("s")
+        hit = (F.col("q.c").eqNullSafe(F.col("s.c")) & (F.col("q.hash") == F.col("s.hash")) & (F.col("q.norm") == F.col("s.norm")) & (F.col("s.source_turn") < F.col("q.t")))
+        return q.join(s, hit).select("q.*", "s.source_turn")
+
+    earliest = said.groupBy("c", "hash", "norm").agg(F.min("source_turn").alias("source_turn"))
+    found = met(whole.unionByName(par).unionByName(line), said.distinct())
+    # A paragraph said as a whole holds all of its lines, the whole passage those of all paragraphs.
+    by_par = found.groupBy(*key, "source_turn", "par").agg(F.greatest(F.sum(F.when(F.col("line"), F.col("held"))), F.max(F.when(~F.col("line"), F.col("held")))).alias("held"))
+    by_source = by_par.groupBy(*key, "source_turn").agg(F.greatest(F.sum(F.when(F.col("par") >= 0, F.col("held"))), F.max(F.when(F.col("par") < 0, F.col("held")))).alias("held"))
+    most = by_source.groupBy(*key).agg(F.min(F.struct((-F.col("held")).alias("held"), "source_turn"))["source_turn"].alias("source_turn"))
+    return met(one, earliest).select(*key, "source_turn").unionByName(most)
+
+
 def link_quotes(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", text: str = "text") -> DataFrame:
-    """``conv, turn, level, passage, source_turn``: every quoted passage with
-    words, and the earliest other message of its conversation that said it as
-    its own (unquoted) line, paragraph or whole text; null where none did.
-
-    Passages whose normalised form is empty are no passages. A level-n passage
-    links to the message that wrote it first, not to those that quoted it. A
-    message repeated in conversation and turn counts as one message that said
-    all of its rows' texts.
+    """``conv, turn, at, level, passage, source_turn``: every quoted passage with
+    words, and the earlier message of its conversation that holds most of its
+    lines among its own (unquoted) ones, ties to the earliest; null where none
+    holds any. Lines that a message said as a paragraph or whole text of its own
+    count as held however they are broken; a part of a paragraph must keep its
+    lines.
+
+    Passages whose normalised form is empty are no passages, and lines without
+    words count for nothing. A level-n passage links to the message that wrote
+    it, not to those that quoted it. A message repeated in conversation and turn
+    counts as one message that said all of its rows' texts.
     """
     rows = messages.select(F.col(conv).alias("c"), F.col(turn).alias("t"), _parsed(F.col(text)).alias("lines"))
     runs = rows.select("c", "t", "lines", _runs(F.col("lines")).alias("runs"))
@@ -64,16 +108,16 @@ def link_quotes(messages: DataFrame, conv: str = "conv_id", turn: str = "turn",
         F.array_union(F.split(F.array_join(F.transform(own, lambda x: x["said"]), "\n"), r"\n\s*\n"),
                       F.array(F.array_join(F.transform(own, lambda x: x["said"]), " ")))))
     quoted = (runs.select("c", "t", F.posexplode(F.filter("runs", lambda x: x["level"] > 0)).alias("at", "run"))
-              .select("c", "t", "at", F.col("run.level").alias("level"), F.col("run.said").alias("passage"))
-              .withColumn("norm", normalised(F.col("passage"))).where("norm <> ''").withColumn("hash", F.xxhash64("norm")))
+              .select("c", "t", "at", F.col("run.level").alias("level"), F.col("run.said").alias("passage"), F.col("run.lines").alias("lines"))
+              .where(normalised(F.col("passage")) != "").withColumn("run", F.xxhash64("level", "lines")))
     # Only what conversations with quotes said is hashed.
     quoting = quoted.select("c").distinct()
-    sources = (runs.join(quoting, runs["c"].eqNullSafe(quoting["c"]), "left_semi").select("c", "t", F.explode(said).alias("s"))
+    sources = (runs.join(quoting, runs["c"].eqNullSafe(quoting["c"]), "left_semi").select("c", F.col("t").alias("source_turn"), F.explode(said).alias("s"))
                .withColumn("norm", normalised(F.col("s"))).where("norm <> ''")
-               .groupBy("c", F.xxhash64("norm").alias("hash"), "norm").agg(F.min("t").alias("source_turn")))
-    q, s = quoted.alias("q"), sources.alias("s")
-    hit = (F.col("q.c").eqNullSafe(F.col("s.c")) & (F.col("q.hash") == F.col("s.hash")) & (F.col("q.norm") == F.col("s.norm")) & (F.col("s.source_turn") < F.col("q.t")))
-    return q.join(s, hit, "left").select(F.col("q.c").alias(conv), F.col("q.t").alias(turn), "q.at", "q.level", "q.passage", "s.source_turn")
+               .select("c", "source_turn", F.xxhash64("norm").alias("hash"), "norm"))
+    q, s = quoted.alias("q"), _sources_of(quoted, sources).alias("s")
+    same = F.col("q.c").eqNullSafe(F.col("s.c")) & (F.col("q.t") == F.col("s.t")) & (F.col("q.at") == F.col("s.at")) & (F.col("q.run") == F.col("s.run"))
+    return q.join(s, same, "left").select(F.col("q.c").alias(conv), F.col("q.t").alias(turn), "q.at", "q.level", "q.passage", "s.source_turn")
 
 
 def unquoted(text: Column) -> Column:

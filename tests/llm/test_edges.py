@@ -122,6 +122,19 @@ def test_quotes(spark):
     assert quotes.reply_ordered(m.limit(0)).count() == 0
 
 
+def test_quotes_of_a_part(spark):
+    text = "One is here.\nTwo is here.\nThree is here.\nFour is here."
+    pars = "First\nparagraph.\n\nSecond\nparagraph.\n\nThird one."
+    rows = [(0, "Two is here."), (1, text), (2, pars), (3, "> Two is here.\n> Three is here.\nA"), (4, "> First paragraph.\n>\n> Second\n> paragraph.\nB"),
+            (5, ">> Two is here.\n>> Three is here.\n> A\nC"), (6, "> Two is here.\nD"), (7, "> Three is here.\n> Nobody said it.\nE"),
+            (8, "> Third one.\n> One is here.\n> Two is here.\nF"), (9, "> Nobody\n> at all\nG"), (9, "> Four is here.\n> A\n>\n> Three is here.\nG")]
+    m = spark.createDataFrame([(c, t, "u", x) for c in (1, None) for t, x in rows], "conv_id long, turn long, role string, text string")
+    got = {(r["conv_id"], r["turn"]): (r["reply_to"], r["thread"], r["depth"], r["n_quotes"], r["n_linked"]) for r in quotes.reply_ordered(m).collect()}
+    expected = {0: (None, 0, 0, 0, 0), 1: (None, 1, 0, 0, 0), 2: (None, 2, 0, 0, 0), 3: (1, 1, 1, 1, 1), 4: (2, 2, 1, 1, 1), 5: (3, 1, 2, 2, 2),
+                6: (0, 0, 1, 1, 1), 7: (1, 1, 1, 1, 1), 8: (1, 1, 1, 1, 1), 9: (1, 1, 1, 2, 1)}
+    assert got == {(c, t): v for c in (1, None) for t, v in expected.items()}
+
+
 def test_stages(spark, docs, none, labels, items, tmp_path):
     labels.write.parquet(str(tmp_path / "labels.parquet"))
     items.write.parquet(str(tmp_path / "benchmark.parquet"))
