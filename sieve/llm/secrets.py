@@ -31,6 +31,16 @@ class Rule:
     base: bool = False
 
 
+# A private key from its BEGIN line on: header lines, then all up to the END line, or where
+# that is missing the base64 lines: any number that begin their line, 61 indented or quoted
+# ones, of 16 characters at least but for a padded last one. Escaped line ends and quote marks may stand between. No
+# repeated group is unbounded, as Java recurses into these; classes alone run on.
+_PEM = (r"""-----BEGIN (?:RSA |EC |OPENSSH |DSA |ENCRYPTED |PGP )?PRIVATE KEY(?: BLOCK)?-----"""
+        r"""(?:[\r\n\\][\x20\t\r\n\\>]*[A-Za-z][A-Za-z-]{2,}:\x20[^\r\n\\]{0,110}){0,8}"""
+        r"""(?:[^-]*-----END (?:RSA |EC |OPENSSH |DSA |ENCRYPTED |PGP )?PRIVATE KEY(?: BLOCK)?-----"""
+        r"""|[\x20\t\r\n\\>]{0,80}[A-Za-z0-9+/=\r\n\\]*[A-Za-z0-9+/=]{16,}(?:[\x20\t\r\n\\>]+[A-Za-z0-9+/=]{16,}){0,60}"""
+        r"""(?:[\x20\t\r\n\\>]+[A-Za-z0-9+/]+={1,2})?(?:[\x20\t\r\n\\>]+=[A-Za-z0-9+/]{4})?)?""")
+
 # The three kinds of the contract, then shapes that issuers document.
 RULES = (
     Rule("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6, True),
@@ -41,7 +51,7 @@ RULES = (
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"),
-    Rule("pem", r"-----BEGIN (?:RSA |EC |OPENSSH |DSA )?PRIVATE KEY-----"),
+    Rule("pem", _PEM),
 )
 
 
