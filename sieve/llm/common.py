@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import warnings
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,6 +41,9 @@ def pieces(data: bytes, size: int = PIECE_BYTES) -> Iterator[bytes]:
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, usable: Column, rows: int, chars: int) -> DataFrame:
     """``doc_id, text, label`` of at most ``rows`` labelled documents with at
     most ``chars`` characters together, first in the order of a hash of the id.
+    A text that does not fit what is left of ``chars`` is passed over, and texts
+    longer than ``chars`` do not count towards ``rows``. Warns if fewer than two
+    classes are among the rows chosen.
 
     ``usable`` filters on ``doc_id``. Null labels and ids take no part; of
     repeated ids the largest label and the smallest text count. Only ids and
@@ -50,13 +54,14 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, usable: Column
     marked = (labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & usable)
               .groupBy("doc_id").agg(F.max(label).cast("int").alias("label")))
     sizes = docs.where(F.col("doc_id").isNotNull() & usable).groupBy("doc_id").agg(F.max(F.coalesce(F.length("text"), F.lit(0))).alias("n"))
-    first = marked.join(sizes, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).collect()
+    first = marked.join(sizes, "doc_id").where(F.col("n") <= chars).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).collect()
     chosen, total = [], 0
     for r in first:
-        total += r["n"]
-        if total > chars:
-            break
-        chosen.append((r["doc_id"], r["label"]))
+        if total + r["n"] <= chars:
+            total += r["n"]
+            chosen.append((r["doc_id"], r["label"]))
+    if len({x for _, x in chosen}) < 2:
+        warnings.warn(f"the training sample of {len(chosen)} rows does not hold both classes of {label}", stacklevel=2)
     ids = spark.createDataFrame(chosen, "doc_id long, label int")
     return (docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
             .groupBy("doc_id", "label").agg(F.min("text").alias("text")))

@@ -51,6 +51,19 @@ def test_classifiers(docs, none, labels):
     assert module.classify(docs, labels.limit(0), label, F.lit(True)).count() == len(ROWS)
 
 
+def test_training_rows_pass_over_texts_that_do_not_fit(spark):
+    ids = [r["i"] for r in spark.range(8).select(F.col("id").alias("i")).orderBy(F.xxhash64("i"), "i").collect()]
+    sizes = dict(zip(ids, [101, 60, 50, 30, 101, 10, 1, 5]))       # in the order of the hash
+    docs = spark.createDataFrame([(i, "x" * n) for i, n in sizes.items()], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, at % 2) for at, i in enumerate(ids)], "doc_id long, quality int")
+    def chosen(rows, labels=labels):
+        return {r["doc_id"] for r in common.training_rows(docs, labels, "quality", F.lit(True), rows, 100).collect()}
+    assert chosen(100) == {ids[1], ids[3], ids[5]}
+    assert chosen(3) == {ids[1], ids[3]}
+    with pytest.warns(UserWarning, match="both classes"):
+        chosen(100, labels.where("quality = 0"))
+
+
 def test_simhash(docs, none):
     got = simhash.near_duplicates(docs).collect()
     assert len(got) == len(ROWS)
