@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieve.llm import decontaminate, licenses, mixing, permutation, quality, quotes, rules, secrets, simhash, tokens, toxicity, variants
+from sieve.llm import decontaminate, divergence, licenses, mixing, permutation, quality, quotes, rules, secrets, simhash, tokens, toxicity, variants
 from sieve.llm.common import crc_mod, read
 
 
@@ -65,8 +65,13 @@ def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels").where(F.col("quality") == 1))
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality, op2_toxicity, op3_quotes, op4_permutation_index, op5_trie_tokens,
     op6_simhash, op7_licenses, op8_decontaminate, op9_secrets, op10_mixing,
-    op11_spelling_variants, op12_quality_rules)}
-ORACLE_SQL = {"op9_secrets": secrets.ORACLE_SQL, "op11_spelling_variants": variants.ORACLE_SQL, "op12_quality_rules": rules.ORACLE_SQL}
+    op11_spelling_variants, op12_quality_rules, op13_source_divergence)}
+ORACLE_SQL = {"op9_secrets": secrets.ORACLE_SQL, "op11_spelling_variants": variants.ORACLE_SQL, "op12_quality_rules": rules.ORACLE_SQL,
+              "op13_source_divergence": divergence.ORACLE_SQL}
