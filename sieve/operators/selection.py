@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from sieve.operators.sampling import global_topk
 from sieve.operators.similarity import TargetMatrix, cosine_scores, mean_scores_fused, rank_order, target_matrix, topk_per_target
 
+DEPTH_SHARE = 2             # the first list depth tried is so many times k / targets
 METHODS = ("min", "max", "mean_min", "mean_max", "normalized_mean_min", "normalized_mean_max")
 
 
@@ -89,9 +90,14 @@ def _no_picks(spark) -> DataFrame:
     return spark.createDataFrame([], "src int, pool_id bigint, round int, target_id bigint, score double, sel_rank bigint")
 
 
-def _round_robin(scores_at, longest, k: int, largest: bool, allow: DataFrame | None, salt_buckets: int | None) -> DataFrame:
+def _round_robin(scores_at, longest, n_targets: int, k: int, largest: bool, allow: DataFrame | None, salt_buckets: int | None) -> DataFrame:
     """``scores_at(depth)`` holds at least every target's best ``depth`` rows;
-    ``longest()`` is no less than the length of the longest list."""
+    ``longest()`` is no less than the length of the longest list.
+
+    The lists are ranked to a depth that grows from below. Once k first picks lie
+    within a depth they are final: what lies deeper is popped in later rounds.
+    The first depth gives each target twice its share of k, so with many targets
+    lists stay far shorter than k."""
     def attempt(depth: int) -> DataFrame:
         ranked = topk_per_target(scores_at(depth), depth, largest=largest, salt_buckets=salt_buckets)
         if not largest:
@@ -99,10 +105,8 @@ def _round_robin(scores_at, longest, k: int, largest: bool, allow: DataFrame | N
         ranked = _restrict(ranked, allow)
         return first_picks(ranked)
 
-    if largest:
-        return order_first_picks(attempt(k), k)
-
-    depth, most = k, None
+    # ``max`` cuts every list at k before the turns start
+    depth, most = min(k, math.ceil(DEPTH_SHARE * k / max(1, n_targets))), k if largest else None
     while True:
         # at most targets x depth rows: written once to the checkpoint folder,
         # so the count and the numbering below do not score the pool again
@@ -123,15 +127,14 @@ def select_round_robin(scores: DataFrame, k: int, largest: bool = True, allow: D
 
     ``max`` cuts every list at K before the turns start, as the reference does,
     so rows removed by the allow-list are not replaced and fewer than K can come
-    back. ``min`` has no pre-cut: the list depth needed is found by widening
-    (exactly: once K first picks sit within depth R, no deeper element can
-    precede them), with infinite scores and disallowed rows using up turns.
+    back. ``min`` has no pre-cut. In both the list depth needed is found by
+    widening from below, with infinite scores and disallowed rows using up turns.
     """
     if k <= 0:
         return _no_picks(scores.sparkSession)
     scores = drop_invalid_ids(scores)
     return _round_robin(lambda depth: scores, lambda: scores.groupBy("target_id").count().agg(F.max("count")).first()[0] or 0,
-                        k, largest, allow, salt_buckets)
+                        scores.select("target_id").distinct().count(), k, largest, allow, salt_buckets)
 
 
 def select_round_robin_from_pool(pool: DataFrame, targets, k: int, largest: bool = True, allow: DataFrame | None = None,
@@ -145,7 +148,7 @@ def select_round_robin_from_pool(pool: DataFrame, targets, k: int, largest: bool
     pool = pool.filter(F.col(columns.get("pool_id", "pool_id")) != -1)
     tm = targets if isinstance(targets, TargetMatrix) else target_matrix(targets)
     return _round_robin(lambda depth: cosine_scores(pool, tm, mode="topk", k=depth, largest=largest, **columns), pool.count,
-                        k, largest, allow, None)
+                        len(tm.ids), k, largest, allow, None)
 
 
 # --------------------------------------------------------------------------

@@ -12,7 +12,10 @@ Output modes of the Arrow scan:
 * ``topk``  – a running best ``k`` per target over the whole partition (ties
   broken by ``(src, pool_id)``). Candidates are held in a buffer of bounded size;
   when it fills with rows that are all still needed it is emitted, and later rows
-  must beat the k-th score reached so far;
+  must beat the k-th score reached so far. For large ``k`` a first scan counts
+  scores per target into bins; the bin that holds the k-th best of the whole pool
+  gives a cut-off for the second scan, so partitions of fewer than ``k`` rows are
+  reduced as well and about ``k`` rows per target leave the scan altogether;
 * ``mean``  – the mean score of each pool row over all targets (the mean of
   dot products equals the dot product with the mean target, but we average the
   individual scores to stay close to the reference's arithmetic).
@@ -38,6 +41,8 @@ TILE_BYTES = 32 * 1024 * 1024       # of one rows x targets block of scores insi
 TOPK_BUFFER_ROWS = 1 << 22          # candidates that a task holds, 32 bytes each
 EMIT_ROWS = 1 << 18                 # rows of one emitted record batch
 GROUP_PARTITIONS = 32               # partitions whose survivors are ranked in one task
+CUTOFF_LEAST_K = 2048               # from this k on a histogram scan goes ahead of the top-k scan
+CUTOFF_BINS, CUTOFF_CELLS = 2048, 1 << 22       # bins per target, and bins of all targets in a task (8 bytes each)
 
 
 class TooLargeToBroadcast(ValueError):
@@ -118,11 +123,12 @@ class _RunningTopk:
     for each target a key that k rows seen so far reach, so a larger key can't
     be among the best k; a row that equals it must also come no later than
     ``cut_src, cut_pid``, which are known after the buffer has been reduced.
-    NaN scores take no part."""
+    NaN scores take no part. ``cut`` may start from keys that k rows of the
+    whole pool are known to reach."""
 
-    def __init__(self, n_targets: int, k: int, largest: bool, most: int):
+    def __init__(self, n_targets: int, k: int, largest: bool, most: int, cut: np.ndarray | None = None):
         self.k, self.largest, self.most = k, largest, most
-        self.cut = np.full(n_targets, np.inf)
+        self.cut = np.full(n_targets, np.inf) if cut is None else cut.copy()
         self.cut_src = np.full(n_targets, np.iinfo(np.int32).max, np.int32)
         self.cut_pid = np.full(n_targets, np.iinfo(np.int64).max, np.int64)
         self.parts: list[tuple] = []
@@ -178,13 +184,18 @@ class _RunningTopk:
         return self.drain()
 
 
+def _bins(n_targets: int) -> int:
+    return max(2, min(CUTOFF_BINS, CUTOFF_CELLS // max(1, n_targets)))
+
+
 MEAN_SCHEMA = "src int, pool_id bigint, score double, n_targets bigint"
 BOUNDS_SCHEMA = "target_id bigint, lo double, hi double"
+BINS_SCHEMA = "target_id bigint, counts array<double>"
 
 
 def _scan(pool: DataFrame, ids_bc, mat_bc, *, mode: str, k: int, largest: bool, normalise: bool,
-          vec_col: str, src_col: str, id_col: str, d: int, bounds_bc=None) -> DataFrame:
-    out_schema = {"mean": MEAN_SCHEMA, "normmean": MEAN_SCHEMA, "bounds": BOUNDS_SCHEMA}.get(mode, SCORE_SCHEMA)
+          vec_col: str, src_col: str, id_col: str, d: int, bounds_bc=None, cut_bc=None, scale: float = 1.0) -> DataFrame:
+    out_schema = {"mean": MEAN_SCHEMA, "normmean": MEAN_SCHEMA, "bounds": BOUNDS_SCHEMA, "bins": BINS_SCHEMA}.get(mode, SCORE_SCHEMA)
 
     tile, buffer = TILE_BYTES, TOPK_BUFFER_ROWS
 
@@ -193,8 +204,10 @@ def _scan(pool: DataFrame, ids_bc, mat_bc, *, mode: str, k: int, largest: bool,
         T = mat_bc.value
         lo_hi = bounds_bc.value if bounds_bc is not None else None
         step = max(1, tile // max(8, 8 * len(tids)))      # rows whose scores fit a tile
-        best = _RunningTopk(len(tids), k, largest, buffer) if mode == "topk" else None
+        best = _RunningTopk(len(tids), k, largest, buffer, cut_bc.value if cut_bc is not None else None) if mode == "topk" else None
         bounds = None
+        bins = _bins(len(tids))
+        cells = np.zeros(len(tids) * bins, np.int64) if mode == "bins" else None
 
         def emit(parts):
             for col, src, pid, key in parts:
@@ -219,6 +232,11 @@ def _scan(pool: DataFrame, ids_bc, mat_bc, *, mode: str, k: int, largest: bool,
                 pid = b.column("pool_id").to_numpy(zero_copy_only=False).astype(np.int64)
                 if mode == "topk":
                     yield from emit(best.add(S, src, pid))
+                elif mode == "bins":
+                    key = np.negative(S) if largest else S
+                    at = np.clip((key + scale) * (bins / (2 * scale)), 0, bins - 1)
+                    at, col = at[ok := ~np.isnan(at)].astype(np.int64), np.nonzero(ok)[1]
+                    cells += np.bincount(col * bins + at, minlength=len(cells))
                 elif mode == "bounds":
                     lo, hi = S.min(axis=0), S.max(axis=0)
                     bounds = (lo, hi) if bounds is None else (np.minimum(bounds[0], lo), np.maximum(bounds[1], hi))
@@ -235,6 +253,12 @@ def _scan(pool: DataFrame, ids_bc, mat_bc, *, mode: str, k: int, largest: bool,
                         names=["target_id", "src", "pool_id", "score"])
         if best is not None:
             yield from emit(best.end())
+        if cells is not None and cells.any():
+            rows = max(1, EMIT_ROWS // bins)
+            for i in range(0, len(tids), rows):
+                part = cells[i * bins:(i + rows) * bins].astype(np.float64)
+                lists = pa.ListArray.from_arrays(np.arange(0, len(part) + 1, bins, dtype=np.int32), pa.array(part))
+                yield pa.RecordBatch.from_arrays([pa.array(tids[i:i + rows]), lists], names=["target_id", "counts"])
         if bounds is not None:
             yield pa.RecordBatch.from_arrays([pa.array(tids), pa.array(bounds[0]), pa.array(bounds[1])], names=["target_id", "lo", "hi"])
 
@@ -243,10 +267,32 @@ def _scan(pool: DataFrame, ids_bc, mat_bc, *, mode: str, k: int, largest: bool,
     return slim.mapInArrow(fn, out_schema)
 
 
+def _cutoffs(pool: DataFrame, ids: np.ndarray, ids_bc, mat_bc, scale: float, *, k: int, largest: bool, **scan) -> np.ndarray:
+    """For each target a key (the score, negated where the largest are wanted)
+    that at least ``k`` rows of the pool reach; infinite where there are fewer.
+
+    Every task counts its scores into bins between -scale and scale, one row per
+    target; these are summed by target, and the first bin whose running total
+    reaches k is found on the cluster. One number per target comes back. The
+    next bin's upper edge is taken, as scores may differ in the last bit between
+    two scans."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    bins = _bins(len(ids))
+    counts = _scan(pool, ids_bc, mat_bc, mode="bins", k=k, largest=largest, scale=scale, **scan)
+    total = counts.groupBy("target_id").agg(vector_to_array(Summarizer.sum(array_to_vector(F.col("counts")))).alias("counts"))
+    begun = F.struct(F.lit(0.0).alias("total"), F.lit(0).alias("below"))
+    found = F.aggregate("counts", begun, lambda a, n: F.struct((a["total"] + n).alias("total"), (a["below"] + (a["total"] + n < k).cast("int")).alias("below")))
+    below = {r["target_id"]: r["below"] for r in total.select("target_id", found["below"].alias("below")).collect()}     # one row per target
+    at = np.array([below.get(int(i), bins) for i in ids], np.float64)
+    return np.where(at >= bins, np.inf, (at + 2) * (2 * scale / bins) - scale)
+
+
 def cosine_scores(pool: DataFrame, targets, *, mode: str = "pairs", k: int = 0,
                   largest: bool = True, normalise: bool = True, pool_id: str = "pool_id",
                   src: str = "src", target_id: str = "target_id", vec: str = "vec",
-                  max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> DataFrame:
+                  max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES, cutoff: bool | None = None) -> DataFrame:
     """Score every pool row against every target (Arrow + NumPy path).
 
     ``targets`` is a DataFrame (``target_id``, ``vec``) or a prepared
@@ -254,7 +300,9 @@ def cosine_scores(pool: DataFrame, targets, *, mode: str = "pairs", k: int = 0,
     ``max_broadcast_bytes`` of target vectors; a larger (but driver-sized)
     target set is scored block by block, one pool scan per block.
     ``mode='topk'`` returns each partition's top-k candidates; feed the result to
-    :func:`topk_per_target` for the exact global per-target top-k.
+    :func:`topk_per_target` for the exact global per-target top-k. ``cutoff``
+    says whether a histogram scan goes ahead (default: from ``CUTOFF_LEAST_K``
+    on); it changes how many candidates come back, not the top-k among them.
     """
     if mode not in ("pairs", "topk", "mean", "bounds"):
         raise ValueError(mode)
@@ -269,9 +317,19 @@ def cosine_scores(pool: DataFrame, targets, *, mode: str = "pairs", k: int = 0,
         n = len(tm.ids)
         return mean_scores_fused(pool, tm, pool_id=pool_id, src=src, vec=vec).withColumn("n_targets", F.lit(n).cast("long"))
     sc = pool.sparkSession.sparkContext
-    parts = [_scan(pool, sc.broadcast(ids), sc.broadcast(mat), mode=mode, k=k, largest=largest,
-                   normalise=normalise, vec_col=vec, src_col=src, id_col=pool_id, d=tm.d)
-             for ids, mat in tm.blocks]
+    scan = dict(k=k, largest=largest, normalise=normalise, vec_col=vec, src_col=src, id_col=pool_id, d=tm.d)
+    ahead = mode == "topk" and (k >= CUTOFF_LEAST_K if cutoff is None else cutoff)
+    longest = 1.0
+    if ahead and not normalise:                            # |x . t| <= |x| |t|
+        v = V.as_double(F.col(vec))
+        longest = float(pool.agg(F.max(F.sqrt(V.dot(v, v)))).first()[0] or 0.0) or 1.0
+    parts = []
+    for ids, mat in tm.blocks:
+        ids_bc, mat_bc, cut_bc = sc.broadcast(ids), sc.broadcast(mat), None
+        if ahead:
+            scale = 1.0 if normalise else longest * float(np.sqrt(np.einsum("ij,ij->i", mat, mat)).max() or 1.0)
+            cut_bc = sc.broadcast(_cutoffs(pool, ids, ids_bc, mat_bc, scale if np.isfinite(scale) else np.finfo(np.float64).max / 4, **scan))
+        parts.append(_scan(pool, ids_bc, mat_bc, mode=mode, cut_bc=cut_bc, **scan))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -203,8 +203,7 @@ def join_domain_lookup(spark, sf):
     """Selected rows with their domain and first message (here: the document
     with the same id), as the quota bookkeeping looks them up."""
     pool = FX.pool_vectors(spark, sf)
-    cand = SIM.cosine_scores(pool, FX.target_vectors(spark, sf), mode="topk", k=QS.K_SELECT)
-    sel = S.select_round_robin(cand, QS.K_SELECT)
+    sel = S.select_round_robin_from_pool(pool, FX.target_vectors(spark, sf), QS.K_SELECT)
     d = FX.table(spark, sf, "documents").select(F.col("doc_id").alias("pool_id"),
                                                 T.strip(F.get(F.split("text", "\n"), 0)).alias("first_message"))
     return (sel.join(pool.select("src", "pool_id", "domain"), ["src", "pool_id"]).join(d, "pool_id")

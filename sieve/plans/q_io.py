@@ -169,8 +169,7 @@ FROM o JOIN embeddings e ON e.vec_id = o.pool_id WHERE o.sel_rank <= {q_select.K
 def snk_selected_rows(spark, sf):
     path = scratch(spark, "selected")
     pool = FX.pool_vectors(spark, sf)
-    cand = SIM.cosine_scores(pool, FX.target_vectors(spark, sf), mode="topk", k=q_select.K_SELECT)
-    sel = S.select_round_robin(cand, q_select.K_SELECT)
+    sel = S.select_round_robin_from_pool(pool, FX.target_vectors(spark, sf), q_select.K_SELECT)
     SK.write_selected_rows(sel, pool.drop("vec"), path)
     back = spark.read.json(path)
     return back.select("sel_rank", "pool_id", F.col("label").cast("int").alias("label"),
@@ -181,9 +180,8 @@ def snk_selected_rows(spark, sf):
 SELECT sel_rank, pool_id FROM o WHERE sel_rank <= {q_select.K_SELECT}""")
 def snk_selected_ids(spark, sf):
     path = scratch(spark, "ids")
-    cand = SIM.cosine_scores(FX.pool_vectors(spark, sf), FX.target_vectors(spark, sf), mode="topk",
-                             k=q_select.K_SELECT)
-    SK.write_selected_ids(S.select_round_robin(cand, q_select.K_SELECT), path)
+    sel = S.select_round_robin_from_pool(FX.pool_vectors(spark, sf), FX.target_vectors(spark, sf), q_select.K_SELECT)
+    SK.write_selected_ids(sel, path)
     return spark.read.json(path).select("sel_rank", "pool_id")
 
 

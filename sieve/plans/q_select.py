@@ -81,8 +81,7 @@ def _rr_out(df):
 
 @register("select_roundrobin_max", _rr_sql("DESC", K_SELECT) + f"SELECT {RR_COLS} FROM o WHERE sel_rank <= {K_SELECT}")
 def select_roundrobin_max(spark, sf):
-    cand = SIM.cosine_scores(FX.pool_vectors(spark, sf), FX.target_vectors(spark, sf), mode="topk", k=K_SELECT)
-    return _rr_out(S.select_round_robin(cand, K_SELECT, largest=True))
+    return _rr_out(S.select_round_robin_from_pool(FX.pool_vectors(spark, sf), FX.target_vectors(spark, sf), K_SELECT))
 
 
 @register("select_roundrobin_min", _rr_sql("ASC", K_SELECT, cut=False) + f"SELECT {RR_COLS} FROM o WHERE sel_rank <= {K_SELECT}")
@@ -113,8 +112,7 @@ FROM o JOIN embeddings e ON e.vec_id = o.pool_id WHERE o.sel_rank <= {K_SELECT}
 def join_selected_back(spark, sf):
     """Selected rows joined back to the full pool rows (the selected-rows sink)."""
     pool = FX.pool_vectors(spark, sf)
-    cand = SIM.cosine_scores(pool, FX.target_vectors(spark, sf), mode="topk", k=K_SELECT)
-    sel = S.select_round_robin(cand, K_SELECT, largest=True)
+    sel = S.select_round_robin_from_pool(pool, FX.target_vectors(spark, sf), K_SELECT)
     back = sel.join(pool, ["src", "pool_id"])
     return back.select(F.col("sel_rank").cast("long").alias("sel_rank"), "pool_id", "label",
                        r6("score").alias("influence_score"),
@@ -204,15 +202,11 @@ SELECT sel_rank, src, pool_id, rank AS round, target_id, round(score, 6) + 0.0 A
 
 @register("select_multi_pool", MULTI_SQL)
 def select_multi_pool(spark, sf):
-    """Two pools (labels 0-4 and 5-9) scored separately, merged by target."""
+    """Two pools (labels 0-4 and 5-9), told apart by ``src`` and merged by target."""
     pool = FX.pool_vectors(spark, sf)
     targets = FX.target_vectors(spark, sf)
-    parts = []
-    for src, cond in ((0, F.col("label") < 5), (1, F.col("label") >= 5)):
-        p = pool.filter(cond).withColumn("src", F.lit(src))
-        parts.append(SIM.cosine_scores(p, targets, mode="topk", k=K_SELECT))
-    merged = parts[0].unionByName(parts[1])
-    sel = S.select_round_robin(merged, K_SELECT, largest=True)
+    parts = [pool.filter(cond).withColumn("src", F.lit(src)) for src, cond in ((0, F.col("label") < 5), (1, F.col("label") >= 5))]
+    sel = S.select_round_robin_from_pool(parts[0].unionByName(parts[1]), targets, K_SELECT)
     return sel.select(F.col("sel_rank").cast("long").alias("sel_rank"), "src", "pool_id",
                       F.col("round").cast("long").alias("round"), "target_id", r6("score").alias("score"))
 
@@ -247,9 +241,8 @@ FROM w LEFT JOIN sel USING (domain) GROUP BY w.domain, w.weight
 def agg_domain_count(spark, sf):
     """Selected rows per domain next to the domain's quota."""
     pool = FX.pool_vectors(spark, sf)
-    cand = SIM.cosine_scores(pool, FX.target_vectors(spark, sf), mode="topk", k=K_SELECT)
-    sel = S.select_round_robin(cand, K_SELECT, largest=True).join(pool.select("src", "pool_id", "domain"),
-                                                                   ["src", "pool_id"])
+    sel = (S.select_round_robin_from_pool(pool, FX.target_vectors(spark, sf), K_SELECT)
+           .join(pool.select("src", "pool_id", "domain"), ["src", "pool_id"]))
     counts = sel.groupBy("domain").agg(F.count(F.lit(1)).alias("n_selected"))
     q = S.domain_quotas(domain_weights(spark, sf), K_SELECT)
     return (q.join(counts, "domain", "left")

@@ -80,3 +80,49 @@ def test_selection_from_pool_equals_selection_from_scores(spark, method):
     for k in (0, 5, 150):
         rows = lambda df: [(r["sel_rank"], r["pool_id"], round(r["score"], 9)) for r in df.orderBy("sel_rank").collect()]     # noqa: E731
         assert rows(S.select_from_pool(pool, targets, method, k, allow)) == rows(S.select(SIM.cosine_scores(pool, targets), method, k, allow))
+
+
+@pytest.mark.parametrize("largest", [True, False])
+@pytest.mark.parametrize("normalise", [True, False])
+def test_histogram_cutoff_reduces_partitions_smaller_than_k(spark, largest, normalise):
+    """K above every partition's rows: without a cut-off nothing could be dropped."""
+    pool, targets = pool_and_targets(spark, n=6_000, d=16)
+    pool, k = pool.repartition(12, "pool_id"), 700
+    how = dict(mode="topk", k=k, largest=largest, normalise=normalise)
+    without = SIM.cosine_scores(pool, targets, cutoff=False, **how)
+    ahead = SIM.cosine_scores(pool, targets, cutoff=True, **how)
+    assert without.count() == 3 * 6_000 and 3 * k <= ahead.count() <= 3 * k * 1.15
+    rows = lambda df: sorted((r["target_id"], r["rank"], r["pool_id"]) for r in SIM.topk_per_target(df, k, largest).collect())        # noqa: E731
+    assert rows(ahead) == rows(without)
+
+
+@pytest.mark.parametrize("k", [1, 5, 39, 40, 41, 1_000])
+def test_cutoff_with_ties_nan_and_short_lists(spark, k):
+    vectors = [[1.0, 0.0], [0.0, 1.0], [0.6, 0.8], [0.0, 0.0], [float("nan"), 1.0]]
+    pool = spark.createDataFrame([(0, i, vectors[i % 5]) for i in range(50)], POOL).repartition(4, "pool_id")
+    targets = spark.createDataFrame([(0, [1.0, 0.0]), (1, [-1.0, 0.0])], TARGETS)
+    rows = lambda cutoff: sorted((r["target_id"], r["rank"], r["pool_id"]) for r in SIM.topk_per_target(                              # noqa: E731
+        SIM.cosine_scores(pool, targets, mode="topk", k=k, cutoff=cutoff), k).collect())
+    assert rows(True) == rows(False) and len(rows(True)) == 2 * min(k, 40)
+
+
+def test_round_robin_depth_grows_from_below(spark, monkeypatch):
+    """Many targets: lists of twice a target's share of K are ranked, not of K."""
+    pool, targets = pool_and_targets(spark, n=3_000, t=40)
+    depths, scan = [], S.cosine_scores
+    monkeypatch.setattr(S, "cosine_scores", lambda *a, **b: depths.append(b["k"]) or scan(*a, **b))
+    got = [(r["sel_rank"], r["pool_id"], r["target_id"]) for r in S.select_round_robin_from_pool(pool, targets, 400).orderBy("sel_rank").collect()]
+    assert depths[0] == 20 and max(depths) <= 80
+    whole = S.order_first_picks(S.first_picks(SIM.topk_per_target(SIM.cosine_scores(pool, targets), 400)), 400)
+    assert got == [(r["sel_rank"], r["pool_id"], r["target_id"]) for r in whole.orderBy("sel_rank").collect()] and len(got) == 400
+
+
+def test_an_allow_list_that_holds_little_widens_up_to_k(spark, monkeypatch):
+    pool, targets = pool_and_targets(spark, n=600, t=5)
+    allow = pool.where("pool_id % 50 = 0").select("src", "pool_id")
+    depths, scan = [], S.cosine_scores
+    monkeypatch.setattr(S, "cosine_scores", lambda *a, **b: depths.append(b["k"]) or scan(*a, **b))
+    got = S.select_round_robin_from_pool(pool, targets, 100, allow=allow)
+    assert depths == [40, 100]
+    want = S.order_first_picks(S.first_picks(SIM.topk_per_target(SIM.cosine_scores(pool, targets), 100).join(allow, ["src", "pool_id"], "left_semi")), 100)
+    assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0 < got.count() < 100
