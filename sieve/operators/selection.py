@@ -161,11 +161,11 @@ def mean_scores(scores: DataFrame) -> DataFrame:
 
 
 def minmax_normalised(scores: DataFrame) -> DataFrame:
-    """Per-target min-max scaling to [0, 1]; constant targets give 0."""
+    """Per-target min-max scaling to [0, 1]; constant targets give 0. For a whole
+    score matrix see :meth:`sieve.operators.tiles.ScoreTiles.scaled`."""
     scores = drop_invalid_ids(scores)
     bounds = scores.groupBy("target_id").agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
-    # one row per target: the target set is the small side by construction
-    return (scores.join(F.broadcast(bounds), "target_id")
+    return (scores.join(bounds, "target_id")
             .withColumn("score", F.coalesce(F.try_divide(F.col("score") - F.col("lo"), F.col("hi") - F.col("lo")),
                                             F.lit(0.0)))
             .drop("lo", "hi"))

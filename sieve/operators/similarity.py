@@ -9,6 +9,8 @@ matrix product, so nothing leaves the JVM row by row.
 Output modes of the Arrow scan:
 
 * ``pairs`` – every (target, pool row) score, long form;
+* ``tiles`` – a row per pool row and block of targets, with an array of scores, and
+  ``columns`` – a row per target and batch of pool rows (see ``operators.tiles``);
 * ``topk``  – a running best ``k`` per target over the whole partition (ties
   broken by ``(src, pool_id)``). Candidates are held in a buffer of bounded size;
   when it fills with rows that are all still needed it is emitted, and later rows
@@ -191,11 +193,15 @@ def _bins(n_targets: int) -> int:
 MEAN_SCHEMA = "src int, pool_id bigint, score double, n_targets bigint"
 BOUNDS_SCHEMA = "target_id bigint, lo double, hi double"
 BINS_SCHEMA = "target_id bigint, counts array<double>"
+TILE_SCHEMA = "src int, pool_id bigint, block int, scores array<double>"
+COLUMN_SCHEMA = "target_id bigint, src int, pool_ids array<bigint>, scores array<double>"
 
 
 def _scan(pool: DataFrame, ids_bc, mat_bc, *, mode: str, k: int, largest: bool, normalise: bool,
-          vec_col: str, src_col: str, id_col: str, d: int, bounds_bc=None, cut_bc=None, scale: float = 1.0) -> DataFrame:
-    out_schema = {"mean": MEAN_SCHEMA, "normmean": MEAN_SCHEMA, "bounds": BOUNDS_SCHEMA, "bins": BINS_SCHEMA}.get(mode, SCORE_SCHEMA)
+          vec_col: str, src_col: str, id_col: str, d: int, bounds_bc=None, cut_bc=None, scale: float = 1.0,
+          width: int = 0, first_block: int = 0) -> DataFrame:
+    out_schema = {"mean": MEAN_SCHEMA, "normmean": MEAN_SCHEMA, "bounds": BOUNDS_SCHEMA, "bins": BINS_SCHEMA, "tiles": TILE_SCHEMA,
+                  "columns": COLUMN_SCHEMA}.get(mode, SCORE_SCHEMA)
 
     tile, buffer = TILE_BYTES, TOPK_BUFFER_ROWS
 
@@ -217,6 +223,9 @@ def _scan(pool: DataFrame, ids_bc, mat_bc, *, mode: str, k: int, largest: bool,
                         [pa.array(tids[col[at]]), pa.array(src[at]), pa.array(pid[at]), pa.array(-key[at] if largest else key[at])],
                         names=["target_id", "src", "pool_id", "score"])
 
+        def arrays(m):                                        # a list of each row of m
+            return pa.ListArray.from_arrays(np.arange(0, m.size + 1, max(1, m.shape[1]), dtype=np.int32)[:len(m) + 1], pa.array(np.ascontiguousarray(m).ravel()))
+
         def means(src, pid, m):
             return pa.RecordBatch.from_arrays([pa.array(src), pa.array(pid), pa.array(m), pa.array(np.full(len(pid), len(tids), dtype=np.int64))],
                                               names=["src", "pool_id", "score", "n_targets"])
@@ -245,6 +254,17 @@ def _scan(pool: DataFrame, ids_bc, mat_bc, *, mode: str, k: int, largest: bool,
                     span = hi - lo
                     safe = np.where(span == 0, 1.0, span)
                     yield means(src, pid, np.where(span == 0, 0.0, (S - lo) / safe).mean(axis=1))      # constant target -> 0
+                elif mode == "tiles":
+                    for i in range(0, S.shape[1], width):
+                        yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(pid), pa.array(np.full(len(pid), first_block + i // width, np.int32)), arrays(S[:, i:i + width])],
+                                                         names=["src", "pool_id", "block", "scores"])
+                elif mode == "columns":
+                    for i in range(0, len(S), width):         # pool rows of a tile
+                        for one in np.unique(src[i:i + width]):
+                            own = i + np.flatnonzero(src[i:i + width] == one)
+                            yield pa.RecordBatch.from_arrays(
+                                [pa.array(tids), pa.array(np.full(len(tids), one, np.int32)), arrays(np.tile(pid[own], (len(tids), 1))), arrays(S[own].T)],
+                                names=["target_id", "src", "pool_ids", "scores"])
                 elif mode == "mean":
                     yield means(src, pid, S.mean(axis=1) if S.shape[1] else np.full(len(pid), np.nan))
                 else:
@@ -372,23 +392,6 @@ def mean_scores_fused(pool: DataFrame, targets, normalised: bool = False, pool_i
             .agg((F.sum(F.col("score") * F.col("n_targets")) / F.sum("n_targets")).alias("score")))
 
 
-def cosine_scores_sql(pool: DataFrame, targets: DataFrame, *, pool_id: str = "pool_id", src: str = "src",
-                      target_id: str = "target_id", vec: str = "vec",
-                      max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> DataFrame:
-    """Same scores with built-in expressions only: broadcast nested-loop join of
-    the (size-checked) target set and ``aggregate(zip_with(...))``."""
-    src_expr = F.col(src).cast("int") if src in pool.columns else F.lit(0).cast("int")
-    p = pool.select(src_expr.alias("src"), F.col(pool_id).cast("long").alias("pool_id"),
-                    V.l2_normalise(F.col(vec)).alias("pv"))
-    t = targets.select(F.col(target_id).cast("long").alias("target_id"), V.l2_normalise(F.col(vec)).alias("tv"))
-    stats = targets.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec)).alias("d")).first()
-    small = int(stats["n"]) * int(stats["d"] or 0) * 8 <= max_broadcast_bytes
-    if not small:   # target blocks one after the other instead of a product of two large sides
-        return cosine_scores(pool, targets, mode="pairs", pool_id=pool_id, src=src, target_id=target_id, vec=vec, max_broadcast_bytes=max_broadcast_bytes)
-    joined = p.crossJoin(F.broadcast(t))
-    return joined.select("target_id", "src", "pool_id", V.dot(F.col("pv"), F.col("tv")).alias("score"))
-
-
 # --------------------------------------------------------------------------
 # ranking
 # --------------------------------------------------------------------------

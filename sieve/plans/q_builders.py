@@ -9,12 +9,16 @@ from sieve.functions import text as T
 from sieve.operators import sampling as SA
 from sieve.operators import selection as S
 from sieve.operators import similarity as SIM
+from sieve.operators import tiles as TL
 from sieve.plans import fixtures as FX
 from sieve.plans import q_select as QS
 from sieve.plans import targets as TG
 from sieve.plans.catalog import r6, register
+from sieve.plans.q_io import scratch
 from sieve.plans.q_targets import (NL, SEED, WS, _out, chat_sql, key_sql, mc_body, mc_body_sql, mc_items,
                                    mc_items_sql, num_items, num_items_sql, pairs, task_prompts, PAIRS_SQL)
+from sieve.sources import readers as RD
+from sieve.sources import sinks as SK
 
 
 @register("tgt_mmlu_cot", f"""WITH {mc_items_sql('test')}
@@ -219,16 +223,15 @@ def join_template(spark, sf):
         "doc_id", "lang", F.col("qt").alias("question_cue"), F.col("acue").alias("answer_cue"))
 
 
-@register("union_shards", f"""WITH {QS.SQL_VECTORS}
-SELECT target_id, pool_id, round(score, 6) + 0.0 AS score FROM scores""")
+@register("union_shards", f"""WITH {QS.SQL_VECTORS} {QS.tiles_sql()}""")
 def union_shards(spark, sf):
-    """The pool scored in three shards (by label) and the shards unioned."""
-    pool = FX.pool_vectors(spark, sf)
+    """The pool scored in three shards (by label), each stored by itself as tiles,
+    and the shards read back as one matrix."""
+    path = scratch(spark, "shards")
     targets = SIM.target_matrix(FX.target_vectors(spark, sf))
-    shards = [pool.filter(cond) for cond in (F.col("label") < 3, F.col("label").between(3, 6), F.col("label") > 6)]
-    parts = [SIM.cosine_scores(s, targets) for s in shards]
-    u = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return u.select("target_id", "pool_id", r6("score").alias("score"))
+    for cond in (F.col("label") < 3, F.col("label").between(3, 6), F.col("label") > 6):
+        SK.write_similarity(TL.score_tiles(FX.pool_vectors(spark, sf).filter(cond), targets, QS.TILE_WIDTH), path, "benchmark")
+    return QS._tiles_out(RD.read_similarity(spark, path, "benchmark").tiles)
 
 
 def _dispatch_sql() -> str:

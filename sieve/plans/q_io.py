@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from sieve.functions import chat as C
 from sieve.operators import pooling as P
 from sieve.operators import selection as S
-from sieve.operators import similarity as SIM
+from sieve.operators import tiles as TL
 from sieve.plans import fixtures as FX
 from sieve.plans import q_chat, q_scoring, q_select, q_targets
 from sieve.plans.catalog import r6, register
@@ -102,21 +102,26 @@ def src_nested_qa(spark, sf):
     return back.select("id", "lang", "question", F.size("answers").cast("long").alias("n_answers"))
 
 
-@register("src_influence", f"""WITH {q_select.SQL_VECTORS.rstrip()}
-SELECT target_id, pool_id, round(score, 6) + 0.0 AS score FROM scores""")
+@register("src_influence", f"""WITH {q_select.SQL_VECTORS.rstrip()},
+c AS (SELECT target_id, pool_id // 100 AS batch, pool_id, score FROM scores)
+SELECT target_id, batch, string_agg(pool_id::VARCHAR, ',' ORDER BY pool_id) AS pool_ids, string_agg((round(score * 1e6))::BIGINT::VARCHAR, ',' ORDER BY pool_id) AS scores
+FROM c GROUP BY target_id, batch""")
 def src_influence(spark, sf):
-    """Scores written in the influence-file form (per target a map from pool
-    index to score, plus a malformed ``-1`` entry), read back to long form."""
+    """Scores written in the influence-file form (per target maps from pool index
+    to score, plus malformed ``-1`` entries) and read back as arrays. Pool rows
+    come in batches of 100 ids, the work of one task each."""
     path = scratch(spark, "influence")
-    s = q_select.scores(spark, sf)
-    # maps in bounded chunks of 1,000 pool rows, so no map holds a whole pool
-    chunk = F.floor(F.col("pool_id") / 1000)
-    maps = (s.groupBy("target_id", chunk.alias("chunk"))
-            .agg(F.map_from_entries(F.collect_list(F.struct(F.col("pool_id").cast("string"), "score"))).alias("scores")))
-    bad = s.select("target_id").distinct().select("target_id", F.create_map(F.lit("-1"), F.lit(0.0)).alias("scores"))
-    maps.select("target_id", "scores").unionByName(bad).write.json(path)
-    back = RD.read_influence_lines(spark, path)
-    return back.select("target_id", "pool_id", r6("score").alias("score"))
+    batch = F.floor(F.col("pool_id") / 100).cast("int")
+    pool = FX.pool_vectors(spark, sf).withColumn("src", batch).repartition("src").sortWithinPartitions("src", "pool_id")
+    SK.write_influence(TL.columns_of(pool, FX.target_vectors(spark, sf)), path)
+    SK.write_influence(FX.target_vectors(spark, sf).select("target_id", F.array(F.lit(-1)).alias("pool_ids"), F.array(F.lit(0.0)).alias("scores")), path)
+    back = RD.read_influence_columns(spark, path)
+    # a task's batch of ids may be cut where an Arrow batch ends: its parts are joined in order
+    first = F.get("pool_ids", 0)
+    parts = (back.groupBy("target_id", F.floor(first / 100).cast("long").alias("batch"))
+             .agg(F.array_sort(F.collect_list(F.struct("pool_ids", "scores"))).alias("p")))
+    joined = lambda c: F.flatten(F.transform("p", lambda x: x[c]))                                     # noqa: E731
+    return parts.select("target_id", "batch", F.array_join(joined("pool_ids").cast("array<string>"), ",").alias("pool_ids"), TL.listed(joined("scores")).alias("scores"))
 
 
 @register("src_allow_ids", "SELECT DISTINCT CAST(doc_id AS VARCHAR) AS id FROM labels WHERE quality = 1")
@@ -154,13 +159,13 @@ def src_embedding_cache(spark, sf):
 
 
 @register("snk_similarity", f"""WITH {q_select.SQL_VECTORS.rstrip()}
-SELECT 'benchmark_2_redcat_model_2048' AS target_set, target_id, pool_id, round(score, 6) + 0.0 AS score FROM scores""")
+SELECT 'benchmark_2_redcat_model_2048' AS target_set, 'redcat' AS sec_pooling, * FROM ({q_select.tiles_sql()})""")
 def snk_similarity(spark, sf):
     path = scratch(spark, "sim")
     name = SK.similarity_name("benchmark", 2, "redcat", "org/model", 2048, None)
-    SK.write_similarity(q_select.scores(spark, sf), path, name, n_layer=2, sec_pooling="redcat")
-    back = spark.read.parquet(path)
-    return back.select("target_set", "target_id", "pool_id", r6("score").alias("score"))
+    SK.write_similarity(q_select.tiles(spark, sf), path, name, n_layer=2, sec_pooling="redcat")
+    back = RD.read_similarity(spark, path, name).tiles
+    return back.select("target_set", "sec_pooling", "pool_id", F.col("block").cast("long").alias("block"), TL.listed("scores").alias("scores"))
 
 
 @register("snk_selected_rows", q_select._rr_sql("DESC", q_select.K_SELECT) + f"""

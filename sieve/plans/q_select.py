@@ -6,32 +6,52 @@ from pyspark.sql import functions as F
 
 from sieve.operators import selection as S
 from sieve.operators import similarity as SIM
+from sieve.operators import tiles as TL
 from sieve.plans import fixtures as FX
 from sieve.plans.catalog import SQL_VECTORS, r6, register
 
 K_SELECT = 50
 K_TOPK = 10
+TILE_WIDTH = 16             # targets of a tile; the given tables have 40 targets
 
 
 def scores(spark, sf):
     return SIM.cosine_scores(FX.pool_vectors(spark, sf), FX.target_vectors(spark, sf))
 
 
-@register("cosine_all_pairs", f"""
-WITH {SQL_VECTORS}
-SELECT target_id, pool_id, round(score, 6) + 0.0 AS score FROM scores
-""")
+def tiles(spark, sf):
+    return TL.score_tiles(FX.pool_vectors(spark, sf), FX.target_vectors(spark, sf), TILE_WIDTH)
+
+
+def tiles_sql(scores: str = "scores", by: str = "pool_id", of: str = "target_id") -> str:
+    """Score lists of blocks of targets, in millionths."""
+    return f"""SELECT {by}, (place - 1) // {TILE_WIDTH} AS block, string_agg((round(score * 1e6))::BIGINT::VARCHAR, ',' ORDER BY {of}) AS scores
+FROM (SELECT *, dense_rank() OVER (ORDER BY {of}) AS place FROM {scores}) GROUP BY ALL"""
+
+
+def _tiles_out(t):
+    return t.select("pool_id", F.col("block").cast("long").alias("block"), TL.listed("scores").alias("scores"))
+
+
+@register("cosine_all_pairs", f"WITH {SQL_VECTORS} {tiles_sql()}")
 def cosine_all_pairs(spark, sf):
-    return scores(spark, sf).select("target_id", "pool_id", r6("score").alias("score"))
+    """The whole score matrix, a row per pool row and block of targets."""
+    return _tiles_out(tiles(spark, sf).tiles)
 
 
 @register("join_all_pairs", f"""
-WITH {SQL_VECTORS}
-SELECT target_id, pool_id, round(score, 6) + 0.0 AS score FROM scores
+WITH {SQL_VECTORS}, t AS ({tiles_sql()}),
+ids AS (SELECT block, count(*) AS n_targets, min(target_id) AS first_target, max(target_id) AS last_target
+        FROM (SELECT target_id, (row_number() OVER (ORDER BY target_id) - 1) // {TILE_WIDTH} AS block FROM tn) GROUP BY block)
+SELECT pool_id, label, n_targets, first_target, last_target, scores FROM t JOIN ids USING (block) JOIN pn USING (pool_id)
 """)
 def join_all_pairs(spark, sf):
-    s = SIM.cosine_scores_sql(FX.pool_vectors(spark, sf), FX.target_vectors(spark, sf))
-    return s.select("target_id", "pool_id", r6("score").alias("score"))
+    """Every pool row joined to every block of targets: the row's own columns, the
+    block's targets and the scores between them."""
+    found, pool = tiles(spark, sf), FX.pool_vectors(spark, sf).select("src", "pool_id", "label")
+    t = found.tiles.join(found.blocks, "block").join(pool, ["src", "pool_id"])
+    return t.select("pool_id", "label", F.size("target_ids").cast("long").alias("n_targets"), F.array_min("target_ids").alias("first_target"),
+                    F.array_max("target_ids").alias("last_target"), TL.listed("scores").alias("scores"))
 
 
 @register("topk_per_target", f"""
@@ -181,11 +201,11 @@ def agg_mean_score(spark, sf):
     return m.select("pool_id", r6("score").alias("mean_score"))
 
 
-@register("agg_minmax_norm", NORM_SQL + " SELECT target_id, pool_id, round(score, 6) + 0.0 AS score FROM n")
+@register("agg_minmax_norm", f"{NORM_SQL} {tiles_sql('n')}")
 def agg_minmax_norm(spark, sf):
-    """Per-target min-max scaled scores (the long form; the selection queries
-    use the fused scan that never materialises it)."""
-    return S.minmax_normalised(scores(spark, sf)).select("target_id", "pool_id", r6("score").alias("score"))
+    """Scores scaled to [0, 1] per target, as tiles (the selection queries use the
+    fused scan that keeps only means)."""
+    return _tiles_out(tiles(spark, sf).scaled().tiles)
 
 
 MULTI_SQL = f"""

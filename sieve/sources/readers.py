@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from sieve.session import ensure_checkpoint_dir
 from sieve.functions.text import strip
+from sieve.operators.tiles import ScoreTiles
 
 MESSAGE = T.StructType([T.StructField("role", T.StringType()), T.StructField("content", T.StringType())])
 POOL_SCHEMA = T.StructType([
@@ -171,6 +172,23 @@ def influence_from_maps(df: DataFrame, target_col: str = "target_id", map_col: s
                     F.col("score").cast("double").alias("score")))
 
 
+def read_influence_columns(spark: SparkSession, path: str) -> DataFrame:
+    """Influence scores as JSON lines, kept as arrays: ``target_id, pool_ids,
+    scores`` for every line, in order of the ids, without a row per pair and
+    without entries of pool index -1; a line that holds nothing else gives none."""
+    raw = spark.read.schema("target_id bigint, scores map<string,double>").json(path)
+    entries = F.array_sort(F.transform(F.filter(F.map_entries("scores"), lambda e: F.btrim(e["key"]) != "-1"),
+                                       lambda e: F.struct(e["key"].cast("long").alias("pool_id"), e["value"].alias("score"))))
+    return (raw.select("target_id", entries.alias("e")).where(F.size("e") > 0)
+            .select("target_id", F.transform("e", lambda e: e["pool_id"]).alias("pool_ids"), F.transform("e", lambda e: e["score"]).alias("scores")))
+
+
+def read_similarity(spark: SparkSession, path: str, target_set: str) -> ScoreTiles:
+    """What ``sinks.write_similarity`` has stored for a target set, all shards."""
+    of = F.col("target_set") == target_set
+    return ScoreTiles(spark.read.parquet(f"{path}/tiles").where(of), spark.read.parquet(f"{path}/targets").where(of).drop("target_set"))
+
+
 def read_influence_lines(spark: SparkSession, path: str, src: int = 0) -> DataFrame:
     """Influence scores as JSON lines ``{"target_id": t, "scores": {idx: s}}``
     (splittable; the scalable text form)."""

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sieve.operators.tiles import ScoreTiles
+
 
 def similarity_name(target_set: str, n_layer, sec_pooling, model: str, trunc: int, whiten_dim: int | None) -> str:
     """Name of a score set, encoding the parameters that produced it."""
@@ -16,13 +18,29 @@ def similarity_name(target_set: str, n_layer, sec_pooling, model: str, trunc: in
     return name + (f"_whiten_reddim_{whiten_dim}" if whiten_dim else "")
 
 
-def write_similarity(scores: DataFrame, path: str, target_set: str, mode: str = "append", **params) -> None:
-    """Long score table partitioned by target set; the parameters are kept as
-    columns so several runs can share one table."""
-    out = scores.withColumn("target_set", F.lit(target_set))
+def write_similarity(scores: ScoreTiles, path: str, target_set: str, mode: str = "append", **params) -> None:
+    """The tiles and, beside them, the targets of their blocks, both partitioned
+    by target set; the parameters are kept as columns so several runs can share
+    one folder. Shards of a pool are appended one after the other: the blocks are
+    written with the first, and a shard scored against other targets is refused."""
+    spark = scores.tiles.sparkSession
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/targets/target_set={target_set}")
+    if mode == "append" and folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        held = spark.read.parquet(f"{path}/targets/target_set={target_set}")
+        ScoreTiles(scores.tiles, held.select("block", "target_ids")).union(scores)           # raises if the blocks differ
+    else:
+        scores.blocks.withColumn("target_set", F.lit(target_set)).write.mode(mode).partitionBy("target_set").parquet(f"{path}/targets")
+    out = scores.tiles.withColumn("target_set", F.lit(target_set))
     for k, v in params.items():
         out = out.withColumn(k, F.lit(v))
-    out.write.mode(mode).partitionBy("target_set").parquet(path)
+    out.write.mode(mode).partitionBy("target_set").parquet(f"{path}/tiles")
+
+
+def write_influence(columns: DataFrame, path: str) -> None:
+    """``target_id, pool_ids, scores`` arrays as JSON lines, each a target and a
+    map from pool index to score: the influence-file form, in bounded pieces."""
+    ids = F.transform("pool_ids", lambda i: i.cast("string"))
+    columns.select("target_id", F.map_from_arrays(ids, F.col("scores")).alias("scores")).write.mode("append").json(path)
 
 
 def write_selected_rows(selection: DataFrame, pool: DataFrame, path: str, keys=("src", "pool_id")) -> None:

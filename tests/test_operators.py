@@ -13,6 +13,7 @@ from sieve.operators import pooling as P
 from sieve.operators import projection as PR
 from sieve.operators import scoring as SC
 from sieve.operators import similarity as SIM
+from sieve.operators import tiles as TL
 from sieve.operators import whitening as W
 from sieve.plans import fixtures as FX
 
@@ -35,13 +36,15 @@ def test_self_similarity_and_self_retrieval(spark):
     assert all(r["pool_id"] == r["target_id"] and r["score"] == pytest.approx(1.0) for r in top)
 
 
-def test_arrow_and_sql_scores_agree(spark):
-    pool = FX.pool_vectors(spark, SF)
-    targets = FX.target_vectors(spark, SF)
-    a = {(r[0], r[1]): r[2] for r in SIM.cosine_scores(pool, targets).select("target_id", "pool_id", "score").collect()}
-    b = {(r[0], r[1]): r[2] for r in SIM.cosine_scores_sql(pool, targets).select("target_id", "pool_id", "score").collect()}
-    assert a.keys() == b.keys()
-    assert max(abs(a[key] - b[key]) for key in a) < 1e-12
+def test_tiles_hold_the_scores_of_the_definition(spark):
+    pool, targets = FX.pool_vectors(spark, SF), FX.target_vectors(spark, SF)
+    unit = lambda df, key: {r[key]: np.array(r["vec"]) / np.linalg.norm(r["vec"]) for r in df.collect()}          # noqa: E731
+    p, t = unit(pool, "pool_id"), unit(targets, "target_id")
+    for limit in (SIM.DEFAULT_MAX_BROADCAST_BYTES, 64 * 8 * 7):                 # one broadcast block, blocks of 7 targets
+        found = TL.score_tiles(pool, targets, 5, max_broadcast_bytes=limit)
+        got = {(r["target_id"], r["pool_id"]): r["score"] for r in found.unnest().collect()}
+        assert got == pytest.approx({(i, j): float(t[i] @ p[j]) for i in t for j in p}, abs=1e-12)
+        assert found.tiles.count() == len(p) * found.blocks.count()
 
 
 def test_target_blocks_cover_all_targets(spark):
