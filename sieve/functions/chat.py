@@ -5,6 +5,11 @@ content>>``: ``transform`` builds each turn's piece and ``array_join`` glues
 them, so rendering runs in the JVM with no Python UDF. An unknown role raises
 (``raise_error``), as the reference does.
 
+The forms that can be masked for training emit their pieces with what is needed to
+place them again: :func:`spans` gives every turn's place in the text, and
+:func:`token_labels` the tokens with those of other turns than the assistant's
+masked, by one code for every form.
+
 Templates (fixed values): turns are introduced by ``<|system|>``, ``<|user|>``,
 ``<|assistant|>`` (and ``<|observation|>`` in the vendor form), each followed by
 a newline; ``eos`` and ``bos`` default to the Llama strings ``</s>`` and ``<s>``.
@@ -15,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sieve.functions.text import col, strip
+from sieve.functions.text import col, lstrip, strip
 
 # Role tags of the chat template.
 SYSTEM_TAG = "<|system|>\n"
@@ -68,14 +73,77 @@ def chat_prompt(messages, eos: str = EOS, bos: str = BOS, prompt_only: bool = Fa
     return text
 
 
+def _default_text(m, eos: str) -> Column:
+    return (F.when(m["role"] == "system", F.concat(F.lit(SYSTEM_TAG), strip(m["content"]), F.lit("\n")))
+            .when(m["role"] == "user", F.concat(F.lit(USER_TAG), strip(m["content"]), F.lit("\n")))
+            .when(m["role"] == "assistant", F.concat(F.lit(ASSISTANT_TAG), strip(m["content"]), F.lit(eos), F.lit("\n")))
+            .otherwise(_bad_role(m)))
+
+
 def _default_piece(eos: str):
-    def piece(m):
-        return (F.when(m["role"] == "system", F.concat(F.lit(SYSTEM_TAG), strip(m["content"]), F.lit("\n")))
-                .when(m["role"] == "user", F.concat(F.lit(USER_TAG), strip(m["content"]), F.lit("\n")))
-                .when(m["role"] == "assistant",
-                      F.concat(F.lit(ASSISTANT_TAG), strip(m["content"]), F.lit(eos), F.lit("\n")))
-                .otherwise(_bad_role(m)))
-    return piece
+    return lambda m: _default_text(m, eos)
+
+
+def _pieces(messages, text, assistant: str) -> Column:
+    """Array of (role, kept, after_other, text): ``kept`` for the assistant's turns,
+    ``after_other`` if the message before is another role's."""
+    msgs = col(messages)
+    return F.transform(msgs, lambda m, i: F.struct(
+        m["role"].alias("role"), (m["role"] == assistant).alias("kept"),
+        F.coalesce(F.get(msgs, i - 1)["role"] != assistant, F.lit(False)).alias("after_other"), text(m).alias("text")))
+
+
+def chat_pieces(messages, eos: str = EOS) -> Column:
+    """The pieces of :func:`render_default`, before the text is stripped."""
+    return _pieces(_non_empty(messages), _default_piece(eos), "assistant")
+
+
+def vendor_pieces(messages, system_message, eos: str = EOS) -> Column:
+    """The pieces of :func:`render_vendor_eos`. The system message is a piece of its
+    own, of role ``system``; it masks itself, not the tag of a turn after it."""
+    s = col(system_message)
+    own = _pieces(_non_empty(messages), _vendor_piece(eos), "ASSISTANT")
+    first = F.struct(F.lit("system").alias("role"), F.lit(False).alias("kept"), F.lit(False).alias("after_other"), _system_prefix(s).alias("text"))
+    return F.when(s.isNotNull(), F.concat(F.array(first), own)).otherwise(own)
+
+
+def row_pieces(messages, mid, system_message, eos: str = EOS) -> Column:
+    """Pieces by the row's own form: vendor rows carry ``mid``."""
+    return F.when(col(mid).isNotNull(), vendor_pieces(messages, system_message, eos)).otherwise(chat_pieces(messages, eos))
+
+
+def pieces_text(pieces) -> Column:
+    """The text that pieces make up, stripped."""
+    return strip(F.array_join(F.transform(col(pieces), lambda p: p["text"]), ""))
+
+
+def spans(pieces) -> Column:
+    """Array of (role, kept, start, end): each turn's place in the text that
+    :func:`pieces_text` gives, in characters, ends exclusive. ``pieces`` must be a
+    plain column; the work grows with the square of the number of turns."""
+    p = col(pieces)
+    length = lambda x: F.aggregate(x, F.lit(0), lambda n, y: n + F.length(y["text"]))                     # noqa: E731
+    text = F.array_join(F.transform(p, lambda x: x["text"]), "")
+    head = F.length(text) - F.length(lstrip(text))
+    size = F.length(strip(text))
+    clip = lambda n: F.least(F.greatest(n - head, F.lit(0)), size)                                        # noqa: E731
+    return F.transform(p, lambda x, i: F.struct(
+        x["role"].alias("role"), x["kept"].alias("kept"), clip(length(F.slice(p, F.lit(1), i))).alias("start"),
+        clip(length(F.slice(p, F.lit(1), i + 1))).alias("end")))
+
+
+def token_labels(pieces, n: int) -> Column:
+    """Struct of ``tokens`` and ``labels`` (``array<string>``), both cut at n: a label
+    is the token itself within the assistant's turns and null (for -100) elsewhere;
+    the assistant's tag after another role's turn is null too. Pieces end in a
+    newline, so no token spans two of them and the tokens of the pieces are those of
+    the whole text. One pass over the text."""
+    def labelled(p):
+        toks = tokens(p["text"])
+        return F.transform(toks, lambda t, j: F.struct(t.alias("t"), F.when(p["kept"] & ~(p["after_other"] & (j == 0)), t).alias("l")))
+
+    both = F.slice(F.flatten(F.transform(col(pieces), labelled)), 1, n)
+    return F.struct(F.transform(both, lambda x: x["t"]).alias("tokens"), F.transform(both, lambda x: x["l"]).alias("labels"))
 
 
 def _non_empty(messages) -> Column:
@@ -151,13 +219,17 @@ def render_system_field(messages, system, eos: str = EOS) -> Column:
     return F.concat(strip(body), F.lit(eos))
 
 
-def render_dispatch(pool_name: str, messages, system=None, system_message=None, eos: str = EOS) -> Column:
+def render_dispatch(pool_name: str, messages, system=None, system_message=None, mid=None, eos: str = EOS) -> Column:
     """Renderer by pool name: contains "ling" -> vendor form, "tulu" -> system
-    field form, else the default form."""
+    field form, else by row: rows that carry ``mid`` take the vendor form with EOS
+    after each reply, all others the default form."""
     if "ling" in pool_name:
         return render_vendor(messages, system_message if system_message is not None else F.lit(None), eos)
     if "tulu" in pool_name:
         return render_system_field(messages, system if system is not None else F.lit(None), eos)
+    if mid is not None:
+        said = system_message if system_message is not None else F.lit(None).cast("string")
+        return F.when(col(mid).isNotNull(), render_vendor_eos(messages, said, eos)).otherwise(render_default(messages, eos))
     return render_default(messages, eos)
 
 
@@ -190,22 +262,25 @@ def truncate_tokens(tok, n: int) -> Column:
 
 
 def mask_non_assistant(messages, n: int, eos: str = EOS) -> Column:
-    """Per-token labels of the default rendering, cut at n tokens: tokens of
-    non-assistant turns are masked (null stands for -100), and so is the
-    assistant tag right after a non-assistant turn; assistant tokens keep their
-    text. Turn pieces end in a newline, so per-turn tokens concatenate to the
-    tokens of the whole text. Returns ``array<string>``."""
-    msgs = col(messages)
-    piece = _default_piece(eos)
-    idx = F.sequence(F.lit(1), F.size(msgs))
-
-    def turn_labels(i):
-        m = F.element_at(msgs, i)
-        toks = tokens(piece(m))
-        prev_user = (i > 1) & (F.element_at(msgs, F.greatest(i - 1, F.lit(1)))["role"] != "assistant")
-        kept = F.transform(toks, lambda t, j: F.when((j == 0) & prev_user, F.lit(None).cast("string")).otherwise(t))
-        masked = F.transform(toks, lambda t: F.lit(None).cast("string"))
-        return F.when(m["role"] == "assistant", kept).otherwise(masked)
-
-    labels = F.flatten(F.transform(idx, turn_labels))
-    return F.slice(labels, 1, n)
+    """Per-token labels of the default rendering, cut at n tokens (``array<string>``,
+    null where masked): :func:`token_labels` of :func:`chat_pieces`."""
+    return token_labels(chat_pieces(messages, eos), n)["labels"]
+
+
+def target_sample(prompt, label, n: int, prompt_only: bool = False, response_only: bool = False, eos: str = EOS, bos: str = BOS) -> Column:
+    """Struct of ``tokens`` and ``labels`` of a target: the prompt's tokens, masked,
+    then the label's with EOS; each side is cut at n by itself. ``prompt_only`` gives
+    the prompt with EOS and without its trailing assistant tag, all masked;
+    ``response_only`` BOS, label and EOS, all kept."""
+    if prompt_only and response_only:
+        raise ValueError("prompt_only and response_only exclude each other")
+    cut = lambda text: F.slice(tokens(text), 1, n)                                                        # noqa: E731
+    none = lambda toks: F.transform(toks, lambda t: F.lit(None).cast("string"))                           # noqa: E731
+    if prompt_only:
+        toks = cut(F.replace(F.concat(col(prompt), F.lit(eos)), F.lit("\n" + ASSISTANT_TAG), F.lit("")))
+        return F.struct(toks.alias("tokens"), none(toks).alias("labels"))
+    reply = cut(F.concat(F.lit(bos if response_only else ""), col(label), F.lit(eos)))
+    if response_only:
+        return F.struct(reply.alias("tokens"), reply.alias("labels"))
+    toks = cut(prompt)
+    return F.struct(F.concat(toks, reply).alias("tokens"), F.concat(none(toks), reply).alias("labels"))

@@ -34,6 +34,11 @@ def strip(c) -> Column:
     return F.btrim(col(c), F.lit(WHITESPACE))
 
 
+def lstrip(c) -> Column:
+    """Python ``str.lstrip()`` on ASCII whitespace."""
+    return F.ltrim(col(c), F.lit(WHITESPACE))
+
+
 def ends_with_any(c, suffixes) -> Column:
     c = col(c)
     cond = F.lit(False)

@@ -12,11 +12,11 @@ from sieve.operators import similarity as SIM
 from sieve.operators import tiles as TL
 from sieve.plans import fixtures as FX
 from sieve.plans import q_select as QS
-from sieve.plans import targets as TG
+from sieve.plans import target_sets as TS
 from sieve.plans.catalog import r6, register
 from sieve.plans.q_io import scratch
-from sieve.plans.q_targets import (NL, SEED, WS, _out, chat_sql, key_sql, mc_body, mc_body_sql, mc_items,
-                                   mc_items_sql, num_items, num_items_sql, pairs, task_prompts, PAIRS_SQL)
+from sieve.plans.q_targets import (NL, SEED, TP_SQL, WS, _out, _set, chat_sql, key_sql, mc_body_sql, mc_items, mc_items_sql, num_items, num_items_sql, pairs, passages,
+                                   task_prompts, PAIRS_SQL)
 from sieve.sources import readers as RD
 from sieve.sources import sinks as SK
 
@@ -26,13 +26,7 @@ SELECT target_id, {chat_sql(mc_body_sql())} AS prompt, answer AS label FROM m
 ORDER BY {key_sql('target_id')}, target_id LIMIT 114""")
 def tgt_mmlu_cot(spark, sf):
     """Items of one question file, chat format, no header and no cue; 114 drawn."""
-    m = mc_items(spark, sf, "test")
-    return _out(TG.finish(m.select("target_id", TG.chat_wrap(mc_body()).alias("prompt"),
-                                   F.col("answer").alias("label")), 114, SEED))
-
-
-TP_SQL = f"""tp AS (SELECT source AS task, array_to_string(string_split(arg_min(text, doc_id), {NL})[3:], {NL}) AS task_prompt
-       FROM documents WHERE doc_id IN (SELECT doc_id FROM labels) GROUP BY source)"""
+    return _set(spark, "mmlu_cot", test=mc_items(spark, sf, "test"))
 
 
 def cot_answer_only(task_prompt):
@@ -60,72 +54,6 @@ def cot_answer_only_q(spark, sf):
     return tp.select("task", cot_answer_only("task_prompt").alias("task_prompt"))
 
 
-@register("tgt_bbh_shots_shots", f"""WITH {TP_SQL},
-parts AS (SELECT task, task_prompt, unnest(string_split(task_prompt, {NL} || {NL} || 'Q:')) AS part,
-                 generate_subscripts(string_split(task_prompt, {NL} || {NL} || 'Q:'), 1) AS pos FROM tp)
-SELECT task, pos, {chat_sql(f"trim(replace(task_prompt, {NL} || {NL} || 'Q:' || part, ''), {WS}) || {NL} || {NL} || 'Q:' || split_part(part, {NL} || 'A: ', 1)")} || 'A:' AS prompt,
-       trim(split_part(part, {NL} || 'A: ', 2), {WS}) AS label
-FROM parts WHERE pos > 1""")
-def tgt_bbh_shots_shots(spark, sf):
-    """Every question inside a task prompt becomes a target, with the rest of
-    the prompt (its own block removed) as the shots."""
-    tp = task_prompts(spark, sf)
-    parts = tp.select("task", "task_prompt", F.posexplode(F.split("task_prompt", "\n\nQ:", -1)).alias("pos", "part"))
-    parts = parts.filter(F.col("pos") > 0)
-    rest = T.strip(F.replace(F.col("task_prompt"), F.concat(F.lit("\n\nQ:"), F.col("part")), F.lit("")))
-    q = F.concat(F.lit("Q:"), F.split_part("part", F.lit("\nA: "), F.lit(1)))
-    content = F.concat(rest, F.lit("\n\n"), q)
-    return parts.select("task", (F.col("pos") + 1).cast("long").alias("pos"),
-                        T.suffix_cue(TG.chat_wrap(content), TG.BBH_CUE).alias("prompt"),
-                        T.strip(F.split_part("part", F.lit("\nA: "), F.lit(2))).alias("label"))
-
-
-TPL_SQL = ("tpl AS (SELECT * FROM (VALUES ('en', 'Answer the following question based on the information in the given passage.', "
-           "'Passage:', 'Question:', 'Answer:')) t(lang, intro, pt, qt, acue))")
-
-
-def templates(spark):
-    return spark.createDataFrame([(k, *v) for k, v in TG.QA_TEMPLATES.items()],
-                                 "lang string, intro string, pt string, qt string, acue string")
-
-
-def _qa_block(pt, qt, ctx, q):
-    return F.concat(F.col(pt), F.lit(" "), ctx, F.lit("\n"), F.col(qt), F.lit(" "), q)
-
-
-@register("tgt_tydiqa_shots", f"""WITH {num_items_sql('dev', 'e')}, {TPL_SQL},
-shot AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY {key_sql('target_id')}, target_id) AS rk FROM e) WHERE rk = 1)
-SELECT target_id, {chat_sql(f"tpl.intro || {NL} || {NL} || tpl.pt || ' ' || shot.text || {NL} || tpl.qt || ' ' || shot.question || {NL}")} || tpl.acue AS prompt,
-       answer AS label FROM shot JOIN tpl USING (lang)""")
-def tgt_tydiqa_shots(spark, sf):
-    """The per-language shots themselves as targets (passages not cut)."""
-    shot = SA.sample_n_shot(num_items(spark, sf, "dev"), "lang", 1, SEED, "target_id", check=False)
-    rows = shot.join(F.broadcast(templates(spark)), "lang")   # one template row per language
-    content = F.concat("intro", F.lit("\n\n"), _qa_block("pt", "qt", F.col("text"), F.col("question")), F.lit("\n"))
-    return _out(rows.select("target_id", F.concat(TG.chat_wrap(content), F.col("acue")).alias("prompt"),
-                            F.col("answer").alias("label")))
-
-
-@register("tgt_tydiqa_shots_shots", f"""WITH {num_items_sql('dev', 'e')}, {TPL_SQL},
-two AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY {key_sql('target_id')}, target_id) AS rk FROM e) WHERE rk <= 2),
-t AS (SELECT * FROM two WHERE rk = 1), s AS (SELECT * FROM two WHERE rk = 2)
-SELECT t.target_id, {chat_sql(f"tpl.intro || {NL} || {NL} || tpl.pt || ' ' || s.text || {NL} || tpl.qt || ' ' || s.question || {NL} || tpl.acue || ' ' || s.answer || {NL} || {NL} || tpl.pt || ' ' || t.text || {NL} || tpl.qt || ' ' || t.question || {NL}")} || tpl.acue AS prompt,
-       t.answer AS label
-FROM t JOIN s USING (lang) JOIN tpl USING (lang)""")
-def tgt_tydiqa_shots_shots(spark, sf):
-    """Two items per language: the first is the target, the second its shot."""
-    two = SA.sample_group_cap(num_items(spark, sf, "dev"), "lang", 2, SEED, "target_id")
-    t = two.filter("group_rank = 1")
-    s = two.filter("group_rank = 2").select("lang", F.col("text").alias("s_text"), F.col("question").alias("s_q"),
-                                            F.col("answer").alias("s_a"))
-    rows = t.join(s, "lang").join(F.broadcast(templates(spark)), "lang")
-    demo = F.concat(_qa_block("pt", "qt", F.col("s_text"), F.col("s_q")), F.lit("\n"), F.col("acue"), F.lit(" "), F.col("s_a"))
-    content = F.concat("intro", F.lit("\n\n"), demo, F.lit("\n\n"), _qa_block("pt", "qt", F.col("text"), F.col("question")),
-                       F.lit("\n"))
-    return _out(rows.select("target_id", F.concat(TG.chat_wrap(content), F.col("acue")).alias("prompt"),
-                            F.col("answer").alias("label")))
-
-
 @register("tgt_squad_shots", f"""WITH {num_items_sql('dev', 'e')},
 sh AS (SELECT string_agg(text, {NL} ORDER BY target_id) AS shots FROM (SELECT * FROM e ORDER BY target_id LIMIT 3)),
 p AS (SELECT b.item_id AS target_id, {chat_sql(f"sh.shots || {NL} || d.text || {NL} || {NL} || b.text")} AS prompt,
@@ -135,17 +63,7 @@ SELECT * FROM p ORDER BY {key_sql('target_id')}, target_id LIMIT 500""")
 def tgt_squad_shots(spark, sf):
     """Passage QA with three example passages in front (here the first three dev
     documents; the reference prints three fixed passages)."""
-    ex = num_items(spark, sf, "dev").orderBy("target_id").limit(3)
-    shots = ex.agg(  # one string from three rows, used as a literal
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("target_id", "text"))), lambda s: s["text"]),
-                     "\n").alias("shots")).first()["shots"]
-    b = FX.table(spark, sf, "benchmark")
-    d = FX.table(spark, sf, "documents")
-    rows = b.join(d, b.item_id == d.doc_id)
-    content = F.concat(F.lit(shots), F.lit("\n"), d.text, F.lit("\n\n"), b.text)
-    p = rows.select(F.col("item_id").alias("target_id"), TG.chat_wrap(content).alias("prompt"),
-                    F.get(F.split(d.text, "\n"), 0).alias("label"))
-    return _out(TG.finish(p, 500, SEED))
+    return _set(spark, "squad_shots", rows=passages(spark, sf), examples=num_items(spark, sf, "dev"))
 
 
 @register("tgt_mbpp", f"""
@@ -157,12 +75,7 @@ SELECT * FROM p ORDER BY {key_sql('target_id')}, target_id LIMIT 43""")
 def tgt_mbpp(spark, sf):
     """Task text plus its test lines -> the code under a fixed header."""
     from sieve.plans.q_scoring import code_problems
-    p = code_problems(spark, sf)
-    inst = F.rtrim(F.concat(F.col("description"), F.lit(" You need to pass the following test cases:\n"),
-                            F.array_join(F.transform("test_list", lambda t: F.concat(t, F.lit("\n"))), "")), F.lit("\n"))
-    label = F.concat(F.lit("Here is the function:\n\n```python\n\n"), F.col("code"))
-    return _out(TG.finish(p.select(F.col("task_id").alias("target_id"), TG.chat_wrap(inst).alias("prompt"),
-                                   label.alias("label")), 43, SEED))
+    return _set(spark, "mbpp_val", tasks=code_problems(spark, sf).withColumnRenamed("task_id", "target_id"))
 
 
 @register("tgt_limo", f"""WITH {PAIRS_SQL}
@@ -170,9 +83,7 @@ SELECT conv_id AS target_id, {chat_sql(f"trim(instruction, {WS})")} AS prompt, o
 FROM pr WHERE instruction IS NOT NULL AND output IS NOT NULL ORDER BY {key_sql('conv_id')}, conv_id LIMIT 100""")
 def tgt_limo(spark, sf):
     """Question -> worked solution (the solution is not stripped)."""
-    p = pairs(spark, sf).filter(F.col("instruction").isNotNull() & F.col("output").isNotNull())
-    return _out(TG.finish(p.select("target_id", TG.chat_wrap(T.strip("instruction")).alias("prompt"),
-                                   F.col("output").alias("label")), 100, SEED))
+    return _out(TS.targets_of(spark, "limo", {"pairs": pairs(spark, sf)}, num_samples=100, seed=SEED))
 
 
 @register("tgt_toxigen", f"""
@@ -186,15 +97,9 @@ def tgt_toxigen(spark, sf):
     """At most ten lines per group (here: per source), each as "Complete the
     following: ..."; the label is the group's first line after the cap (the
     reference draws it from that, empty, remainder)."""
-    d = FX.table(spark, sf, "documents").select("doc_id", "source", F.get(F.split("text", "\n"), 0).alias("line"))
-    ranked = SA.sample_group_cap(d, "source", 11, SEED, "doc_id")
-    lp = ranked.filter("group_rank = 11").select("source", F.col("line").alias("label_prompt"))
-    text = F.replace(F.replace(T.strip("line"), F.lit("\\\\"), F.lit("\\")), F.lit("\\n"), F.lit("\n"))
-    rows = ranked.filter("group_rank <= 10").join(lp, "source")
-    p = rows.select(F.col("doc_id").alias("target_id"),
-                    TG.chat_wrap(F.concat(F.lit("Complete the following: "), text)).alias("prompt"),
-                    F.col("label_prompt").alias("label"))
-    return _out(TG.finish(p, 140, SEED))
+    line = T.strip(F.get(F.split("text", "\n"), 0))
+    text = F.replace(F.replace(line, F.lit("\\\\"), F.lit("\\")), F.lit("\\n"), F.lit("\n"))
+    return _set(spark, "toxigen", lines=FX.table(spark, sf, "documents").select(F.col("doc_id").alias("target_id"), "source", text.alias("text")))
 
 
 # ---------------------------------------------------------------- joins and small operators
@@ -214,15 +119,6 @@ def join_domain_lookup(spark, sf):
             .select(F.col("sel_rank").cast("long").alias("sel_rank"), "pool_id", "domain", "first_message"))
 
 
-@register("join_template", f"""WITH {TPL_SQL}
-SELECT d.doc_id, d.lang, tpl.qt AS question_cue, tpl.acue AS answer_cue FROM documents d JOIN tpl USING (lang)""")
-def join_template(spark, sf):
-    """Language -> template; languages without a template drop out."""
-    d = FX.table(spark, sf, "documents").select("doc_id", "lang")
-    return d.join(F.broadcast(templates(spark)), "lang").select(
-        "doc_id", "lang", F.col("qt").alias("question_cue"), F.col("acue").alias("answer_cue"))
-
-
 @register("union_shards", f"""WITH {QS.SQL_VECTORS} {QS.tiles_sql()}""")
 def union_shards(spark, sf):
     """The pool scored in three shards (by label), each stored by itself as tiles,

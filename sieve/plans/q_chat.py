@@ -138,17 +138,22 @@ SELECT 'tulu3' AS pool, conv_id, text FROM ({SYSTEM_FIELD_SQL}) d
 UNION ALL
 SELECT 'alpaca' AS pool, conv_id, text FROM (WITH {SQL_TURNS}
   SELECT conv_id, trim(string_agg({_piece()}, '' ORDER BY idx), {WS}) AS text FROM c GROUP BY conv_id) x
+WHERE conv_id % 2 = 0
+UNION ALL
+SELECT 'alpaca' AS pool, conv_id, text FROM ({_vendor_sql(True)}) v WHERE conv_id % 2 = 1
 UNION ALL
 SELECT 'ling_mini' AS pool, conv_id, text FROM ({_vendor_sql(False)}) y""")
 def render_dispatch(spark, sf):
-    """The renderer chosen by pool name, for three pool names."""
+    """The renderer chosen by pool name, for three pool names; in a pool of another
+    name by row: here every second row carries ``mid`` and has the vendor's roles."""
     rows = system_field_rows(spark, sf).join(vendor_rows(spark, sf).select(
         "conv_id", "system_message", F.col("messages").alias("vendor_messages")), "conv_id")
     parts = []
     for pool in ("tulu3", "alpaca", "ling_mini"):
-        msgs = "vendor_messages" if "ling" in pool else "messages"
-        text = C.render_dispatch(pool, msgs, system="system", system_message="system_message")
-        parts.append(rows.select(F.lit(pool).alias("pool"), "conv_id", text.alias("text")))
+        own = rows.withColumn("mid", F.when(F.col("conv_id") % 2 == 1, F.col("conv_id").cast("string")) if pool == "alpaca" else F.lit(None).cast("string"))
+        own = own.withColumn("messages", F.when(F.col("mid").isNotNull() | F.lit("ling" in pool), F.col("vendor_messages")).otherwise(F.col("messages")))
+        text = C.render_dispatch(pool, "messages", system="system", system_message="system_message", mid="mid")
+        parts.append(own.select(F.lit(pool).alias("pool"), "conv_id", text.alias("text")))
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
@@ -187,44 +192,75 @@ def truncate_tokens(spark, sf):
                     F.array_join(C.truncate_tokens("toks", TRUNC), " ").alias("text"))
 
 
-@register("mask_non_assistant", f"""WITH {SQL_TURNS},
-p AS (SELECT conv_id, idx, role, lag(role) OVER (PARTITION BY conv_id ORDER BY idx) AS prev_role,
-             len({TOKENS_SQL % _piece()}) AS n FROM c),
-q AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY conv_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM p),
-k AS (SELECT conv_id, least(start + n, {MASK_N}) AS stop_pos,
-             CASE WHEN role = 'assistant'
-                  THEN greatest(0, least(start + n, {MASK_N}) - least(start + CASE WHEN prev_role IS NOT NULL AND prev_role <> 'assistant' THEN 1 ELSE 0 END, {MASK_N}))
-                  ELSE 0 END AS kept FROM q)
-SELECT conv_id, max(stop_pos)::BIGINT AS n_tokens, sum(kept)::BIGINT AS n_labels FROM k GROUP BY conv_id""")
+MASKED = "-100"
+
+
+def _labels_sql(pieces: str, form: str) -> str:
+    """Tokens and labels of ``pieces`` (conv_id, idx, role, prev_role, text)."""
+    return f"""SELECT '{form}' AS form, conv_id, array_to_string(flatten(list(toks ORDER BY idx))[1:{MASK_N}], ' ') AS tokens,
+  array_to_string(flatten(list(CASE WHEN role <> 'assistant' THEN list_transform(toks, lambda t: '{MASKED}')
+    WHEN prev_role IS NOT NULL AND prev_role <> 'assistant' THEN list_concat(['{MASKED}'], toks[2:]) ELSE toks END ORDER BY idx))[1:{MASK_N}], ' ') AS labels
+FROM (SELECT *, {TOKENS_SQL % 'piece'} AS toks FROM ({pieces})) GROUP BY conv_id"""
+
+
+def _masked_out(df, form: str):
+    """A label is shown as -100 where it is masked."""
+    return df.select(F.lit(form).alias("form"), "conv_id", F.array_join("s.tokens", " ").alias("tokens"), F.array_join("s.labels", " ", MASKED).alias("labels"))
+
+
+@register("mask_non_assistant", f"""
+{_labels_sql(f"WITH {SQL_TURNS} SELECT conv_id, idx, role, lag(role) OVER (PARTITION BY conv_id ORDER BY idx) AS prev_role, {_piece()} AS piece FROM c", "chat")}
+UNION ALL
+{_labels_sql(f"WITH {SQL_TURNS} SELECT conv_id, idx, role, CASE WHEN first_role = 'system' AND idx = 2 THEN NULL ELSE lag(role) OVER (PARTITION BY conv_id ORDER BY idx) END AS prev_role, {_piece()} AS piece FROM c", "vendor")}""")
 def mask_non_assistant(spark, sf):
-    lab = messages(spark, sf).select("conv_id", C.mask_non_assistant("messages", MASK_N).alias("labels"))
-    return lab.select("conv_id", F.size("labels").cast("long").alias("n_tokens"),
-                      F.size(F.filter("labels", lambda x: x.isNotNull())).cast("long").alias("n_labels"))
+    """Tokens and labels of the chat and the vendor form, by one mask. In the vendor
+    form the system message masks itself only, not the tag of a reply after it."""
+    chat = messages(spark, sf).select("conv_id", C.chat_pieces("messages").alias("p"))
+    vendor = vendor_rows(spark, sf).select("conv_id", C.vendor_pieces("messages", "system_message").alias("p"))
+    parts = [_masked_out(df.select("conv_id", C.token_labels("p", MASK_N).alias("s")), form) for df, form in ((chat, "chat"), (vendor, "vendor"))]
+    return parts[0].unionByName(parts[1])
+
+
+@register("turn_spans", f"""WITH {SQL_TURNS},
+p AS (SELECT conv_id, idx, role, length({_piece()}) AS n FROM c),
+q AS (SELECT *, sum(n) OVER (PARTITION BY conv_id ORDER BY idx) AS stop, sum(n) OVER (PARTITION BY conv_id) AS total FROM p)
+SELECT conv_id, idx - 1 AS turn, role, (stop - n)::BIGINT AS start, least(stop, total - 1)::BIGINT AS "end" FROM q""")
+def turn_spans(spark, sf):
+    """Every turn's place in the rendered text (whose last line feed is stripped)."""
+    m = messages(spark, sf).select("conv_id", C.chat_pieces("messages").alias("p"))
+    return m.select("conv_id", F.posexplode(C.spans("p")).alias("turn", "s")).select(
+        "conv_id", F.col("turn").cast("long").alias("turn"), "s.role", F.col("s.start").cast("long").alias("start"), F.col("s.end").cast("long").alias("end"))
 
 
-@register("join_prompt_label", f"""WITH {SQL_TURNS},
+SAMPLE_N = 48
+
+_SAMPLE_SQL = f"""WITH {SQL_TURNS},
 pr AS (SELECT conv_id, string_agg({_piece(False)}, '' ORDER BY idx) || '<|assistant|>' || {NL} AS prompt FROM c
        WHERE idx <= CASE WHEN first_role = 'system' THEN 2 ELSE 1 END GROUP BY conv_id),
-lb AS (SELECT conv_id, trim(text, {WS}) AS label FROM c WHERE idx = CASE WHEN first_role = 'system' THEN 3 ELSE 2 END)
-SELECT conv_id, len({TOKENS_SQL % "prompt"}) + len({TOKENS_SQL % "label || '</s>'"}) AS n_input,
-       len({TOKENS_SQL % "prompt"}) AS n_masked, len({TOKENS_SQL % "label || '</s>'"}) AS n_label
-FROM pr JOIN lb USING (conv_id)""")
+lb AS (SELECT conv_id, trim(text, {WS}) AS label FROM c WHERE idx = CASE WHEN first_role = 'system' THEN 3 ELSE 2 END),
+t AS (SELECT conv_id, ({TOKENS_SQL % "prompt"})[1:{SAMPLE_N}] AS p, ({TOKENS_SQL % f"replace(prompt || '</s>', {NL} || '<|assistant|>' || {NL}, '')"})[1:{SAMPLE_N}] AS po,
+        ({TOKENS_SQL % "label || '</s>'"})[1:{SAMPLE_N}] AS l, ({TOKENS_SQL % "'<s>' || label || '</s>'"})[1:{SAMPLE_N}] AS ro FROM pr JOIN lb USING (conv_id))"""
+
+
+@register("join_prompt_label", f"""{_SAMPLE_SQL}
+SELECT 'both' AS mode, conv_id, array_to_string(list_concat(p, l), ' ') AS tokens, array_to_string(list_concat(list_transform(p, lambda x: '{MASKED}'), l), ' ') AS labels FROM t
+UNION ALL SELECT 'prompt_only', conv_id, array_to_string(po, ' '), array_to_string(list_transform(po, lambda x: '{MASKED}'), ' ') FROM t
+UNION ALL SELECT 'response_only', conv_id, array_to_string(ro, ' '), array_to_string(ro, ' ') FROM t""")
 def join_prompt_label(spark, sf):
-    """Target sample from a conversation: prompt tokens (masked) followed by
-    the reply tokens plus EOS (kept)."""
+    """Target samples from conversations in the three modes: prompt tokens (masked)
+    and reply tokens with EOS (kept), each side cut by itself."""
     m = messages(spark, sf)
-    first = F.when(F.element_at("messages", 1)["role"] == "system", F.slice("messages", 1, 2)).otherwise(
-        F.slice("messages", 1, 1))
-    reply = F.when(F.element_at("messages", 1)["role"] == "system", F.get(F.col("messages"), 2)).otherwise(
-        F.get(F.col("messages"), 1))
+    system = F.element_at("messages", 1)["role"] == "system"
+    first = F.when(system, F.slice("messages", 1, 2)).otherwise(F.slice("messages", 1, 1))
+    reply = F.when(system, F.get(F.col("messages"), 2)).otherwise(F.get(F.col("messages"), 1))
     t = (m.select("conv_id", C.chat_prompt(first).alias("prompt"), T.strip(reply["content"]).alias("label"))
          .filter(F.col("label").isNotNull()))
-    pt, lt = C.tokens("prompt"), C.tokens(F.concat("label", F.lit(C.EOS)))
-    sample = t.select("conv_id", F.concat(pt, lt).alias("input_ids"),
-                      F.concat(F.transform(pt, lambda x: F.lit(None).cast("string")), lt).alias("labels"))
-    return sample.select("conv_id", F.size("input_ids").cast("long").alias("n_input"),
-                         F.size(F.filter("labels", lambda x: x.isNull())).cast("long").alias("n_masked"),
-                         F.size(F.filter("labels", lambda x: x.isNotNull())).cast("long").alias("n_label"))
+    out = None
+    for mode, how in (("both", {}), ("prompt_only", {"prompt_only": True}), ("response_only", {"response_only": True})):
+        part = t.select("conv_id", C.target_sample("prompt", "label", SAMPLE_N, **how).alias("s"))
+        part = _masked_out(part, mode).withColumnRenamed("form", "mode")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @register("suffix_cue", f"""

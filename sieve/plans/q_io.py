@@ -4,8 +4,6 @@ shared folder of the cluster), then read back with the readers."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from sieve.functions import chat as C
@@ -15,16 +13,11 @@ from sieve.operators import tiles as TL
 from sieve.plans import fixtures as FX
 from sieve.plans import q_chat, q_scoring, q_select, q_targets
 from sieve.plans.catalog import r6, register
-from sieve.session import ensure_checkpoint_dir
+from sieve.plans.fixtures import scratch
 from sieve.sources import readers as RD
 from sieve.sources import sinks as SK
 
 
-def scratch(spark, name: str) -> str:
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/sieve-io/{name}-{uuid.uuid4().hex}"
-
-
 def pool_rows(spark, sf):
     """Conversations as pool rows in chat form (``id``, ``dataset``, ``messages``)."""
     m = FX.conversation_messages(spark, sf)

@@ -9,18 +9,22 @@ the text. Conversations give instruction/response pairs.
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sieve.functions import chat as C
 from sieve.functions import text as T
 from sieve.operators import sampling as SA
 from sieve.plans import fixtures as FX
+from sieve.plans import target_sets as TS
 from sieve.plans import targets as TG
 from sieve.plans.catalog import register
+from sieve.sources import readers as RD
 
 NL = "chr(10)"
 WS = "(' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12))"
 SEED = 42
+COT_SHOTS = 3               # worked questions in a task's prompt
 
 
 def key_sql(col: str, seed: int = SEED) -> str:
@@ -72,6 +76,11 @@ def _out(df):
     return df.select(F.col("target_id").cast("long").alias("target_id"), "prompt", "label")
 
 
+def _set(spark, name: str, **inputs):
+    """A registered target set over these inputs, with its own draw."""
+    return _out(TS.targets_of(spark, name, inputs, seed=SEED))
+
+
 @register("mc_prompt", f"""WITH {mc_items_sql('test')}
 SELECT target_id, {HEADER_SQL} || {mc_body_sql()} AS prompt, answer AS label FROM m""")
 def mc_prompt(spark, sf):
@@ -84,9 +93,7 @@ def mc_prompt(spark, sf):
 SELECT target_id, {chat_sql(HEADER_SQL + ' || ' + mc_body_sql())} || 'The answer is:' AS prompt, answer AS label FROM m""")
 def tgt_mmlu(spark, sf):
     """All test items, zero-shot, chat format, cue appended."""
-    m = mc_items(spark, sf, "test")
-    prompt = T.suffix_cue(TG.chat_wrap(F.concat(TG.mc_header("subject"), mc_body())), TG.COT_CUE)
-    return _out(TG.finish(m.select("target_id", prompt.alias("prompt"), F.col("answer").alias("label")), None, SEED))
+    return _set(spark, "mmlu", test=mc_items(spark, sf, "test"))
 
 
 def _round_robin_sql(source: str, group: str, n: int) -> str:
@@ -112,10 +119,7 @@ p AS (SELECT target_id, subject, {chat_sql(HEADER_SQL + ' || ' + mc_body_sql())}
 SELECT target_id, prompt, label FROM sh WHERE shuffle_rank <= 285""")
 def tgt_mmlu_shots(spark, sf):
     """Dev items as targets: one random item per subject per pass, then 285."""
-    m = mc_items(spark, sf, "dev")
-    prompt = T.suffix_cue(TG.chat_wrap(F.concat(TG.mc_header("subject"), mc_body())), TG.COT_CUE)
-    p = m.select("target_id", "subject", prompt.alias("prompt"), F.col("answer").alias("label"))
-    return _out(SA.sample_round_robin(p, "subject", 285, SEED, "target_id"))
+    return _set(spark, "mmlu_shots", dev=mc_items(spark, sf, "dev"))
 
 
 SHOTS_SQL = f"""
@@ -148,11 +152,7 @@ p AS (SELECT m.target_id, m.subject, {chat_sql(HEADER_SQL + " || coalesce(js.sho
 {_round_robin_sql('p', 'subject', 285)}
 SELECT target_id, prompt, label FROM sh WHERE shuffle_rank <= 285""")
 def tgt_mmlu_shots_shots(spark, sf):
-    s = mc_with_shots(spark, sf)
-    content = F.concat(TG.mc_header("subject"), TG.few_shot_prefix("shots", sep=""), mc_body())
-    p = s.select("target_id", "subject", T.suffix_cue(TG.chat_wrap(content), TG.COT_CUE).alias("prompt"),
-                 F.col("answer").alias("label"))
-    return _out(SA.sample_round_robin(p, "subject", 285, SEED, "target_id"))
+    return _set(spark, "mmlu_shots_shots", dev=mc_items(spark, sf, "dev"))
 
 
 BUDGET = 128
@@ -204,17 +204,7 @@ p AS (SELECT target_id, {chat_sql(f"pre.prefix || 'Question: ' || trim(question,
 SELECT target_id, prompt, label FROM p""")
 def tgt_gsm8k(spark, sf):
     """Word problems with the eight worked examples as a prefix, all of them."""
-    test = num_items(spark, sf, "test").filter(F.col("answer").try_cast("double").isNotNull())
-    ex = num_items(spark, sf, "dev").orderBy("target_id").limit(8)   # the n-shot demonstrations
-    demos = ex.select(F.struct("target_id", TG.gsm_demo("question", "cot_answer").alias("d")).alias("s"))
-    # the prefix is one string built from eight rows: it becomes a literal
-    prefix = demos.agg(
-        F.concat(F.lit(TG.GSM_PREFIX), F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda x: x["d"]), "\n\n"),
-                 F.lit("\n\n")).alias("prefix")).first()["prefix"]
-    content = F.concat(F.lit(prefix), F.lit("Question: "), T.strip("question"))
-    p = test.select("target_id", T.suffix_cue(TG.chat_wrap(content), "Answer:").alias("prompt"),
-                    F.col("answer").alias("label"))
-    return _out(p)
+    return _set(spark, "gsm8k", test=num_items(spark, sf, "test"), examples=num_items(spark, sf, "dev"))
 
 
 @register("tgt_gsm8k_shots", f"""WITH {num_items_sql('dev', 'e')},
@@ -223,11 +213,7 @@ SELECT target_id, {chat_sql(f"'Answer the following question.' || {NL} || {NL} |
        cot_answer AS label FROM ex""")
 def tgt_gsm8k_shots(spark, sf):
     """The worked examples themselves as targets (label = worked answer)."""
-    ex = num_items(spark, sf, "dev").orderBy("target_id").limit(8)
-    content = F.concat(F.lit(TG.GSM_PREFIX_ONE + "Question: "), T.strip("question"))
-    p = ex.select("target_id", T.suffix_cue(TG.chat_wrap(content), "Answer:").alias("prompt"),
-                  F.col("cot_answer").alias("label"))
-    return _out(TG.finish(p, 8, SEED))
+    return _set(spark, "gsm8k_shots", examples=num_items(spark, sf, "dev"))
 
 
 @register("tgt_gsm8k_shots_shots", f"""WITH {num_items_sql('dev', 'e')},
@@ -239,37 +225,36 @@ SELECT ex.target_id, {chat_sql(f"'Answer the following questions.' || {NL} || {N
 def tgt_gsm8k_shots_shots(spark, sf):
     """Each worked example with the other seven as shots (case-insensitive
     leave-one-out)."""
-    ex = num_items(spark, sf, "dev").orderBy("target_id").limit(8)
-    # the eight worked examples are one small literal array; each row drops its own
-    shots = (ex.select(F.struct("target_id", F.col("question").alias("key"),
-                                TG.gsm_demo("question", "cot_answer").alias("demo")).alias("s"))
-             .agg(F.array_sort(F.collect_list("s")).alias("a")).first()["a"])
-    arr = F.array(*[F.struct(F.lit(r["key"]).alias("key"), F.lit(r["demo"]).alias("demo")) for r in shots])
-    s = ex.withColumn("shots", F.transform(F.filter(arr, lambda x: F.lower(x["key"]) != F.lower(F.col("question"))),
-                                           lambda x: x["demo"]))
-    content = F.concat(F.lit(TG.GSM_PREFIX), F.array_join("shots", "\n\n"), F.lit("\n\nQuestion: "), T.strip("question"))
-    return _out(s.select("target_id", T.suffix_cue(TG.chat_wrap(content), "Answer:").alias("prompt"),
-                         F.col("cot_answer").alias("label")))
+    return _set(spark, "gsm8k_shots_shots", examples=num_items(spark, sf, "dev"))
 
 
 # ---------------------------------------------------------------- per-task prompts
 
-@register("src_cot_text", f"""
-SELECT source AS task, array_to_string(string_split(arg_min(text, doc_id), {NL})[3:], {NL}) AS task_prompt
-FROM documents WHERE doc_id IN (SELECT doc_id FROM labels) GROUP BY source""")
-def src_cot_text(spark, sf):
-    """One prompt text per task (the task's first dev document) with its first
-    two lines dropped."""
-    return task_prompts(spark, sf)
+TP_SQL = f"""tp AS (SELECT source AS task, row_number() OVER (ORDER BY source) AS prompt_id, 'Answer questions about ' || source || '.' ||
+    string_agg({NL} || {NL} || 'Q: ' || string_split(text, {NL})[1] || {NL} || 'A: ' || coalesce(string_split(text, {NL})[2], '') || ' So the answer is ' || n_chars || '.', '' ORDER BY doc_id)
+    || {NL} AS task_prompt
+  FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rk FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)) WHERE rk <= {COT_SHOTS} GROUP BY source)"""
 
 
 def task_prompts(spark, sf):
+    """``task, task_prompt, prompt_id``: a prompt file per source with two lines of
+    header, an introduction and the questions of its first three dev documents,
+    written and read back by the reader of such files."""
+    path = FX.scratch(spark, "cot-prompts")
     d = FX.table(spark, sf, "documents").join(FX.table(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi")
-    first = d.groupBy("source").agg(F.min_by("text", "doc_id").alias("text"))
+    few = (d.withColumn("rk", F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))).filter(F.col("rk") <= COT_SHOTS))
     lines = F.split("text", "\n")
-    return first.select(F.col("source").alias("task"),
-                        F.array_join(F.slice(lines, F.lit(3), F.greatest(F.size(lines) - 2, F.lit(0))), "\n")
-                        .alias("task_prompt"))
+    shot = F.concat(F.lit("\n\nQ: "), F.get(lines, 0), F.lit("\nA: "), F.coalesce(F.get(lines, 1), F.lit("")), F.lit(" So the answer is "), F.col("n_chars").cast("string"), F.lit("."))
+    made = few.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("doc_id", shot.alias("s")))).alias("shots"))
+    text = F.concat(F.lit("made for this test\n-----\nAnswer questions about "), "source", F.lit("."), F.array_join(F.transform("shots", lambda x: x["s"]), ""))
+    made.select(F.col("source").alias("task"), text.alias("value")).write.partitionBy("task").text(path)
+    return TS._prompts(spark, path)
+
+
+@register("src_cot_text", f"WITH {TP_SQL} SELECT task, task_prompt FROM tp")
+def src_cot_text(spark, sf):
+    """One prompt file per task, read with its first two lines dropped."""
+    return task_prompts(spark, sf).select("task", "task_prompt")
 
 
 @register("sample_group_cap", f"""
@@ -282,82 +267,125 @@ def sample_group_cap(spark, sf):
     return s.select("doc_id", "source", F.col("group_rank").cast("long").alias("group_rank"))
 
 
-@register("tgt_bbh", f"""WITH {num_items_sql('test')},
-tp AS (SELECT source AS task, array_to_string(string_split(arg_min(text, doc_id), {NL})[3:], {NL}) AS task_prompt
-       FROM documents WHERE doc_id IN (SELECT doc_id FROM labels) GROUP BY source),
+@register("tgt_bbh", f"""WITH {num_items_sql('test')}, {TP_SQL},
 cap AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY {key_sql('target_id')}, target_id) AS rk FROM g) WHERE rk <= 40),
 p AS (SELECT target_id, {chat_sql(f"trim(tp.task_prompt, {WS}) || {NL} || {NL} || 'Q: ' || cap.question")} || 'A:' AS prompt, answer AS label
       FROM cap JOIN tp ON tp.task = cap.source)
 SELECT target_id, prompt, label FROM p ORDER BY {key_sql('target_id')}, target_id LIMIT 270""")
 def tgt_bbh(spark, sf):
     """At most 40 examples per task, each after its task's prompt text."""
-    ex = SA.sample_group_cap(num_items(spark, sf, "test"), "source", 40, SEED, "target_id")
-    tp = task_prompts(spark, sf)
-    rows = ex.join(tp, ex.source == tp.task)   # one prompt per task
-    content = F.concat(T.strip("task_prompt"), F.lit("\n\nQ: "), F.col("question"))
-    p = rows.select("target_id", T.suffix_cue(TG.chat_wrap(content), TG.BBH_CUE).alias("prompt"),
-                    F.col("answer").alias("label"))
-    return _out(TG.finish(p, 270, SEED))
-
-
-@register("tgt_bbh_shots", f"""WITH
-tp AS (SELECT source AS task, array_to_string(string_split(arg_min(text, doc_id), {NL})[3:], {NL}) AS task_prompt
-       FROM documents WHERE doc_id IN (SELECT doc_id FROM labels) GROUP BY source),
-parts AS (SELECT task, unnest(string_split(task_prompt, {NL} || {NL} || 'Q:')) AS part,
-                 generate_subscripts(string_split(task_prompt, {NL} || {NL} || 'Q:'), 1) AS pos FROM tp)
-SELECT task, pos, trim(split_part(part, {NL} || 'A: ', 1), {WS}) AS question FROM parts WHERE pos > 1""")
-def tgt_bbh_shots(spark, sf):
-    """Questions inside each task prompt (split on a blank line + ``Q:``, then
-    on ``A:``); the part before the first ``Q:`` is the task intro."""
-    tp = task_prompts(spark, sf)
-    parts = tp.select("task", F.posexplode(F.split("task_prompt", "\n\nQ:", -1)).alias("pos", "part"))
-    return parts.filter(F.col("pos") > 0).select(
-        "task", (F.col("pos") + 1).cast("long").alias("pos"),
-        T.strip(F.split_part("part", F.lit("\nA: "), F.lit(1))).alias("question"))
+    return _set(spark, "bbh", test=num_items(spark, sf, "test").withColumnRenamed("source", "task"), prompts=task_prompts(spark, sf))
 
 
-# ---------------------------------------------------------------- reading comprehension
+PARTS_SQL = f"""{TP_SQL},
+split AS (SELECT task, prompt_id, task_prompt, string_split(task_prompt, {NL} || {NL} || 'Q:') AS parts FROM tp),
+parts AS (SELECT *, unnest(parts) AS part, generate_subscripts(parts, 1) AS pos FROM split)"""
 
-QA_TRUNC = 1024
 
+@register("tgt_bbh_shots", f"""WITH {PARTS_SQL},
+p AS (SELECT prompt_id * 1000 + pos - 1 AS target_id, parts[1] || {NL} || {NL} || 'Q:' || split_part(part, {NL} || 'A: ', 1) AS prompt, split_part(part, {NL} || 'A: ', 2) AS label
+      FROM parts WHERE pos > 1)
+SELECT * FROM p ORDER BY {key_sql('target_id')}, target_id LIMIT 81""")
+def tgt_bbh_shots(spark, sf):
+    """The questions inside the task prompts as targets, after the introduction."""
+    return _set(spark, "bbh_shots", prompts=task_prompts(spark, sf))
 
-def truncate_text(text, n: int):
-    toks = C.tokens(text)
-    return F.when(F.size(toks) > n, F.array_join(F.slice(toks, 1, n), " ")).otherwise(T.col(text))
 
+@register("tgt_bbh_shots_shots", f"""WITH {PARTS_SQL},
+p AS (SELECT prompt_id * 1000 + pos - 1 AS target_id,
+        {chat_sql(f"trim(array_to_string(list_concat(parts[1:pos - 1], parts[pos + 1:]), {NL} || {NL} || 'Q:'), {WS}) || {NL} || {NL} || 'Q: ' || split_part(part, {NL} || 'A: ', 1)")} || 'A:' AS prompt,
+        split_part(part, {NL} || 'A: ', 2) AS label
+      FROM parts WHERE pos > 1)
+SELECT * FROM p ORDER BY {key_sql('target_id')}, target_id LIMIT 270""")
+def tgt_bbh_shots_shots(spark, sf):
+    """Every question inside a task prompt as a target, after the rest of its prompt."""
+    return _set(spark, "bbh_shots_shots", prompts=task_prompts(spark, sf))
+
+
+# ---------------------------------------------------------------- reading comprehension
 
 def truncate_sql(x: str, n: int) -> str:
     toks = f"list_filter(string_split_regex({x}, '[ ' || {NL} || ']+'), lambda t: t <> '')"
     return f"(CASE WHEN len({toks}) > {n} THEN array_to_string({toks}[1:{n}], ' ') ELSE {x} END)"
 
 
-@register("tgt_tydiqa", f"""WITH {num_items_sql('test')}, {num_items_sql('dev', 'e')},
-tpl AS (SELECT * FROM (VALUES ('en', 'Answer the following question based on the information in the given passage.', 'Passage:', 'Question:', 'Answer:'))
-        t(lang, intro, pt, qt, acue)),
-cap AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY {key_sql('target_id')}, target_id) AS rk FROM g) WHERE rk <= 100),
-shot AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY {key_sql('target_id')}, target_id) AS rk FROM e) WHERE rk = 1),
-p AS (SELECT cap.target_id,
-             {chat_sql(f"tpl.intro || {NL} || {NL} || tpl.pt || ' ' || {truncate_sql('shot.text', QA_TRUNC)} || {NL} || tpl.qt || ' ' || shot.question || {NL} || tpl.acue || ' ' || shot.answer || {NL} || {NL} || tpl.pt || ' ' || {truncate_sql('cap.text', QA_TRUNC)} || {NL} || tpl.qt || ' ' || cap.question || {NL}")} || tpl.acue AS prompt,
-             cap.answer AS label
-      FROM cap JOIN tpl USING (lang) JOIN shot USING (lang))
-SELECT target_id, prompt, label FROM p ORDER BY {key_sql('target_id')}, target_id LIMIT 90""")
+LANGUAGES = list(TG.QA_TEMPLATES)
+
+
+def qa_items(spark, sf, split: str):
+    """Passage items whose id begins with one of the nine languages, by turns."""
+    name = F.element_at(F.array(*map(F.lit, LANGUAGES)), (F.col("target_id") % len(LANGUAGES) + 1).cast("int"))
+    rows = num_items(spark, sf, split).withColumn("id", F.concat(name, F.lit("-"), F.col("target_id").cast("string")))
+    return rows.select("target_id", F.split("id", "-")[0].alias("lang"), "text", "question", "answer")
+
+
+def qa_items_sql(split: str, name: str) -> str:
+    return (f"{num_items_sql(split, name + '_all')}, {name} AS (SELECT target_id, {LANGUAGES}[target_id % {len(LANGUAGES)} + 1] AS lang, text, question, answer FROM {name}_all)")
+
+
+def template_sql(with_passage: bool = True) -> str:
+    table = TG.QA_TEMPLATES if with_passage else {k: (v[0], "", *v[1:]) for k, v in TG.QA_TEMPLATES_NO_PASSAGE.items()}
+    return "tpl AS (SELECT * FROM (VALUES " + ", ".join(str((k, *v)) for k, v in table.items()) + ") t(lang, intro, pt, qt, acue))"
+
+
+def _qa_sql(with_passage: bool) -> str:
+    """The three forms' prompts over ``t`` (targets) and ``s`` (shots)."""
+    def block(x, cut):
+        text = truncate_sql(f"{x}.text", TS.QA_TOKENS) if cut else f"{x}.text"
+        return (f"tpl.pt || ' ' || {text} || {NL} || " if with_passage else "") + f"tpl.qt || ' ' || {x}.question || {NL}"
+
+    def prompt(shot, cut):
+        demo = f"{block('s', cut)} || tpl.acue || ' ' || s.answer || {NL} || {NL} || " if shot else ""
+        return f"{chat_sql(f'tpl.intro || {NL} || {NL} || {demo}{block(chr(116), cut)}')} || tpl.acue"
+    return prompt
+
+
+def _first_sql(source: str, n: int) -> str:
+    return f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY {key_sql('target_id')}, target_id) AS rk FROM {source}) WHERE rk <= {n})"
+
+
+def tydiqa_sql(with_passage: bool = True) -> str:
+    return f"""WITH {qa_items_sql('test', 'g')}, {qa_items_sql('dev', 'e')}, {template_sql(with_passage)},
+p AS (SELECT t.target_id, {_qa_sql(with_passage)(True, True)} AS prompt, t.answer AS label
+      FROM {_first_sql('g', TS.QA_PER_LANGUAGE)} t JOIN tpl USING (lang) JOIN {_first_sql('e', 1)} s USING (lang))
+SELECT target_id, prompt, label FROM p ORDER BY {key_sql('target_id')}, target_id LIMIT 90"""
+
+
+@register("tgt_tydiqa", tydiqa_sql())
 def tgt_tydiqa(spark, sf):
     """Passage QA per language: at most 100 items and one shot per language,
     passages cut at 1,024 tokens, the language's template around them."""
-    spark_tpl = spark.createDataFrame([(k, *v) for k, v in TG.QA_TEMPLATES.items()], "lang string, intro string, pt string, qt string, at string")
-    test = SA.sample_group_cap(num_items(spark, sf, "test"), "lang", 100, SEED, "target_id")
-    shot = SA.sample_n_shot(num_items(spark, sf, "dev"), "lang", 1, SEED, "target_id", check=False).select(
-        "lang", F.col("text").alias("s_text"), F.col("question").alias("s_q"), F.col("answer").alias("s_a"))
-    rows = test.join(F.broadcast(spark_tpl), "lang").join(shot, "lang")   # one template and one shot per language
-    demo = F.concat(F.col("pt"), F.lit(" "), truncate_text("s_text", QA_TRUNC), F.lit("\n"), F.col("qt"), F.lit(" "),
-                    F.col("s_q"), F.lit("\n"), F.col("at"), F.lit(" "), F.col("s_a"))
-    content = F.concat(F.col("intro"), F.lit("\n\n"), demo, F.lit("\n\n"), F.col("pt"), F.lit(" "),
-                       truncate_text("text", QA_TRUNC), F.lit("\n"), F.col("qt"), F.lit(" "), F.col("question"), F.lit("\n"))
-    chat = TG.chat_wrap(content)
-    prompt = F.concat(chat, F.when(chat.endswith("\n") | chat.endswith(" "), F.col("at"))
-                      .otherwise(F.concat(F.lit(" "), F.col("at"))))
-    p = rows.select("target_id", prompt.alias("prompt"), F.col("answer").alias("label"))
-    return _out(TG.finish(p, 90, SEED))
+    return _set(spark, "tydiqa", dev=qa_items(spark, sf, "test"), train=qa_items(spark, sf, "dev"))
+
+
+@register("tgt_tydiqa_no_passage", tydiqa_sql(False))
+def tgt_tydiqa_no_passage(spark, sf):
+    """The same with the templates that have no passage."""
+    return _out(TS.tydiqa({"dev": qa_items(spark, sf, "test"), "train": qa_items(spark, sf, "dev")}, 90, SEED, with_passage=False))
+
+
+@register("tgt_tydiqa_shots", f"""WITH {qa_items_sql('dev', 'e')}, {template_sql()}
+SELECT t.target_id, {_qa_sql(True)(False, False)} AS prompt, t.answer AS label FROM {_first_sql('e', 1)} t JOIN tpl USING (lang)""")
+def tgt_tydiqa_shots(spark, sf):
+    """The per-language shots themselves as targets (passages not cut)."""
+    return _set(spark, "tydiqa_shots", train=qa_items(spark, sf, "dev"))
+
+
+@register("tgt_tydiqa_shots_shots", f"""WITH {qa_items_sql('dev', 'e')}, {template_sql()}, two AS {_first_sql('e', 2)}
+SELECT t.target_id, {_qa_sql(True)(True, False)} AS prompt, t.answer AS label
+FROM (SELECT * FROM two WHERE rk = 1) t JOIN (SELECT * FROM two WHERE rk = 2) s USING (lang) JOIN tpl USING (lang)""")
+def tgt_tydiqa_shots_shots(spark, sf):
+    """Two items per language: the first is the target, the second its shot."""
+    return _set(spark, "tydiqa_shots_shots", train=qa_items(spark, sf, "dev"))
+
+
+@register("join_template", f"""WITH {qa_items_sql('test', 'g')}, {template_sql()}, short AS (SELECT lang, qt, acue FROM ({'WITH ' + template_sql(False) + ' SELECT * FROM tpl'}) x)
+SELECT target_id, g.lang, tpl.intro, tpl.qt AS question_cue, tpl.acue AS answer_cue, short.qt AS short_question_cue FROM g JOIN tpl USING (lang) JOIN short USING (lang)""")
+def join_template(spark, sf):
+    """Language -> template, in both forms: as many rows as there are items."""
+    rows = qa_items(spark, sf, "test").select("target_id", "lang", TG.template("lang").alias("t"), TG.template("lang", False).alias("s"))
+    return rows.select("target_id", "lang", "t.intro", F.col("t.question").alias("question_cue"), F.col("t.answer").alias("answer_cue"),
+                       F.col("s.question").alias("short_question_cue"))
 
 
 @register("sample_n_shot", f"""
@@ -391,21 +419,26 @@ def pairs(spark, sf):
                     first("assistant").alias("output"))
 
 
-def _instruction_pairs(name: str, n: int):
+def _instruction_pairs(name: str, of: str, n: int):
     """Instruction -> reference output, stripped, chat format; a draw of n."""
     @register(name, f"""WITH {PAIRS_SQL}
 SELECT conv_id AS target_id, {chat_sql(f"trim(instruction, {WS})")} AS prompt, trim(output, {WS}) AS label
 FROM pr WHERE instruction IS NOT NULL AND output IS NOT NULL ORDER BY {key_sql('conv_id')}, conv_id LIMIT {n}""")
     def build(spark, sf):
-        p = pairs(spark, sf).filter(F.col("instruction").isNotNull() & F.col("output").isNotNull())
-        return _out(TG.finish(p.select("target_id", TG.chat_wrap(T.strip("instruction")).alias("prompt"),
-                                       T.strip("output").alias("label")), n, SEED))
+        return _set(spark, of, pairs=pairs(spark, sf))
     return build
 
 
-tgt_alpacafarm = _instruction_pairs("tgt_alpacafarm", 50)
-tgt_arena_hard = _instruction_pairs("tgt_arena_hard", 500)
-tgt_wildchat = _instruction_pairs("tgt_wildchat", 100)
+tgt_alpacafarm = _instruction_pairs("tgt_alpacafarm", "alpacafarm", 50)
+tgt_arena_hard = _instruction_pairs("tgt_arena_hard", "arena_hard", 500)
+tgt_wildchat = _instruction_pairs("tgt_wildchat", "wildchat", 100)
+
+
+def passages(spark, sf):
+    """The document of each benchmark item as passage, its text as question."""
+    b, d = FX.table(spark, sf, "benchmark"), FX.table(spark, sf, "documents")
+    return b.join(d, b.item_id == d.doc_id).select(F.col("item_id").alias("target_id"), d.text.alias("text"), b.text.alias("question"),
+                                                   F.get(F.split(d.text, "\n"), 0).alias("answer"))
 
 
 @register("tgt_squad", f"""
@@ -413,34 +446,36 @@ SELECT b.item_id AS target_id, {chat_sql(f"d.text || {NL} || {NL} || b.text")} A
 FROM benchmark b JOIN documents d ON d.doc_id = b.item_id ORDER BY {key_sql('b.item_id')}, b.item_id LIMIT 500""")
 def tgt_squad(spark, sf):
     """Passage + blank line + question -> first answer."""
-    b = FX.table(spark, sf, "benchmark")
-    d = FX.table(spark, sf, "documents")
-    rows = b.join(d, b.item_id == d.doc_id)
-    p = rows.select(F.col("item_id").alias("target_id"),
-                    TG.chat_wrap(F.concat(d.text, F.lit("\n\n"), b.text)).alias("prompt"),
-                    F.get(F.split(d.text, "\n"), 0).alias("label"))
-    return _out(TG.finish(p, 500, SEED))
+    return _set(spark, "squad", rows=passages(spark, sf))
+
+
+def _codex_inputs(spark, sf):
+    problems = FX.table(spark, sf, "benchmark").join(FX.table(spark, sf, "documents").select(F.col("doc_id").alias("item_id"), F.col("text").alias("solution")), "item_id")
+    named = F.concat(F.lit("HumanEval/"), F.col("item_id").cast("string"))
+    instructions = FX.table(spark, sf, "documents").select(F.replace(F.concat(F.lit("Python/"), F.col("doc_id").cast("string")), F.lit("Python"), F.lit("HumanEval")).alias("task_id"),
+                                                          F.get(F.split("text", "\n"), 0).alias("instruction"))
+    return problems.select(F.col("item_id").alias("target_id"), named.alias("task_id"), F.col("text").alias("problem"), "solution"), instructions
 
 
 @register("tgt_codex", f"""
-WITH pb AS (SELECT 'Python/' || item_id AS task_id, item_id, text AS problem FROM benchmark),
-ins AS (SELECT 'HumanEval/' || doc_id AS task_id, string_split(text, {NL})[1] AS instruction, text AS solution FROM documents)
+WITH pb AS (SELECT 'HumanEval/' || item_id AS task_id, item_id, text AS problem FROM benchmark),
+ins AS (SELECT replace('Python/' || doc_id, 'Python', 'HumanEval') AS task_id, string_split(text, {NL})[1] AS instruction, text AS solution FROM documents)
 SELECT pb.item_id AS target_id, {chat_sql('ins.instruction')} || 'Here is the function:' || {NL} || {NL} || '```python' || {NL} || pb.problem AS prompt,
        ins.solution AS label
-FROM pb JOIN ins ON ins.task_id = replace(pb.task_id, 'Python', 'HumanEval') ORDER BY {key_sql('pb.item_id')}, pb.item_id LIMIT 100""")
+FROM pb JOIN ins USING (task_id) ORDER BY {key_sql('pb.item_id')}, pb.item_id LIMIT 100""")
 def tgt_codex(spark, sf):
-    """Problems with instructions looked up by the rewritten task id."""
-    b = FX.table(spark, sf, "benchmark").select("item_id", F.concat(F.lit("Python/"), F.col("item_id").cast("string")).alias("task_id"),
-                                                 F.col("text").alias("problem"))
-    ins = FX.table(spark, sf, "documents").select(
-        F.concat(F.lit("HumanEval/"), F.col("doc_id").cast("string")).alias("ins_id"),
-        F.get(F.split("text", "\n"), 0).alias("instruction"), F.col("text").alias("solution"))
-    rows = b.join(ins, F.replace(b.task_id, F.lit("Python"), F.lit("HumanEval")) == ins.ins_id)
-    chat = TG.chat_wrap("instruction")
-    prompt = F.concat(chat, F.when(chat.endswith("\n") | chat.endswith(" "), F.lit("")).otherwise(F.lit(" ")),
-                      F.lit(TG.CODE_ANSWER_WITH_INSTRUCTIONS), F.col("problem"))
-    p = rows.select(F.col("item_id").alias("target_id"), prompt.alias("prompt"), F.col("solution").alias("label"))
-    return _out(TG.finish(p, 100, SEED))
+    """Problems with instructions looked up by the rewritten task id; a problem
+    without one raises."""
+    problems, instructions = _codex_inputs(spark, sf)
+    return _set(spark, "codex", problems=problems, instructions=instructions)
+
+
+@register("tgt_codex_no_instructions", f"""
+SELECT item_id AS target_id, {chat_sql(f"'Complete the following python function.' || {NL} || {NL} || {NL} || b.text")} || 'Here is the completed function:' || {NL} || {NL} || {NL} AS prompt, d.text AS label
+FROM benchmark b JOIN documents d ON d.doc_id = b.item_id ORDER BY {key_sql('item_id')}, item_id LIMIT 100""")
+def tgt_codex_no_instructions(spark, sf):
+    """Without the table of instructions: the problem itself is asked for."""
+    return _set(spark, "codex", problems=_codex_inputs(spark, sf)[0])
 
 
 @register("tgt_debug_subset", f"""WITH
@@ -453,6 +488,5 @@ SELECT conv_id AS target_id, prompt, '' AS label FROM r ORDER BY conv_id LIMIT 1
 def tgt_debug_subset(spark, sf):
     """The first 100 pool conversations, default rendering (rows known to be
     in the pool, for sanity runs)."""
-    m = FX.conversation_messages(spark, sf).orderBy("conv_id").limit(100)
-    return _out(m.select(F.col("conv_id").alias("target_id"), C.render_default("messages").alias("prompt"),
-                         F.lit("").alias("label")))
+    pool = FX.conversation_messages(spark, sf).withColumnRenamed("conv_id", "target_id")
+    return _out(TS.build(spark, "debug_subset", {"pool": pool}))

@@ -1,9 +1,7 @@
-"""Target-set builders: source rows -> prompt text -> seeded sample.
+"""Parts of target-set builders: source rows -> prompt text -> seeded sample.
 
-Every builder returns ``target_id bigint, prompt string, label string`` (plus
-the grouping column when there is one); the registry maps the reference's
-builder names to functions taking ``(spark, inputs, num_samples, seed)``.
-Users add a target set by registering another function (``register_target``).
+Text templates and few-shot helpers; the target sets themselves, their input
+files and options are in :mod:`sieve.plans.target_sets`.
 
 Text templates are Column expressions; few-shot blocks are built from a
 bounded set of shots per group (never a pairing of all rows of a group).
@@ -11,8 +9,6 @@ bounded set of shots per group (never a pairing of all rows of a group).
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,48 +28,32 @@ BBH_CUE = "A:"
 CODE_INSTRUCTION = "Complete the following python function.\n\n\n"
 CODE_ANSWER = "Here is the completed function:\n\n\n"
 CODE_ANSWER_WITH_INSTRUCTIONS = "Here is the function:\n\n```python\n"
-# English reading-comprehension templates (intro, passage,
-# question and answer cues); languages without a template are skipped.
+# Reading-comprehension templates by language (instruction, passage, question and answer cues).
 QA_TEMPLATES = {
-    "en": ("Answer the following question based on the information in the given passage.",
-           "Passage:", "Question:", "Answer:"),
+    "english": ("Answer the following question based on the information in the given passage.", "Passage:", "Question:", "Answer:"),
+    "arabic": ("أجب على السؤال التالي بناءً على المعلومات في المقطع المعطى.", "المقطع:", "السؤال:", "الإجابة:"),
+    "bengali": ("প্রদত্ত অধ্যায়ের তথ্যের উপর ভিত্তি করে নিম্নলিখিত প্রশ্নের উত্তর দিন।", "অধ্যায়:", "প্রশ্ন:", "উত্তর:"),
+    "finnish": ("Vastaa seuraavaan kysymykseen annetun kappaleen tiedon perusteella.", "Kappale:", "Kysymys:", "Vastaus:"),
+    "indonesian": ("Jawab pertanyaan berikut berdasarkan informasi di bagian yang diberikan.", "Bagian:", "Pertanyaan:", "Jawaban:"),
+    "korean": ("주어진 문단의 정보에 기반하여 다음 질문에 답하십시오.", "문단:", "질문:", "답변:"),
+    "russian": ("Ответьте на следующий вопрос на основе информации в данном отрывке.", "Отрывок:", "Вопрос:", "Ответ:"),
+    "swahili": ("Jibu swali lifuatalo kulingana na habari kwenye kifungu kilichotolewa.", "Kifungu:", "Swali:", "Jibu:"),
+    "telugu": ("ఇచ్చిన పేరాలోని సమాచారం ఆధారంగా కింది ప్రశ్నకు సమాధానం ఇవ్వండి.", "పేరా:", "ప్రశ్న:", "సమాధానం:"),
 }
-
-REGISTRY: dict[str, Callable[..., DataFrame]] = {}
-
-# The reference's target-set names and the catalog queries that build them
-# from the given tables (``*_test`` variants differ only in the input file).
-BUILDERS = {
-    "mmlu": "tgt_mmlu", "mmlu_shots": "tgt_mmlu_shots", "mmlu_cot": "tgt_mmlu_cot",
-    "mmlu_shots_shots": "tgt_mmlu_shots_shots", "gsm8k": "tgt_gsm8k", "gsm8k_shots": "tgt_gsm8k_shots",
-    "gsm8k_shots_shots": "tgt_gsm8k_shots_shots", "bbh": "tgt_bbh", "bbh_shots": "tgt_bbh_shots",
-    "bbh_shots_shots": "tgt_bbh_shots_shots", "tydiqa": "tgt_tydiqa", "tydiqa_shots": "tgt_tydiqa_shots",
-    "tydiqa_shots_shots": "tgt_tydiqa_shots_shots", "codex": "tgt_codex", "codex_test": "tgt_codex",
-    "alpacafarm": "tgt_alpacafarm", "alpacafarm_test": "tgt_alpacafarm", "arena_hard": "tgt_arena_hard",
-    "wildchat": "tgt_wildchat", "squad": "tgt_squad", "squad_test": "tgt_squad", "squad_shots": "tgt_squad_shots",
-    "mbpp_pro": "tgt_mbpp", "mbpp_val": "tgt_mbpp", "limo": "tgt_limo", "debug_subset": "tgt_debug_subset",
-    "toxigen": "tgt_toxigen",
+# The same without a passage (instruction, question and answer cues).
+QA_TEMPLATES_NO_PASSAGE = {
+    "english": ("Answer the following question.", "Question:", "Answer:"),
+    "arabic": ("أجب على السؤال التالي.", "السؤال:", "الإجابة:"),
+    "bengali": ("নিম্নলিখিত প্রশ্নের উত্তর দিন।", "প্রশ্ন:", "উত্তর:"),
+    "finnish": ("Vastaa seuraavaan kysymykseen.", "Kysymys:", "Vastaus:"),
+    "indonesian": ("Jawab pertanyaan berikut.", "Pertanyaan:", "Jawaban:"),
+    "korean": ("다음 질문에 답하십시오.", "질문:", "답변:"),
+    "russian": ("Ответьте на следующий вопрос.", "Вопрос:", "Ответ:"),
+    "swahili": ("Jibu swali lifuatalo.", "Swali:", "Jibu:"),
+    "telugu": ("క్రింది ప్రశ్నకు సమాధానం ఇవ్వండి.", "ప్రశ్న:", "సమాధానం:"),
 }
 
 
-def register_target(name: str):
-    """Add a target set: ``fn(spark, sf_dir) -> DataFrame(target_id, prompt, label)``."""
-    def deco(fn):
-        REGISTRY[name] = fn
-        return fn
-    return deco
-
-
-def build_target_set(spark, name: str, sf_dir: str) -> DataFrame:
-    """A target set by name: user-registered sets first, then the built-in ones."""
-    if name in REGISTRY:
-        return REGISTRY[name](spark, sf_dir)
-    if name not in BUILDERS:
-        raise ValueError(f"unknown target set {name!r}")
-    from sieve.plans import catalog
-    return catalog.queries()[BUILDERS[name]](spark, sf_dir)
-
-
 # --------------------------------------------------------------------------
 # templates
 # --------------------------------------------------------------------------
@@ -119,6 +99,34 @@ def gsm_demo(question, answer, cot: bool = True) -> Column:
     return F.concat(F.lit("Quesion: "), T.col(question), F.lit("\nAnswer: "), T.col(answer))
 
 
+def template(lang, with_passage: bool = True) -> Column:
+    """A language's template as a struct of ``intro, passage, question, answer``
+    (``passage`` empty without one). A literal map, so no row is lost to a join; a
+    language without a template raises, as the reference does."""
+    table = QA_TEMPLATES if with_passage else {k: (v[0], "", *v[1:]) for k, v in QA_TEMPLATES_NO_PASSAGE.items()}
+    names = ("intro", "passage", "question", "answer")
+    entries = [x for k, v in table.items() for x in (F.lit(k), F.struct(*[F.lit(t).alias(n) for n, t in zip(names, v)]))]
+    found = F.try_element_at(F.create_map(*entries), T.col(lang))
+    return F.when(found.isNotNull(), found).otherwise(F.raise_error(F.concat(F.lit("no template for language "), F.coalesce(T.col(lang), F.lit("null")))))
+
+
+def cot_blocks(task_prompt) -> Column:
+    """A worked-examples prompt as a struct of ``intro`` and ``blocks``, an array of
+    (pos, question, answer, start, end): what stands before the first blank line
+    followed by ``Q:``, and each such block with its place in the prompt, in
+    characters, from the blank line on; the question with its ``Q:``, up to the
+    ``A:`` that begins a line. ``task_prompt`` must be a plain column."""
+    sep, cue = "\n\nQ:", "\nA: "
+    text = T.col(task_prompt)
+    parts = F.split(text, sep, -1)
+    # where part i ends: the lengths of all parts to it and of the separators between them
+    end = lambda i: F.aggregate(F.slice(parts, F.lit(1), i + 1), F.lit(0), lambda n, p: n + F.length(p)) + F.lit(len(sep)) * i
+    block = lambda p, i: F.struct(                                                                                               # noqa: E731
+        i.alias("pos"), F.concat(F.lit("Q:"), F.split_part(p, F.lit(cue), F.lit(1))).alias("question"),
+        F.split_part(p, F.lit(cue), F.lit(2)).alias("answer"), (end(i) - F.length(p) - len(sep)).alias("start"), end(i).alias("end"))
+    return F.struct(F.get(parts, 0).alias("intro"), F.filter(F.transform(parts, block), lambda b: b["pos"] > 0).alias("blocks"))
+
+
 def code_prompt(description, test_list) -> Column:
     """Docstring holding the description and the first test."""
     return F.concat(F.lit('"""\n'), T.col(description), F.lit("\n"), F.element_at(T.col(test_list), 1),

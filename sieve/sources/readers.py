@@ -131,9 +131,11 @@ def drop_first_lines(text, n: int = 2):
 
 
 def read_cot_prompts(spark: SparkSession, path: str) -> DataFrame:
-    """One prompt file per task, first two lines dropped."""
-    df = spark.read.text(path, wholetext=True)
-    task = F.regexp_extract(F.col("_metadata.file_name"), r"^([^.]+)", 1)
+    """One prompt file per task (``<task>.txt`` or a ``task=<name>`` directory),
+    first two lines dropped."""
+    df = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
+    task = F.coalesce(F.nullif(F.regexp_extract(F.col("_metadata.file_path"), r"/task=([^/]+)/", 1), F.lit("")),
+                      F.regexp_extract(F.col("_metadata.file_name"), r"^([^.]+)", 1))
     return df.select(task.alias("task"), drop_first_lines(F.col("value")).alias("task_prompt"))
 
 
