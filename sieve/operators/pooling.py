@@ -92,11 +92,9 @@ def concat_by_layer(per_layer: DataFrame, part_col: str = "vec") -> DataFrame:
 
 def combine_segment_cat(per_layer: DataFrame, n: int) -> DataFrame:
     """Layer i contributes dims ``[i*D/n, (i+1)*D/n)``; D must divide by n."""
-    seg = per_layer.withColumn("_seg", V.segment(F.col("vec"), F.col("li"), n))
-    bad = per_layer.filter(F.size("vec") % n != 0).limit(1).count()
-    if bad:
-        raise ValueError("vector size must divide by n_layer for segment concatenation")
-    return concat_by_layer(seg, "_seg")
+    seg = F.when(F.size("vec") % n == 0, V.segment(F.col("vec"), F.col("li"), n)).otherwise(
+        F.raise_error(F.lit("vector size must divide by n_layer for segment concatenation")))
+    return concat_by_layer(per_layer.withColumn("_seg", seg), "_seg")
 
 
 def pooled_layers(states: DataFrame, pooling: str, n: int, n_layers: int | None = None) -> DataFrame:
@@ -136,7 +134,8 @@ def embed(states: DataFrame, pooling: str = "weighted_mean", n_layer: int | None
     if sec_pooling == "cat":
         return combine_segment_cat(per_layer, n_layer)
     from sieve.operators.projection import combine_redcat
-    return combine_redcat(per_layer, n_layer, seed=seed)
+    size = states.select(F.size("vec").alias("d")).limit(1).collect()          # one row of the input, not the pooled table
+    return combine_redcat(per_layer, n_layer, seed=seed, d=size[0]["d"] if size else n_layer)
 
 
 def explode_dims(vectors: DataFrame, key: str = "sample_id", vec: str = "vec") -> DataFrame:

@@ -72,7 +72,8 @@ def project(per_layer: DataFrame, n: int, d: int, seed: int = 42) -> DataFrame:
 
 def combine_redcat(per_layer: DataFrame, n: int, seed: int = 42, d: int | None = None) -> DataFrame:
     """Project every layer to D//n dims and concatenate in layer order; with a
-    single layer the pooled vector is returned unchanged."""
+    single layer the pooled vector is returned unchanged. Without ``d``, the
+    vectors' length, the table is read once more to learn it."""
     if n == 1:
         return per_layer.select("sample_id", "vec")
     if d is None:

@@ -2,9 +2,8 @@
 
 Fit: an exact seeded sample of ``fit`` rows (hash order; only the narrow
 ``(hash, id)`` pairs go through the global top-``fit``, the vectors are then
-semi-joined), two distributed passes (mean, then the centred Gram matrix per
-partition as one NumPy product per Arrow batch, emitted in row blocks and
-summed in parallel per block over groups of partitions), and the
+semi-joined), one distributed pass (count, mean and co-moments per Arrow batch,
+merged pairwise within a task and then, in row blocks, between tasks), and the
 eigendecomposition of the D x D covariance on the driver.
 Its size depends on D only, not on the number of rows.
 
@@ -18,9 +17,8 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,45 +46,74 @@ def _matrix(batch: pa.RecordBatch, col: str) -> np.ndarray:
     return np.asarray(flat, dtype=np.float64).reshape(batch.num_rows, -1)
 
 
-def covariance(vectors: DataFrame, vec: str = "vec"):
-    """Sample mean, covariance (n - 1) and row count, computed on the cluster."""
-    sc = vectors.sparkSession.sparkContext
-    vd = vectors.select(F.transform(vec, lambda x: x.cast("double")).alias("v"))
-    stats = vd.agg(vector_to_array(Summarizer.mean(array_to_vector("v"))).alias("mean"),
-                   F.count(F.lit(1)).alias("n")).first()
-    n = int(stats["n"])
-    if n == 0:
-        raise ValueError("empty fit sample")
-    mean = np.asarray(stats["mean"], dtype=np.float64)
-    d = len(mean)
-    mean_bc = sc.broadcast(mean)
+BLOCK_VALUES = 1 << 17       # co-moments of a row of the partial tables (1 MB)
+MOMENT_SCHEMA = "block int, first int, n bigint, mean array<double>, m2 array<double>"
+
+
+def merge_moments(n1: int, mean1: np.ndarray, m1: np.ndarray, n2: int, mean2: np.ndarray, m2: np.ndarray, rows: slice = slice(None)):
+    """Count, mean and co-moments (rows ``rows`` of the matrix) of two samples
+    together; either may be empty."""
+    n = n1 + n2
+    if not n1 or not n2:
+        return (n, mean1, m1) if n1 else (n, mean2, m2)
+    delta = mean2 - mean1
+    return n, mean1 + delta * (n2 / n), m1 + m2 + np.outer(delta[rows], delta) * (n1 * n2 / n)
 
-    # rows of the Gram matrix travel in blocks of about a million values, so
-    # the reduction runs in parallel over blocks instead of on one task
-    rows_per_block = max(1, (1 << 20) // d)
-    n_blocks = (d + rows_per_block - 1) // rows_per_block
 
-    def gram(batches):
-        mu = mean_bc.value
-        acc = np.zeros((d, d))
+def moments(vectors: DataFrame, vec: str = "vec") -> DataFrame:
+    """``block, first, n, mean, m2``: count, mean and sums of products of deviations
+    of all vectors, in one scan. Blocks hold some rows of the D x D matrix, from row
+    ``first`` on. A task merges its batches one by one; tasks are merged pairwise by
+    block, in groups of 32 partitions and then together, so no task receives a whole
+    matrix per partition. No vectors, no rows; vectors of unequal length raise."""
+    def partial(batches):
+        n, mean, m2 = 0, None, None
         for b in batches:
             if b.num_rows:
-                X = _matrix(b, "v") - mu
-                acc += X.T @ X
-        blocks = [acc[i * rows_per_block:(i + 1) * rows_per_block].ravel() for i in range(n_blocks)]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.arange(n_blocks, dtype=np.int32)), pa.array(blocks, type=pa.list_(pa.float64()))],
-            names=["block", "g"])
-
-    partial = vd.mapInArrow(gram, "block int, g array<double>")
-    # two-level sum: groups of 32 input partitions, then per block
-    level1 = (partial.groupBy("block", F.floor(F.spark_partition_id() / 32).alias("grp"))
-              .agg(Summarizer.sum(array_to_vector("g")).alias("g")))
-    total = (level1.groupBy("block").agg(vector_to_array(Summarizer.sum(F.col("g"))).alias("g"))
-             .orderBy("block").collect())      # d x d values in n_blocks rows: bounded by D, not by rows
-    g = np.concatenate([np.asarray(r["g"], dtype=np.float64) for r in total]).reshape(d, d)
-    cov = g / (n - 1) if n > 1 else np.zeros((d, d))
-    return mean, cov, n
+                X = _matrix(b, "v")
+                if mean is not None and X.shape[1] != len(mean):
+                    raise ValueError("vectors have different lengths")
+                mu = X.mean(axis=0)
+                Y = X - mu
+                n, mean, m2 = merge_moments(n, mean, m2, len(X), mu, Y.T @ Y)
+        if n:
+            step = max(1, BLOCK_VALUES // len(mean))
+            for k, i in enumerate(range(0, len(mean), step)):       # one block a batch: a batch is bounded by the block
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([k], pa.int32()), pa.array([i], pa.int32()), pa.array([n], pa.int64()), pa.array([mean]), pa.array([m2[i:i + step].ravel()])],
+                    names=["block", "first", "n", "mean", "m2"])
+
+    def merge(rows):
+        n, mean, m2 = 0, None, None
+        first = int(rows["first"].iloc[0])
+        for r in rows.sort_values(["n", "mean"], key=lambda c: c if c.name == "n" else c.map(lambda m: m[0])).itertuples():
+            mu = np.asarray(r.mean)
+            block = np.asarray(r.m2).reshape(-1, len(mu))
+            if mean is not None and len(mu) != len(mean):
+                raise ValueError("vectors have different lengths")
+            n, mean, m2 = merge_moments(n, mean, m2, int(r.n), mu, block, slice(first, first + len(block)))
+        return pd.DataFrame({"block": [int(rows["block"].iloc[0])], "first": [first], "n": [n], "mean": [mean], "m2": [m2.ravel()]})
+
+    parts = vectors.select(F.transform(vec, lambda x: x.cast("double")).alias("v")).mapInArrow(partial, MOMENT_SCHEMA)
+    groups = parts.groupBy("block", F.floor(F.spark_partition_id() / 32).alias("part")).applyInPandas(lambda key, rows: merge(rows), MOMENT_SCHEMA)
+    return groups.groupBy("block").applyInPandas(merge, MOMENT_SCHEMA)
+
+
+def covariance_blocks(vectors: DataFrame, vec: str = "vec") -> DataFrame:
+    """``first, n, mean, cov``: the sample covariance (n - 1) in blocks of rows from
+    row ``first`` on, row after row; zero for a single vector."""
+    scale = F.greatest(F.col("n") - 1, F.lit(1)).cast("double")
+    return moments(vectors, vec).select("first", "n", "mean", F.zip_with("m2", F.array_repeat(scale, F.size("m2")), lambda m, s: m / s).alias("cov"))
+
+
+def covariance(vectors: DataFrame, vec: str = "vec"):
+    """Sample mean, covariance (n - 1) and row count. D x D values reach the driver
+    in blocks: bounded by D, not by the rows."""
+    blocks = covariance_blocks(vectors, vec).orderBy("first").collect()
+    if not blocks:
+        raise ValueError("empty fit sample")
+    mean = np.asarray(blocks[0]["mean"], dtype=np.float64)
+    return mean, np.concatenate([np.asarray(r["cov"], dtype=np.float64) for r in blocks]).reshape(len(mean), len(mean)), int(blocks[0]["n"])
 
 
 def whiten_fit(vectors: DataFrame, reddim: int, fit: int | None = None, seed: int = 42,

@@ -117,6 +117,45 @@ def src_influence(spark, sf):
     return parts.select("target_id", "batch", F.array_join(joined("pool_ids").cast("array<string>"), ",").alias("pool_ids"), TL.listed(joined("scores")).alias("scores"))
 
 
+@register("src_jsonl_gz", """
+SELECT 'doc/' || doc_id AS task_id, CASE WHEN doc_id % 3 = 0 THEN n_chars + 2 WHEN doc_id % 3 = 1 THEN n_chars + 1 ELSE n_chars END AS n_chars, source FROM documents""")
+def src_jsonl_gz(spark, sf):
+    """Documents as gzip JSON lines keyed by a task id, in three files with blank
+    lines: the second and third repeat some keys, and the last line of a key counts."""
+    path = scratch(spark, "problems")
+    d = FX.table(spark, sf, "documents").select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("task_id"), "n_chars", "source", "doc_id")
+    for part, rows in enumerate((d, d.where("doc_id % 3 <> 2"), d.where("doc_id % 3 = 0"))):
+        line = F.to_json(F.struct("task_id", (F.col("n_chars") + part).alias("n_chars"), "source"))
+        with_blank = rows.select(F.explode(F.array(line, F.lit(""), F.lit("  "))).alias("value"))
+        with_blank.write.option("compression", "gzip").text(f"{path}/part={part}")
+    return RD.read_problems(spark, path).select("task_id", "n_chars", "source")
+
+
+@register("src_task_json", """
+SELECT source AS task, k AS pos, text AS input, n_chars::VARCHAR AS target FROM (
+  SELECT *, row_number() OVER (PARTITION BY source, doc_id // 1000 ORDER BY doc_id) - 1 AS k FROM documents)""")
+def src_task_json(spark, sf):
+    """Examples per task: documents by source, a JSON document for a thousand ids."""
+    path = scratch(spark, "examples")
+    d = FX.table(spark, sf, "documents")
+    one = F.struct("doc_id", F.struct(F.col("text").alias("input"), F.col("n_chars").cast("string").alias("target")).alias("e"))
+    made = d.groupBy(F.col("source").alias("task"), F.floor(F.col("doc_id") / 1000).alias("part")).agg(F.array_sort(F.collect_list(one)).alias("x"))
+    made.select("task", F.transform("x", lambda x: x["e"]).alias("examples")).write.partitionBy("task").json(path)
+    return RD.read_task_examples(spark, path, multiline=False).select("task", F.col("pos").cast("long").alias("pos"), "input", "target")
+
+
+@register("src_lines_by_file", f"""
+WITH e AS (SELECT lang, source, replace(replace(text, '\\', '\\\\'), chr(10), '\\n') AS line FROM documents)
+SELECT lang AS label, source AS "group", replace(replace(trim(line, {q_targets.WS}), '\\\\', '\\'), '\\n', chr(10)) AS text FROM e""")
+def src_lines_by_file(spark, sf):
+    """A line per document, escaped, in files named by language and source."""
+    path = scratch(spark, "lines")
+    d = FX.table(spark, sf, "documents")
+    line = F.replace(F.replace("text", F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n"))
+    d.select(F.concat_ws("_", "lang", "source").alias("name"), line.alias("value")).write.partitionBy("name").text(path)
+    return RD.read_lines_by_file(spark, path).select("label", "group", "text")
+
+
 @register("src_allow_ids", "SELECT DISTINCT CAST(doc_id AS VARCHAR) AS id FROM labels WHERE quality = 1")
 def src_allow_ids(spark, sf):
     path = scratch(spark, "allow")

@@ -323,9 +323,8 @@ def anti_already_done(spark, sf):
     """Rows with a stored output (``labels``) are reused, the rest go to the
     to-do set; decided per row."""
     done = FX.table(spark, sf, "labels").select("doc_id")
-    todo, reuse = J.split_done(docs(spark, sf).select("doc_id"), done, "doc_id")
-    return (todo.select("doc_id", F.lit("todo").alias("status"))
-            .unionByName(reuse.select("doc_id", F.lit("reused").alias("status"))))
+    rows = J.mark_done(docs(spark, sf).select("doc_id"), done, "doc_id")
+    return rows.select("doc_id", F.when(F.col("done"), F.lit("reused")).otherwise(F.lit("todo")).alias("status"))
 
 
 @register("member_set", "SELECT DISTINCT lang FROM documents")
@@ -333,8 +332,7 @@ def member_set(spark, sf):
     return docs(spark, sf).select("lang").distinct()
 
 
-# Stop strings of the code-completion task.
-CODE_STOPS = ["\nclass", "\nassert", '\n"""', "\nprint", "\nif", "\n<|/", "\n```"]
+CODE_STOPS = T.CODE_STOPS
 
 
 def _stops_sql(x: str) -> str:

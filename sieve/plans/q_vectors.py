@@ -148,17 +148,27 @@ SELECT a.d AS i, b.d AS j, round(covar_samp(a.x, b.x), 6) + 0.0 AS cov
 FROM pu a JOIN pu b USING (pool_id) GROUP BY a.d, b.d""")
 def whiten_fit(spark, sf):
     """Covariance of the fit sample (all pool rows here) as computed by the fit."""
-    model = W.whiten_fit(FX.pool_vectors(spark, sf), reddim=16)
-    d = model.covariance.shape[0]
-    rows = [(i, j, float(model.covariance[i, j])) for i in range(d) for j in range(d)]
-    cov = spark.createDataFrame(rows, "i bigint, j bigint, cov double")
-    return cov.select("i", "j", r6("cov").alias("cov"))
+    return _covariance_cells(W.covariance_blocks(FX.pool_vectors(spark, sf)))
 
 
-@register("whiten_apply")
+def _covariance_cells(blocks):
+    cells = blocks.select("first", F.size("mean").alias("d"), F.posexplode("cov").alias("p", "cov"))
+    return cells.select((F.col("first") + F.floor(F.col("p") / F.col("d"))).cast("long").alias("i"), (F.col("p") % F.col("d")).cast("long").alias("j"), r6("cov").alias("cov"))
+
+
+REDDIM = 16
+
+
+@register("whiten_apply", f"SELECT i, j, CASE WHEN i = j THEN 1.0 ELSE 0.0 END AS cov FROM range({REDDIM}) a(i), range({REDDIM}) b(j), (SELECT count(*) AS n FROM embeddings) WHERE n > {REDDIM}")
 def whiten_apply(spark, sf):
-    """Whitened cosine top-5 per target (no SQL form: needs an eigendecomposition;
-    the tests check that whitened fit rows have identity covariance)."""
+    """The covariance of the whitened pool, which whitening makes the identity."""
+    pool = FX.pool_vectors(spark, sf)
+    return _covariance_cells(W.covariance_blocks(W.whiten_apply(pool.select("pool_id", "vec"), W.whiten_fit(pool, reddim=REDDIM))))
+
+
+@register("whiten_apply_topk")
+def whiten_apply_topk(spark, sf):
+    """Whitened cosine top-5 per target (no SQL form: needs an eigendecomposition)."""
     pool = FX.pool_vectors(spark, sf)
     model = W.whiten_fit(pool, reddim=16)
     wp = W.whiten_apply(pool.select("src", "pool_id", "vec"), model)

@@ -56,10 +56,6 @@ def run_task(spark, name: str, sf_dir: str, generations: DataFrame) -> DataFrame
 # built-in: the code-generation task (programs are assembled, never executed)
 # --------------------------------------------------------------------------
 
-# Stop strings that end a generated function body.
-CODE_STOPS = ["\nclass", "\nassert", '\n"""', "\nprint", "\nif", "\n```"]
-
-
 def _code_dataset(spark, sf_dir):
     from sieve.plans import q_scoring
     return q_scoring.code_problems(spark, sf_dir)
@@ -79,6 +75,6 @@ register_task("mbpp", Task(
     dataset=_code_dataset,
     prompt=_code_prompt,
     reference=lambda: F.array_join("test_list", "\n"),
-    postprocess=lambda gen, prompt: T.cut_at_stop(gen, CODE_STOPS),
+    postprocess=lambda gen, prompt: T.cut_at_stop(gen, T.CODE_STOPS),
     process_results=_code_results,
 ))

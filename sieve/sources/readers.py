@@ -13,12 +13,15 @@ running count over the (small) table of splits ordered by (path, start).
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sieve.session import ensure_checkpoint_dir
+from sieve.functions import chat as C
 from sieve.functions.text import strip
 from sieve.operators.tiles import ScoreTiles
 
@@ -65,18 +68,35 @@ def read_jsonl_dir(spark: SparkSession, path: str, schema: T.StructType | None =
     return with_row_position(df) if position else df
 
 
-# Named pools: name -> location. Register the locations of your cluster here
-# (or call ``register_pool``); any other name is treated as a path.
-NAMED_POOLS: dict[str, str] = {}
+@dataclass(frozen=True)
+class NamedPool:
+    path: str
+    renderer: Callable[[DataFrame], Column] | None = None
 
 
-def register_pool(name: str, path: str) -> None:
-    NAMED_POOLS[name] = path
+# Named pools: name -> location and renderer. Register the locations of your
+# cluster here (or call ``register_pool``); any other name is treated as a path.
+NAMED_POOLS: dict[str, NamedPool] = {}
+
+
+def register_pool(name: str, path: str, renderer: Callable[[DataFrame], Column] | None = None) -> None:
+    """``renderer`` maps the pool's rows to the Column of their text; without one the
+    renderer goes by the pool's name and the row's form."""
+    NAMED_POOLS[name] = NamedPool(path, renderer)
+
+
+def render_pool(df: DataFrame, name: str, column: str = "text") -> DataFrame:
+    """``df``, rows of the pool ``name``, with their rendered text."""
+    entry = NAMED_POOLS.get(name)
+    if entry is not None and entry.renderer is not None:
+        return df.withColumn(column, entry.renderer(df))
+    field = lambda c: F.col(c) if c in df.columns else F.lit(None).cast("string")                      # noqa: E731
+    return df.withColumn(column, C.render_dispatch(name, "messages", field("system"), field("system_message"), field("mid")))
 
 
 def read_named_pool(spark: SparkSession, name_or_path: str) -> DataFrame:
     """A registered pool by name, else an existing path, else an error."""
-    path = NAMED_POOLS.get(name_or_path, name_or_path)
+    path = NAMED_POOLS[name_or_path].path if name_or_path in NAMED_POOLS else name_or_path
     jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     fs = jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(jvm_path):
@@ -84,11 +104,19 @@ def read_named_pool(spark: SparkSession, name_or_path: str) -> DataFrame:
     return read_jsonl_dir(spark, path, POOL_SCHEMA)
 
 
+def order_key() -> Column:
+    """Where a line stands among all lines of a scan, as a struct that sorts as they
+    do (file path, place of the file's split, place within it); no count of lines and
+    no second scan. For a file scan only, before any shuffle."""
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("line"))
+
+
 def read_problems(spark: SparkSession, path: str, key: str = "task_id") -> DataFrame:
-    """JSON lines keyed by ``key``; a repeated key keeps its last line."""
-    df = with_row_position(spark.read.json(path))
-    cols = [c for c in df.columns if c not in (key, "row_pos")]
-    last = df.groupBy(key).agg(F.max_by(F.struct(*cols), "row_pos").alias("_r"))
+    """JSON lines keyed by ``key``, gzip and blank lines welcome; a repeated key
+    keeps its last line, in the order of sorted paths."""
+    df = spark.read.option("recursiveFileLookup", True).json(path)
+    cols = [c for c in df.columns if c != key]
+    last = (df.select("*", order_key().alias("_at")).groupBy(key).agg(F.max_by(F.struct(*cols), "_at").alias("_r")))
     return last.select(key, "_r.*")
 
 
@@ -117,10 +145,18 @@ def read_nested_qa(spark: SparkSession, path: str, multiline: bool = True) -> Da
                      F.transform("q.answers", lambda a: a["text"]).alias("answers"))
 
 
-def read_task_examples(spark: SparkSession, path: str) -> DataFrame:
-    """One JSON document per task (``examples``), task name from the file name."""
-    df = spark.read.option("multiLine", True).json(path)
-    task = F.regexp_extract(F.col("_metadata.file_name"), r"^([^.]+)", 1)
+def _name_in(path_key: str) -> Column:
+    """The value of a ``<key>=<value>`` directory, else the file's name to its first dot."""
+    return F.coalesce(F.nullif(F.regexp_extract(F.col("_metadata.file_path"), f"/{path_key}=([^/]+)/", 1), F.lit("")),
+                      F.regexp_extract(F.col("_metadata.file_name"), r"^([^.]+)", 1))
+
+
+def read_task_examples(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
+    """One JSON document per task (``examples``), the task from the file's name or a
+    ``task=<name>`` directory. Not ``multiline``: a document a line, several a task
+    (files that can be split); positions then count within a document."""
+    df = spark.read.option("multiLine", multiline).option("recursiveFileLookup", True).json(path)
+    task = _name_in("task")
     return df.select(task.alias("task"), F.posexplode("examples").alias("pos", "e")).select(
         "task", "pos", F.col("e.input").alias("input"), F.col("e.target").alias("target"))
 
@@ -134,18 +170,16 @@ def read_cot_prompts(spark: SparkSession, path: str) -> DataFrame:
     """One prompt file per task (``<task>.txt`` or a ``task=<name>`` directory),
     first two lines dropped."""
     df = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
-    task = F.coalesce(F.nullif(F.regexp_extract(F.col("_metadata.file_path"), r"/task=([^/]+)/", 1), F.lit("")),
-                      F.regexp_extract(F.col("_metadata.file_name"), r"^([^.]+)", 1))
-    return df.select(task.alias("task"), drop_first_lines(F.col("value")).alias("task_prompt"))
+    return df.select(_name_in("task").alias("task"), drop_first_lines(F.col("value")).alias("task_prompt"))
 
 
 def read_lines_by_file(spark: SparkSession, path: str) -> DataFrame:
     """One prompt per line; ``label`` and ``group`` from the file name
-    ``<label>_<group>.txt``; escaped backslashes and newlines restored."""
-    raw = spark.read.text(path)
-    df = with_row_position(raw.select("value", F.col("_metadata.file_name").alias("_file")))
-    name = F.regexp_extract(F.col("_file"), r"^([^.]+)", 1)
-    parts = F.split(name, "_")
+    ``<label>_<group>.txt`` or a ``name=<label>_<group>`` directory; escaped
+    backslashes and newlines restored."""
+    raw = spark.read.option("recursiveFileLookup", True).text(path)
+    df = with_row_position(raw.select("value", _name_in("name").alias("_name")))
+    parts = F.split("_name", "_")
     text = F.replace(F.replace(strip(F.col("value")), F.lit("\\\\"), F.lit("\\")), F.lit("\\n"), F.lit("\n"))
     return df.select(F.get(parts, 0).alias("label"),
                      F.array_join(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), "_").alias("group"),
