@@ -19,6 +19,9 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Whole texts and vectors go to Python: a batch of 10,000 (Spark's own default) is tens of MB in
+    # direct buffers and again in each worker, which keep that size while they are idle.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
     "spark.sql.session.timeZone": "UTC",
     # Per-target top-K keeps a partial limit before the shuffle only while K
     # is below this threshold; the reference selects up to 70,000 rows.
