@@ -4,10 +4,11 @@ Term counts come from single-pass in-memory indexing. A task counts its texts
 into a block of postings, term to source to occurrences. When the block is full
 it is spilled as a run: rows of up to ``CHUNK`` postings, sorted by hash shard,
 language and term. Runs are shuffled by shard and sorted by each chunk's first
-term, so that a shard's task can merge them with a heap as they stream in: a
-chunk is opened when the heap's smallest term reaches its first, so only chunks
-that overlap are open. A merged term's postings are complete, and terms in too
-few documents go at once.
+term, so that a shard's task can merge them with a heap as they stream in. The
+heap holds the open chunks by their next term. All terms before the first term of
+the next chunk to come are complete: chunks that begin before it are taken from
+the heap, cut there, merged at once, and put back if something is left. Terms in
+too few documents go before their postings are looked at.
 
 For two sources g and h the sum over all V kept terms is split. If neither source
 holds a term, its summand is the same for all such terms: V times that is the
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import heapq
 import zlib
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -37,7 +39,8 @@ LEAST_DOCUMENTS = 10        # of a language, for a term to be kept
 TOP_TERMS = 10
 SCALE = 1_000_000_000
 BLOCK = 400_000             # postings (term, source) of a task's block, about 60 MB
-CHUNK = 512                 # postings of a row of a run, unless one term has more
+CHUNK = 4096                # postings of a row of a run, unless one term has more
+STEP = 200_000              # postings that are opened before a merge, if the shard and language have so many
 PAIRS = 1_000_000           # pairs of postings that are looked at, and sums that are kept, at a time
 GROUPS_BROADCAST = 50_000   # groups of language and source; beyond, they are joined by shuffle
 _NO_TERM = bytes(range(0x00, 0x41)) + bytes(range(0x5B, 0x61)) + bytes(range(0x7B, 0x80))
@@ -54,6 +57,10 @@ def _rows(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows), schema)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
 
 
+def _lists(offsets: np.ndarray, values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values)
+
+
 class Block:
     """Postings of a task: occurrences by language, source and term, documents
     by language and term."""
@@ -74,42 +81,51 @@ class Block:
             seen |= new
         self.postings += len(counts) - before
 
-    def run(self) -> Iterator[tuple]:
-        """The block's rows in order of shard, language and term; empties it."""
-        listed = sorted((zlib.crc32(term, zlib.crc32(lang.encode())) % self.shards, lang, term, source, n)
-                        for (lang, source), counts in self.counts.items() for term, n in counts.items())
-        chunk, of = None, None
-        for shard, lang, term, source, n in listed:
-            if chunk is not None and (of != (shard, lang) or len(chunk[4]) >= CHUNK and chunk[0][-1] != term):
-                yield (*of, chunk[0][0], *chunk)
-                chunk = None
-            if chunk is None:
-                chunk, of = ([], [], [], [], []), (shard, lang)
-            if not chunk[0] or chunk[0][-1] != term:
-                chunk[0].append(term)
-                chunk[1].append(self.docs[lang][term])
-                chunk[2].append(0)
-            chunk[2][-1] += 1
-            chunk[3].append(source)
-            chunk[4].append(n)
-        if chunk is not None:
-            yield (*of, chunk[0][0], *chunk)
+    def run(self) -> Iterator[pa.RecordBatch]:
+        """The block's rows, one batch per language, in order of shard and term;
+        empties it."""
+        for lang, held in self.docs.items():
+            if held:
+                yield self._rows(lang, held, {source: c for (of, source), c in self.counts.items() if of == lang and c})
         self.__init__(self.shards)
 
+    def _rows(self, lang: str, held: Counter, counts: dict[str, Counter]) -> pa.RecordBatch:
+        terms = sorted(held)
+        number = {t: i for i, t in enumerate(terms)}
+        begun = zlib.crc32(lang.encode())
+        shard = np.fromiter((zlib.crc32(t, begun) for t in terms), np.int64, len(terms)) % self.shards
+        # Postings in order of shard, then term.
+        of = np.concatenate([np.fromiter(map(number.__getitem__, c), np.int64, len(c)) for c in counts.values()])
+        source = np.repeat(np.arange(len(counts)), [len(c) for c in counts.values()])
+        count = np.concatenate([np.fromiter(c.values(), np.int64, len(c)) for c in counts.values()])
+        order = np.argsort(shard[of] * len(terms) + of, kind="stable")
+        listed = np.argsort(shard * len(terms) + np.arange(len(terms)), kind="stable")
+        sizes = np.bincount(of, minlength=len(terms))[listed]
+        # Chunks: a new one with every shard, and where a shard's postings pass another multiple of CHUNK.
+        ends = np.cumsum(sizes)
+        own = shard[listed]
+        begins = np.r_[0, np.flatnonzero(own[1:] != own[:-1]) + 1]
+        within = (ends - sizes) - np.repeat((ends - sizes)[begins], np.diff(np.r_[begins, len(terms)]))
+        part = own * (int(within.max()) // CHUNK + 1) + within // CHUNK
+        first = np.r_[0, np.flatnonzero(part[1:] != part[:-1]) + 1]
+        to = np.r_[first, len(terms)]
+        of_postings = np.r_[0, ends][to]
+        sorted_terms = pa.array(terms, pa.binary()).take(pa.array(listed))
+        documents = np.fromiter(map(held.__getitem__, terms), np.int64, len(terms))[listed]
+        columns = [pa.array(own[first].astype(np.int32)), pa.array([lang] * len(first), pa.string()), sorted_terms.take(pa.array(first)), _lists(to, sorted_terms),
+                   _lists(to, pa.array(documents)), _lists(to, pa.array(sizes.astype(np.int32))), _lists(of_postings, pa.array(list(counts), pa.string()).take(pa.array(source[order]))),
+                   _lists(of_postings, pa.array(count[order]))]
+        return pa.RecordBatch.from_arrays(columns, schema=_RUN_SCHEMA)
+
 
 def _index(shards: int, block: int):
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = Block(shards)
 
         def spill() -> Iterator[pa.RecordBatch]:
-            rows = []
-            for row in held.run():
-                rows.append(row)
-                if len(rows) >= 256:
-                    yield _rows(_RUN_SCHEMA, rows)
-                    rows = []
-            if rows:
-                yield _rows(_RUN_SCHEMA, rows)
+            for rows in held.run():
+                for at in range(0, rows.num_rows, 256):
+                    yield rows.slice(at, 256)
         for batch in batches:
             for text, lang, source in zip(*(batch.column(i) for i in range(3))):
                 held.add(text.as_py(), lang.as_py(), source.as_py())
@@ -119,51 +135,72 @@ def _index(shards: int, block: int):
     return index
 
 
-def _postings(row: dict) -> Iterator[tuple]:
-    """(shard, lang, term, docs, sources, counts) of a run's row, in order."""
-    at = 0
-    for term, docs, size in zip(row["terms"], row["docs"], row["sizes"]):
-        yield row["shard"], row["lang"], term, docs, row["sources"][at:at + size], row["counts"][at:at + size]
-        at += size
+class _Chunk:
+    """Some consecutive terms of a run, with their documents and postings."""
+
+    def __init__(self, terms: pa.Array, docs: np.ndarray, sizes: np.ndarray, sources: pa.Array, counts: np.ndarray):
+        self.terms, self.docs, self.sizes, self.sources, self.counts = terms, docs, sizes, sources, counts
+
+    def cut(self, limit: bytes | None) -> tuple[_Chunk, _Chunk | None]:
+        """The terms before ``limit`` (None: all), and what is left."""
+        n = len(self.terms) if limit is None else bisect_left(range(len(self.terms)), limit, key=lambda i: self.terms[i].as_py())
+        if n == len(self.terms):
+            return self, None
+        at = int(self.sizes[:n].sum())
+        return (_Chunk(self.terms.slice(0, n), self.docs[:n], self.sizes[:n], self.sources.slice(0, at), self.counts[:at]),
+                _Chunk(self.terms.slice(n), self.docs[n:], self.sizes[n:], self.sources.slice(at), self.counts[at:]))
+
+
+def _merged(lang: str, chunks: list[_Chunk], least: int) -> pa.RecordBatch:
+    """Complete terms with all their postings, those in too few documents left out."""
+    terms = pa.concat_arrays([c.terms for c in chunks]).dictionary_encode()
+    code = terms.indices.to_numpy()
+    docs = np.zeros(len(terms.dictionary), np.int64)
+    np.add.at(docs, code, np.concatenate([c.docs for c in chunks]))
+    kept = docs >= least
+    of = np.repeat(code, np.concatenate([c.sizes for c in chunks]))
+    used = np.flatnonzero(kept[of])
+    sources = pa.concat_arrays([c.sources for c in chunks]).take(pa.array(used)).dictionary_encode()
+    key, place = np.unique(of[used].astype(np.int64) * max(1, len(sources.dictionary)) + sources.indices.to_numpy(), return_inverse=True)
+    total = np.zeros(len(key), np.int64)
+    np.add.at(total, place, np.concatenate([c.counts for c in chunks])[used])
+    term, source = np.divmod(key, max(1, len(sources.dictionary)))
+    first = np.flatnonzero(np.r_[True, term[1:] != term[:-1]]) if len(key) else np.empty(0, np.int64)
+    offsets = np.r_[first, len(key)]
+    return pa.RecordBatch.from_arrays(
+        [pa.array([lang] * len(first), pa.string()), terms.dictionary.take(pa.array(term[first])).cast(pa.string()), pa.array(docs[term[first]]),
+         _lists(offsets, sources.dictionary.take(pa.array(source))), _lists(offsets, pa.array(total))], schema=_MERGED_SCHEMA)
 
 
 def _merge(least: int):
-    def merged(rows: Iterator[dict]) -> Iterator[tuple]:
-        heap: list[tuple] = []          # (shard, lang, term), serial number, its postings, what follows in the chunk
-
-        def push(serial: int, rest: Iterator[tuple]) -> None:
-            if (p := next(rest, None)) is not None:
-                heapq.heappush(heap, (p[:3], serial, p, rest))
-
-        def smallest() -> tuple:
-            key, docs, counts = heap[0][0], 0, Counter()
-            while heap and heap[0][0] == key:
-                _, serial, p, rest = heapq.heappop(heap)
-                docs += p[3]
-                for source, n in zip(p[4], p[5]):
-                    counts[source] += n
-                push(serial, rest)
-            return key[1], key[2].decode(), docs, list(counts), list(counts.values())
-
-        for serial, row in enumerate(rows):
-            while heap and heap[0][0] < (row["shard"], row["lang"], row["first"]):
-                yield smallest()
-            push(serial, _postings(row))
-        while heap:
-            yield smallest()
-
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        streamed = (row for batch in batches for i in range(0, batch.num_rows, 64) for row in batch.slice(i, 64).to_pylist())
-        rows, postings = [], 0
-        for row in merged(streamed):
-            if row[2] >= least:
-                rows.append(row)
-                postings += len(row[3])
-                if postings >= 100_000:
-                    yield _rows(_MERGED_SCHEMA, rows)
-                    rows, postings = [], 0
-        if rows:
-            yield _rows(_MERGED_SCHEMA, rows)
+        heap: list[tuple[bytes, int, _Chunk]] = []          # open chunks by their next term
+        of, opened, serial = None, 0, 0
+
+        def complete(limit: bytes | None) -> Iterator[pa.RecordBatch]:
+            done = []
+            while heap and (limit is None or heap[0][0] < limit):
+                _, number, chunk = heapq.heappop(heap)
+                before, rest = chunk.cut(limit)
+                done.append(before)
+                if rest is not None:
+                    heapq.heappush(heap, (rest.terms[0].as_py(), number, rest))
+            if done:
+                rows = _merged(of[1], done, least)
+                for at in range(0, rows.num_rows, 4096):
+                    yield rows.slice(at, 4096)
+
+        for batch in batches:
+            shards, langs, firsts = (batch.column(i).to_pylist() for i in range(3))
+            lists = [batch.column(i) for i in range(3, 8)]
+            for i in range(batch.num_rows):
+                terms, docs, sizes, sources, counts = (x[i].values for x in lists)
+                if of != (shards[i], langs[i]) or opened >= STEP:
+                    yield from complete(firsts[i] if of == (shards[i], langs[i]) else None)
+                    of, opened = (shards[i], langs[i]), sum(len(c.counts) for _, _, c in heap)
+                heapq.heappush(heap, (firsts[i], serial, _Chunk(terms, docs.to_numpy(), sizes.to_numpy(), sources, counts.to_numpy())))
+                opened, serial = opened + len(counts), serial + 1
+        yield from complete(None)
     return merge
 
 

@@ -167,6 +167,7 @@ def test_audit_by_definition(spark, monkeypatch, block):
     """Small blocks, chunks and tiles spill, merge and flush many times."""
     if block < 100:
         monkeypatch.setattr(divergence, "CHUNK", 3)
+        monkeypatch.setattr(divergence, "STEP", 9)
         monkeypatch.setattr(divergence, "PAIRS", 7)
     rng = random.Random(6)
     words = [f"w{chr(97 + i)}" for i in range(20)] + ["é", "Été", "ßx", "🙂", "Wa"]
