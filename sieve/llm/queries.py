@@ -73,5 +73,5 @@ QUERIES = {f.__name__: f for f in (
     op1_quality, op2_toxicity, op3_quotes, op4_permutation_index, op5_trie_tokens,
     op6_simhash, op7_licenses, op8_decontaminate, op9_secrets, op10_mixing,
     op11_spelling_variants, op12_quality_rules, op13_source_divergence)}
-ORACLE_SQL = {"op9_secrets": secrets.ORACLE_SQL, "op11_spelling_variants": variants.ORACLE_SQL, "op12_quality_rules": rules.ORACLE_SQL,
+ORACLE_SQL = {"op7_licenses": licenses.ORACLE_SQL, "op9_secrets": secrets.ORACLE_SQL, "op11_spelling_variants": variants.ORACLE_SQL, "op12_quality_rules": rules.ORACLE_SQL,
               "op13_source_divergence": divergence.ORACLE_SQL}
