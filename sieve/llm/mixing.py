@@ -12,6 +12,8 @@ those that lie in selected blocks.
 
 from __future__ import annotations
 
+import heapq
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,8 +57,8 @@ def targets(sizes: list[tuple[str | None, int]], weights: tuple[int, ...] = WEIG
 def sainte_lague(wanted: dict, seats: int, room: dict) -> dict:
     """Integer quotas: each of ``seats`` goes to the highest quotient
     wanted / (2 k + 1); ties go to the earlier key; nobody exceeds its room.
-    The seats below a common quotient are counted at once, then the last few
-    are dealt one by one."""
+    The seats below a common quotient are counted at once, then the rest, at most
+    one for each key and tied or nearly so, are dealt one by one from a heap."""
     seats = min(seats, sum(room.values()))
     keys = [k for k in wanted if wanted[k] > 0 and room[k] > 0]
     got = {k: 0 for k in wanted}
@@ -74,12 +76,15 @@ def sainte_lague(wanted: dict, seats: int, room: dict) -> dict:
         low, high = (low, mid) if sum(above(mid).values()) <= seats else (mid, high)
     got |= above(high)
     dealt = sum(got.values())
-    while dealt < seats:
-        best = max((k for k in keys if got[k] < room[k]), key=lambda k: wanted[k] / (2 * got[k] + 1), default=None)
-        if best is None:
-            break
-        got[best] += 1
+    waiting = [(-wanted[k] / (2 * got[k] + 1), i) for i, k in enumerate(keys) if got[k] < room[k]]
+    heapq.heapify(waiting)
+    while dealt < seats and waiting:
+        _, i = heapq.heappop(waiting)
+        k = keys[i]
+        got[k] += 1
         dealt += 1
+        if got[k] < room[k]:
+            heapq.heappush(waiting, (-wanted[k] / (2 * got[k] + 1), i))
     return got
 
 
