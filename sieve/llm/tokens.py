@@ -5,7 +5,10 @@ vocabulary's space mark. The distinct pre-tokens of a task go into a trie of
 characters. A node's forward score, the best score of any segmentation of its
 prefix, needs only its ancestors, so it is computed once however many
 pre-tokens share the prefix; the number of tokens on that best path is kept
-with it and is the count of the pre-token that ends there.
+with it and is the count of the pre-token that ends there. A pre-token is taken
+into the trie up to a depth; beyond it the same step goes on over the last scores
+alone, as many as the longest piece has characters, so a pre-token of any length
+takes bounded memory.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ from sieve.llm.common import pieces
 
 SPACE = "▁"
 NODES_MOST = 1_000_000     # of a task's trie, some 200 bytes each; beyond it starts anew, which loses only time
+DEPTH_MOST = 1_024         # characters of a pre-token in the trie
 UNKNOWN_GAP = 10.0         # an unknown character scores so much less than the least piece
 
 
@@ -63,6 +67,7 @@ class Trie:
             if len(piece) > 2:
                 ends.setdefault(piece[-3:], set()).add(len(piece))
         self.lengths = {end: tuple(sorted(own, reverse=True)) for end, own in ends.items()}
+        self.longest = max(map(len, vocabulary.scores), default=1)
         self.clear()
 
     def clear(self) -> None:
@@ -77,6 +82,8 @@ class Trie:
         """Tokens of the pre-token: inserts it, computing what is new. Of equal
         scores the longest last piece wins. An unknown character costs its
         UTF-8 bytes with byte fallback; without it a run of them costs one."""
+        if len(word) > DEPTH_MOST:
+            return self._beyond(word)
         child, node, path = self.child, 0, [0]
         for char in word:
             after = child.get(node << 21 | ord(char))
@@ -86,6 +93,34 @@ class Trie:
             node = after
         return self.tokens[node]
 
+    def _beyond(self, word: str) -> int:
+        """Tokens of a long pre-token: its first characters by the trie, then the
+        forward step over a window of the last scores."""
+        head, reach = word[:DEPTH_MOST], max(self.longest, 2)
+        self.count(head)
+        node, path = 0, [0]
+        for char in head:
+            node = self.child[node << 21 | ord(char)]
+            path.append(node)
+        path = path[-reach:]
+        score, tokens, strange = [self.score[i] for i in path], [self.tokens[i] for i in path], self.unknown[node]
+        lengths, piece_score, least = self.lengths.get, self.vocabulary.scores.get, self.vocabulary.unknown
+        for end in range(DEPTH_MOST + 1, len(word) + 1):
+            best, count, unknown = -math.inf, 0, 0
+            for n in (*lengths(word[end - 3:end], ()), 2, 1):                   # score[-n] is that of the prefix n characters shorter
+                if (piece := piece_score(word[end - n:end])) is not None and (piece := piece + score[-n]) > best:
+                    best, count = piece, tokens[-n] + 1
+            char = word[end - 1]
+            if piece_score(char) is None and least + score[-1] > best:
+                best, unknown = least + score[-1], 1
+                count = tokens[-1] + (len(char.encode()) if self.vocabulary.byte_fallback else 1 - strange)
+            strange = unknown
+            score.append(best)
+            tokens.append(count)
+            if len(score) > 4 * reach:
+                del score[:-reach], tokens[:-reach]
+        return tokens[-1]
+
     def _insert(self, word: str, path: list[int]) -> int:
         """Adds the nodes beyond ``path``, those of the known prefix, with the
         forward step of each: over the pieces that end there."""
@@ -121,8 +156,8 @@ class Trie:
 
 def count_tokens(docs: DataFrame, vocabulary: Vocabulary, text: str = "text") -> Column:
     """Column of structs (n_pretokens, n_tokens) of every whole text; null and
-    empty texts have none of either. A pre-token of any length is walked
-    character by character, so its memory is that of its path."""
+    empty texts have none of either. A pre-token of any length takes the memory
+    of a text piece and of ``DEPTH_MOST`` nodes."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     @F.pandas_udf("n_pretokens long, n_tokens long")
