@@ -7,13 +7,14 @@ whole, by paragraph and by line too, and joined to the messages that said any of
 these; of them the one that holds most of its lines is its source, ties to the
 earliest. A message replies to
 the source of its shallowest linked passage; without one it begins a thread. A
-conversation in reply order is its rows by (thread, turn): thread after thread,
-every message behind the one it replies to, and none with quotes.
+conversation in reply order is thread after thread, every message behind the one
+it replies to, and none with quotes; a message's place there is counted over a
+range-partitioned sort, so that a conversation may be larger than a task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sieve.session import ensure_checkpoint_dir
@@ -128,7 +129,9 @@ def unquoted(text: Column) -> Column:
 
 def reply_ordered(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """One row per message: ``conv_id, turn, role, reply_to, thread, depth,
-    body, n_quotes, n_linked``; a conversation reads in order of (thread, turn).
+    body, n_quotes, n_linked, place``. ``place`` (from 0) is the message's in its
+    conversation's reply order, by thread, then turn; null threads come first, and
+    repeated messages are put in order of role and body.
 
     ``reply_to`` is the turn that its shallowest, then first, linked passage
     comes from (null: none), ``thread`` the turn at the root of its replies,
@@ -141,7 +144,7 @@ def reply_ordered(messages: DataFrame, conv: str = "conv_id", turn: str = "turn"
     Roots are found by doubling: every round each message takes over what its
     furthest known ancestor knows, so a chain of n replies takes log2(n) joins.
     Nothing is gathered by conversation: joins are on conversation and turn, or
-    conversation and passage.
+    conversation and passage, and places are counted by range.
     """
     ensure_checkpoint_dir(messages.sparkSession)
     first = (link_quotes(messages, conv, turn, text).groupBy(F.col(conv).alias("c"), F.col(turn).alias("t"))
@@ -157,5 +160,23 @@ def reply_ordered(messages: DataFrame, conv: str = "conv_id", turn: str = "turn"
     m = messages.select(F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), F.col(role).alias("role"), unquoted(F.col(text)).alias("body")).alias("m")
     rows = (m.join(first.alias("f"), F.col("m.conv_id").eqNullSafe(F.col("f.c")) & F.col("m.turn").eqNullSafe(F.col("f.t")), "left")
             .join(nodes.alias("n"), F.col("m.conv_id").eqNullSafe(F.col("n.c")) & (F.col("m.turn") == F.col("n.t")), "left"))
-    return rows.select("m.conv_id", "m.turn", "m.role", "f.reply_to", F.coalesce("n.up", "m.turn").alias("thread"), F.coalesce("n.hops", F.lit(0)).alias("depth"),
-                       "m.body", F.coalesce("f.n_quotes", F.lit(0)).alias("n_quotes"), F.coalesce("f.n_linked", F.lit(0)).alias("n_linked"))
+    return _placed(rows.select(
+        "m.conv_id", "m.turn", "m.role", "f.reply_to", F.coalesce("n.up", "m.turn").alias("thread"), F.coalesce("n.hops", F.lit(0)).alias("depth"),
+        "m.body", F.coalesce("f.n_quotes", F.lit(0)).alias("n_quotes"), F.coalesce("f.n_linked", F.lit(0)).alias("n_linked")))
+
+
+def _placed(rows: DataFrame) -> DataFrame:
+    """``rows`` with each message's place in its conversation. Rows are dealt by
+    range, so a conversation may lie in several partitions; a row's place is its
+    number within its partition plus the conversation's rows in earlier ones, of
+    which there is one count for each partition. The sorted rows are kept, as ranges
+    that are sampled anew would be others."""
+    order = ["thread", "turn", "role", "body"]
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartitionByRange(n, "conv_id", *order).withColumn("part", F.spark_partition_id()).checkpoint()
+    counts = dealt.groupBy("conv_id", "part").agg(F.count("*").alias("n"))
+    earlier = F.sum("n").over(Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    before = counts.select(F.col("conv_id").alias("c"), F.col("part").alias("p"), F.coalesce(earlier, F.lit(0)).alias("before"))
+    numbered = dealt.withColumn("at", F.row_number().over(Window.partitionBy("part", "conv_id").orderBy(*order)))
+    joined = numbered.join(before, (F.col("part") == F.col("p")) & F.col("conv_id").eqNullSafe(F.col("c")))
+    return joined.select(*rows.columns, (F.col("before") + F.col("at") - 1).cast("long").alias("place"))
