@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sieve.operators.sampling import global_topk
-from sieve.operators.similarity import TargetMatrix, cosine_scores, mean_scores_fused, rank_order, target_matrix, topk_per_target
+from sieve.operators.similarity import TargetMatrix, cosine_scores, grouped_topk, mean_scores_fused, rank_order, target_matrix, topk_per_target
 
 DEPTH_SHARE = 2             # the first list depth tried is so many times k / targets
 METHODS = ("min", "max", "mean_min", "mean_max", "normalized_mean_min", "normalized_mean_max")
@@ -267,7 +267,8 @@ def _greedy_quota(pdf, k: int, quota: dict):
     Counts per domain never decrease (a duplicate pick adds and removes one),
     so once a domain is full every later row of it is skipped. The pass is
     exact unless a target popped the last kept row of a cut list while that
-    domain was still open; then ``exact`` is false and the caller widens."""
+    domain was still open; such domains come as rows of ``sel_rank`` 0 whose
+    ``exact`` is false, and the caller widens."""
     import pandas as pd
 
     lists = {}
@@ -279,7 +280,6 @@ def _greedy_quota(pdf, k: int, quota: dict):
     counts: dict = {}
     seen = set()
     out = []
-    exact = True
     open_cuts = []  # domains whose list was cut for some target after its last kept row was popped
     while len(out) < k:
         progressed = False
@@ -304,19 +304,50 @@ def _greedy_quota(pdf, k: int, quota: dict):
                 break
         if not progressed:
             break
-    # a cut list is harmless when its domain was full by the end of the pass
-    for dom in open_cuts:
-        if counts.get(dom, 0) < quota.get(dom, 0.0):
-            exact = False
     res = pd.DataFrame(out, columns=["src", "pool_id", "round", "target_id", "score", "domain", "sel_rank"])
-    res["exact"] = exact
-    return res
+    res["exact"] = True
+    # a cut list is harmless when its domain was full by the end of the pass; each other's domain is reported by a row of rank 0
+    short = sorted({dom for dom in open_cuts if counts.get(dom, 0) < quota.get(dom, 0.0)})
+    said = pd.DataFrame([(0, 0, 0, 0, 0.0, dom, 0, False) for dom in short], columns=[*res.columns])
+    return pd.concat([res, said]) if short else res
 
 
 QUOTA_SCHEMA = ("src int, pool_id bigint, round int, target_id bigint, score double, domain string, "
                 "sel_rank int, exact boolean")
 
 
+def select_round_robin_quota_from_pool(pool: DataFrame, targets, weights: DataFrame, k: int, allow: DataFrame | None = None, domain: str = "domain", **columns) -> DataFrame:
+    """:func:`select_round_robin_quota` without a score table: the pool carries its
+    ``domain``, and one scan gives every (target, domain) list to a depth.
+
+    A domain can be picked its quota of times, by all targets together, so a first
+    depth of twice its share per target mostly does. The walk sees targets times the
+    depths' sum, about ``2 K + targets x domains`` rows, bounded by what is selected
+    and not by the pool, in one task. If it used up a list that went on while its
+    domain was open, that domain's depth is raised and the pool is scanned again."""
+    spark = pool.sparkSession
+    quotas = {r["domain"]: float(r["quota"]) for r in domain_quotas(weights, max(k, 0)).collect() if r["quota"] > 0}     # one row per domain
+    if k <= 0 or not quotas:
+        return spark.createDataFrame([], QUOTA_SCHEMA).drop("exact")
+    tm = targets if isinstance(targets, TargetMatrix) else target_matrix(targets)
+    rows = pool.filter(F.col(columns.get("pool_id", "pool_id")) != -1).withColumn("__domain", fold_domain(F.col(domain)))
+    depths = {d: max(1, math.ceil(DEPTH_SHARE * q / max(1, len(tm.ids)))) for d, q in quotas.items()}
+    while True:
+        lists = grouped_topk(rows, tm, depths, group="__domain", largest=False, **columns).filter(_finite(F.col("score")))
+        cand = lists.select("target_id", "src", "pool_id", "score", F.col("grp").alias("domain"), F.col("more").alias("_cut"))
+        if allow is not None:
+            allowed = allow.select("src", "pool_id").distinct().withColumn("allowed", F.lit(True))
+            cand = cand.join(allowed, ["src", "pool_id"], "left").fillna({"allowed": False})
+        else:
+            cand = cand.withColumn("allowed", F.lit(True))
+        out = (cand.withColumn("_one", F.lit(1)).groupBy("_one")
+               .applyInPandas(lambda pdf: _greedy_quota(pdf, k, quotas), QUOTA_SCHEMA)).checkpoint()
+        short = {r["domain"] for r in out.where(~F.col("exact")).select("domain").distinct().collect()}
+        if not short:
+            return out.where("sel_rank > 0").drop("exact")
+        depths = {d: n * 4 if d in short else n for d, n in depths.items()}
+
+
 def select_round_robin_quota(scores: DataFrame, domains: DataFrame, weights: DataFrame, k: int,
                              allow: DataFrame | None = None) -> DataFrame:
     """Round robin (ascending) with per-domain quotas.
@@ -346,8 +377,7 @@ def select_round_robin_quota(scores: DataFrame, domains: DataFrame, weights: Dat
         cand = cand.select("target_id", "src", "pool_id", "score", "domain", "allowed", "_cut")
         out = (cand.withColumn("_one", F.lit(1)).groupBy("_one")
                .applyInPandas(lambda pdf: _greedy_quota(pdf, k, qmap), QUOTA_SCHEMA)).checkpoint()
-        flags = out.select("exact").distinct().collect()
-        if all(r["exact"] for r in flags):
+        if not out.where(~F.col("exact")).limit(1).count():
             return out.drop("exact")
         if factor > 1 << 20:
             raise RuntimeError("quota lists are still too short to be exact")
@@ -357,5 +387,5 @@ def select_round_robin_quota(scores: DataFrame, domains: DataFrame, weights: Dat
 __all__ = [
     "METHODS", "select", "select_from_pool", "select_round_robin", "select_round_robin_from_pool", "select_mean", "mean_scores", "minmax_normalised",
     "first_picks", "order_first_picks", "drop_invalid_ids", "domain_quotas", "fold_domain",
-    "select_round_robin_quota", "quota_candidates",
+    "select_round_robin_quota", "select_round_robin_quota_from_pool", "quota_candidates",
 ]

@@ -194,14 +194,15 @@ MEAN_SCHEMA = "src int, pool_id bigint, score double, n_targets bigint"
 BOUNDS_SCHEMA = "target_id bigint, lo double, hi double"
 BINS_SCHEMA = "target_id bigint, counts array<double>"
 TILE_SCHEMA = "src int, pool_id bigint, block int, scores array<double>"
+GROUPED_SCHEMA = SCORE_SCHEMA + ", grp string"
 COLUMN_SCHEMA = "target_id bigint, src int, pool_ids array<bigint>, scores array<double>"
 
 
 def _scan(pool: DataFrame, ids_bc, mat_bc, *, mode: str, k: int, largest: bool, normalise: bool,
           vec_col: str, src_col: str, id_col: str, d: int, bounds_bc=None, cut_bc=None, scale: float = 1.0,
-          width: int = 0, first_block: int = 0) -> DataFrame:
+          width: int = 0, first_block: int = 0, depths: dict | None = None) -> DataFrame:
     out_schema = {"mean": MEAN_SCHEMA, "normmean": MEAN_SCHEMA, "bounds": BOUNDS_SCHEMA, "bins": BINS_SCHEMA, "tiles": TILE_SCHEMA,
-                  "columns": COLUMN_SCHEMA}.get(mode, SCORE_SCHEMA)
+                  "columns": COLUMN_SCHEMA, "grouped": GROUPED_SCHEMA}.get(mode, SCORE_SCHEMA)
 
     tile, buffer = TILE_BYTES, TOPK_BUFFER_ROWS
 
@@ -211,17 +212,20 @@ def _scan(pool: DataFrame, ids_bc, mat_bc, *, mode: str, k: int, largest: bool,
         lo_hi = bounds_bc.value if bounds_bc is not None else None
         step = max(1, tile // max(8, 8 * len(tids)))      # rows whose scores fit a tile
         best = _RunningTopk(len(tids), k, largest, buffer, cut_bc.value if cut_bc is not None else None) if mode == "topk" else None
+        by_group = {g: _RunningTopk(len(tids), n, largest, max(EMIT_ROWS, buffer // len(depths))) for g, n in depths.items()} if mode == "grouped" else {}
         bounds = None
         bins = _bins(len(tids))
         cells = np.zeros(len(tids) * bins, np.int64) if mode == "bins" else None
 
-        def emit(parts):
+        def emit(parts, group=None):
             for col, src, pid, key in parts:
                 for i in range(0, len(key), EMIT_ROWS):
                     at = slice(i, i + EMIT_ROWS)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(tids[col[at]]), pa.array(src[at]), pa.array(pid[at]), pa.array(-key[at] if largest else key[at])],
-                        names=["target_id", "src", "pool_id", "score"])
+                    rows = [pa.array(tids[col[at]]), pa.array(src[at]), pa.array(pid[at]), pa.array(-key[at] if largest else key[at])]
+                    names = ["target_id", "src", "pool_id", "score"]
+                    if group is not None:
+                        rows, names = [*rows, pa.array([group] * len(rows[0]))], [*names, "grp"]
+                    yield pa.RecordBatch.from_arrays(rows, names=names)
 
         def arrays(m):                                        # a list of each row of m
             return pa.ListArray.from_arrays(np.arange(0, m.size + 1, max(1, m.shape[1]), dtype=np.int32)[:len(m) + 1], pa.array(np.ascontiguousarray(m).ravel()))
@@ -241,6 +245,11 @@ def _scan(pool: DataFrame, ids_bc, mat_bc, *, mode: str, k: int, largest: bool,
                 pid = b.column("pool_id").to_numpy(zero_copy_only=False).astype(np.int64)
                 if mode == "topk":
                     yield from emit(best.add(S, src, pid))
+                elif mode == "grouped":
+                    groups = np.array(b.column("grp").to_pylist(), object)
+                    for g, held in by_group.items():
+                        if (own := groups == g).any():
+                            yield from emit(held.add(S[own], src[own], pid[own]), g)
                 elif mode == "bins":
                     key = np.negative(S) if largest else S
                     at = np.clip((key + scale) * (bins / (2 * scale)), 0, bins - 1)
@@ -273,6 +282,8 @@ def _scan(pool: DataFrame, ids_bc, mat_bc, *, mode: str, k: int, largest: bool,
                         names=["target_id", "src", "pool_id", "score"])
         if best is not None:
             yield from emit(best.end())
+        for g, held in by_group.items():
+            yield from emit(held.end(), g)
         if cells is not None and cells.any():
             rows = max(1, EMIT_ROWS // bins)
             for i in range(0, len(tids), rows):
@@ -283,7 +294,7 @@ def _scan(pool: DataFrame, ids_bc, mat_bc, *, mode: str, k: int, largest: bool,
             yield pa.RecordBatch.from_arrays([pa.array(tids), pa.array(bounds[0]), pa.array(bounds[1])], names=["target_id", "lo", "hi"])
 
     src_expr = F.col(src_col).cast("int") if src_col in pool.columns else F.lit(0).cast("int")
-    slim = pool.select(src_expr.alias("src"), F.col(id_col).cast("long").alias("pool_id"), F.col(vec_col).alias("vec"))
+    slim = pool.select(src_expr.alias("src"), F.col(id_col).cast("long").alias("pool_id"), F.col(vec_col).alias("vec"), *(["grp"] if depths else []))
     return slim.mapInArrow(fn, out_schema)
 
 
@@ -356,6 +367,30 @@ def cosine_scores(pool: DataFrame, targets, *, mode: str = "pairs", k: int = 0,
     return out
 
 
+def grouped_topk(pool: DataFrame, targets, depths: dict[str, int], *, group: str, largest: bool = True, normalise: bool = True, pool_id: str = "pool_id",
+                 src: str = "src", vec: str = "vec") -> DataFrame:
+    """``target_id, src, pool_id, score, grp, rank, more``: for every target and
+    group of pool rows the best ``depths[group]`` rows, ranked (ties: earlier (src,
+    pool_id)), with ``more`` if the list was longer. One scan; groups that ``depths``
+    doesn't name take no part. The groups are few: a task keeps a buffer for each."""
+    spark = pool.sparkSession
+    tm = targets if isinstance(targets, TargetMatrix) else target_matrix(targets, normalise=normalise)
+    found = spark.createDataFrame([], GROUPED_SCHEMA)
+    if depths and len(tm.ids):
+        rows = pool.withColumn("grp", F.col(group)).where(F.col("grp").isin(list(depths)))
+        asked = {g: n + 1 for g, n in depths.items()}             # one more tells whether the list goes on
+        for i, (ids, mat) in enumerate(tm.blocks):
+            part = _scan(rows, spark.sparkContext.broadcast(ids), spark.sparkContext.broadcast(mat), mode="grouped", k=0, largest=largest, normalise=normalise,
+                         vec_col=vec, src_col=src, id_col=pool_id, d=tm.d, depths=asked)
+            found = part if i == 0 else found.unionByName(part)
+    most = F.create_map(*[x for g, n in depths.items() for x in (F.lit(g), F.lit(n))])[F.col("grp")] if depths else F.lit(0)
+    order = Window.partitionBy("target_id", "grp").orderBy(*rank_order(largest))
+    deepest = max(depths.values(), default=0) + 1
+    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= deepest)
+    ranked = ranked.withColumn("more", F.lead("rank").over(order).isNotNull() & (F.col("rank") == most))
+    return ranked.where(F.col("rank") <= most)
+
+
 def mean_scores_fused(pool: DataFrame, targets, normalised: bool = False, pool_id: str = "pool_id",
                       src: str = "src", target_id: str = "target_id", vec: str = "vec",
                       max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> DataFrame:

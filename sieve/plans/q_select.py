@@ -270,13 +270,32 @@ def agg_domain_count(spark, sf):
                     r6("quota").alias("quota")))
 
 
-@register("select_roundrobin_quota")
+# One row of state a turn: whose turn it is, how far each list was read, how often each domain was picked, what was picked.
+QUOTA_SQL = f"""
+WITH RECURSIVE {SQL_VECTORS}, {WEIGHTS_SQL},
+q AS (SELECT map(list(domain ORDER BY domain), list(quota ORDER BY domain)) AS quota FROM (SELECT domain, weight / sum(weight) OVER () * {K_SELECT} AS quota FROM w)),
+lists AS (SELECT list(l ORDER BY target_id) AS ls, count(*)::INT AS n FROM (
+  SELECT target_id, list({{'p': pool_id, 'd': label::VARCHAR, 's': score}} ORDER BY score, pool_id) AS l FROM scores JOIN (SELECT pool_id, label FROM pn) USING (pool_id) GROUP BY target_id)),
+walk AS (
+  SELECT 0 AS step, 0 AS idle, list_transform(range(n), lambda x: 0) AS pos, MAP(list_transform(map_keys(quota), lambda d: d), list_transform(map_keys(quota), lambda d: 0)) AS used,
+    []::STRUCT(p BIGINT, d VARCHAR, s DOUBLE)[] AS picked FROM lists, q
+  UNION ALL
+  SELECT step + 1, CASE WHEN i IS NULL THEN idle + 1 ELSE 0 END,
+    list_transform(pos, lambda v, k: CASE WHEN k = t AND i IS NOT NULL THEN i ELSE v END),
+    CASE WHEN fresh THEN MAP(map_keys(used), list_transform(map_entries(used), lambda e: e.value + CASE WHEN e.key = x.d THEN 1 ELSE 0 END)) ELSE used END,
+    CASE WHEN fresh THEN list_append(picked, x) ELSE picked END
+  FROM (SELECT *, i IS NOT NULL AND NOT list_contains(list_transform(picked, lambda y: y.p), x.p) AS fresh FROM (SELECT *, ls[t][i] AS x FROM (
+    SELECT step, idle, pos, used, picked, ls, n, step % n + 1 AS t,
+      list_filter(range(pos[step % n + 1] + 1, len(ls[step % n + 1]) + 1), lambda j: used[ls[step % n + 1][j].d] < quota[ls[step % n + 1][j].d])[1] AS i
+    FROM walk, lists, q WHERE len(picked) < {K_SELECT} AND idle < n))))
+SELECT generate_subscripts(picked, 1)::BIGINT AS sel_rank, unnest(picked).p AS pool_id, unnest(picked).d AS domain, round(unnest(picked).s, 6) + 0.0 AS score
+FROM (SELECT picked FROM walk ORDER BY step DESC LIMIT 1)"""
+
+
+@register("select_roundrobin_quota", QUOTA_SQL)
 def select_roundrobin_quota(spark, sf):
-    """Ascending round robin with domain quotas (rows-only check; the pass
-    is compared with a literal queue simulation in the tests)."""
-    pool = FX.pool_vectors(spark, sf)
-    sel = S.select_round_robin_quota(scores(spark, sf), pool.select("src", "pool_id", "domain"),
-                                     domain_weights(spark, sf), K_SELECT)
+    """Ascending round robin with domain quotas, from one scan of the pool."""
+    sel = S.select_round_robin_quota_from_pool(FX.pool_vectors(spark, sf), FX.target_vectors(spark, sf), domain_weights(spark, sf), K_SELECT)
     return sel.select(F.col("sel_rank").cast("long").alias("sel_rank"), "pool_id", "domain", r6("score").alias("score"))
 
 

@@ -7,6 +7,7 @@ import random
 import pytest
 
 from sieve.operators import selection as S
+from sieve.operators import similarity as SIM
 
 SCHEMA = "target_id bigint, src int, pool_id bigint, score double"
 
@@ -163,3 +164,58 @@ def test_quota_of_one_target_is_a_prefix_per_domain(spark, seed):
     fold = {p: "science" if "science" in d else d for p, d in domain_of.items()}
     expected = {p for d, n in quota.items() for p in [x for x in order if fold[x] == d][:n]}
     assert got == [p for p in order if p in expected]
+
+
+def turn_by_turn(rows, domains, weights, k, allow=None):
+    """The queue as defined: targets take turns, a domain that is full is passed over,
+    a row that is not allowed uses up its domain's quota, one picked before doesn't."""
+    quota = {d: w / sum(weights.values()) * k for d, w in weights.items()}
+    lists = {t: sorted((s, p) for x, p, s in rows if x == t) for t in sorted({r[0] for r in rows})}
+    used, seen, out, moved = dict.fromkeys(quota, 0), set(), [], True
+    while moved and len(out) < k:
+        moved = False
+        for t, own in lists.items():
+            while own and used.get(domains[own[0][1]], 0) >= quota.get(domains[own[0][1]], 0):
+                own.pop(0)
+            if not own or len(out) >= k:
+                continue
+            moved, (s, p) = True, own.pop(0)
+            if p in seen:
+                continue
+            used[domains[p]] += 1
+            if allow is None or p in allow:
+                seen.add(p)
+                out.append((len(out) + 1, p, domains[p]))
+    return out
+
+
+@pytest.mark.parametrize("k", [1, 7, 40, 90])
+@pytest.mark.parametrize("allowed", [False, True])
+def test_quota_from_the_pool_turn_by_turn(spark, k, allowed):
+    rng = random.Random(k)
+    n = 120
+    vectors = {i: [rng.gauss(0, 1) for _ in range(4)] for i in range(n)}
+    domains = {i: rng.choice(["math", "computer science", "life science", "code", "none"]) for i in range(n)}
+    weights = {"math": 5.0, "science": 3.0, "code": 1.0, "empty": 1.0}
+    pool = spark.createDataFrame([(0, i, v, domains[i]) for i, v in vectors.items()], "src int, pool_id long, vec array<double>, domain string").repartition(3)
+    targets = spark.createDataFrame([(t, [rng.gauss(0, 1) for _ in range(4)]) for t in range(5)], "target_id long, vec array<double>")
+    allow = pool.where("pool_id % 3 > 0").select("src", "pool_id") if allowed else None
+    scores = [(r["target_id"], r["pool_id"], r["score"]) for r in SIM.cosine_scores(pool, targets).collect()]
+    folded = {i: "science" if "science" in d else d for i, d in domains.items()}
+    got = S.select_round_robin_quota_from_pool(pool, targets, spark.createDataFrame(list(weights.items()), "domain string, weight double"), k, allow)
+    want = turn_by_turn(scores, folded, weights, k, {i for i in range(n) if i % 3} if allowed else None)
+    assert [tuple(r) for r in got.select("sel_rank", "pool_id", "domain").orderBy("sel_rank").collect()] == want and want
+
+
+def test_grouped_lists(spark):
+    pool = spark.createDataFrame([(0, i, [1.0, float(i % 7)], "ab"[i % 2]) for i in range(30)] + [(0, 99, [1.0, 0.0], "c")], "src int, pool_id long, vec array<double>, g string").repartition(4)
+    targets = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0])], "target_id long, vec array<double>")
+    flat = {(r["target_id"], r["pool_id"]): r["score"] for r in SIM.cosine_scores(pool, targets).collect()}
+    got = [(r["target_id"], r["grp"], r["rank"], r["pool_id"], r["more"]) for r in SIM.grouped_topk(pool, targets, {"a": 4, "b": 50}, group="g").collect()]
+    want = []
+    for t in (0, 1):
+        for g, n in (("a", 4), ("b", 50)):
+            own = sorted((i for i in range(30) if "ab"[i % 2] == g), key=lambda i: (-flat[t, i], i))
+            want += [(t, g, k + 1, i, g == "a" and k == 3) for k, i in enumerate(own[:n])]
+    assert sorted(got) == sorted(want)
+    assert SIM.grouped_topk(pool, targets, {}, group="g").count() == 0
