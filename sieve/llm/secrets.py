@@ -1,10 +1,12 @@
 """Secret scans by a trigram inverted index, in DataFrame functions only.
 
 From each rule's regular expression a Boolean query over mandatory trigrams is
-derived: every match holds all trigrams of one of its clauses. The trigrams that
-any rule asks for are posted as (trigram, document) rows, the postings are
-intersected per document, and only documents that satisfy a rule's query are
-verified by its expression. A rule without mandatory trigrams scans all texts.
+derived: every match holds all trigrams of one of its clauses. The index holds the
+trigrams that any rule asks for. A document's postings are the bits of those that
+its text contains; they are intersected by clause beside the text, and only where a
+rule's query is met is the text verified by its expression. As a query never asks
+across documents, postings need not leave their row: no text is shuffled and
+nothing is joined. A rule without mandatory trigrams scans all texts.
 
 Positions are counted in code points. A text cut at an expression's matches,
 and the matches themselves, give every match its start.
@@ -31,14 +33,15 @@ class Rule:
     base: bool = False
 
 
-# A private key from its BEGIN line on: header lines, then all up to the END line, or where
-# that is missing the base64 lines: any number that begin their line, 61 indented or quoted
-# ones, of 16 characters at least but for a padded last one. Escaped line ends and quote marks may stand between. No
-# repeated group is unbounded, as Java recurses into these; classes alone run on.
+# A private key from its BEGIN line on: up to 64 header lines of any length, then all up to the
+# END line, or where that is missing the base64 lines: any number that begin their line, 201 indented or
+# quoted ones (a key of 16,384 bits), of 16 characters at least but for a padded last one. Escaped line ends and
+# quote marks may stand between. No repeated group is unbounded, as Java recurses into these; classes alone run on.
+_LONG = "[A-Za-z0-9+/=]" * 16 + "+"
 _PEM = (r"""-----BEGIN (?:RSA |EC |OPENSSH |DSA |ENCRYPTED |PGP )?PRIVATE KEY(?: BLOCK)?-----"""
-        r"""(?:[\r\n\\][\x20\t\r\n\\>]*[A-Za-z][A-Za-z-]{2,}:\x20[^\r\n\\]{0,110}){0,8}"""
+        r"""(?:[\r\n\\][\x20\t\r\n\\>]*[A-Za-z][A-Za-z0-9-]{2,}:\x20[^\r\n\\]*){0,64}"""
         r"""(?:[^-]*-----END (?:RSA |EC |OPENSSH |DSA |ENCRYPTED |PGP )?PRIVATE KEY(?: BLOCK)?-----"""
-        r"""|[\x20\t\r\n\\>]{0,80}[A-Za-z0-9+/=\r\n\\]*[A-Za-z0-9+/=]{16,}(?:[\x20\t\r\n\\>]+[A-Za-z0-9+/=]{16,}){0,60}"""
+        r"""|[\x20\t\r\n\\>]{0,80}[A-Za-z0-9+/=\r\n\\]*[A-Za-z0-9+/=]{16,}(?:[\x20\t\r\n\\>]+""" + _LONG + r"""){0,200}"""
         r"""(?:[\x20\t\r\n\\>]+[A-Za-z0-9+/]+={1,2})?(?:[\x20\t\r\n\\>]+=[A-Za-z0-9+/]{4})?)?""")
 
 # The three kinds of the contract, then shapes that issuers document.
@@ -112,29 +115,28 @@ def trigram_query(regex: str) -> list[frozenset[str]]:
     return sorted(best, key=sorted)
 
 
-def _identified(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return docs.withColumns({"__key": F.col(key), "__hash": F.xxhash64(F.coalesce(F.col(text), F.lit("")))})
+BITS = 62                  # of a long that hold postings
 
 
-def candidates(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
-    """``__key, __hash, __rules``: kinds whose trigram query a document meets,
-    for rules with mandatory trigrams, by intersecting postings."""
+def with_candidates(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
+    """``docs`` with ``__rules``: the kinds whose trigram query the text meets, of
+    the rules that have one; null texts meet none."""
     queries = {r.kind: q for r in rules if (q := trigram_query(r.regex))}
     wanted = sorted({t for q in queries.values() for c in q for t in c})
-    words = range(-(-len(wanted) // 62))
-    low = F.lower(F.coalesce(F.col(text), F.lit("")))
-    found = F.filter(F.array(*[F.struct(F.lit(t).alias("trigram"), F.lit(i // 62).alias("word"), F.lit(1 << i % 62).cast("long").alias("bit")) for i, t in enumerate(wanted)]), lambda x: F.contains(F.col("__low"), x["trigram"]))
-    posted = (docs.select("__key", "__hash", low.alias("__low")).select("__key", "__hash", F.explode(found).alias("p"))
-              .select("__key", "__hash", "p.trigram", "p.word", "p.bit"))
-    # A document's trigrams meet as bits, 62 in a long.
-    masks = posted.groupBy("__key", "__hash").agg(*[
-        F.bit_or(F.when(F.col("word") == w, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"m{w}") for w in words])
+    longs = range(-(-len(wanted) // BITS))
+    # Postings: the index's trigrams in the text, as bits.
+    rows = docs.withColumn("__low", F.lower(F.coalesce(F.col(text), F.lit(""))))
+    for w in longs:
+        held = F.lit(0).cast("long")
+        for i, t in enumerate(wanted[w * BITS:(w + 1) * BITS]):
+            held = held.bitwiseOR(F.when(F.contains(F.col("__low"), F.lit(t)), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")))
+        rows = rows.withColumn(f"__held{w}", held)
 
     def holds(clause: frozenset[str]) -> Column:
         out = F.lit(True)
-        for w in words:
-            bits = sum(1 << (i % 62) for i, t in enumerate(wanted) if t in clause and i // 62 == w)
-            out = out & (F.col(f"m{w}").bitwiseAND(F.lit(bits).cast("long")) == F.lit(bits).cast("long")) if bits else out
+        for w in longs:
+            bits = sum(1 << i for i, t in enumerate(wanted[w * BITS:(w + 1) * BITS]) if t in clause)
+            out = out & (F.col(f"__held{w}").bitwiseAND(F.lit(bits).cast("long")) == F.lit(bits).cast("long")) if bits else out
         return out
 
     met = []
@@ -143,7 +145,7 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "te
         for clause in query:
             any_clause = any_clause | holds(clause)
         met.append(F.when(any_clause, F.lit(kind)))
-    return masks.select("__key", "__hash", F.array_compact(F.array(*met)).alias("__rules")).where(F.size("__rules") > 0)
+    return rows.withColumn("__rules", F.array_compact(F.array(*met))).drop("__low", *(f"__held{w}" for w in longs))
 
 
 def _spans(rule: Rule, place: int) -> Column:
@@ -151,8 +153,6 @@ def _spans(rule: Rule, place: int) -> Column:
     text, regex = F.col("__text"), F.lit(rule.regex)
     parts = F.arrays_zip(F.split(text, rule.regex, -1).alias("a"), F.regexp_extract_all(text, regex, F.lit(0)).alias("b"),
                          F.regexp_extract_all(text, regex, F.lit(rule.group)).alias("c"))
-    kind = "array<struct<start:int,place:int,end:int,kind:string>>"
-
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["a"])
         end = start + F.length(F.coalesce(x["b"], F.lit("")))
@@ -160,33 +160,33 @@ def _spans(rule: Rule, place: int) -> Column:
         counts = x["b"].isNotNull() & (F.length(x["c"]) >= rule.least)
         return F.struct(end.alias("at"), F.when(counts, F.concat(acc["out"], span)).otherwise(acc["out"]).alias("out"))
 
-    none = F.array().cast(kind)
+    none = F.array().cast(SPANS)
     begun = F.struct(F.lit(0).alias("at"), none.alias("out"))
     return F.when(F.regexp_like(text, regex), F.aggregate(parts, begun, step, lambda acc: acc["out"])).otherwise(none)
 
 
-def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with ``secrets``, an array of (start, place, end, kind) ordered
-    by start, then by the rules' order: leftmost non-overlapping matches per
-    kind, in code points, ends exclusive.
+SPANS = "array<struct<start:int,place:int,end:int,kind:string>>"
+
+
+def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id", text: str = "text", into: str = "secrets") -> DataFrame:
+    """``docs`` with ``secrets`` (or another column ``into``), an array of (start,
+    place, end, kind) ordered by start, then by the rules' order: leftmost
+    non-overlapping matches per kind, in code points, ends exclusive.
 
-    Null texts count as empty and have none. Rows repeated in key and text are
-    verified alike and come out as often; null keys are like any other key; an
-    empty table gives an empty table. Extra columns stay; one named ``secrets``
-    is replaced. Every text is joined to its candidate rules on its key and a
-    hash of its text, so no document's rows gather in one task.
+    Null texts count as empty and have none. Every row is answered by itself, so
+    repeated rows come out alike and as often, and null keys are like any other; an
+    empty table gives an empty table. Extra columns stay; one named as ``into`` is
+    replaced.
     """
-    kept = [c for c in docs.columns if c != "secrets"]
-    rows = _identified(docs.select(*kept), key, text)
-    met = candidates(rows, rules, text).select(F.col("__key").alias("__k"), F.col("__hash").alias("__h"), "__rules")
-    rows = rows.join(met, rows["__key"].eqNullSafe(met["__k"]) & (rows["__hash"] == met["__h"]), "left").withColumn("__text", F.coalesce(F.col(text), F.lit("")))
+    kept = [c for c in docs.columns if c != into]
+    rows = with_candidates(docs.select(*kept), rules, text).withColumn("__text", F.coalesce(F.col(text), F.lit("")))
     spans = []
     for place, rule in enumerate(rules):
         own = _spans(rule, place)
         if trigram_query(rule.regex):
-            own = F.when(F.coalesce(F.array_contains("__rules", rule.kind), F.lit(False)), own).otherwise(F.array().cast("array<struct<start:int,place:int,end:int,kind:string>>"))
+            own = F.when(F.array_contains("__rules", rule.kind), own).otherwise(F.array().cast(SPANS))
         spans.append(own)
-    return rows.select(*kept, F.array_sort(F.concat(*spans)).alias("secrets"))
+    return rows.select(*kept, F.array_sort(F.concat(*spans)).alias(into))
 
 
 def listed(spans: Column) -> Column:
@@ -205,10 +205,11 @@ def digest(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: tupl
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with every span replaced by its kind in brackets, overlapping
-    spans by the first one's; all other text and all columns stay, ``n_chars``
-    follows the text. Null texts stay null."""
+    spans by the first one's; all other text and all columns stay, whatever their
+    names, and ``n_chars`` follows the text. Null texts stay null, an empty table
+    gives an empty table."""
     columns = docs.columns
-    found = find_secrets(docs, rules, key, text)
+    found = find_secrets(docs, rules, key, text, into="__secrets")
 
     def step(acc: Column, s: Column) -> Column:
         fresh = s["start"] >= acc["at"]
@@ -217,10 +218,10 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id"
                         F.when(fresh, F.concat(acc["out"], F.array(before, F.concat(F.lit("["), s["kind"], F.lit("]"))))).otherwise(acc["out"]).alias("out"))
 
     begun = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    rebuilt = F.aggregate("secrets", begun, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col(text), acc["at"] + 1, F.length(text))))
-    out = found.withColumn(text, F.when(F.size("secrets") > 0, rebuilt).otherwise(F.col(text)))
+    rebuilt = F.aggregate("__secrets", begun, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col(text), acc["at"] + 1, F.length(text))))
+    out = found.withColumn(text, F.when(F.size("__secrets") > 0, rebuilt).otherwise(F.col(text)))
     if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(F.size("secrets") > 0, F.length(text).cast("long")).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.size("__secrets") > 0, F.length(text).cast("long")).otherwise(F.col("n_chars")))
     return out.select(*columns)
 
 

@@ -102,6 +102,8 @@ def test_secrets(docs, none):
     assert len(got) == len(ROWS) and sum(r["n_assign"] for r in got) == 2
     red = secrets.redact(docs)
     assert red.columns == docs.columns and red.count() == len(ROWS)
+    assert red.schema == docs.schema and {r["secrets"] for r in red.collect()} == {"s"}          # a column of that name is the caller's own
+    assert secrets.redact(none).count() == 0 and secrets.redact(none).schema == none.schema
     hidden = [r for r in red.collect() if r["doc_id"] == 5]
     assert [r["text"] for r in hidden] == [WORDS + " [assign]"] * 2 and hidden[0]["n_chars"] == len(hidden[0]["text"])
     assert sum(r["text"] is None for r in red.collect()) == 2
@@ -118,8 +120,11 @@ def test_no_line_of_a_key_survives(spark):
     kinds = ["PRIVATE KEY", "RSA PRIVATE KEY", "EC PRIVATE KEY", "OPENSSH PRIVATE KEY", "DSA PRIVATE KEY", "ENCRYPTED PRIVATE KEY"]
     whole = [key(k, body(30)) for k in kinds]
     whole += [key("RSA PRIVATE KEY", enc + body(25)), key("PGP PRIVATE KEY BLOCK", ["Version: GnuPG v2", "Comment: a b", "", *body(80), "=abCD"]), key("PRIVATE KEY", body(3_000))]
+    headers = [f"X-Comment-{i}: of a key-holder - no. {i}" for i in range(40)] + ["Proc-Long: " + "a-b " * 90, ""]
+    whole += [key("RSA PRIVATE KEY", headers + body(20))]
     whole += [w.replace("\n", end) for w in whole[:8] for end in ("\r\n", "\\n", "\n    ", "\n> ", "\n\t")]
-    cut = [k.rsplit("\n", 2)[0] for k in (whole[1], whole[6], whole[7], whole[8])] + ["-----BEGIN PRIVATE KEY-----\n  " + "\n  ".join(body(25)[:-1])]
+    quoted = "-----BEGIN PRIVATE KEY-----\n> " + "\n> ".join(body(180)[:-1])
+    cut = [quoted] + [k.rsplit("\n", 2)[0] for k in (whole[1], whole[6], whole[7], whole[8], whole[9])] + ["-----BEGIN PRIVATE KEY-----\n  " + "\n  ".join(body(25)[:-1])]
     rows = [(i, f"before it\n{k}\nafter it") for i, k in enumerate(whole + cut)]
     rows += [(-1, "-----BEGIN PRIVATE KEY----- is how a key begins."), (-2, f"a {whole[0]} b {whole[1]} c"), (-3, "-----BEGIN PUBLIC KEY-----\n" + body(2)[0])]
     got = {r["doc_id"]: r["text"] for r in secrets.redact(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
@@ -156,11 +161,25 @@ def test_quotes(spark):
     assert quotes.reply_ordered(m).count() == len(rows)
     assert got == {(1, 0): (None, 0, 0, "Hello world.\nHow are you?"), (1, 1): (0, 0, 1, "Fine!"), (1, 2): (1, 0, 2, "Good."), (1, 3): (None, 3, 0, "new"),
                    (1, 4): (2, 0, 3, "ok"), (None, 0): (None, 0, 0, ""), (2, None): (None, None, 0, "x"), (1, 5): (None, 5, 0, "")}
+    places = {(r["conv_id"], r["turn"], r["place"]) for r in quotes.reply_ordered(m).collect()}
+    assert places == {(1, 0, 0), (1, 1, 1), (1, 2, 2), (1, 4, 3), (1, 4, 4), (1, 3, 5), (1, 5, 6), (None, 0, 0), (2, None, 0)}
     levels = {(r["turn"], r["level"]): r["source_turn"] for r in quotes.link_quotes(m).collect() if r["conv_id"] == 1}
     assert levels == {(1, 1): 0, (2, 2): 0, (2, 1): 1, (4, 1): 2, (5, 1): None}
     assert quotes.reply_ordered(m.limit(0)).count() == 0
 
 
+def test_places_of_a_conversation_over_many_partitions(spark):
+    rng = random.Random(1)
+    rows = [(rng.choice([1, 1, 1, 2, None]), rng.randint(0, 30), rng.choice([None, *range(40)]), rng.choice("ab"), f"t{rng.randint(0, 5)}") for _ in range(900)]
+    df = spark.createDataFrame(rows, "conv_id long, thread long, turn long, role string, body string").repartition(5)
+    got = [(r["conv_id"], r["thread"], r["turn"], r["role"], r["body"], r["place"]) for r in quotes._placed(df).collect()]
+    low = lambda v: (v is not None, v)                                                                 # noqa: E731
+    for c in (1, 2, None):
+        own = sorted((r for r in got if r[0] == c), key=lambda r: r[5])
+        assert [r[5] for r in own] == list(range(sum(r[0] == c for r in rows)))
+        assert own == sorted(own, key=lambda r: [low(v) for v in r[1:5]] + [r[5]])
+
+
 def test_quotes_of_a_part(spark):
     text = "One is here.\nTwo is here.\nThree is here.\nFour is here."
     pars = "First\nparagraph.\n\nSecond\nparagraph.\n\nThird one."
@@ -178,9 +197,10 @@ def test_stages(spark, docs, none, labels, items, tmp_path):
     labels.write.parquet(str(tmp_path / "labels.parquet"))
     items.write.parquet(str(tmp_path / "benchmark.parquet"))
     for name, stage in P.STAGES:
-        for table in (docs.where("doc_id IS NULL OR doc_id < 6"), *([none] if name in ("quality", "mixing") else [])):
+        for table in (docs.where("doc_id IS NULL OR doc_id < 6"), none):
             out = stage(spark, table, str(tmp_path))
-            assert out.count() <= len(ROWS) and (out.columns == docs.columns or name == "mixing")
+            assert out.count() <= table.count() and (out.columns == docs.columns or name == "mixing")
+    assert decontaminate.without_leaks(none, items).count() == 0
 
 
 def test_long_texts_are_read_whole_in_pieces():
