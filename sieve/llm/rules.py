@@ -46,13 +46,13 @@ def _split(docs: DataFrame, text: str, *keep: Column | str) -> DataFrame:
     """``keep``, the words, their hashes and those of neighbouring pairs. Each
     array is a column of its own, or it would be built anew for every word."""
     rest = F.greatest(F.size("__hashes") - 1, F.lit(0))
-    return (docs.select(*keep, words(F.col(text)).alias("__words"))
+    return (docs.select(*keep, words(F.col(text)).alias("__words"))                        # the text itself goes on only if asked for
             .withColumn("__hashes", F.transform("__words", lambda w: F.crc32(w.cast("binary"))))
             .withColumn("__pairs", F.zip_with(F.slice("__hashes", 1, rest), F.slice("__hashes", 2, rest), lambda a, b: a * 31 + b)))
 
 
-def _measures(found: DataFrame, keep: list[str], text: str = "__text") -> DataFrame:
-    """``keep`` and the base measures, of the columns that ``_split`` makes."""
+def _measures(found: DataFrame, keep: list[str]) -> DataFrame:
+    """``keep`` and the measures of words, from the columns that ``_split`` makes."""
     size = F.size("__words")
     # Hashes of all three-word windows. Only where two are equal are windows placed, by a hash of the words themselves.
     quick = F.transform(F.slice("__pairs", 1, F.greatest(size - 2, F.lit(0))), lambda pair, i: F.xxhash64(pair, F.get("__hashes", i + 2)))
@@ -65,11 +65,16 @@ def _measures(found: DataFrame, keep: list[str], text: str = "__text") -> DataFr
     # Each repeated window covers three words, less those that the one before covers too.
     covered = F.aggregate(F.transform("__places", lambda p, i: F.least(F.lit(3), F.coalesce(p - F.get("__places", i - 1), F.lit(3)))),
                           F.lit(0).cast("long"), lambda total, n: total + n)
-    out = out.withColumn("__lines", F.filter(F.split(text, "\n", -1), lambda line: line.rlike(_WORD_CHAR)))
-    return out.select(
-        *keep, size.cast("long").alias("n_words"), F.length(F.array_join("__words", "")).cast("long").alias("word_chars"),
+    return out.select(*keep, size.cast("long").alias("n_words"), covered.alias("n_repeat_words"))
+
+
+def _line_measures(docs: DataFrame, *keep: Column | str, text: str = "__text") -> DataFrame:
+    """``keep``, the text and what needs no words of it."""
+    lines = docs.withColumn("__lines", F.filter(F.split(text, "\n", -1), lambda line: line.rlike(_WORD_CHAR)))
+    return lines.select(
+        *keep, text, F.length(F.regexp_replace(text, _SPACES, "")).cast("long").alias("word_chars"),
         (F.size(F.split(text, _SYMBOL, -1)) - 1).cast("long").alias("n_symbols"),
-        (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"), covered.alias("n_repeat_words"))
+        (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"))
 
 
 def weights(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text: str = "text", buckets: int = BUCKETS) -> DataFrame:
@@ -106,12 +111,15 @@ def judge(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text: str =
     counted, left_out = [F.broadcast(x) if few else x for x in (ids.where(crc_mod(F.col(key), LEFT_OUT) != 0), ids.where(crc_mod(F.col(key), LEFT_OUT) == 0))]
     table = weights(docs, counted, key, text, buckets)
     row = table.agg(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "weight"))), lambda x: x["weight"]).alias("weights"))      # one row of ``buckets`` numbers
-    own = _split(docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("__text")), "__text", key, "__text").withColumn("__weights", row.scalar())
+    # Each step drops what later ones don't need, as a row is copied at every step.
+    kept = [key, "word_chars", "n_symbols", "n_dup_lines"]
+    own = _split(_line_measures(docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("__text")), key), "__text", *kept).withColumn("__weights", row.scalar())
     weight = lambda so_far, h: so_far + F.get("__weights", (h % buckets).cast("int"))                           # noqa: E731
     total = F.aggregate("__pairs", F.aggregate("__hashes", F.lit(0).cast("long"), weight), weight)
     n_grams = F.size("__hashes") + F.size("__pairs")
-    own = own.withColumn("score", F.when(n_grams > 0, F.floor(total / (n_grams * STEP))).otherwise(0).cast("long"))
-    found = _measures(own, [key, "score"]).checkpoint()
+    score = F.when(n_grams > 0, F.floor(total / (n_grams * STEP))).otherwise(0).cast("long")
+    own = own.select(*kept, "__words", "__hashes", "__pairs", score.alias("score"))
+    found = _measures(own, [*kept, "score"]).checkpoint()
     lowest = found.join(left_out, key, "left_semi").agg(F.expr(f"percentile_disc({share}) WITHIN GROUP (ORDER BY score)").cast("long").alias("threshold"))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEATED * F.col("n_words"))
     return (found.withColumn("threshold", lowest.scalar()).withColumn("base_failed", failed)
