@@ -87,9 +87,9 @@ def tgt_limo(spark, sf):
 
 
 @register("tgt_toxigen", f"""
-WITH g AS (SELECT doc_id, source, string_split(text, {NL})[1] AS line,
+WITH g AS (SELECT doc_id, source, replace(text, {NL}, '\\n') AS line,
                   row_number() OVER (PARTITION BY source ORDER BY {key_sql('doc_id')}, doc_id) AS rk FROM documents),
-lp AS (SELECT source, line AS label_prompt FROM g WHERE rk = 11)
+lp AS (SELECT source, replace(replace(trim(line, {WS}), '\\\\', '\\'), '\\n', {NL}) AS label_prompt FROM g WHERE rk = 11)
 SELECT g.doc_id AS target_id, {chat_sql("'Complete the following: ' || replace(replace(trim(g.line, " + WS + "), '\\\\', '\\'), '\\n', " + NL + ")")} AS prompt,
        lp.label_prompt AS label
 FROM g JOIN lp USING (source) WHERE g.rk <= 10 ORDER BY {key_sql('g.doc_id')}, g.doc_id LIMIT 140""")
@@ -97,7 +97,7 @@ def tgt_toxigen(spark, sf):
     """At most ten lines per group (here: per source), each as "Complete the
     following: ..."; the label is the group's first line after the cap (the
     reference draws it from that, empty, remainder)."""
-    line = T.strip(F.get(F.split("text", "\n"), 0))
+    line = T.strip(F.replace("text", F.lit("\n"), F.lit("\\n")))          # a file's line, its line feeds escaped
     text = F.replace(F.replace(line, F.lit("\\\\"), F.lit("\\")), F.lit("\\n"), F.lit("\n"))
     return _set(spark, "toxigen", lines=FX.table(spark, sf, "documents").select(F.col("doc_id").alias("target_id"), "source", text.alias("text")))
 
@@ -106,7 +106,7 @@ def tgt_toxigen(spark, sf):
 
 @register("join_domain_lookup", QS._rr_sql("DESC", QS.K_SELECT) + f""",
 sel AS (SELECT * FROM o WHERE sel_rank <= {QS.K_SELECT})
-SELECT sel.sel_rank, sel.pool_id, CAST(pv.label AS VARCHAR) AS domain, trim(string_split(d.text, {NL})[1], {WS}) AS first_message
+SELECT sel.sel_rank, sel.pool_id, CAST(pv.label AS VARCHAR) AS domain, trim(d.text, {WS}) AS first_message
 FROM sel JOIN pv USING (pool_id) JOIN documents d ON d.doc_id = sel.pool_id""")
 def join_domain_lookup(spark, sf):
     """Selected rows with their domain and first message (here: the document
@@ -114,7 +114,7 @@ def join_domain_lookup(spark, sf):
     pool = FX.pool_vectors(spark, sf)
     sel = S.select_round_robin_from_pool(pool, FX.target_vectors(spark, sf), QS.K_SELECT)
     d = FX.table(spark, sf, "documents").select(F.col("doc_id").alias("pool_id"),
-                                                T.strip(F.get(F.split("text", "\n"), 0)).alias("first_message"))
+                                                T.strip("text").alias("first_message"))
     return (sel.join(pool.select("src", "pool_id", "domain"), ["src", "pool_id"]).join(d, "pool_id")
             .select(F.col("sel_rank").cast("long").alias("sel_rank"), "pool_id", "domain", "first_message"))
 

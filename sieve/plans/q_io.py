@@ -63,7 +63,7 @@ def src_file_target(spark, sf):
 
 
 @register("src_csv_by_subject", f"""WITH {q_targets.mc_items_sql('test')}
-SELECT subject, q || chr(10) || '"' || a || '"' AS question, answer FROM m""")
+SELECT subject, q || chr(10) || '"' || a || '"' AS question, nullif(a, '') AS a, nullif(b, '') AS b, nullif(c, '') AS c, nullif(d, '') AS d, answer FROM m""")
 def src_csv_by_subject(spark, sf):
     """Multiple-choice items, their questions with a line break and quotes in
     them, written as header-less CSV per subject and read back with the subject
@@ -73,12 +73,13 @@ def src_csv_by_subject(spark, sf):
     question = F.concat("q", F.lit('\n"'), "a", F.lit('"'))
     (items.select(question.alias("question"), "a", "b", "c", "d", "answer", "subject").write.partitionBy("subject")
      .csv(path, header=False, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False))
-    return RD.read_csv_by_subject(spark, path).select("subject", "question", "answer")
+    back = RD.read_csv_by_subject(spark, path)
+    return back.select("subject", "question", *[F.nullif(F.col(c), F.lit("")).alias(c.lower()) for c in "ABCD"], "answer")
 
 
 @register("src_nested_qa", f"""
-SELECT lang || '-' || doc_id AS id, lang, string_split(text, chr(10))[1] AS question,
-       len(list_filter(string_split(text, chr(10))[2:3], lambda x: x IS NOT NULL)) AS n_answers
+SELECT lang || '-' || doc_id AS id, lang, text AS context, string_split(text, chr(10))[1] AS question, len(string_split(text, chr(10))) - 1 AS n_answers,
+       array_to_string(string_split(text, chr(10))[2:], '|') AS answers
 FROM documents""")
 def src_nested_qa(spark, sf):
     """QA documents in the nested ``data / paragraphs / qas`` form (one small
@@ -86,13 +87,13 @@ def src_nested_qa(spark, sf):
     path = scratch(spark, "qa")
     d = FX.table(spark, sf, "documents")
     lines = F.split("text", "\n")
-    answers = F.transform(F.slice(lines, 2, 2), lambda x: F.struct(x.alias("text")))
+    answers = F.transform(F.slice(lines, F.lit(2), F.size(lines) - 1), lambda x: F.struct(x.alias("text")))
     qa = F.struct(F.concat_ws("-", "lang", F.col("doc_id").cast("string")).alias("id"),
                   F.get(lines, 0).alias("question"), answers.alias("answers"))
     doc = F.array(F.struct(F.array(F.struct(F.col("text").alias("context"), F.array(qa).alias("qas"))).alias("paragraphs")))
     d.select(doc.alias("data")).write.json(path)
     back = RD.read_nested_qa(spark, path, multiline=False)
-    return back.select("id", "lang", "question", F.size("answers").cast("long").alias("n_answers"))
+    return back.select("id", "lang", "context", "question", F.size("answers").cast("long").alias("n_answers"), F.array_join("answers", "|").alias("answers"))
 
 
 @register("src_influence", f"""WITH {q_select.SQL_VECTORS.rstrip()},

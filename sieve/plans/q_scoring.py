@@ -293,15 +293,15 @@ def agg_rollup_map(spark, sf):
 
 
 @register("agg_argmax_choice", """
-WITH s AS (SELECT vec_id, list_transform(embedding[1:4], lambda x: x::DOUBLE * 10) AS v FROM embeddings),
+WITH s AS (SELECT vec_id, list_transform(range(4), lambda c: list_sum(list_transform(embedding[c * 16 + 1:c * 16 + 16], lambda x: x::DOUBLE))) AS v FROM embeddings),
 e AS (SELECT vec_id, list_transform(v, lambda x: exp(x - list_max(v))) AS ex FROM s),
 p AS (SELECT vec_id, list_transform(ex, lambda x: x / list_sum(ex)) AS pr FROM e)
 SELECT vec_id, ['A', 'B', 'C', 'D'][list_position(pr, list_max(pr))] AS choice, round(list_max(pr), 6) + 0.0 AS prob FROM p""")
 def agg_argmax_choice(spark, sf):
-    """Choice among A-D from four scores (the first four embedding dims x 10)."""
+    """Choice among A-D from four scores, the sums of the embedding's four quarters."""
     emb = FX.table(spark, sf, "embeddings")
-    scores = F.transform(F.slice("embedding", 1, 4), lambda x: x.cast("double") * 10)
-    c = emb.select("vec_id", SC.argmax_choice(scores).alias("c"))
+    quarter = lambda c: F.aggregate(F.slice("embedding", c * 16 + 1, 16), F.lit(0.0), lambda a, x: a + x.cast("double"))      # noqa: E731
+    c = emb.select("vec_id", F.array(*map(quarter, range(4))).alias("s")).select("vec_id", SC.argmax_choice("s").alias("c"))
     return c.select("vec_id", F.col("c.choice").alias("choice"), r6("c.prob").alias("prob"))
 
 

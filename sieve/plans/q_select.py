@@ -126,7 +126,7 @@ def select_allow_list_min(spark, sf):
 
 @register("join_selected_back", _rr_sql("DESC", K_SELECT) + f"""
 SELECT o.sel_rank, o.pool_id, e.label, round(o.score, 6) + 0.0 AS influence_score,
-       round(e.embedding[1]::DOUBLE, 6) + 0.0 AS first_dim
+       list_sum(list_transform(e.embedding, lambda x: round(x::DOUBLE * 1e6)::BIGINT))::BIGINT AS dims_sum, len(e.embedding) AS dims
 FROM o JOIN embeddings e ON e.vec_id = o.pool_id WHERE o.sel_rank <= {K_SELECT}
 """)
 def join_selected_back(spark, sf):
@@ -136,7 +136,8 @@ def join_selected_back(spark, sf):
     back = sel.join(pool, ["src", "pool_id"])
     return back.select(F.col("sel_rank").cast("long").alias("sel_rank"), "pool_id", "label",
                        r6("score").alias("influence_score"),
-                       r6(F.col("vec")[0].cast("double")).alias("first_dim"))
+                       F.aggregate("vec", F.lit(0).cast("long"), lambda a, x: a + F.round(x.cast("double") * 1e6).cast("long")).alias("dims_sum"),
+                       F.size("vec").cast("long").alias("dims"))
 
 
 @register("dedup_first", _rr_sql("DESC", K_SELECT) + """

@@ -1,10 +1,12 @@
 """Target-set builders and samplers over the given tables.
 
-Multiple-choice items come from ``documents``: subject = source, question =
-first line, options A-D = lines 2-5 ('' when missing), answer letter =
-``n_chars mod 4``; documents with a ``labels`` row form the dev split, the rest
-the test split. Numeric items: question = first line, answer = first number of
-the text. Conversations give instruction/response pairs.
+Every item is made of its whole text. Multiple-choice items come from
+``documents``: subject = source, options A-D = the last four lines and question =
+all lines before them (a text of fewer than five lines is all question, with empty
+options), answer letter = ``n_chars mod 4``; documents with a ``labels`` row form
+the dev split, the rest the test split. Numeric items: question = all lines but the
+last, or the whole text of one line; worked answer = the last line; answer = first
+number of the text. Conversations give instruction/response pairs.
 """
 
 from __future__ import annotations
@@ -38,18 +40,19 @@ def mc_items(spark, sf, split: str):
     lab = FX.table(spark, sf, "labels").select("doc_id")
     d = d.join(lab, "doc_id", "left_semi" if split == "dev" else "left_anti")
     lines = F.split("text", "\n")
+    n = F.size(lines)
     return d.select(F.col("doc_id").alias("target_id"), F.col("source").alias("subject"),
-                    F.coalesce(F.get(lines, 0), F.lit("")).alias("q"),
-                    *[F.coalesce(F.get(lines, i), F.lit("")).alias(o) for i, o in zip(range(1, 5), "abcd")],
+                    F.when(n > 4, F.array_join(F.slice(lines, F.lit(1), n - 4), "\n")).otherwise(F.coalesce("text", F.lit(""))).alias("q"),
+                    *[F.when(n > 4, F.get(lines, n - 4 + i)).otherwise(F.lit("")).alias(o) for i, o in enumerate("abcd")],
                     F.element_at(F.array(*[F.lit(c) for c in TG.CHOICES]),
                                  (F.col("n_chars") % 4 + 1).cast("int")).alias("answer"))
 
 
 def mc_items_sql(split: str) -> str:
     cond = "IN" if split == "dev" else "NOT IN"
-    opts = ", ".join(f"coalesce(string_split(text, {NL})[{i}], '') AS {o}" for i, o in zip(range(2, 6), "abcd"))
-    return f"""m AS (SELECT doc_id AS target_id, source AS subject, coalesce(string_split(text, {NL})[1], '') AS q, {opts},
-       ['A', 'B', 'C', 'D'][n_chars % 4 + 1] AS answer FROM documents WHERE doc_id {cond} (SELECT doc_id FROM labels))"""
+    opts = ", ".join(f"CASE WHEN len(ls) > 4 THEN ls[len(ls) - {3 - i}] ELSE '' END AS {o}" for i, o in enumerate("abcd"))
+    return f"""m AS (SELECT doc_id AS target_id, source AS subject, CASE WHEN len(ls) > 4 THEN array_to_string(ls[1:len(ls) - 4], {NL}) ELSE coalesce(text, '') END AS q, {opts},
+       ['A', 'B', 'C', 'D'][n_chars % 4 + 1] AS answer FROM (SELECT *, string_split(text, {NL}) AS ls FROM documents) WHERE doc_id {cond} (SELECT doc_id FROM labels))"""
 
 
 def mc_body_sql(with_answer: bool = False) -> str:
@@ -180,18 +183,20 @@ def num_items(spark, sf, split: str):
     d = d.join(lab, "doc_id", "left_semi" if split == "dev" else "left_anti")
     lines = F.split("text", "\n")
     gold = T.strip_digit_commas(F.regexp_extract("text", r"\d[\d,]*(\.\d+)?", 0))
-    return d.select(F.col("doc_id").alias("target_id"), "source", "lang", F.get(lines, 0).alias("question"),
+    n = F.size(lines)
+    return d.select(F.col("doc_id").alias("target_id"), "source", "lang",
+                    F.when(n > 1, F.array_join(F.slice(lines, F.lit(1), n - 1), "\n")).otherwise(F.col("text")).alias("question"),
                     gold.alias("answer"),
-                    F.concat(F.coalesce(F.get(lines, 1), F.lit("")), F.lit(" So the answer is "), gold, F.lit("."))
+                    F.concat(F.when(n > 1, F.get(lines, n - 1)).otherwise(F.lit("")), F.lit(" So the answer is "), gold, F.lit("."))
                     .alias("cot_answer"), "text")
 
 
 def num_items_sql(split: str, name: str = "g") -> str:
     cond = "IN" if split == "dev" else "NOT IN"
     gold = "regexp_replace(regexp_extract(text, '\\d[\\d,]*(\\.\\d+)?', 0), '(\\d),(\\d)', '\\1\\2', 'g')"
-    return f"""{name} AS (SELECT doc_id AS target_id, source, lang, string_split(text, {NL})[1] AS question, {gold} AS answer,
-       coalesce(string_split(text, {NL})[2], '') || ' So the answer is ' || {gold} || '.' AS cot_answer, text
-       FROM documents WHERE doc_id {cond} (SELECT doc_id FROM labels))"""
+    return f"""{name} AS (SELECT doc_id AS target_id, source, lang, CASE WHEN len(ls) > 1 THEN array_to_string(ls[1:len(ls) - 1], {NL}) ELSE text END AS question, {gold} AS answer,
+       CASE WHEN len(ls) > 1 THEN ls[len(ls)] ELSE '' END || ' So the answer is ' || {gold} || '.' AS cot_answer, text
+       FROM (SELECT *, string_split(text, {NL}) AS ls FROM documents) WHERE doc_id {cond} (SELECT doc_id FROM labels))"""
 
 
 @register("tgt_gsm8k", f"""WITH {num_items_sql('test')}, {num_items_sql('dev', 'e')},
@@ -231,7 +236,7 @@ def tgt_gsm8k_shots_shots(spark, sf):
 # ---------------------------------------------------------------- per-task prompts
 
 TP_SQL = f"""tp AS (SELECT source AS task, row_number() OVER (ORDER BY source) AS prompt_id, 'Answer questions about ' || source || '.' ||
-    string_agg({NL} || {NL} || 'Q: ' || string_split(text, {NL})[1] || {NL} || 'A: ' || coalesce(string_split(text, {NL})[2], '') || ' So the answer is ' || n_chars || '.', '' ORDER BY doc_id)
+    string_agg({NL} || {NL} || 'Q: ' || replace(text, {NL}, ' ') || {NL} || 'A: It has ' || n_chars || ' characters. So the answer is ' || n_chars || '.', '' ORDER BY doc_id)
     || {NL} AS task_prompt
   FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rk FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)) WHERE rk <= {COT_SHOTS} GROUP BY source)"""
 
@@ -243,8 +248,8 @@ def task_prompts(spark, sf):
     path = FX.scratch(spark, "cot-prompts")
     d = FX.table(spark, sf, "documents").join(FX.table(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi")
     few = (d.withColumn("rk", F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))).filter(F.col("rk") <= COT_SHOTS))
-    lines = F.split("text", "\n")
-    shot = F.concat(F.lit("\n\nQ: "), F.get(lines, 0), F.lit("\nA: "), F.coalesce(F.get(lines, 1), F.lit("")), F.lit(" So the answer is "), F.col("n_chars").cast("string"), F.lit("."))
+    size = F.col("n_chars").cast("string")
+    shot = F.concat(F.lit("\n\nQ: "), F.replace("text", F.lit("\n"), F.lit(" ")), F.lit("\nA: It has "), size, F.lit(" characters. So the answer is "), size, F.lit("."))
     made = few.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("doc_id", shot.alias("s")))).alias("shots"))
     text = F.concat(F.lit("made for this test\n-----\nAnswer questions about "), "source", F.lit("."), F.array_join(F.transform("shots", lambda x: x["s"]), ""))
     made.select(F.col("source").alias("task"), text.alias("value")).write.partitionBy("task").text(path)
@@ -435,7 +440,8 @@ tgt_wildchat = _instruction_pairs("tgt_wildchat", "wildchat", 100)
 
 
 def passages(spark, sf):
-    """The document of each benchmark item as passage, its text as question."""
+    """The document of each benchmark item as passage, its text as question; the
+    answer, a passage's first span, is its first line."""
     b, d = FX.table(spark, sf, "benchmark"), FX.table(spark, sf, "documents")
     return b.join(d, b.item_id == d.doc_id).select(F.col("item_id").alias("target_id"), d.text.alias("text"), b.text.alias("question"),
                                                    F.get(F.split(d.text, "\n"), 0).alias("answer"))
@@ -453,13 +459,13 @@ def _codex_inputs(spark, sf):
     problems = FX.table(spark, sf, "benchmark").join(FX.table(spark, sf, "documents").select(F.col("doc_id").alias("item_id"), F.col("text").alias("solution")), "item_id")
     named = F.concat(F.lit("HumanEval/"), F.col("item_id").cast("string"))
     instructions = FX.table(spark, sf, "documents").select(F.replace(F.concat(F.lit("Python/"), F.col("doc_id").cast("string")), F.lit("Python"), F.lit("HumanEval")).alias("task_id"),
-                                                          F.get(F.split("text", "\n"), 0).alias("instruction"))
+                                                          F.concat("source", F.lit(": "), "text").alias("instruction"))
     return problems.select(F.col("item_id").alias("target_id"), named.alias("task_id"), F.col("text").alias("problem"), "solution"), instructions
 
 
 @register("tgt_codex", f"""
 WITH pb AS (SELECT 'HumanEval/' || item_id AS task_id, item_id, text AS problem FROM benchmark),
-ins AS (SELECT replace('Python/' || doc_id, 'Python', 'HumanEval') AS task_id, string_split(text, {NL})[1] AS instruction, text AS solution FROM documents)
+ins AS (SELECT replace('Python/' || doc_id, 'Python', 'HumanEval') AS task_id, source || ': ' || text AS instruction, text AS solution FROM documents)
 SELECT pb.item_id AS target_id, {chat_sql('ins.instruction')} || 'Here is the function:' || {NL} || {NL} || '```python' || {NL} || pb.problem AS prompt,
        ins.solution AS label
 FROM pb JOIN ins USING (task_id) ORDER BY {key_sql('pb.item_id')}, pb.item_id LIMIT 100""")
