@@ -11,6 +11,7 @@ from sieve.operators import pooling as P
 from sieve.operators import selection as S
 from sieve.operators import tiles as TL
 from sieve.plans import fixtures as FX
+from sieve.plans import batch as BT
 from sieve.plans import q_chat, q_scoring, q_select, q_targets
 from sieve.plans.catalog import r6, register
 from sieve.plans.fixtures import scratch
@@ -214,6 +215,16 @@ def snk_selected_rows(spark, sf):
                        r6("influence_score").alias("influence_score"))
 
 
+@register("batch_selected_rows", q_select._mean_sql(q_select.NORM_SQL, True, q_select.K_SELECT).replace("SELECT row_number()", ", picked AS (SELECT row_number()", 1) + """)
+SELECT sel_rank, p.pool_id, label, score AS influence_score FROM picked p JOIN pv USING (pool_id)""")
+def batch_selected_rows(spark, sf):
+    """Pool and targets to written rows in one batch call."""
+    path = scratch(spark, "batch")
+    BT.run(spark, FX.pool_vectors(spark, sf), FX.target_vectors(spark, sf), method="normalized_mean_max", k=q_select.K_SELECT, out=path)
+    back = spark.read.json(f"{path}/rows")
+    return back.select("sel_rank", "pool_id", F.col("label").cast("int").alias("label"), r6("influence_score").alias("influence_score"))
+
+
 @register("snk_selected_ids", q_select._rr_sql("DESC", q_select.K_SELECT) + f"""
 SELECT sel_rank, pool_id FROM o WHERE sel_rank <= {q_select.K_SELECT}""")
 def snk_selected_ids(spark, sf):
