@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sieve.operators.sampling import global_topk
-from sieve.operators.similarity import TargetMatrix, cosine_scores, grouped_topk, mean_scores_fused, rank_order, target_matrix, topk_per_target
+from sieve.operators.similarity import TargetBlocks, TargetMatrix, cosine_scores, grouped_topk, mean_scores_fused, rank_order, target_matrix, topk_per_target
 
 DEPTH_SHARE = 2             # the first list depth tried is so many times k / targets
 METHODS = ("min", "max", "mean_min", "mean_max", "normalized_mean_min", "normalized_mean_max")
@@ -146,7 +146,7 @@ def select_round_robin_from_pool(pool: DataFrame, targets, k: int, largest: bool
     if k <= 0:
         return _no_picks(pool.sparkSession)
     pool = pool.filter(F.col(columns.get("pool_id", "pool_id")) != -1)
-    tm = targets if isinstance(targets, TargetMatrix) else target_matrix(targets)
+    tm = targets if isinstance(targets, (TargetMatrix, TargetBlocks)) else target_matrix(targets)
     return _round_robin(lambda depth: cosine_scores(pool, tm, mode="topk", k=depth, largest=largest, **columns), pool.count,
                         len(tm.ids), k, largest, allow, None)
 
@@ -329,7 +329,7 @@ def select_round_robin_quota_from_pool(pool: DataFrame, targets, weights: DataFr
     quotas = {r["domain"]: float(r["quota"]) for r in domain_quotas(weights, max(k, 0)).collect() if r["quota"] > 0}     # one row per domain
     if k <= 0 or not quotas:
         return spark.createDataFrame([], QUOTA_SCHEMA).drop("exact")
-    tm = targets if isinstance(targets, TargetMatrix) else target_matrix(targets)
+    tm = targets if isinstance(targets, (TargetMatrix, TargetBlocks)) else target_matrix(targets)
     rows = pool.filter(F.col(columns.get("pool_id", "pool_id")) != -1).withColumn("__domain", fold_domain(F.col(domain)))
     depths = {d: max(1, math.ceil(DEPTH_SHARE * q / max(1, len(tm.ids)))) for d, q in quotas.items()}
     while True:

@@ -67,12 +67,42 @@ class TargetMatrix:
         self.blocks = [(ids[i:i + per_block], mat[i:i + per_block]) for i in range(0, max(len(ids), 1), per_block)]
 
 
+class TargetBlocks:
+    """A target set beyond the driver limit, with the same face: only its ids are
+    held, and iterating ``blocks`` reads one range of ids after the other, so the
+    driver holds one block at a time. Every pass over the blocks reads them anew."""
+
+    def __init__(self, targets: DataFrame, id_col: str, vec_col: str, ids: np.ndarray, d: int, max_bytes: int, normalised: bool):
+        self.targets, self.id_col, self.vec_col, self.ids, self.d, self.normalised = targets, id_col, vec_col, ids, d, normalised
+        distinct = np.unique(ids)
+        self.starts = distinct[::max(1, max_bytes // max(1, d * 8))].tolist()
+        self.blocks = self
+
+    def __len__(self) -> int:
+        return len(self.starts)
+
+    def __iter__(self):
+        for low, high in zip(self.starts, [*self.starts[1:], None]):
+            own = F.col(self.id_col).cast("long")
+            part = self.targets.where((own >= low) if high is None else (own >= low) & (own < high))
+            ids, mat = _collected(part, self.id_col, self.vec_col, self.d)
+            yield ids, _unit_rows(mat) if self.normalised else mat
+
+
+def _collected(targets: DataFrame, id_col: str, vec_col: str, d: int) -> tuple[np.ndarray, np.ndarray]:
+    tbl = targets.select(F.col(id_col).cast("long").alias("id"), V.as_double(F.col(vec_col)).alias("v")).orderBy("id").toArrow()
+    ids = tbl.column("id").to_numpy()
+    flat = tbl.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    return ids, np.asarray(flat, dtype=np.float64).reshape(len(ids), d) if len(ids) else np.zeros((0, d))
+
+
 def collect_matrix(targets: DataFrame, id_col: str = "target_id", vec_col: str = "vec",
                    max_bytes: int = DEFAULT_MAX_BROADCAST_BYTES, max_driver_bytes: int | None = None):
     """Collect ``(ids, matrix)`` of a target set after checking its size.
 
     The size is computed on the cluster first (count and width), so an
-    oversized side is refused before anything is pulled to the driver.
+    oversized side is refused before anything is pulled to the driver
+    (:func:`target_matrix` then reads it block by block).
     ``max_driver_bytes`` bounds the whole set; each broadcast block is bounded
     by ``max_bytes``.
     """
@@ -84,17 +114,18 @@ def collect_matrix(targets: DataFrame, id_col: str = "target_id", vec_col: str =
     limit = max_driver_bytes if max_driver_bytes is not None else max(DEFAULT_MAX_DRIVER_BYTES, max_bytes)
     if n * d * 8 > limit:
         raise TooLargeToBroadcast(f"{n} x {d} doubles exceed {limit} bytes")
-    tbl = targets.select(F.col(id_col).cast("long").alias("id"),
-                         V.as_double(F.col(vec_col)).alias("v")).orderBy("id").toArrow()
-    ids = tbl.column("id").to_numpy()
-    flat = tbl.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-    mat = np.asarray(flat, dtype=np.float64).reshape(n, d) if n else np.zeros((0, d))
-    return ids, mat
+    return _collected(targets, id_col, vec_col, d)
 
 
 def target_matrix(targets: DataFrame, id_col: str = "target_id", vec_col: str = "vec", normalise: bool = True,
-                  max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> TargetMatrix:
-    ids, mat = collect_matrix(targets, id_col, vec_col, max_broadcast_bytes)
+                  max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> TargetMatrix | TargetBlocks:
+    """The target set in blocks: collected at once if it fits the driver limit,
+    else read block by block."""
+    try:
+        ids, mat = collect_matrix(targets, id_col, vec_col, max_broadcast_bytes)
+    except TooLargeToBroadcast:
+        held = targets.select(F.col(id_col).cast("long").alias("id"), F.size(vec_col).alias("d")).toArrow()      # 12 bytes a target
+        return TargetBlocks(targets, id_col, vec_col, np.sort(held.column("id").to_numpy()), int(held.column("d")[0].as_py()), max_broadcast_bytes, normalise)
     return TargetMatrix(ids, _unit_rows(mat) if normalise and len(mat) else mat, max_broadcast_bytes, normalise)
 
 
@@ -339,7 +370,7 @@ def cosine_scores(pool: DataFrame, targets, *, mode: str = "pairs", k: int = 0,
         raise ValueError(mode)
     if mode == "topk" and k <= 0:
         return pool.sparkSession.createDataFrame([], SCORE_SCHEMA)
-    tm = targets if isinstance(targets, TargetMatrix) else target_matrix(
+    tm = targets if isinstance(targets, (TargetMatrix, TargetBlocks)) else target_matrix(
         targets, target_id, vec, normalise, max_broadcast_bytes)
     if len(tm.ids) == 0:
         schema = SCORE_SCHEMA if mode != "mean" else "src int, pool_id bigint, score double, n_targets bigint"
@@ -374,7 +405,7 @@ def grouped_topk(pool: DataFrame, targets, depths: dict[str, int], *, group: str
     pool_id)), with ``more`` if the list was longer. One scan; groups that ``depths``
     doesn't name take no part. The groups are few: a task keeps a buffer for each."""
     spark = pool.sparkSession
-    tm = targets if isinstance(targets, TargetMatrix) else target_matrix(targets, normalise=normalise)
+    tm = targets if isinstance(targets, (TargetMatrix, TargetBlocks)) else target_matrix(targets, normalise=normalise)
     found = spark.createDataFrame([], GROUPED_SCHEMA)
     if depths and len(tm.ids):
         rows = pool.withColumn("grp", F.col(group)).where(F.col("grp").isin(list(depths)))
@@ -400,7 +431,7 @@ def mean_scores_fused(pool: DataFrame, targets, normalised: bool = False, pool_i
     ``normalised`` first finds each target's min and max score in a scan that
     emits one row per (batch, target), then scales the scores to [0, 1] inside
     the second scan (a constant target scales to 0)."""
-    tm = targets if isinstance(targets, TargetMatrix) else target_matrix(
+    tm = targets if isinstance(targets, (TargetMatrix, TargetBlocks)) else target_matrix(
         targets, target_id, vec, True, max_broadcast_bytes)
     if len(tm.ids) == 0:
         return pool.sparkSession.createDataFrame([], "src int, pool_id bigint, score double")

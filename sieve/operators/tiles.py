@@ -80,7 +80,7 @@ def score_tiles(pool: DataFrame, targets, width: int = WIDTH, *, normalise: bool
     order of their ids. Columns as in :func:`sieve.operators.similarity.cosine_scores`.
     Without targets, or without pool rows, there are no tiles."""
     spark = pool.sparkSession
-    tm = targets if isinstance(targets, SIM.TargetMatrix) else SIM.target_matrix(targets, target_id, vec, normalise, max_broadcast_bytes)
+    tm = targets if isinstance(targets, (SIM.TargetMatrix, SIM.TargetBlocks)) else SIM.target_matrix(targets, target_id, vec, normalise, max_broadcast_bytes)
     tiles, named, first = spark.createDataFrame([], SIM.TILE_SCHEMA), [], 0
     for n, (ids, mat) in enumerate(tm.blocks if len(tm.ids) else []):
         bc = (spark.sparkContext.broadcast(ids), spark.sparkContext.broadcast(mat))
@@ -96,7 +96,7 @@ def columns_of(pool: DataFrame, targets, rows: int = ROWS, *, normalise: bool =
     """``target_id, src, pool_ids, scores``: the same scores, a row per target and
     batch of at most ``rows`` pool rows of one source."""
     spark = pool.sparkSession
-    tm = targets if isinstance(targets, SIM.TargetMatrix) else SIM.target_matrix(targets, target_id, vec, normalise, max_broadcast_bytes)
+    tm = targets if isinstance(targets, (SIM.TargetMatrix, SIM.TargetBlocks)) else SIM.target_matrix(targets, target_id, vec, normalise, max_broadcast_bytes)
     out = None
     for ids, mat in tm.blocks if len(tm.ids) else []:
         bc = (spark.sparkContext.broadcast(ids), spark.sparkContext.broadcast(mat))

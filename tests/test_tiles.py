@@ -53,6 +53,19 @@ def test_no_plan_holds_a_row_per_pair(pool, targets):
         assert "Generate" not in plan and "Cartesian" not in plan and "Join Cross" not in plan
 
 
+def test_targets_beyond_the_driver_limit_are_read_block_by_block(spark, pool, targets, monkeypatch):
+    flat = SIM.cosine_scores(pool, targets)
+    whole = long(flat), long(SIM.topk_per_target(SIM.cosine_scores(pool, targets, mode="topk", k=7), 7)), {r["pool_id"]: r["score"] for r in SIM.mean_scores_fused(pool, targets, True).collect()}
+    picks = [r["pool_id"] for r in S.select_round_robin_from_pool(pool, targets, 30).orderBy("sel_rank").collect()]
+    monkeypatch.setattr(SIM, "DEFAULT_MAX_DRIVER_BYTES", 100)
+    tm = SIM.target_matrix(targets, max_broadcast_bytes=4 * 6 * 8)
+    assert isinstance(tm, SIM.TargetBlocks) and [len(ids) for ids, _ in tm.blocks] == [4, 4, 3]
+    assert long(SIM.cosine_scores(pool, tm)) == pytest.approx(whole[0], abs=1e-12) and long(TL.score_tiles(pool, tm, 3).unnest()) == pytest.approx(whole[0], abs=1e-12)
+    assert long(SIM.topk_per_target(SIM.cosine_scores(pool, tm, mode="topk", k=7, cutoff=True), 7)) == pytest.approx(whole[1], abs=1e-12)
+    assert {r["pool_id"]: r["score"] for r in SIM.mean_scores_fused(pool, tm, True).collect()} == pytest.approx(whole[2], abs=1e-12)
+    assert [r["pool_id"] for r in S.select_round_robin_from_pool(pool, tm, 30).orderBy("sel_rank").collect()] == picks
+
+
 def test_empty_sides(pool, targets):
     assert TL.score_tiles(pool, targets.limit(0)).tiles.count() == 0 == TL.score_tiles(pool.limit(0), targets).tiles.count()
     assert TL.columns_of(pool, targets.limit(0)).count() == 0 == TL.columns_of(pool.limit(0), targets).count()
