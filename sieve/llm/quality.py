@@ -157,7 +157,12 @@ def score(docs: DataFrame, model: SubwordModel, text: str = "text") -> Column:
 def classify(docs: DataFrame, labels: DataFrame, label: str, usable: Column, threshold: float = 0.3) -> DataFrame:
     """``docs`` with ``score`` (double) and ``predicted`` (int). Extra columns
     stay; columns of those two names are replaced. Repeated rows are scored
-    alike, an empty table gives an empty table."""
+    alike, an empty table gives an empty table. Null and empty texts, and such
+    of white space, have no features and score the softmax's bias; null ids
+    are scored like others and never train. Texts of any length are scored
+    whole, a piece of a mebibyte at a time; equal scores have no order, as each
+    row is judged by itself. Without labelled rows of both classes the model is
+    what its start or its one class makes of it, and a warning says so."""
     model = train(docs, labels, label, usable)
     kept = [c for c in docs.columns if c not in ("score", "predicted")]
     return docs.select(*kept, score(docs, model).alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
