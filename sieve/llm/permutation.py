@@ -73,19 +73,27 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id
     rows of largest inner product found, itself left out, ties to smaller ids.
 
     Equal vectors are indexed and searched once and stand for all their rows.
-    Vectors may differ in length; of equal length, they make a single band.
-    Vectors that are null, zero, hold a null or non-finite component, or are not
-    of the most frequent length take no part, nor do rows with a null key; of rows repeated in
-    key and vector one takes part. An empty table gives an empty result; columns
-    besides key and vector are not read.
+    Vectors may differ in Euclidean length; where they don't, they make a single
+    band. Vectors that are null, zero, or hold a null or non-finite component take
+    no part, nor do rows with a null key; vectors of different numbers of components
+    have no inner product, so each number is indexed and searched by itself. Of rows
+    repeated in key and vector one takes part. An empty table gives an empty result;
+    columns besides key and vector are not read.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks")).where(F.col("id").isNotNull() & usable(F.col("v")))
-    lengths = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
-    schema = "query_id long, rank int, vec_id long, score double"
-    if lengths is None:
-        return spark.createDataFrame([], schema)
-    rows = rows.where(F.size("v") == lengths["n"]).groupBy("id", "v").agg(F.max("asks").alias("asks"))
+    sizes = sorted(r["n"] for r in rows.groupBy(F.size("v").alias("n")).agg(F.max("asks").alias("asks")).where("asks").collect())      # a handful at most
+    out = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for i, n in enumerate(sizes):
+        found = _search(rows.where(F.size("v") == n), k)
+        out = found if i == 0 else out.unionByName(found)
+    return out
+
+
+def _search(rows: DataFrame, k: int) -> DataFrame:
+    """``search`` among vectors (id, v, asks) of one number of components."""
+    spark = rows.sparkSession
+    rows = rows.groupBy("id", "v").agg(F.max("asks").alias("asks"))
     # Distinct vectors with their k + 1 smallest ids: more never reach a result.
     first = rows.withColumn("at", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("at") <= k + 1)
     distinct = (first.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")).withColumn("rep", F.col("ids")[0])

@@ -150,6 +150,9 @@ def test_search(spark):
     v = spark.createDataFrame([r + (9, 9.0) for r in rows], "vec_id long, embedding array<double>, rep long, score double")
     got = [tuple(r) for r in permutation.search(v, F.col("vec_id") % 20 == 0, k=3).orderBy("query_id", "rank").collect()]
     assert got == [(0, 1, 20, 2.0), (0, 2, 1, 1.0), (0, 3, 2, 0.0), (20, 1, 0, 2.0), (20, 2, 1, 2.0), (20, 3, 2, 0.0)]
+    other = v.unionByName(spark.createDataFrame([(40, [3.0], 9, 9.0), (8, [-1.0], 9, 9.0), (60, [1.0, 1.0, 1.0], 9, 9.0)], v.schema))
+    again = [tuple(r) for r in permutation.search(other, F.col("vec_id") % 20 == 0, k=3).orderBy("query_id", "rank").collect()]
+    assert again == got + [(40, 1, 7, 3.0), (40, 2, 8, -3.0)]           # each number of components by itself; the only one of its kind finds nothing
     assert permutation.search(v.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
