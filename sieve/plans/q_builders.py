@@ -4,9 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sieve.functions import chat as C
 from sieve.functions import text as T
-from sieve.operators import sampling as SA
 from sieve.operators import selection as S
 from sieve.operators import similarity as SIM
 from sieve.operators import tiles as TL

@@ -21,7 +21,6 @@ from sieve.plans import fixtures as FX
 from sieve.plans import target_sets as TS
 from sieve.plans import targets as TG
 from sieve.plans.catalog import register
-from sieve.sources import readers as RD
 
 NL = "chr(10)"
 WS = "(' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12))"

@@ -2,7 +2,6 @@
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from sieve.operators import selection as S
 from sieve.operators import similarity as SIM
