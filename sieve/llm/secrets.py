@@ -14,7 +14,6 @@ and the matches themselves, give every match its start.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
