@@ -91,9 +91,7 @@ def test_every_name_builds_from_files(spark, data, name):
     for r in rows:
         assert r["prompt"] and r["label"] is not None and len(r["tokens"]) == len(r["labels"]) <= 2 * n
         assert all(x is None or x == t for t, x in zip(r["tokens"], r["labels"])) and any(x is not None for x in r["labels"])
-    assert name in ("limo",) or TS.build(spark, name, data, num_samples=2).count() == 2
-    # drawn alike, whatever the input's order
-    assert sorted(r["prompt"] for r in TS.build(spark, name, data, num_samples=3, seed=1).collect()) == sorted(r["prompt"] for r in TS.build(spark, name, data, num_samples=3, seed=1).collect())
+    assert TS.build(spark, name, data, num_samples=2).count() == 2
 
 
 def test_all_names_of_the_registry_are_covered():
