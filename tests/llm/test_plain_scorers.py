@@ -162,3 +162,58 @@ def test_pipeline_rows_by_brute_force(spark):
         assert r["source_size"] == source[s] and r["target"] == pytest.approx(wanted[s]) and 0 <= r["taken"] <= 2 * r["size"]
         taken[s] += r["taken"]
     assert all(abs(taken[s] - wanted[s]) <= 0.01 * wanted[s] + 32 for s in source)
+
+
+def test_toxicity_trains_on_every_labelled_row(spark):
+    n = 8_000
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("w"), F.sha1(F.col("id").cast("string"))).alias("text"))
+    labels = spark.range(n).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic"))
+    m = toxicity.train(docs, labels, "toxic", F.lit(True), rows=1_000)
+    start = toxicity._Training.start(np.random.default_rng(1)).model.vectors
+    words = [toxicity._hash(r["text"].encode())[0] for r in docs.collect()]
+    moved = (m.vectors != start).any(1)
+    assert sum(bool(moved[k]) for k in words) >= 0.78 * n           # four in five take steps, the others set thresholds
+
+
+def test_toxicity_long_texts_train_whole(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    m = toxicity._Training.start(rng).model
+    ids = rng.integers(0, toxicity.BUCKETS, (500, 2)).astype(np.int16)
+    best, at = toxicity._peaks(m, ids)
+    monkeypatch.setattr(toxicity, "STEP_WORDS", 7)
+    again, place = toxicity._peaks(m, ids)
+    assert again == pytest.approx(best, abs=1e-5) and place.tolist() == at.tolist()
+    docs = spark.createDataFrame([(i, "bad word " * 30 if i % 2 else "fine word " * 30) for i in range(20)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, toxic int")
+    m = toxicity.train(docs, labels, "toxic", F.lit(True), chars=100)               # each text is longer than that
+    assert (m.vectors != toxicity._Training.start(np.random.default_rng(1)).model.vectors).any()
+
+
+def test_toxicity_does_not_depend_on_partitions(spark):
+    docs = spark.createDataFrame([(i, f"some words {i % 7} {'nasty' if i % 3 == 0 else 'nice'} end", "en") for i in range(90)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(90)], "doc_id long, toxic int")
+    one, two = (toxicity.train(docs.repartition(n), labels.repartition(n), "toxic", F.lit(True), rows=20) for n in (1, 5))
+    assert (one.vectors == two.vectors).all() and one.bias == two.bias and one.thresholds == two.thresholds
+
+
+def plain_thresholds(rows):
+    out = {}
+    for lang in {r[0] for r in rows}:
+        own = sorted((s, y) for x, s, y in rows if x == lang)
+        toxic = sum(y for _, y in own)
+        if not 0 < toxic < len(own):
+            continue
+        cuts = [(-1.0, 0.0, -own[0][0], own[0][0])]
+        for k in range(1, len(own)):
+            if own[k][0] > own[k - 1][0]:
+                f1 = 2 * sum(y for _, y in own[k:]) / (len(own) - k + toxic)
+                cuts.append((f1, own[k][0] - own[k - 1][0], -own[k][0], (own[k][0] + own[k - 1][0]) / 2))
+        out[lang] = max(cuts)[3]
+    return out
+
+
+def test_toxicity_thresholds_by_plain_loops(spark):
+    rng = random.Random(5)
+    rows = [(lang, rng.randrange(40) / 40 + 0.2 * y * (lang == "en"), y) for lang in ("en", "de", "") for y in (rng.randrange(2) for _ in range(200))]
+    rows += [("one", 0.5, 1), ("one", 0.5, 0), ("clean", 0.1, 0), ("clean", 0.9, 0), ("bad", 0.1, 1)]
+    assert toxicity.calibrate(spark.createDataFrame(rows, "lang string, score double, label int")) == pytest.approx(plain_thresholds(rows))
