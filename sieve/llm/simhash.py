@@ -122,6 +122,8 @@ def linked(distinct: DataFrame, most: int = 3) -> DataFrame:
     at_home = distinct.mapInPandas(lambda it: _postings(it, True), "anchor long, fp long").withColumnRenamed("fp", "a")
     visiting = distinct.mapInPandas(lambda it: _postings(it, False), "anchor long, fp long").withColumnRenamed("fp", "b")
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= most
+    # A fingerprint visits some 34 anchors, but Spark counts as many rows out of mapInPandas as in and would broadcast them.
+    visiting = visiting.hint("merge")
     return at_home.join(visiting, (at_home["anchor"] == visiting["anchor"]) & (F.col("a") < F.col("b")) & near).select("a", "b").distinct()
 
 
