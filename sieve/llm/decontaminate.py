@@ -86,7 +86,9 @@ def _numbered(ordered: Column) -> Column:
 
 
 def _small(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+    """Hinted either way: Spark counts as many rows out of an explode as in, and
+    would broadcast what it sizes too low."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df.hint("merge")
 
 
 def _key(docs: DataFrame, key: str, text: str) -> DataFrame:
